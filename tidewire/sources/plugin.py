@@ -1,0 +1,135 @@
+"""Source and sink plug-ins: messaging drivers as Python data sources.
+
+A driver is a ``DataSource`` class registered under its short name and used with
+``spark.read.format(name)`` / ``df.write.format(name)``. ``SegmentDriver`` is one
+such driver: messages in segment files under ``topic=.../partition=...`` folders,
+one task per segment.
+"""
+
+from __future__ import annotations
+
+import importlib
+import os
+import uuid
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.parquet as pq
+from pyspark.sql import SparkSession
+from pyspark.sql.datasource import (
+    DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage,
+)
+from pyspark.sql.types import StructType
+
+_SCHEMA = "topic string, partition bigint, key string, payload binary"
+_BODY = pa.schema([("key", pa.string()), ("payload", pa.binary())])
+
+
+def register_driver(spark: SparkSession, driver: type[DataSource] | str) -> str:
+    """Register a driver class, or the class named by a dotted path; returns its format name."""
+    if isinstance(driver, str):
+        module, _, name = driver.rpartition(".")
+        driver = getattr(importlib.import_module(module), name)
+    spark.dataSource.register(driver)
+    return driver.name()
+
+
+@dataclass
+class Segment(InputPartition):
+    path: str
+    topic: str
+    partition: int
+
+
+class SegmentReader(DataSourceReader):
+    def __init__(self, root: str) -> None:
+        self.root = root
+
+    def partitions(self) -> list[Segment]:
+        found = []
+        for folder, _, files in sorted(os.walk(self.root)):
+            names = dict(p.split("=", 1) for p in folder.split(os.sep) if "=" in p)
+            if {"topic", "partition"} <= names.keys():
+                found += [
+                    Segment(os.path.join(folder, f), names["topic"], int(names["partition"]))
+                    for f in sorted(files)
+                    if f.endswith(".parquet")
+                ]
+        return found
+
+    def read(self, partition: Segment) -> Iterator[pa.RecordBatch]:
+        for batch in pq.ParquetFile(partition.path).iter_batches(columns=["key", "payload"]):
+            n = batch.num_rows
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([partition.topic] * n, pa.string()),
+                    pa.array([partition.partition] * n, pa.int64()),
+                    batch.column(0),
+                    batch.column(1),
+                ],
+                names=["topic", "partition", "key", "payload"],
+            )
+
+
+@dataclass
+class Written(WriterCommitMessage):
+    paths: list[str]
+
+
+class SegmentWriter(DataSourceArrowWriter):
+    """Each task writes its own hidden segments; the commit makes them visible."""
+
+    def __init__(self, root: str) -> None:
+        self.root = root
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
+        attempt = uuid.uuid4().hex
+        writers: dict[tuple[str, int], pq.ParquetWriter] = {}
+        paths = []
+        for batch in iterator:
+            rows = pa.Table.from_batches([batch])
+            places = rows.group_by(["topic", "partition"]).aggregate([]).to_pylist()
+            for place in places:
+                at = (place["topic"], place["partition"])
+                if at not in writers:
+                    folder = os.path.join(self.root, f"topic={at[0]}", f"partition={at[1]}")
+                    os.makedirs(folder, exist_ok=True)
+                    paths.append(os.path.join(folder, f"{attempt}.pending"))
+                    writers[at] = pq.ParquetWriter(paths[-1], _BODY)
+                mask = pc.and_(
+                    pc.equal(rows["topic"], at[0]),
+                    pc.equal(rows["partition"], at[1]),
+                )
+                writers[at].write_table(rows.filter(mask).select(["key", "payload"]).cast(_BODY))
+        for writer in writers.values():
+            writer.close()
+        return Written(paths)
+
+    def commit(self, messages: list[Written | None]) -> None:
+        for path in self._paths(messages):
+            os.rename(path, path.removesuffix(".pending") + ".parquet")
+
+    def abort(self, messages: list[Written | None]) -> None:
+        for path in self._paths(messages):
+            os.unlink(path)
+
+    @staticmethod
+    def _paths(messages: list[Written | None]) -> list[str]:
+        return [p for m in messages if m is not None for p in m.paths]
+
+
+class SegmentDriver(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "tidewire_segments"
+
+    def schema(self) -> str:
+        return _SCHEMA
+
+    def reader(self, schema: StructType) -> SegmentReader:
+        return SegmentReader(self.options["path"])
+
+    def writer(self, schema: StructType, overwrite: bool) -> SegmentWriter:
+        return SegmentWriter(self.options["path"])
