@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewire.plans.catalog import logs, scalars  # noqa: F401  (registers on import)
+from tidewire.plans.catalog import documents, logs, metrics, scalars, streams  # noqa: F401  (registers on import)
 from tidewire.plans.catalog.registry import ORACLES, QUERIES, Query
 from tidewire.session import configure
 

@@ -72,18 +72,15 @@ def bucket_sql(v: str) -> str:
     )
 
 
-PUBLISHED = (
-    SENT
-    + f""",
+PUBLISHED_ONLY = f"""
 published AS (
   SELECT run_id, send_ms // 10000 AS period, worker, bytes, latency_us,
          {bucket_sql("latency_us")} AS bucket
   FROM sent WHERE status = 'ok' AND send_ms >= 60000)"""
-)
 
-DELIVERED = (
-    RECV
-    + f""",
+PUBLISHED = f"{SENT},{PUBLISHED_ONLY}"
+
+DELIVERED_ONLY = f"""
 lat AS (
   SELECT *, least(greatest((receive_ms - publish_ms) * 1000, 0), 43200000000) AS us FROM recv
   WHERE receive_ms >= 60000),
@@ -92,7 +89,8 @@ delivered AS (
          CASE WHEN us > 0 THEN us END AS latency_us,
          CASE WHEN us > 0 THEN {bucket_sql("us")} END AS bucket
   FROM lat)"""
-)
+
+DELIVERED = f"{RECV},{DELIVERED_ONLY}"
 
 QUANTILE_NAMES = {
     "50pct": 5000, "75pct": 7500, "95pct": 9500, "99pct": 9900, "999pct": 9990, "9999pct": 9999,
