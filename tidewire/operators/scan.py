@@ -6,7 +6,7 @@ totals the blocks, a window over the (few) totals carries state from block to
 block, and the rows themselves are only ever ordered inside their block. A group
 that holds a third of the data is then spread over as many tasks as it has blocks.
 
-The order column is a whole number and its values are spread out enough that one
+Keys and order are never NULL. The order column is a whole number and its values are spread out enough that one
 block fits a task (for unique numbers, at most ``span`` rows).
 """
 
@@ -49,7 +49,9 @@ def with_block(df: DataFrame, order: str, span: int) -> DataFrame:
 
 
 def _attach(blocked: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return blocked.join(carry, [*keys, BLOCK], "left")
+    """Every block has its totals, so the join keeps all rows. Being an inner join it
+    puts the same filters on both sides, which lets them share one shuffle."""
+    return blocked.join(carry, [*keys, BLOCK])
 
 
 def running(

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from tidewire.functions import config, keys, latency, text
 from tidewire.operators import aggregates, assign, filters, histograms, joins, ordering, windows
-from tidewire.plans import charts, recipes, reports
+from tidewire.operators.lineage import stored
+from tidewire.plans import recipes, reports
 from tidewire.plans.catalog.registry import (
     DELIVERED, HELD, LATENCY_COLUMNS, PUBLISHED, QUANTILE_NAMES, RECV, SENT, bucket_sql, query,
     ranked_sql, rounded, summary_sql, token_sql,
@@ -90,7 +91,7 @@ def f4_test_window(spark, sf_dir):
         .agg(F.count(F.lit(1)).alias("messages"))
     )
     return filters.test_window(
-        periods, RUN, "period", period_ms=aggregates.PERIOD_MS,
+        stored(periods), RUN, "period", period_ms=aggregates.PERIOD_MS,
         duration_ms=F.col("run_id") * F.lit(600_000),
         draining=(F.col("run_id") == 2) & (F.col("period") < 150),
     )
@@ -393,7 +394,7 @@ def j7_fill_empty_periods(spark, sf_dir):
         .groupBy(*RUN, aggregates.period_of(F.col("send_ms")).alias("period"))
         .agg(F.count(F.lit(1)).alias("messages"))
     )
-    return joins.fill_empty_periods(failed, RUN, "period", ["messages"], first=long(0))
+    return joins.fill_empty_periods(stored(failed), RUN, "period", ["messages"], first=long(0))
 
 
 # --- aggregates --------------------------------------------------------------------
@@ -448,7 +449,7 @@ def a2_period_rates(spark, sf_dir):
     f"WITH {COUNTERS_SQL} SELECT run_id, period, total_sent, total_received FROM totals",
 )
 def a3_running_totals(spark, sf_dir):
-    totals = aggregates.running_totals(_counters(spark, sf_dir))
+    totals = aggregates.running_totals(stored(_counters(spark, sf_dir)))
     return totals.select(*RUN, "period", "total_sent", "total_received")
 
 
@@ -460,7 +461,7 @@ def a3_running_totals(spark, sf_dir):
            (3 * total_sent - total_received) * 9 AS backlog_bytes FROM totals""",
 )
 def a4_backlog(spark, sf_dir):
-    totals = aggregates.running_totals(_counters(spark, sf_dir))
+    totals = aggregates.running_totals(stored(_counters(spark, sf_dir)))
     left = aggregates.backlog(totals, F.lit(SUBSCRIPTIONS), F.lit(MESSAGE_SIZE))
     return left.select(*RUN, "period", "backlog", "backlog_bytes")
 
@@ -701,7 +702,7 @@ def a16_axis_max(spark, sf_dir):
 )
 def a17_collect_series(spark, sf_dir):
     """Arrays of at most 100 periods, shown as text."""
-    totals = aggregates.running_totals(_counters(spark, sf_dir))
+    totals = aggregates.running_totals(stored(_counters(spark, sf_dir)))
     left = aggregates.backlog(totals, F.lit(SUBSCRIPTIONS), F.lit(MESSAGE_SIZE))
     columns = {"sent": "messages_sent", "backlog": "backlog"}
     series = reports.collect_series(left, columns, periods_per_document=100)
@@ -815,12 +816,14 @@ def _progress(spark, sf_dir, tick_ms: int = CONTROL_MS):
     counters = aggregates.period_counters(
         recipes.sends(spark, sf_dir), recipes.held_receives(spark, sf_dir), RUN, period_ms=tick_ms
     )
-    totals = aggregates.running_totals(counters)
+    totals = aggregates.running_totals(stored(counters))
     return totals.withColumn("at_ms", (F.col("period") + 1) * F.lit(tick_ms))
 
 
 def _control(spark, sf_dir):
-    totals = _progress(spark, sf_dir).select(*RUN, "at_ms", "total_sent", "total_received")
+    totals = stored(
+        _progress(spark, sf_dir).select(*RUN, "at_ms", "total_sent", "total_received")
+    )
     rates = windows.counter_delta(totals, RUN, "at_ms", ["total_sent", "total_received"])
     return rates.select(
         *RUN, "at_ms",
@@ -913,7 +916,7 @@ def w3_rate_search(spark, sf_dir):
     WHERE at_ms > built_ms AND b <= 150 GROUP BY run_id, built_ms""",
 )
 def w4_backlog_phases(spark, sf_dir):
-    ticks = _progress(spark, sf_dir, 1000)
+    ticks = stored(_progress(spark, sf_dir, 1000))
     left = aggregates.backlog(ticks, F.lit(SUBSCRIPTIONS), F.lit(MESSAGE_SIZE))
     return windows.backlog_phases(
         left, RUN, "at_ms", requested_bytes=F.lit(4000), drained_messages=150

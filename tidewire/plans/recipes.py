@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.functions.latency import whole_div
+from tidewire.operators.lineage import stored
 from tidewire.operators.scan import Running, running
 
 SPACING_MS = 360
@@ -176,7 +177,7 @@ def sampled_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumn("epoch", epoch)
     )
     counted = running(
-        per_slot,
+        stored(per_slot),
         ["worker", "epoch"],
         "slot",
         {"total": Running(F.col("n")), "total_bytes": Running(F.col("n_bytes"))},

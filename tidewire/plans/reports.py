@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from tidewire.functions.latency import e2e_latency_us, whole_div
 from tidewire.operators.aggregates import (
-    PERIOD_MS, backlog, period_counters, period_of, period_rates, running_totals,
+    PERIOD_MS, backlog, period_of, period_rates, running_totals,
 )
 from tidewire.operators.filters import WARMUP_MS, positive_latency, successful_only
 from tidewire.operators.histograms import (
     bucket_counts, latency_summary, merge_histograms, quantile_curve,
 )
+from tidewire.operators.lineage import stored
 from tidewire.schemas import LATENCY_STATS, SIDES
 
 RUN = ["run_id"]
@@ -41,11 +42,35 @@ def e2e_latencies(receives: DataFrame) -> DataFrame:
 
 
 def period_histograms(sends: DataFrame, receives: DataFrame) -> DataFrame:
-    """Both sides' histograms per run and period, with the side as ``kind``."""
-    sides = publish_latencies(sends).withColumn("kind", F.lit("publish")).unionByName(
-        e2e_latencies(receives).withColumn("kind", F.lit("endToEnd"))
+    """Everything a report needs, in one pass over the messages: per run, period and
+    side (``kind``) the message counts, bytes and latency buckets.
+
+    All successful sends and all deliveries are counted; latencies are recorded from
+    the end of warm-up on, and a delivery with a latency of zero is not recorded.
+    """
+    sent = successful_only(sends).select(
+        *RUN,
+        F.lit("publish").alias("kind"),
+        F.col("send_ms").alias("at_ms"),
+        "latency_us",
+        "bytes",
+    )
+    e2e = positive_latency(e2e_latency_us(F.col("publish_ms"), F.col("receive_ms")))
+    received = receives.select(
+        *RUN,
+        F.lit("endToEnd").alias("kind"),
+        F.col("receive_ms").alias("at_ms"),
+        e2e.alias("latency_us"),
+        "bytes",
     )
-    return bucket_counts(sides, [*RUN, "period", "kind"], "latency_us", "bytes")
+    messages = sent.unionByName(received).select(
+        *RUN,
+        "kind",
+        period_of(F.col("at_ms")).alias("period"),
+        F.when(F.col("at_ms") >= WARMUP_MS, F.col("latency_us")).alias("latency_us"),
+        "bytes",
+    )
+    return bucket_counts(messages, [*RUN, "period", "kind"], "latency_us", "bytes")
 
 
 def flagship(sends: DataFrame) -> DataFrame:
@@ -63,34 +88,40 @@ def flagship(sends: DataFrame) -> DataFrame:
     )
 
 
+def _of_side(side: str, value: Column | str) -> Column:
+    """Value in the row of one side, to be picked out by ``max`` over both rows."""
+    return F.max(F.when(F.col("kind") == side, F.col(value) if isinstance(value, str) else value))
+
+
 def period_report(
-    sends: DataFrame, receives: DataFrame, subscriptions: Column, message_size: Column
+    histograms: DataFrame, subscriptions: Column, message_size: Column
 ) -> DataFrame:
     """One row per run and period: rates, backlog and both latency summaries.
 
-    Rates and totals count from the start of the run; latency starts after warm-up.
+    Totals count from the start of the run; reported periods start after warm-up.
     """
-    totals = running_totals(period_counters(successful_only(sends), receives))
-    rated = backlog(period_rates(totals), subscriptions, message_size)
     groups = [*RUN, "period"]
-    both = latency_summary(period_histograms(sends, receives), [*groups, "kind"])
-    stats = [_suffix(s) for s in LATENCY_STATS]
-    wide = both.groupBy(*groups).agg(
-        *[
-            F.max(F.when(F.col("kind") == side, F.col(s))).alias(f"{side}_{s}")
-            for side in SIDES
-            for s in stats
-        ]
-    )
-    joined = rated.where(F.col("period") >= period_of(F.lit(WARMUP_MS))).join(wide, groups, "left")
-    zeros = {f"{side}_{s}": 0.0 for side in SIDES for s in stats}
-    return joined.fillna(zeros)
+    both = latency_summary(histograms, [*groups, "kind"])
+    zero = F.lit(0).cast("bigint")
+    counters = [
+        F.coalesce(_of_side(side, source), zero).alias(f"{source}_{name}")
+        for side, name in (("publish", "sent"), ("endToEnd", "received"))
+        for source in ("messages", "bytes")
+    ]
+    latencies = [
+        F.coalesce(_of_side(side, _suffix(s)), F.lit(0.0)).alias(f"{side}_{_suffix(s)}")
+        for side in SIDES
+        for s in LATENCY_STATS
+    ]
+    totals = running_totals(stored(both.groupBy(*groups).agg(*counters, *latencies)))
+    rated = backlog(period_rates(totals), subscriptions, message_size)
+    return rated.where(F.col("period") >= period_of(F.lit(WARMUP_MS)))
 
 
-def run_summary(sends: DataFrame, receives: DataFrame) -> DataFrame:
-    """Whole-run latency and quantile curves of both sides, one row per run and kind."""
+def run_summary(histograms: DataFrame) -> DataFrame:
+    """Whole-run latency and quantile curve of both sides, one row per run and kind."""
     groups = [*RUN, "kind"]
-    merged = merge_histograms(period_histograms(sends, receives), groups)
+    merged = merge_histograms(histograms, groups)
     summary = latency_summary(merged, groups).select(
         *groups, *[_suffix(s) for s in LATENCY_STATS]
     )
@@ -129,18 +160,19 @@ def result_documents(
     *, subscriptions: int, message_size: int,
 ) -> DataFrame:
     """Result documents; ``runs`` gives workload and driver of each run_id."""
-    report = period_report(sends, receives, F.lit(subscriptions), F.lit(message_size))
+    histograms = stored(period_histograms(sends, receives))
+    report = period_report(histograms, F.lit(subscriptions), F.lit(message_size))
     columns = {"publishRate": "publish_rate", "consumeRate": "consume_rate", "backlog": "backlog"}
     for side in SIDES:
         columns |= {f"{side}Latency{s}": f"{side}_{_suffix(s)}" for s in LATENCY_STATS}
     series = collect_series(report, columns)
-    summary = run_summary(sends, receives)
+    aggregated = []
     for side in SIDES:
         upper = side[0].upper() + side[1:]
-        one = summary.where(F.col("kind") == side).select(
-            *RUN,
-            *[F.col(_suffix(s)).alias(f"aggregated{upper}Latency{s}") for s in LATENCY_STATS],
-            F.col("quantiles").alias(f"aggregated{upper}LatencyQuantiles"),
-        )
-        series = series.join(one, RUN, "left")
-    return series.join(runs, RUN).drop(*RUN)
+        aggregated += [
+            _of_side(side, _suffix(s)).alias(f"aggregated{upper}Latency{s}") for s in LATENCY_STATS
+        ]
+        of_side = F.first(F.when(F.col("kind") == side, F.col("quantiles")), ignorenulls=True)
+        aggregated.append(of_side.alias(f"aggregated{upper}LatencyQuantiles"))
+    whole = run_summary(histograms).groupBy(*RUN).agg(*aggregated)
+    return series.join(whole, RUN, "left").join(runs, RUN).drop(*RUN)

@@ -94,9 +94,7 @@ def drain_progress(consumed: DataFrame, sent: DataFrame, drained_at: int) -> Dat
     """
     per_batch = consumed.groupBy("batch_id").agg(F.count(F.lit(1)).alias("received"))
     totals = running(per_batch, [], "batch_id", {"total_received": Running(F.col("received"))})
-    waiting = sent.agg(F.count(F.lit(1)).alias("sent"))
-    left = F.col("sent") - F.col("total_received")
-    # one row, the number of waiting messages, meets one row per batch
-    return totals.join(F.broadcast(waiting)).select(
+    left = F.lit(sent.count()) - F.col("total_received")
+    return totals.select(
         "batch_id", "total_received", left.alias("backlog"), (left <= drained_at).alias("drained")
     )
