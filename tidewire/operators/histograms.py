@@ -66,10 +66,12 @@ def _recorded(bucket: str = "bucket") -> Column:
 def cumulative(histogram: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Add ``cum`` and ``total`` counts of recorded latencies in bucket order."""
     counted = F.when(_recorded(), F.col("n")).otherwise(F.lit(0))
-    whole = Window.partitionBy(*keys)
-    ordered = whole.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    return histogram.withColumn("cum", F.sum(counted).over(ordered)).withColumn(
-        "total", F.sum(counted).over(whole)
+    # One order for both frames, so that both sums come from a single window step.
+    ordered = Window.partitionBy(*keys).orderBy("bucket")
+    upto = ordered.rowsBetween(Window.unboundedPreceding, 0)
+    whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return histogram.select(
+        "*", F.sum(counted).over(upto).alias("cum"), F.sum(counted).over(whole).alias("total")
     )
 
 

@@ -36,29 +36,40 @@ def join_cumulative_ack(
     positive). The earliest answer settles a send; on a tie a refusal wins. Adds
     ``settled_ms`` and ``outcome`` (ok, failed, pending).
 
-    An answer for "all tags up to mine" is a running minimum from the largest tag
-    down, so no send is compared with more than one answer, and a busy channel is
-    cut into blocks of tags.
+    Sends and answers are put in one line per channel, by tag. An answer for "all tags
+    up to mine" is then a running minimum from the largest tag down and an answer for
+    one tag a minimum over that tag: one shuffle, no pairs, and a busy channel is cut
+    into blocks of tags.
     """
-    answer = F.struct(F.col("at_ms"), F.col("positive").cast("int").alias("positive"))
-    tagged = answers.groupBy("channel", "tag").agg(
-        F.min(F.when(~F.col("multiple"), answer)).alias("_single"),
-        F.min(F.when(F.col("multiple"), answer)).alias("_multi"),
+    # time and verdict in one number: earlier first, a refusal before an acceptance
+    answer = F.col("at_ms") * F.lit(2) + F.col("positive").cast("bigint")
+    given = answers.select(
+        "channel",
+        "tag",
+        F.when(~F.col("multiple"), answer).alias("_single"),
+        F.when(F.col("multiple"), answer).alias("_multi"),
     )
-    # Answers carry no send columns and may name a tag that was never sent.
-    both = sends.withColumn("_sent", F.lit(True)).join(tagged, ["channel", "tag"], "full")
+    line = sends.withColumn("_sent", F.lit(True)).unionByName(given, allowMissingColumns=True)
     swept = running(
-        both, ["channel"], "tag", {"_covering": Running(F.col("_multi"), "min")},
-        span=span, descending=True, with_ties=True,
+        line,
+        ["channel"],
+        "tag",
+        {
+            "_covering": Running(F.col("_multi"), "min"),
+            "_own": Running(F.col("_single"), "min", peers_only=True),
+        },
+        span=span,
+        descending=True,
+        with_ties=True,
     )
-    first = F.least("_single", "_covering")
+    first = F.least("_own", "_covering")
     outcome = (
         F.when(first.isNull(), F.lit("pending"))
-        .when(first["positive"] == 1, F.lit("ok"))
+        .when(first.bitwiseAND(F.lit(1)) == 1, F.lit("ok"))
         .otherwise(F.lit("failed"))
     )
     return swept.where("_sent").select(
-        *sends.columns, first["at_ms"].alias("settled_ms"), outcome.alias("outcome")
+        *sends.columns, F.shiftright(first, 1).alias("settled_ms"), outcome.alias("outcome")
     )
 
 

@@ -26,10 +26,14 @@ DEFAULT_SPAN = 1 << 16
 
 @dataclass(frozen=True)
 class Running:
-    """A running aggregate of ``source``: ``kind`` is sum, min or max."""
+    """A running aggregate of ``source``: ``kind`` is sum, min or max.
+
+    With ``peers_only`` it covers just the rows of equal order value.
+    """
 
     source: Column
     kind: str = "sum"
+    peers_only: bool = False
 
     def over(self, value: Column) -> Column:
         aggregates: dict[str, Callable[[Column], Column]] = {
@@ -69,12 +73,13 @@ def running(
     ``descending`` runs from the largest order value down. ``with_ties`` lets rows
     of equal order see each other, as a RANGE frame does.
     """
-    blocked = with_block(df, order, span)
-    for name, item in columns.items():
-        blocked = blocked.withColumn(f"_v_{name}", item.source)
+    blocked = with_block(df, order, span).withColumns(
+        {f"_v_{name}": item.source for name, item in columns.items()}
+    )
+    carried = {name: item for name, item in columns.items() if not item.peers_only}
 
     totals = blocked.groupBy(*keys, BLOCK).agg(
-        *[item.over(F.col(f"_v_{name}")).alias(f"_t_{name}") for name, item in columns.items()]
+        *[item.over(F.col(f"_v_{name}")).alias(f"_t_{name}") for name, item in carried.items()]
     )
     direction = F.desc if descending else F.asc
     earlier = (
@@ -85,23 +90,24 @@ def running(
     carry = totals.select(
         *keys,
         BLOCK,
-        *[item.over(F.col(f"_t_{n}")).over(earlier).alias(f"_c_{n}") for n, item in columns.items()],
+        *[item.over(F.col(f"_t_{n}")).over(earlier).alias(f"_c_{n}") for n, item in carried.items()],
     )
 
-    within = Window.partitionBy(*keys, BLOCK).orderBy(direction(order))
-    if with_ties:
-        within = within.rangeBetween(Window.unboundedPreceding, 0)
-    else:
-        within = within.rowsBetween(Window.unboundedPreceding, 0)
-    joined = _attach(blocked, carry, keys)
-    result = joined.select(
-        *df.columns,
-        *[
-            item.combine(F.col(f"_c_{n}"), item.over(F.col(f"_v_{n}")).over(within)).alias(n)
-            for n, item in columns.items()
-        ],
+    ordered = Window.partitionBy(*keys, BLOCK).orderBy(direction(order))
+    peers = ordered.rangeBetween(0, 0)
+    upto = (
+        ordered.rangeBetween(Window.unboundedPreceding, 0)
+        if with_ties
+        else ordered.rowsBetween(Window.unboundedPreceding, 0)
+    )
+
+    def result(name: str, item: Running) -> Column:
+        local = item.over(F.col(f"_v_{name}")).over(peers if item.peers_only else upto)
+        return local if item.peers_only else item.combine(F.col(f"_c_{name}"), local)
+
+    return _attach(blocked, carry, keys).select(
+        *df.columns, *[result(name, item).alias(name) for name, item in columns.items()]
     )
-    return result
 
 
 def previous(

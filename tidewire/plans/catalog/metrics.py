@@ -130,9 +130,8 @@ def s9_read_metric_samples(spark, sf_dir):
 )
 def f8_label_match(spark, sf_dir):
     names = ["node_network_transmit_bytes_total", "process_cpu_seconds_total"]
-    own = F.col("name").isin(names) & (label(F.col("labels"), "group") == "client")
-    samples = recipes.metric_samples(spark, sf_dir).where(own)
     labels = F.col("labels")
+    samples = recipes.metric_samples(spark, sf_dir, *names).where(label(labels, "group") == "client")
     return samples.groupBy(
         label(labels, "instance").alias("instance"), label(labels, "device").alias("device")
     ).agg(
@@ -175,7 +174,7 @@ def j6_attach_target_labels(spark, sf_dir):
 
 
 def _series(spark, sf_dir, name: str) -> DataFrame:
-    samples = recipes.metric_samples(spark, sf_dir)
+    samples = recipes.metric_samples(spark, sf_dir, name)
     return lookback.select_series(samples, name, ("group", "=", "client"))
 
 
@@ -212,32 +211,46 @@ def m3_instant(spark, sf_dir):
 _LEGEND = f"SELECT instance AS legend, t_ms, round(value, {PLACES}) AS value FROM points"
 
 
-def _client_panel(name: str, column: str, panel) -> None:
+def _client_panel(name: str, column: str, panel, metric: str) -> None:
     @query(name, f"WITH {irate_sql(column, 30000)} {_LEGEND}")
     def run(spark, sf_dir):
-        return _points(panel(recipes.metric_samples(spark, sf_dir)), "legend")
+        return _points(panel(recipes.metric_samples(spark, sf_dir, metric)), "legend")
 
 
-_client_panel("m4_producer_msg_rate", "total", dashboards.producer_msg_rate)
-_client_panel("m5_consumer_msg_rate", "total", dashboards.consumer_msg_rate)
-_client_panel("m6_producer_byte_rate", "total_bytes", dashboards.producer_byte_rate)
-_client_panel("m7_consumer_byte_rate", "total_bytes", dashboards.consumer_byte_rate)
+_client_panel(
+    "m4_producer_msg_rate", "total", dashboards.producer_msg_rate,
+    "benchmark_producer_messages_sent",
+)
+_client_panel(
+    "m5_consumer_msg_rate", "total", dashboards.consumer_msg_rate,
+    "benchmark_consumer_messages_recv",
+)
+_client_panel(
+    "m6_producer_byte_rate", "total_bytes", dashboards.producer_byte_rate,
+    "benchmark_producer_bytes_sent",
+)
+_client_panel(
+    "m7_consumer_byte_rate", "total_bytes", dashboards.consumer_byte_rate,
+    "benchmark_consumer_bytes_recv",
+)
 
 
-def _latency_panel(name: str, panel) -> None:
+def _latency_panel(name: str, panel, metric: str) -> None:
     @query(
         name,
         f"""WITH {instant_sql("worst_us")}
         SELECT instance || ' - ' || unnest(['50%', '99%']) AS legend, t_ms, value FROM points""",
     )
     def run(spark, sf_dir):
-        samples = recipes.metric_samples(spark, sf_dir)
+        samples = recipes.metric_samples(spark, sf_dir, metric)
         both = panel(samples, "0.5").unionByName(panel(samples, "0.99"))
         return _points(both, "legend")
 
 
-_latency_panel("m8_produce_latency_q", dashboards.produce_latency_q)
-_latency_panel("m9_e2e_latency_q", dashboards.e2e_latency_q)
+_latency_panel(
+    "m8_produce_latency_q", dashboards.produce_latency_q, "benchmark_producer_produce_latency"
+)
+_latency_panel("m9_e2e_latency_q", dashboards.e2e_latency_q, "benchmark_consumer_e2e_latency")
 
 
 @query(
@@ -247,7 +260,7 @@ _latency_panel("m9_e2e_latency_q", dashboards.e2e_latency_q)
     FROM points, {_GROUP_ROWS}""",
 )
 def m10_cpu_percent(spark, sf_dir):
-    samples = recipes.metric_samples(spark, sf_dir)
+    samples = recipes.metric_samples(spark, sf_dir, "process_cpu_seconds_total")
     return _points(_each_group(lambda g: dashboards.cpu_percent(samples, g)), "group", "legend")
 
 
@@ -260,11 +273,11 @@ def m10_cpu_percent(spark, sf_dir):
 )
 def m11_heap_sums(spark, sf_dir):
     """Committed memory is sampled for two areas of the heap."""
-    samples = recipes.metric_samples(spark, sf_dir)
-    parts = [
-        _each_group(lambda g, a=area: dashboards.heap_sum(samples, g, a)).withColumn("area", F.lit(area))
-        for area in ("committed", "used", "max")
-    ]
+    parts = []
+    for area in ("committed", "used", "max"):
+        samples = recipes.metric_samples(spark, sf_dir, f"jvm_memory_bytes_{area}")
+        summed = _each_group(lambda g, s=samples, a=area: dashboards.heap_sum(s, g, a))
+        parts.append(summed.withColumn("area", F.lit(area)))
     return _points(reduce(DataFrame.unionByName, parts), "group", "area")
 
 
@@ -275,13 +288,11 @@ def m11_heap_sums(spark, sf_dir):
     FROM points, {_GROUP_ROWS}, (SELECT unnest(['used', 'max']) AS area)""",
 )
 def m12_direct_memory(spark, sf_dir):
-    samples = recipes.metric_samples(spark, sf_dir)
-    parts = [
-        _each_group(lambda g, a=area: dashboards.direct_memory(samples, g, a)).withColumn(
-            "area", F.lit(area)
-        )
-        for area in ("used", "max")
-    ]
+    parts = []
+    for area in ("used", "max"):
+        samples = recipes.metric_samples(spark, sf_dir, f"jvm_memory_direct_bytes_{area}")
+        latest = _each_group(lambda g, s=samples, a=area: dashboards.direct_memory(s, g, a))
+        parts.append(latest.withColumn("area", F.lit(area)))
     points = reduce(DataFrame.unionByName, parts)
     named = points.withColumn("instance", label(F.col("labels"), "instance"))
     return _points(named, "group", "area", "instance")
@@ -295,7 +306,7 @@ def m12_direct_memory(spark, sf_dir):
 )
 def m13_gc_pause(spark, sf_dir):
     """Two collectors per instance, summed."""
-    samples = recipes.metric_samples(spark, sf_dir)
+    samples = recipes.metric_samples(spark, sf_dir, "jvm_gc_collection_seconds_sum")
     paused = _each_group(lambda g: dashboards.gc_pause(samples, g))
     return rounded(paused.select("group", "t_ms", "value"), "value", places=4)
 
@@ -307,7 +318,8 @@ def _disk_panel(name: str, direction: str) -> None:
         SELECT 'client ' || instance AS legend, t_ms, round(2 * value, {PLACES}) AS value FROM points""",
     )
     def run(spark, sf_dir):
-        return _points(dashboards.disk_bytes(recipes.metric_samples(spark, sf_dir), direction), "legend")
+        samples = recipes.metric_samples(spark, sf_dir, f"node_disk_{direction}_bytes_total")
+        return _points(dashboards.disk_bytes(samples, direction), "legend")
 
 
 _disk_panel("m14_disk_write", "written")
@@ -322,8 +334,8 @@ def _network_panel(name: str, direction: str) -> None:
         FROM points""",
     )
     def run(spark, sf_dir):
-        points = dashboards.network_bytes(recipes.metric_samples(spark, sf_dir), direction)
-        return _points(points, "legend")
+        samples = recipes.metric_samples(spark, sf_dir, f"node_network_{direction}_bytes_total")
+        return _points(dashboards.network_bytes(samples, direction), "legend")
 
 
 _network_panel("m15_net_tx", "transmit")
@@ -336,7 +348,8 @@ _network_panel("m15_net_rx", "receive")
     SELECT 'client ' || instance AS legend, t_ms, round(1 - value, {PLACES}) AS value FROM points""",
 )
 def m16_cpu_busy(spark, sf_dir):
-    return _points(dashboards.cpu_busy(recipes.metric_samples(spark, sf_dir)), "legend")
+    samples = recipes.metric_samples(spark, sf_dir, "node_cpu_seconds_total")
+    return _points(dashboards.cpu_busy(samples), "legend")
 
 
 @query(

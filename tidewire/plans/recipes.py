@@ -229,8 +229,9 @@ _METRICS: tuple[tuple[str, str, tuple[dict[str, str], ...]], ...] = (
 )
 
 
-def metric_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Samples of every metric the dashboards query, one series per worker and label set."""
+def metric_samples(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
+    """Samples of the named metrics (of all that dashboards query, without names), one
+    series per worker and label set."""
     instance = F.concat(F.lit("w"), F.col("worker").cast("string"))
     entries = [
         F.struct(
@@ -242,6 +243,7 @@ def metric_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col(column).cast("double").alias("value"),
         )
         for name, column, extras in _METRICS
+        if not names or name in names
         for extra in extras
     ]
     return sampled_counters(spark, sf_dir).select("ts_ms", F.inline(F.array(*entries)))
