@@ -179,22 +179,27 @@ def t7_dedup(spark, sf_dir):
     return tables.run_into_table(kept, shared_folder(spark, "t7")).drop("batch_id")
 
 
-@query(
-    "t8_resume_from_offset",
-    "SELECT event_type AS topic, count(*) AS messages, count(DISTINCT event_id) AS distinct_messages "
-    "FROM events GROUP BY event_type",
-)
-def t8_resume_from_offset(spark, sf_dir):
-    """Half of the log is read, the rest arrives, and the query goes on from its checkpoint."""
-    log, folder = _split_log(spark, sf_dir), shared_folder(spark, "t8")
-    arrived = f"{folder}/arrived"
+def _consume_in_two_sittings(spark, sf_dir, folder: str) -> DataFrame:
+    """Half of the log is consumed; the rest arrives while consumption is held, and the
+    query then goes on from its checkpoint until nothing is left."""
+    log, arrived = _split_log(spark, sf_dir), f"{folder}/arrived"
     for late in (0, 1):
         part = recipes.table(spark, log, "*").where(F.col("event_id") % 2 == late)
         part.write.mode("append").parquet(arrived)
         stream = message_log.stream_message_log(spark, arrived, EVENTS, max_files_per_trigger=1)
         topics = stream.select("event_id", F.col("event_type").alias("topic"))
         tables.into_table(topics, f"{folder}/rows", f"{folder}/checkpoint").awaitTermination()
-    consumed = tables.read_table(spark, f"{folder}/rows", topics.schema)
+    return tables.read_table(spark, f"{folder}/rows", topics.schema)
+
+
+@query(
+    "t8_resume_from_offset",
+    "SELECT event_type AS topic, count(*) AS messages, count(DISTINCT event_id) AS distinct_messages "
+    "FROM events GROUP BY event_type",
+)
+def t8_resume_from_offset(spark, sf_dir):
+    """Every message is consumed once although the query stops half-way."""
+    consumed = _consume_in_two_sittings(spark, sf_dir, shared_folder(spark, "t8"))
     return consumed.groupBy("topic").agg(
         F.count(F.lit(1)).alias("messages"), F.count_distinct("event_id").alias("distinct_messages")
     )
@@ -218,12 +223,10 @@ def t9_transactional_sink(spark, sf_dir):
 
 @query("t10_drain")
 def t10_drain(spark, sf_dir):
-    """Messages wait while consumption is held, then are drained file by file."""
-    log, folder = _split_log(spark, sf_dir), shared_folder(spark, "t10")
-    held = recipes.table(spark, log, "*")
-    stream = message_log.stream_message_log(spark, log, EVENTS, max_files_per_trigger=1)
-    drained = tables.run_into_table(stream.select("event_id"), folder)
-    return tables.drain_progress(drained, held, drained_at=1000)
+    """Backlog after each micro-batch: held half-way, then drained file by file."""
+    consumed = _consume_in_two_sittings(spark, sf_dir, shared_folder(spark, "t10"))
+    waiting = recipes.table(spark, sf_dir, "events")
+    return tables.drain_progress(consumed, waiting, drained_at=1000)
 
 
 @query("t11_observe_counters")
