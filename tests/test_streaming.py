@@ -64,7 +64,7 @@ def test_nothing_is_committed_before_the_first_commit(spark, tmp_path):
 def test_a_batch_that_runs_again_replaces_itself(spark, tmp_path):
     path = str(tmp_path / "out")
     for _ in range(2):  # the second run has no checkpoint and starts over
-        stream = message_log.stream_message_log(spark, "/root/testdata/sf0.001", EVENTS, name_filter="events.parquet")
+        stream = message_log.stream_message_log(spark, "/root/testdata/sf0.001/events.parque[t]", EVENTS)
         tables.into_table(stream.select("event_id"), path, str(tmp_path / f"c{_}")).awaitTermination()
     table = tables.read_table(spark, path, stream.select("event_id").schema)
     assert table.count() == table.select("event_id").distinct().count() == 1000
@@ -128,3 +128,9 @@ def test_synthetic_stream_is_dense_and_repeatable(spark, tmp_path):
         assert (r.producer_id, r.seq) == (i % 4, i // 4)
         assert round(r.event_time.timestamp() * 1000) == 1_000 + 10 * i
     assert rows[0].key is not None
+
+
+def test_a_log_without_files_gives_an_empty_table(spark, tmp_path):
+    (tmp_path / "s").mkdir()
+    stream = message_log.stream_message_log(spark, str(tmp_path / "s"), EVENTS).select("event_id")
+    assert tables.run_into_table(stream, str(tmp_path / "out")).count() == 0

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidewire.functions.binding import once
+
 INT_MAX = 2**31 - 1
 PROBE_START_RATE = 10_000.0
 LOWEST_RATE = 1.0
@@ -37,11 +37,6 @@ def adjusted_rate(target: Column) -> Column:
     return F.greatest(target, F.lit(LOWEST_RATE))
 
 
-def _once(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with ``value`` computed a single time per row."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def parse_properties(text: Column) -> Column:
     """``key=value`` lines as a map; comments and blanks dropped, the last repeat wins."""
     lines = F.transform(F.split(F.coalesce(text, F.lit("")), r"\r?\n"), lambda line: F.trim(line))
@@ -60,9 +55,9 @@ def parse_properties(text: Column) -> Column:
             )
             return F.map_from_arrays(distinct, found)
 
-        return _once(keys, last_values)
+        return once(keys, last_values)
 
-    return _once(kept, to_map)
+    return once(kept, to_map)
 
 
 def merge_properties(common: Column, specific: Column) -> Column:
@@ -73,7 +68,7 @@ def merge_properties(common: Column, specific: Column) -> Column:
         kept = F.map_filter(common, lambda k, _: ~F.array_contains(overridden, k))
         return F.map_concat(kept, own)
 
-    return _once(specific, merged)
+    return once(specific, merged)
 
 
 def properties_text(props: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidewire.functions.binding import once
+
 # Minimum widths of rates, throughputs and latencies in report lines.
 RATE_WIDTH = 7
 THROUGHPUT_WIDTH = 4
@@ -31,16 +33,15 @@ def _tenths(magnitude: Column) -> Column:
     return whole + F.when(up, F.lit(1)).otherwise(F.lit(0))
 
 
-def one_decimal(number: Column) -> Column:
-    """Number with exactly one decimal, rounded half-even on its exact value."""
-    number = number.cast("double")
+def _with_one_decimal(number: Column) -> Column:
     magnitude = F.abs(number)
     negative = (number < 0) | (number.cast("string") == "-0.0")
     sign = F.when(negative, F.lit("-")).otherwise(F.lit(""))
-    safe = F.when(magnitude < F.lit(_LARGEST_EXACT), magnitude).otherwise(F.lit(0.0))
-    tenths = _tenths(safe)
-    digits = F.concat(
-        F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string")
+    digits = once(
+        _tenths(magnitude),
+        lambda tenths: F.concat(
+            F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string")
+        ),
     )
     return (
         F.when(F.isnan(number), F.lit("NaN"))
@@ -50,9 +51,19 @@ def one_decimal(number: Column) -> Column:
     )
 
 
+def one_decimal(number: Column) -> Column:
+    """Number with exactly one decimal, rounded half-even on its exact value."""
+    return once(number.cast("double"), _with_one_decimal)
+
+
 def pad_number(number: Column, width: int) -> Column:
     """One decimal, padded with blanks on the left and never cut."""
-    return F.format_string(f"%{width}s", one_decimal(number))
+
+    def padded(shown: Column) -> Column:
+        blanks = F.greatest(F.lit(width) - F.length(shown), F.lit(0))
+        return F.concat(F.repeat(F.lit(" "), blanks), shown)
+
+    return once(one_decimal(number), padded)
 
 
 def period_line(

@@ -5,6 +5,7 @@ here split each group into blocks of ``span`` consecutive order values: one pass
 totals the blocks, a window over the (few) totals carries state from block to
 block, and the rows themselves are only ever ordered inside their block. A group
 that holds a third of the data is then spread over as many tasks as it has blocks.
+Only block totals meet in one task: five million of them for a third of 10^12 rows.
 
 Keys and order are never NULL. The order column is a whole number and its values are spread out enough that one
 block fits a task (for unique numbers, at most ``span`` rows).

@@ -176,13 +176,12 @@ def k4_key_pool(spark, sf_dir):
     "k5_assign_round_robin",
     """
     WITH items AS (
-      SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS idx FROM customer
-      WHERE c_acctbal > 0),
+      SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS idx FROM customer),
     buckets AS (SELECT unnest(range(2000)) AS bucket)
     SELECT c_custkey, bucket FROM buckets LEFT JOIN items ON idx % 2000 = bucket""",
 )
 def k5_assign_round_robin(spark, sf_dir):
-    items = table(spark, sf_dir, "customer").where("c_acctbal > 0").select("c_custkey")
+    items = table(spark, sf_dir, "customer").select("c_custkey")
     return assign.assign_round_robin(items, "c_custkey", 2000)
 
 
@@ -191,11 +190,11 @@ def k5_assign_round_robin(spark, sf_dir):
     """
     WITH items AS (
       SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS idx, count(*) OVER () AS n
-      FROM customer WHERE c_acctbal > 0)
+      FROM customer)
     SELECT c_custkey, idx // ((n + 15) // 16) AS chunk FROM items""",
 )
 def k6_assign_chunks(spark, sf_dir):
-    items = table(spark, sf_dir, "customer").where("c_acctbal > 0").select("c_custkey")
+    items = table(spark, sf_dir, "customer").select("c_custkey")
     chunked = assign.assign_chunks(items, "c_custkey", size=assign.producers_per_chunk(16))
     return chunked.select("c_custkey", "chunk")
 
@@ -205,14 +204,13 @@ def k6_assign_chunks(spark, sf_dir):
     """
     WITH workers AS (
       SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) - 1 AS idx, count(*) OVER () AS n
-      FROM supplier WHERE s_suppkey % 3 <> 0 OR s_suppkey = 0)
+      FROM supplier)
     SELECT s_suppkey, idx, CASE idx // (n // 2) WHEN 0 THEN 'produce' WHEN 1 THEN 'consume'
       ELSE 'idle' END AS role
     FROM workers""",
 )
 def k6_worker_roles(spark, sf_dir):
-    workers = table(spark, sf_dir, "supplier").where("s_suppkey % 3 <> 0 OR s_suppkey = 0")
-    return assign.worker_roles(workers.select("s_suppkey"), "s_suppkey")
+    return assign.worker_roles(table(spark, sf_dir, "supplier").select("s_suppkey"), "s_suppkey")
 
 
 @query(

@@ -25,7 +25,8 @@ EPOCH = recipes.EPOCH_MS
 
 
 def _events(spark, sf_dir) -> DataFrame:
-    return message_log.stream_message_log(spark, sf_dir, EVENTS, name_filter="events.parquet")
+    # A pattern, because a stream takes a single file only by pattern; also finds a folder.
+    return message_log.stream_message_log(spark, f"{sf_dir}/events.parque[t]", EVENTS)
 
 
 def _at(column: str) -> DataFrame:
@@ -179,17 +180,26 @@ def t7_dedup(spark, sf_dir):
     return tables.run_into_table(kept, shared_folder(spark, "t7")).drop("batch_id")
 
 
-def _consume_in_two_sittings(spark, sf_dir, folder: str) -> DataFrame:
+def _in_two_sittings(spark, sf_dir, folder: str, shape, mode: str = "append"):
     """Half of the log is consumed; the rest arrives while consumption is held, and the
-    query then goes on from its checkpoint until nothing is left."""
+    query then goes on from its checkpoint until nothing is left.
+
+    ``shape`` turns the stream of events into the rows to store. Returns the second
+    query and the table of both.
+    """
     log, arrived = _split_log(spark, sf_dir), f"{folder}/arrived"
     for late in (0, 1):
         part = recipes.table(spark, log, "*").where(F.col("event_id") % 2 == late)
         part.write.mode("append").parquet(arrived)
         stream = message_log.stream_message_log(spark, arrived, EVENTS, max_files_per_trigger=1)
-        topics = stream.select("event_id", F.col("event_type").alias("topic"))
-        tables.into_table(topics, f"{folder}/rows", f"{folder}/checkpoint").awaitTermination()
-    return tables.read_table(spark, f"{folder}/rows", topics.schema)
+        rows = shape(stream)
+        sitting = tables.into_table(rows, f"{folder}/rows", f"{folder}/checkpoint", mode=mode)
+        sitting.awaitTermination()
+    return sitting, tables.read_table(spark, f"{folder}/rows", rows.schema)
+
+
+def _topics(events: DataFrame) -> DataFrame:
+    return events.select("event_id", F.col("event_type").alias("topic"))
 
 
 @query(
@@ -199,7 +209,7 @@ def _consume_in_two_sittings(spark, sf_dir, folder: str) -> DataFrame:
 )
 def t8_resume_from_offset(spark, sf_dir):
     """Every message is consumed once although the query stops half-way."""
-    consumed = _consume_in_two_sittings(spark, sf_dir, shared_folder(spark, "t8"))
+    _, consumed = _in_two_sittings(spark, sf_dir, shared_folder(spark, "t8"), _topics)
     return consumed.groupBy("topic").agg(
         F.count(F.lit(1)).alias("messages"), F.count_distinct("event_id").alias("distinct_messages")
     )
@@ -224,7 +234,7 @@ def t9_transactional_sink(spark, sf_dir):
 @query("t10_drain")
 def t10_drain(spark, sf_dir):
     """Backlog after each micro-batch: held half-way, then drained file by file."""
-    consumed = _consume_in_two_sittings(spark, sf_dir, shared_folder(spark, "t10"))
+    _, consumed = _in_two_sittings(spark, sf_dir, shared_folder(spark, "t10"), _topics)
     waiting = recipes.table(spark, sf_dir, "events")
     return tables.drain_progress(consumed, waiting, drained_at=1000)
 
@@ -245,22 +255,16 @@ def t11_observe_counters(spark, sf_dir):
 
 @query("t12_late_rows")
 def t12_late_rows(spark, sf_dir):
-    """Messages ordered so that the last file lies behind the watermark."""
-    log, folder = _split_log(spark, sf_dir), shared_folder(spark, "t12")
-    backwards = F.timestamp_millis(F.lit(EPOCH) - F.col("event_id") * F.lit(recipes.SPACING_MS))
-    stream = message_log.stream_message_log(spark, log, EVENTS, max_files_per_trigger=1)
-    counted = (
-        stream.withColumn("event_time", backwards)
-        .withWatermark("event_time", "10 seconds")
-        .groupBy(F.window("event_time", "10 seconds"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .select("n")
-    )
-    running = tables.into_table(
-        counted, f"{folder}/rows", f"{folder}/checkpoint", mode="update"
-    )
-    running.awaitTermination()
-    return hooks.late_rows(spark, running)
+    """The second half of the log lies behind the watermark that the first half left."""
+
+    def counted(events: DataFrame) -> DataFrame:
+        at = F.timestamp_millis(F.lit(EPOCH) + F.col("event_id") * F.lit(recipes.SPACING_MS))
+        timed = events.withColumn("event_time", at).withWatermark("event_time", "10 seconds")
+        windows = timed.groupBy(F.window("event_time", "10 seconds"))
+        return windows.agg(F.count(F.lit(1)).alias("n")).select("n")
+
+    second, _ = _in_two_sittings(spark, sf_dir, shared_folder(spark, "t12"), counted, "update")
+    return hooks.late_rows(spark, second)
 
 
 @query(

@@ -22,13 +22,10 @@ def stream_message_log(
     path: str,
     schema: T.StructType,
     *,
-    name_filter: str | None = None,
     max_files_per_trigger: int | None = None,
 ) -> DataFrame:
-    """The same log as a stream, oldest files first."""
+    """The same log as a stream, oldest files first; ``path`` is a folder or a pattern."""
     reader = spark.readStream.schema(schema).option("latestFirst", "false")
-    if name_filter:
-        reader = reader.option("pathGlobFilter", name_filter)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     return reader.parquet(path)

@@ -49,9 +49,19 @@ def run_into_table(stream: DataFrame, folder: str, *, mode: str = "append") -> D
     return read_table(stream.sparkSession, f"{folder}/rows", stream.schema)
 
 
+def _read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Rows below ``path``; none when no micro-batch has been written yet."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     full = T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])
-    return spark.read.schema(full).parquet(path)
+    return _read_or_empty(spark, path, full)
 
 
 def latest_by_key(updates: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -74,16 +84,8 @@ def transactional_sink(stream: DataFrame, path: str, checkpoint: str) -> Streami
 
 def read_committed(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     commit_schema = T.StructType([T.StructField("batch_id", T.LongType())])
-    rows = read_table(spark, f"{path}/rows", schema)
-    try:
-        commits = spark.read.schema(commit_schema).option("recursiveFileLookup", "true").parquet(
-            f"{path}/{COMMITS}"
-        )
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return rows.where(F.lit(False))
-    return rows.join(commits, "batch_id", "left_semi")
+    commits = _read_or_empty(spark, f"{path}/{COMMITS}/*", commit_schema)
+    return read_table(spark, f"{path}/rows", schema).join(commits, "batch_id", "left_semi")
 
 
 def drain_progress(consumed: DataFrame, sent: DataFrame, drained_at: int) -> DataFrame:
