@@ -66,6 +66,17 @@ def pad_number(number: Column, width: int) -> Column:
     return once(one_decimal(number), padded)
 
 
+def rate_parts(
+    publish_rate: Column, publish_mb: Column, consume_rate: Column, consume_mb: Column, width: int
+) -> list[Column]:
+    return [
+        F.lit("Pub rate "), pad_number(publish_rate, width), F.lit(" msg/s / "),
+        pad_number(publish_mb, THROUGHPUT_WIDTH), F.lit(" MB/s | Cons rate "),
+        pad_number(consume_rate, width), F.lit(" msg/s / "),
+        pad_number(consume_mb, THROUGHPUT_WIDTH), F.lit(" MB/s"),
+    ]
+
+
 def period_line(
     publish_rate: Column,
     publish_mb: Column,
@@ -75,16 +86,21 @@ def period_line(
     publish_ms: dict[str, Column],
 ) -> Column:
     """Progress line of one reporting period; ``publish_ms`` maps statistic to milliseconds."""
+    rates = rate_parts(publish_rate, publish_mb, consume_rate, consume_mb, RATE_WIDTH)
     parts = [
-        F.lit("Pub rate "), pad_number(publish_rate, RATE_WIDTH), F.lit(" msg/s / "),
-        pad_number(publish_mb, THROUGHPUT_WIDTH), F.lit(" MB/s | Cons rate "),
-        pad_number(consume_rate, RATE_WIDTH), F.lit(" msg/s / "),
-        pad_number(consume_mb, THROUGHPUT_WIDTH), F.lit(" MB/s | Backlog: "),
-        backlog.cast("string"), F.lit(" msg | Pub Latency (ms)"),
+        *rates, F.lit(" | Backlog: "), backlog.cast("string"), F.lit(" msg | Pub Latency (ms)"),
     ]
     return F.concat(*parts, _latency_part(publish_ms))
 
 
+def summary_line(
+    publish_rate: Column, publish_mb: Column, consume_rate: Column, consume_mb: Column
+) -> Column:
+    """Line with the mean rates of a whole run."""
+    rates = rate_parts(publish_rate, publish_mb, consume_rate, consume_mb, THROUGHPUT_WIDTH)
+    return F.concat(F.lit("----- Aggregated "), *rates)
+
+
 def latency_line(title: str, stats_ms: dict[str, Column]) -> Column:
     return F.concat(F.lit(f"{title} (ms)"), _latency_part(stats_ms))
 

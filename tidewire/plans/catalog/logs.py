@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewire.functions import config, keys, latency, text
+from tidewire.functions import keys, latency, text
 from tidewire.operators import aggregates, assign, filters, histograms, joins, ordering, windows
 from tidewire.operators.lineage import stored
 from tidewire.plans import recipes, reports
 from tidewire.plans.catalog.registry import (
-    DELIVERED, HELD, LATENCY_COLUMNS, PUBLISHED, QUANTILE_NAMES, RECV, SENT, bucket_sql, query,
+    DELIVERED, HELD, LATENCY_COLUMNS, PUBLISHED, PUBLISHED_ONLY, RECV, SENT, bucket_sql, query,
     ranked_sql, rounded, summary_sql, token_sql,
 )
 from tidewire.plans.recipes import long, table
@@ -787,6 +787,44 @@ def p16_report_line(spark, sf_dir):
     return stats.select(*groups, line.alias("line"))
 
 
+@query(
+    "p16_summary_lines",
+    f"""
+    WITH {COUNTERS_SQL}, {PUBLISHED_ONLY}, means AS (
+      SELECT run_id, avg(messages_sent / 10.0::DOUBLE) AS p, avg(messages_received / 10.0::DOUBLE) AS c
+      FROM counters GROUP BY run_id),
+    ranked AS ({ranked_sql("published", "run_id")}),
+    stats AS (SELECT run_id, {summary_sql()} FROM ranked GROUP BY run_id)
+    SELECT run_id, '----- Aggregated Pub rate ' || printf('%4s', printf('%.1f', p)) || ' msg/s / '
+        || printf('%4s', printf('%.1f', p * 1024 * 1e-6)) || ' MB/s | Cons rate '
+        || printf('%4s', printf('%.1f', c)) || ' msg/s / '
+        || printf('%4s', printf('%.1f', c * 1024 * 1e-6)) || ' MB/s' AS rates,
+      '----- Aggregated Pub Latency (ms) avg: ' || printf('%4s', printf('%.1f', latency_avg))
+        || ' - 50%: ' || printf('%4s', printf('%.1f', latency_50pct))
+        || ' - 99.99%: ' || printf('%4s', printf('%.1f', latency_9999pct))
+        || ' - Max: ' || printf('%4s', printf('%.1f', latency_max)) AS latency
+    FROM means JOIN stats USING (run_id)""",
+)
+def p16_summary_lines(spark, sf_dir):
+    """The two closing lines of a run."""
+    rates = aggregates.period_rates(_counters(spark, sf_dir))
+    means = aggregates.mean_rates(rates, RUN, F.lit(1024))
+    published = reports.publish_latencies(recipes.sends(spark, sf_dir))
+    both = means.join(aggregates.run_latency(published, RUN, "latency_us"), RUN)
+    shown = {
+        "avg": F.col("latency_avg"), "50%": F.col("latency_50pct"),
+        "99.99%": F.col("latency_9999pct"), "Max": F.col("latency_max"),
+    }
+    return both.select(
+        *RUN,
+        text.summary_line(
+            F.col("publish_rate"), F.col("publish_mb_per_s"),
+            F.col("consume_rate"), F.col("consume_mb_per_s"),
+        ).alias("rates"),
+        text.latency_line("----- Aggregated Pub Latency", shown).alias("latency"),
+    )
+
+
 # --- windows -------------------------------------------------------------------------
 
 CONTROL_SQL = (

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 from tidewire.functions import config, latency, naming, payload, text
 from tidewire.plans import recipes
 from tidewire.plans.catalog.registry import (
-    DELIVERED, QUANTILE_NAMES, RECV, SENT, bucket_sql, query, ranked_sql, rounded,
-    system_sql, token_sql,
+    RECV, SENT, bucket_sql, query, rounded, system_sql, token_sql,
 )
 from tidewire.plans.recipes import long, table
 

@@ -8,10 +8,9 @@ from pyspark.sql import functions as F
 from tidewire.functions.latency import e2e_latency_us
 from tidewire.operators.assign import transaction_batches
 from tidewire.operators.filters import drop_warmup, positive_latency, successful_only
-from tidewire.operators.histograms import latency_summary
 from tidewire.plans import recipes
 from tidewire.plans.catalog.registry import (
-    DELIVERED_ONLY, HELD, LATENCY_COLUMNS, PUBLISHED, RECV, SENT, bucket_sql, query,
+    HELD, LATENCY_COLUMNS, PUBLISHED, RECV, SENT, bucket_sql, query,
     ranked_sql, rounded, summary_sql,
 )
 from tidewire.schemas import EVENTS
