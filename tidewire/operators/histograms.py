@@ -54,11 +54,6 @@ def merge_histograms(histograms: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def _rank(quantile: int, total: Column) -> Column:
-    """ceil(q * N) in whole numbers, at least 1."""
-    return F.greatest(whole_div(total * F.lit(quantile) + F.lit(9999), F.lit(10_000)), F.lit(1))
-
-
 def _recorded(bucket: str = "bucket") -> Column:
     return F.col(bucket).isNotNull()
 
@@ -84,28 +79,26 @@ def latency_summary(
 
     Groups without a recorded latency report 0, as an empty histogram does.
     """
-    recorded_n = F.sum(F.when(_recorded(), F.col("n")).otherwise(F.lit(0)))
-    recorded_us = F.sum(F.col("n").cast("decimal(20,0)") * F.col("bucket")) - F.sum(
-        F.when(_recorded(), F.col("deficit_us"))
-    )
-    mean_us = recorded_us.cast("double") / F.nullif(recorded_n, F.lit(0))
-    zero = F.lit(0.0)
+    # The rank of a quantile is ceil(q * N) in whole numbers, at least 1.
     picks = [
-        F.coalesce(
-            us_to_ms(
-                F.min(F.when(_recorded() & (F.col("cum") >= _rank(q, F.col("total"))), F.col("bucket")))
-            ),
-            zero,
+        F.expr(
+            "coalesce(min(bucket) FILTER (WHERE bucket IS NOT NULL AND "
+            f"cum >= greatest((total * {q} + 9999) div 10000, 1)) / 1000.0D, 0.0D)"
         ).alias(f"latency_{suffix}")
         for suffix, q in quantiles
     ]
+    mean = (
+        "coalesce(cast(sum(cast(n AS decimal(20,0)) * bucket)"
+        " - sum(deficit_us) FILTER (WHERE bucket IS NOT NULL) AS double)"
+        " / nullif(sum(n) FILTER (WHERE bucket IS NOT NULL), 0) / 1000.0D, 0.0D)"
+    )
     return cumulative(histogram, keys).groupBy(*keys).agg(
         F.sum("n").alias("messages"),
         F.sum("bytes").alias("bytes"),
-        recorded_n.alias("recorded"),
-        F.coalesce(us_to_ms(mean_us), zero).alias("latency_avg"),
+        F.expr("coalesce(sum(n) FILTER (WHERE bucket IS NOT NULL), 0)").alias("recorded"),
+        F.expr(mean).alias("latency_avg"),
         *picks,
-        F.coalesce(us_to_ms(F.max("bucket")), zero).alias("latency_max"),
+        F.expr("coalesce(max(bucket) / 1000.0D, 0.0D)").alias("latency_max"),
     )
 
 
