@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewire.llm import compression_queries, decontaminate_queries, language_queries, license_queries, mixing_queries, sharding_queries, toxicity_queries  # noqa: F401  (registers on import)
+from tidewire.llm import compression_queries, decontaminate_queries, kneser_ney_queries, language_queries, license_queries, mixing_queries, sharding_queries, toxicity_queries  # noqa: F401  (registers on import)
 from tidewire.llm.registry import ORACLES, QUERIES, Query
 from tidewire.session import configure
 
