@@ -235,7 +235,8 @@ def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return (
         docs.filter(F.col("text").isNotNull() & (F.length("text") <= LONGEST_SAMPLE))
         .select(F.col("doc_id").alias("labelled"), "text")
-        .join(known.filter(chance < rate), "labelled")
+        # The ids that were drawn have a bound, so the texts need not move.
+        .join(F.broadcast(known.filter(chance < rate).limit(2 * (MOST_TOXIC + MOST_CLEAN))), "labelled")
         .select("text", "toxic")
         .limit(2 * (MOST_TOXIC + MOST_CLEAN))
     )
