@@ -9,12 +9,12 @@ agree in a register with the probability of their weighted Jaccard similarity. A
 when its time is past the last of the text's registers.
 
 Texts that share a band of ROWS registers are candidates. Equal texts are one node from
-the start. In groups of up to SMALL nodes all pairs are checked. In larger ones some nodes, the
-pivots, are paired with all others; whoever is not in the group's largest class by then becomes a pivot in
-a later round, until each group is one class or all pairs across its classes have been
-checked. So no link is lost, and what a round writes grows in proportion to a group, not with
-its square. Pairs are sorted out by the sizes of the bags and by the registers that agree, and the
-rest by the exact overlap of their bags.
+the start. In groups of up to SMALL nodes all pairs are checked. In larger ones two pivots are
+checked against all others first, and what hangs together then is a class. The nodes outside a group's largest
+class are then held against all of the group's nodes of other classes, in blocks of BLOCK by BLOCK nodes
+inside the tasks, which write links only. So no link between classes is lost, and what is
+written grows in proportion to a group, not with its square. Pairs are sorted out by the sizes of
+the bags and by the registers that agree, and the rest by the exact overlap of their bags.
 
 Defined results: null texts count as empty; texts without words are only like equal texts;
 texts of fewer than SHINGLE words are one shingle; a class is known by its smallest id (null if it has none);
@@ -44,9 +44,10 @@ BANDS = REGISTERS // ROWS
 #: Least part of agreeing registers with which a pair is checked exactly: six standard
 #: deviations below SIMILAR.
 LEAST_AGREEING = 0.59
-SMALL = 24
-PIVOTS = 16
+SMALL = 16
+PIVOTS = 2
 SALTS = 32
+BLOCK = 1024
 BITMAP_BITS = 26
 U64 = np.uint64
 
@@ -232,24 +233,95 @@ def _with_bands(pairs: DataFrame, sign: DataFrame, side: str) -> DataFrame:
     return pairs.join(sign.withColumnsRenamed({"node": side, "size": f"size_{side}", "bands": f"bands_{side}"}), side)
 
 
-def _pivot_pairs(members: DataFrame, candidates: DataFrame, sign: DataFrame, rounds: int) -> tuple[DataFrame, DataFrame]:
-    """Pivots (band, key, b) among ``candidates`` (band, key, node), and their pairs with ``members``.
-
-    ``members``: (band, key, node, root); pairs have nodes of different roots.
-    """
-    slot = F.pmod(F.xxhash64("node", F.lit(rounds)), F.lit(PIVOTS))
-    pivots = candidates.groupBy("band", "key", slot.alias("slot")).agg(F.min("node").alias("b")).drop("slot")
-    roots = members.select("band", "key", F.col("node").alias("b"), F.col("root").alias("root_b"))
-    signed_pivots = _with_bands(pivots.join(roots, ["band", "key", "b"]), sign, "b")
+def _pivot_pairs(members: DataFrame, sign: DataFrame) -> DataFrame:
+    """Pairs (a, b, salt, size_a, bands_a, size_b, bands_b) of each group's pivots with its nodes."""
+    slot = F.pmod(F.xxhash64("node"), F.lit(PIVOTS))
+    pivots = members.groupBy("band", "key", slot.alias("slot")).agg(F.min("node").alias("b"))
     pairs = (
-        members.withColumnsRenamed({"node": "a"})
-        .join(signed_pivots, ["band", "key"])
-        .filter((F.col("root") != F.col("root_b")) & (F.col("a") != F.col("b")))
+        members.withColumnRenamed("node", "a")
+        .join(_with_bands(pivots, sign, "b"), ["band", "key"])
+        .filter(F.col("a") != F.col("b"))
         .withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(SALTS)).cast("int"))
         .select("a", "b", "salt", "size_b", "bands_b")
         .dropDuplicates(["a", "b"])
     )
-    return pivots, _with_bands(pairs, sign, "a")
+    return _with_bands(pairs, sign, "a")
+
+
+def _blocked(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows (band, key, left, right, outside, node, root): the blocks of groups with several classes.
+
+    ``outside`` rows are the nodes outside the group's largest class, in the left block; the others
+    are all of its nodes, in the right block.
+    """
+    now = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    groups = (
+        now.groupBy("band", "key", "root")
+        .count()
+        .groupBy("band", "key")
+        .agg(F.max(F.struct("count", "root")).alias("top"), F.sum("count").alias("n"))
+        .filter(F.col("n") > F.col("top.count"))
+        .select(
+            "band",
+            "key",
+            F.col("top.root").alias("largest"),
+            F.ceil((F.col("n") - F.col("top.count")) / F.lit(BLOCK)).alias("lefts"),
+            F.ceil(F.col("n") / F.lit(BLOCK)).alias("rights"),
+        )
+    )
+    opened = now.join(groups, ["band", "key"])
+    place = F.xxhash64("node")
+    blocks = ("band", "key", "left", "right", "outside", "node", "root")
+    every = opened.withColumns({
+        "left": F.explode(F.sequence(F.lit(0).cast("long"), F.col("lefts") - F.lit(1))),
+        "right": F.pmod(place, F.col("rights")),
+        "outside": F.lit(False),
+    })
+    outside = opened.filter(F.col("root") != F.col("largest")).withColumns({
+        "left": F.pmod(place, F.col("lefts")),
+        "right": F.explode(F.sequence(F.lit(0).cast("long"), F.col("rights") - F.lit(1))),
+        "outside": F.lit(True),
+    })
+    return every.select(*blocks).union(outside.select(*blocks))
+
+
+def _column(table: pa.Table, name: str) -> np.ndarray:
+    return table.column(name).to_numpy()
+
+
+def _links_between(table: pa.Table) -> pa.Table:
+    """Links (a, b, similarity) that join classes of one pair of blocks."""
+    band = table.column("band")[0].as_py()
+    is_left = _column(table, "outside").astype(bool)
+    node, root, size = (_column(table, c) for c in ("node", "root", "size"))
+    bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(node), BANDS)
+    fields = bands.view(np.uint16).reshape(len(node), REGISTERS)
+    bag = table.column("bag")
+    left, right = np.flatnonzero(is_left), np.flatnonzero(~is_left)
+    outside = np.isin(node[right], node[left])
+    parent: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while x in parent:
+            x = parent[x]
+        return x
+
+    found = []
+    for u in left:
+        part = (fields[right] == fields[u]).mean(axis=1)
+        near = (part >= LEAST_AGREEING) & (root[right] != root[u])
+        near &= np.minimum(size[right], size[u]) >= SIMILAR * np.maximum(size[right], size[u])
+        near &= ~outside | (node[right] > node[u])  # two nodes outside meet once
+        at = np.flatnonzero(near)
+        # A pair is looked at in the first band that it shares.
+        at = at[(bands[right[at]] == bands[u]).argmax(axis=1) == band]
+        for x in right[at[np.argsort(-part[at], kind="stable")]]:
+            one, two = top(int(root[u])), top(int(root[x]))
+            if one != two and (value := overlap(bag[int(u)].as_py(), bag[int(x)].as_py())) >= SIMILAR:
+                parent[max(one, two)] = min(one, two)
+                found.append((int(node[u]), int(node[x]), value))
+    a, b, value = zip(*found, strict=True) if found else ((), (), ())
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "similarity": pa.array(value, pa.float64())})
 
 
 def links(docs: DataFrame) -> DataFrame:
@@ -267,45 +339,23 @@ def links(docs: DataFrame) -> DataFrame:
         .withColumn("salt", F.lit(0))
     )
     large = members.filter(F.col("n") > SMALL).drop("n")
-    lone = large.withColumn("root", F.col("node"))
-    pivots, spread = _pivot_pairs(lone, large, sign, 0)
     near = stored(
-        agreeing(_with_bands(_with_bands(paired, sign, "a"), sign, "b")).union(agreeing(spread)).dropDuplicates(["a", "b"]),
+        agreeing(_with_bands(_with_bands(paired, sign, "a"), sign, "b"))
+        .union(agreeing(_pivot_pairs(large, sign)))
+        .dropDuplicates(["a", "b"]),
         "pairs",
     )
     nodes = near.select(F.col("a").alias("node")).union(near.select("b")).union(large.select("node")).distinct()
     bag = stored(bagged(docs, nodes), "bags")
     found = stored(verified(near, bag), "links")
     roots = components(found)
-    done = stored(pivots, "pivots")
-    rounds = 0
-    while True:
-        rounds += 1
-        now = large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        largest = (
-            now.groupBy("band", "key", "root")
-            .count()
-            .groupBy("band", "key")
-            .agg(F.max(F.struct("count", "root")).alias("top"), F.count(F.lit(1)).alias("classes"))
-            .filter(F.col("classes") > 1)
-            .select("band", "key", F.col("top.root").alias("largest"))
-        )
-        open_groups = now.join(largest, ["band", "key"])
-        waiting = stored(
-            open_groups.filter(F.col("root") != F.col("largest"))
-            .join(done.withColumnsRenamed({"b": "node"}), ["band", "key", "node"], "left_anti")
-            .select("band", "key", "node"),
-            "waiting",
-        )
-        if waiting.isEmpty():
-            return roots
-        members_left = open_groups.join(waiting.select("band", "key").distinct(), ["band", "key"], "left_semi").drop("largest")
-        pivots, spread = _pivot_pairs(stored(members_left, "open"), waiting, sign, rounds)
-        done = stored(done.union(pivots), "pivots")
-        more = stored(verified(stored(agreeing(spread), "pairs"), bag), "links")
-        if not more.isEmpty():
-            found = stored(found.union(more), "links")
-            roots = components(found)
+
+    blocks = _blocked(large, roots).join(sign, "node").join(bag, "node")
+    between = stored(
+        blocks.groupBy("band", "key", "left", "right").applyInArrow(_links_between, "a long, b long, similarity double"),
+        "links",
+    )
+    return roots if between.isEmpty() else components(found.union(between))
 
 
 def node(text: Column) -> Column:
