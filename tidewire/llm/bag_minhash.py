@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from tidewire.llm import words
 from tidewire.llm.bitmaps import bitmap
 from tidewire.llm.components import components
+from tidewire.llm.tables import checked_broadcast
 from tidewire.operators.lineage import stored
 
 SHINGLE = 5
@@ -384,7 +385,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (doc_id, class_id, class_size), one for each document."""
-    found = stored(classes(docs, key, text), "classes")
+    found = checked_broadcast(classes(docs, key, text), "classes")
     rows = docs.select(F.col(key).alias("doc_id"), node(F.col(text)).alias("node"))
     alone = F.col("class_node").isNull()
     return rows.join(found, "node", "left").select(
@@ -396,7 +397,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs``, one of each class: that with the smallest id, of equal ones any."""
-    found = stored(classes(docs, key, text), "classes").withColumnsRenamed({"node": "_node"})
+    found = checked_broadcast(classes(docs, key, text).withColumnRenamed("node", "_node"), "classes")
     rows = docs.select(F.struct("*").alias("row"), F.col(key).alias("_id"), node(F.col(text)).alias("_own"))
     joined = rows.join(found, F.col("_own") == F.col("_node"), "left")
     alone = joined.filter(F.col("_node").isNull()).select("row.*")
