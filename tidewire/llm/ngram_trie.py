@@ -43,8 +43,8 @@ from tidewire.llm.elias_fano import EliasFano
 CHUNK = 16 << 20
 ADDED = 0.1
 SUCCESSOR_BITS = 40
-#: An 8-bit code c stands for 10^(-(c - 1) * STEP); 0 stands for nothing.
-STEP = 7.0 / 254
+#: An 8-bit code c stands for 10^(-LEAST_LOG * ((c - 1) / 254)^2), finest near 1; 0 stands for nothing.
+LEAST_LOG = 7.0
 DEFAULT_DISCOUNT = 0.75
 U64 = np.uint64
 END = 0xE3D5A1B7C9F08642
@@ -132,10 +132,11 @@ def questions(table: pa.Table, shards: int) -> pa.Table:
 
 
 def codes(share: np.ndarray) -> np.ndarray:
-    return np.clip(np.rint(-np.log10(np.maximum(share, 1e-30)) / STEP) + 1, 1, 255).astype(np.uint8)
+    log = np.clip(-np.log10(np.maximum(share, 1e-30)), 0.0, LEAST_LOG)
+    return (np.rint(254 * np.sqrt(log / LEAST_LOG)) + 1).astype(np.uint8)
 
 
-_DECODED = np.concatenate([[0.0], 10.0 ** (-np.arange(255) * STEP)])
+_DECODED = np.concatenate([[0.0], 10.0 ** (-LEAST_LOG * (np.arange(255) / 254) ** 2)])
 
 
 class Trie:
@@ -261,15 +262,14 @@ def scores(docs: pa.Table, replies: pa.Table) -> pa.Table:
     )
 
     def summed(values: np.ndarray) -> np.ndarray:
-        sums = np.concatenate([[0], np.cumsum(values)])
-        return sums[chunk.ends] - sums[chunk.starts]
+        return np.add.reduceat(values, chunk.starts)  # every document has its end token
 
     rows = docs.num_rows
     return pa.table({
         "doc_id": docs.column("doc_id"),
         "held_out": docs.column("held_out"),
         "n_tokens": pa.array(chunk.ends - chunk.starts, pa.int64()),
-        "n_known": pa.array(summed(one[chunk.word] > 0), pa.int64()),
+        "n_known": pa.array(summed((one[chunk.word] > 0).astype(np.int64)), pa.int64()),
         "train_tokens": pa.array([n] * rows, pa.int64()),
         "base_score": pa.array(summed(np.log10(alone)[chunk.word]), pa.float64()),
         "score": pa.array(summed(np.log10(both)[chunk.pair]), pa.float64()),
