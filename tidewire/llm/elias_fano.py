@@ -17,9 +17,10 @@ def _packed(values: np.ndarray, width: int) -> np.ndarray:
     out = np.zeros((len(values) * width + 63) // 64 + 1, U64)
     if width and len(values):
         word, bit = at >> 6, (at & 63).astype(U64)
-        np.bitwise_or.at(out, word, values << bit)
-        over = np.flatnonzero(bit.astype(np.int64) + width > 64)
-        np.bitwise_or.at(out, word[over] + 1, values[over] >> (U64(64) - bit[over]))
+        first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+        out[word[first]] = np.bitwise_or.reduceat(values << bit, first)
+        over = np.flatnonzero(bit.astype(np.int64) + width > 64)  # one at most for each word
+        out[word[over] + 1] |= values[over] >> (U64(64) - bit[over])
     return out
 
 
@@ -67,12 +68,16 @@ class EliasFano:
         high = np.where(inside, high, 0)
         at, end = self.begins[high], np.where(inside, self.begins[high + 1], 0)
         goal = values & U64((1 << self.width) - 1)
-        out = np.full(len(values), -1, np.int64)
+        stop = end.copy()
         left = np.flatnonzero(at < end)
         while len(left):
-            found = self._low(at[left])
-            same = found == goal[left]
-            out[left[same]] = at[left[same]]
-            at[left] += 1
-            left = left[(found < goal[left]) & (at[left] < end[left])]
+            middle = (at[left] + end[left]) >> 1
+            less = self._low(middle) < goal[left]
+            at[left[less]] = middle[less] + 1
+            end[left[~less]] = middle[~less]
+            left = left[at[left] < end[left]]
+        there = np.flatnonzero(at < stop)
+        out = np.full(len(values), -1, np.int64)
+        same = there[self._low(at[there]) == goal[there]]
+        out[same] = at[same]
         return out
