@@ -98,8 +98,8 @@ def test_properties_of_missing_text_are_empty(spark):
 
 def test_transaction_settings_ignore_misspelt_names(spark):
     props = config.parse_properties(F.col("t"))
-    rows = [("kafka", "enableTransaction=true"), ("pravega", "eventPerTransaction=5"),
-            ("pravega", "eventsPerTransaction=5")]
+    rows = [("kafka", "enableTransaction=true"), ("stamped-stream", "eventPerTransaction=5"),
+            ("stamped-stream", "eventsPerTransaction=5")]
     got = values(spark, rows, "s string, t string", on=config.transaction_enabled(props),
                  n=config.events_per_transaction(F.col("s"), props))
     assert [(r.on, r.n) for r in got] == [(True, 100), (False, 1), (False, 5)]
@@ -164,3 +164,10 @@ def test_registered_key_strategy_is_used(spark):
     keys.register_key_strategy("BY_PRODUCER", lambda producer, seq: producer.cast("string"))
     [r] = spark.range(1).select(keys.key_for("BY_PRODUCER", F.lit(4), F.col("id")).alias("k")).collect()
     assert r.k == "4"
+
+
+def test_series_ids_tell_label_sets_apart(spark):
+    sets = [{"a": 'x",b="y'}, {"a": "x", "b": "y"}, {"a": "x\\"}, {"a": "x\\\\"}, {"b": "y", "a": "x"}]
+    rows = spark.createDataFrame([(s,) for s in sets], "labels map<string,string>")
+    got = [r.s for r in rows.select(labels.series_id(F.lit("m"), F.col("labels")).alias("s")).collect()]
+    assert len(set(got)) == 4 and got[1] == got[4]

@@ -247,17 +247,6 @@ def test_lookbacks_equal_brute_force_across_blocks(spark):
     assert all(abs(got[k] - growths[k]) < 1e-6 for k in growths)
 
 
-def test_rate_search_steps(spark):
-    rows = [(1, 1, 10.0, 10.0), (1, 2, 10.0, 10.0), (1, 3, 10.0, 5.0)] + [(1, i, 10.0, 10.0) for i in range(4, 12)]
-    df = spark.createDataFrame(rows, "run bigint, at bigint, publish_rate double, receive_rate double")
-    got = windows.rate_search(df, "run", "at", 5.0).orderBy("at").collect()
-    assert [r.verdict for r in got[:4]] == ["ok", "ok", "producer-bound", "producer-bound"]
-    assert got[0].target_rate == 10.0
-    assert got[1].target_rate == 20.0
-    assert got[2].target_rate == 10.0 + (20.0 - 10.0) / 2
-    assert got[2].max_rate == 20.0 * 1.1
-
-
 def test_verdict_needs_a_shortfall(spark):
     rows = [(94.0, 94.0), (95.0, 93.0), (95.0, 93.2), (100.0, 98.0)]
     df = spark.createDataFrame(rows, "p double, r double")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidewire.operators import filters
 from tidewire.plans import charts
 from tidewire.session import shared_folder
-from tidewire.sources import configs, message_log, metrics, plugin, results
+from tidewire.sources import configs, message_log, metrics, results
 
 WORKLOAD = """
 # comment: not a field
@@ -141,20 +141,6 @@ def test_synthesized_messages_are_dense_per_producer(spark):
     assert all(r.key is None and r.send_ms == 5 * r.seq for r in made)
 
 
-def test_plugin_keeps_every_row_and_ignores_unfinished_segments(spark, tmp_path):
-    name = plugin.register_driver(spark, plugin.SegmentDriver)
-    rows = spark.range(1000).select(
-        F.concat(F.lit("t"), F.col("id") % 3).alias("topic"), (F.col("id") % 2).alias("partition"),
-        F.when(F.col("id") % 5 > 0, F.col("id").cast("string")).alias("key"),
-        F.col("id").cast("string").cast("binary").alias("payload"),
-    )
-    path = str(tmp_path / "log")
-    rows.repartition(4).write.format(name).mode("append").option("path", path).save()
-    (tmp_path / "log" / "topic=t0" / "partition=0" / "x.pending").write_bytes(b"half")
-    back = spark.read.format(name).option("path", path).load()
-    assert sorted(map(tuple, back.collect()), key=str) == sorted(map(tuple, rows.collect()), key=str)
-
-
 def test_shared_folder_follows_the_session(spark, monkeypatch):
     assert shared_folder(spark, "x") != shared_folder(spark, "x")
 
@@ -174,3 +160,10 @@ def test_shared_folder_follows_the_session(spark, monkeypatch):
     Session.conf = Conf(None)
     with pytest.raises(RuntimeError):
         shared_folder(Session, "p")
+
+
+def test_workload_values_with_comments_repeats_and_bad_numbers(spark):
+    text = 'name: "a # b" # c\ntopics: 3 # few\ntopics: 5\nproducerRate: fast\nmessageSize: 1e\npayloadFile: x#y\n'
+    row = configs.parse_workloads(spark.createDataFrame([("/w.yaml", text)], "path string, text string")).first()
+    assert (row["name"], row.topics, row.producer_rate, row.payload_file) == ("a # b", 5, 0, "x#y")
+    assert sorted(row.unreadable) == ["messageSize", "producerRate"]

@@ -109,27 +109,6 @@ def test_listener_receives_counters(spark, tmp_path):
     assert any(c["x_rows"] == 2 for c in seen)
 
 
-def test_synthetic_stream_is_dense_and_repeatable(spark, tmp_path):
-    stream = message_log.stream_synthetic_messages(
-        spark, rows_per_batch=50, producers=4, payload=F.lit("x"), spacing_ms=10, start_ms=1_000,
-        key_mode="KEY_ROUND_ROBIN",
-    )
-    query = (
-        stream.writeStream.format("parquet").option("path", str(tmp_path / "out"))
-        .option("checkpointLocation", str(tmp_path / "c")).trigger(processingTime="0 seconds").start()
-    )
-    deadline = time.time() + 60
-    while len(query.recentProgress) < 3 and time.time() < deadline:
-        time.sleep(0.2)
-    query.stop()
-    rows = spark.read.parquet(str(tmp_path / "out")).orderBy("event_time").collect()
-    assert len(rows) >= 100
-    for i, r in enumerate(rows):
-        assert (r.producer_id, r.seq) == (i % 4, i // 4)
-        assert round(r.event_time.timestamp() * 1000) == 1_000 + 10 * i
-    assert rows[0].key is not None
-
-
 def test_a_log_without_files_gives_an_empty_table(spark, tmp_path):
     (tmp_path / "s").mkdir()
     stream = message_log.stream_message_log(spark, str(tmp_path / "s"), EVENTS).select("event_id")

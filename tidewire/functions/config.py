@@ -15,7 +15,7 @@ LOWEST_RATE = 1.0
 KEY_MODES = ("NO_KEY", "KEY_ROUND_ROBIN", "RANDOM_NANO")
 
 # Events per transaction when the configuration does not say.
-EVENTS_PER_TRANSACTION = {"kafka": 100, "pravega": 1}
+EVENTS_PER_TRANSACTION = {"kafka": 100, "stamped-stream": 1}
 
 
 def resolve_target_rate(producer_rate: Column) -> Column:
@@ -89,7 +89,7 @@ def transaction_enabled(props: Column) -> Column:
 
 def events_per_transaction(system: Column, props: Column) -> Column:
     """Batch size of a transactional producer; a misspelt setting is simply unknown."""
-    default = F.lit(EVENTS_PER_TRANSACTION["pravega"])
+    default = F.lit(EVENTS_PER_TRANSACTION["stamped-stream"])
     default = F.when(system == "kafka", F.lit(EVENTS_PER_TRANSACTION["kafka"])).otherwise(default)
     given = F.try_element_at(props, F.lit("eventsPerTransaction")).try_cast("int")
     return F.coalesce(given, default)

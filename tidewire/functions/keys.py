@@ -22,7 +22,9 @@ def round_robin_index(seq: Column) -> Column:
 
 
 def random_index(producer: Column, seq: Column, seed: int = 0) -> Column:
-    return F.pmod(F.xxhash64(F.lit(seed), producer, seq), F.lit(KEY_COUNT))
+    text = F.concat_ws("|", F.lit(str(seed)), producer.cast("string"), seq.cast("string"))
+    drawn = F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("bigint")
+    return F.pmod(drawn, F.lit(KEY_COUNT))
 
 
 def pool_key(index: Column, seed: str = "keys") -> Column:

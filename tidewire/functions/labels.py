@@ -36,7 +36,16 @@ def series_label(template: str, labels: Column) -> Column:
 
 
 def series_id(name: Column, labels: Column) -> Column:
-    """One string per (metric, label set), independent of label order."""
+    """One string per (metric, label set), independent of label order.
+
+    Backslashes and quotes in values are escaped, so different sets have different strings.
+    """
+
+    def escaped(value: Column) -> Column:
+        return F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+
     entries = F.array_sort(F.map_entries(labels))
-    shown = F.transform(entries, lambda e: F.concat(e["key"], F.lit('="'), e["value"], F.lit('"')))
+    shown = F.transform(
+        entries, lambda e: F.concat(e["key"], F.lit('="'), escaped(e["value"]), F.lit('"'))
+    )
     return F.concat(name, F.lit("{"), F.array_join(shown, ","), F.lit("}"))

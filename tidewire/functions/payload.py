@@ -56,7 +56,7 @@ def normalize_publish_ts(
         .when(system == "rabbitmq", clock * F.lit(1000))
         .when(system == "nats-streaming", whole_div(clock, 1_000_000))
         .when(system == "nats", reply_to.try_cast("bigint"))
-        .when(system == "pravega", stamped_time(stamped))
+        .when(system == "stamped-stream", stamped_time(stamped))
     )
 
 

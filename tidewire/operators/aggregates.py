@@ -19,7 +19,9 @@ COUNTERS = ("messages_sent", "bytes_sent", "messages_received", "bytes_received"
 
 
 def period_of(at_ms: Column, period_ms: int = PERIOD_MS) -> Column:
-    return whole_div(at_ms, period_ms)
+    """The period of a time; times before the start have negative ones."""
+    length = F.lit(period_ms).cast("bigint")
+    return whole_div(at_ms - F.pmod(at_ms, length), period_ms)
 
 
 def _side(rows: DataFrame, keys: Sequence[str], at_ms: str, size: str, side: str, period_ms: int):
@@ -166,11 +168,10 @@ def op_stats(events: DataFrame, keys: Sequence[str], latency_us: str) -> DataFra
     """Count, sum and quantiles of operations, split by ``success``."""
     groups = [*keys, "success"]
     summary = latency_summary(bucket_counts(events, groups, latency_us), groups)
-    total_ms = F.col("latency_avg") * F.col("recorded")
     return summary.select(
         *groups,
         F.col("messages").alias("events"),
-        total_ms.alias("total_ms"),
+        (F.col("recorded_us") / F.lit(1000)).cast("double").alias("total_ms"),
         *[c for c in summary.columns if c.startswith("latency_")],
     )
 

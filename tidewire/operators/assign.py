@@ -77,11 +77,16 @@ def expand_producers(workloads: DataFrame) -> DataFrame:
 
 
 def shuffle_assignments(items: DataFrame, ident: Sequence[str], seed: str) -> DataFrame:
-    """Seeded random order as a position; the same seed gives the same order."""
+    """Seeded random order as a position; the same seed gives the same order.
+
+    Rows of equal draws are ordered by their identifiers.
+    """
     text = F.concat_ws("|", F.lit(seed), *[F.col(c).cast("string") for c in ident])
     drawn = F.conv(F.substring(F.sha2(text, 256), 1, _HASH_HEX_DIGITS), 16, 10).cast("bigint")
     ranked = items.withColumn("_drawn", drawn)
-    return dense_index(ranked, "_drawn", name="position", span=SHUFFLE_SPAN).drop("_drawn")
+    return dense_index(
+        ranked, "_drawn", ties=ident, name="position", span=SHUFFLE_SPAN
+    ).drop("_drawn")
 
 
 def transaction_batches(events: DataFrame, producer: str, seq: str, size: int) -> DataFrame:

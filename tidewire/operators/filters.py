@@ -14,7 +14,7 @@ GIB = 1024**3
 
 # What each system makes of a topic with other than one partition.
 PARTITION_SUPPORT = {
-    "kafka": "supported", "pulsar": "supported", "pravega": "supported",
+    "kafka": "supported", "pulsar": "supported", "stamped-stream": "supported",
     "rocketmq": "supported", "distributedlog": "supported",
     "rabbitmq": "rejected", "artemis": "rejected",
     "nats": "ignored", "nats-streaming": "ignored", "nsq": "ignored",

@@ -87,15 +87,19 @@ def latency_summary(
         ).alias(f"latency_{suffix}")
         for suffix, q in quantiles
     ]
+    total = (
+        "coalesce(sum(cast(n AS decimal(20,0)) * bucket)"
+        " - sum(deficit_us) FILTER (WHERE bucket IS NOT NULL), 0)"
+    )
     mean = (
-        "coalesce(cast(sum(cast(n AS decimal(20,0)) * bucket)"
-        " - sum(deficit_us) FILTER (WHERE bucket IS NOT NULL) AS double)"
+        f"coalesce(cast({total} AS double)"
         " / nullif(sum(n) FILTER (WHERE bucket IS NOT NULL), 0) / 1000.0D, 0.0D)"
     )
     return cumulative(histogram, keys).groupBy(*keys).agg(
         F.sum("n").alias("messages"),
         F.sum("bytes").alias("bytes"),
         F.expr("coalesce(sum(n) FILTER (WHERE bucket IS NOT NULL), 0)").alias("recorded"),
+        F.expr(total).alias("recorded_us"),
         F.expr(mean).alias("latency_avg"),
         *picks,
         F.expr("coalesce(max(bucket) / 1000.0D, 0.0D)").alias("latency_max"),

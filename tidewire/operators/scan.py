@@ -139,10 +139,10 @@ def previous(
 
 
 def dense_index(
-    df: DataFrame, order: str, *, name: str = "idx", total: str | None = None,
-    span: int = DEFAULT_SPAN,
+    df: DataFrame, order: str, *, ties: Sequence[str] = (), name: str = "idx",
+    total: str | None = None, span: int = DEFAULT_SPAN,
 ) -> DataFrame:
-    """Number all rows 0..N-1 in the order of a unique whole-number column.
+    """Number all rows 0..N-1 in the order of a whole-number column, then of ``ties``.
 
     ``total`` names an optional column for N. Only block totals meet in one task.
     """
@@ -157,7 +157,7 @@ def dense_index(
         F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"),
         F.sum("_n").over(everything).alias("_total"),
     )
-    within = Window.partitionBy(BLOCK).orderBy(order)
+    within = Window.partitionBy(BLOCK).orderBy(order, *ties)
     position = F.col("_offset") + F.row_number().over(within) - F.lit(1)
     extra = [F.col("_total").alias(total)] if total else []
     return _attach(blocked, carry, []).select(*df.columns, position.alias(name), *extra)

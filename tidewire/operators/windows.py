@@ -1,24 +1,17 @@
-"""Analytic computations over period rows: deltas, verdicts, phases, rate search."""
+"""Analytic computations over period rows: deltas, verdicts, phases."""
 
 from __future__ import annotations
 
-import sys
-from collections.abc import Iterator, Sequence
-from typing import Any
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.operators.scan import DEFAULT_SPAN, Running, previous, running
 
-# Fixed values of the rate controller.
+# Shares below which a side falls short, and the backlog that counts as drained.
 PUBLISH_SHORTFALL = 0.95
 CONSUME_SHORTFALL = 0.98
-OVERSHOOT = 1.1
-LOWEST_SEARCH_RATE = 0.1
-GOOD_PERIODS = 3
-TIGHTEN = 0.05
 DRAINED_MESSAGES = 1000
 
 
@@ -46,53 +39,6 @@ def sustain_verdict(publish_rate: Column, receive_rate: Column, target: Column)
     )
 
 
-def rate_search(
-    control: DataFrame, key: str, order: str, start_rate: float, key_type: str = "bigint"
-) -> DataFrame:
-    """Replay of the rate controller over the recorded rates of each run.
-
-    Each control period's publish and receive rates are judged against the target
-    in force and the target moves: halfway down to the highest good rate on a
-    shortfall, doubled up to the lowest bad rate otherwise, and to a band of 5 %
-    either way after more than three good periods at the ceiling.
-
-    Every step depends on the last, so one run is one sequence. Its input is one
-    row per control period, not messages; rows arrive sorted, in batches, and the
-    replay holds six numbers, so a long run needs no more memory than a short one.
-    """
-    columns = [key, order, "publish_rate", "receive_rate"]
-    schema = (
-        f"{key} {key_type}, {order} bigint, verdict string, "
-        "target_rate double, min_rate double, max_rate double"
-    )
-
-    def replay(groups: tuple[Any, ...], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        target, low, high, good = start_rate, LOWEST_SEARCH_RATE, sys.float_info.max, 0
-        for batch in batches:
-            out = []
-            for at, published, received in zip(
-                batch[order], batch["publish_rate"], batch["receive_rate"], strict=True
-            ):
-                verdict = "ok"
-                if published < target * PUBLISH_SHORTFALL:
-                    verdict, high = "producer-bound", target * OVERSHOOT
-                    target = low + (target - low) / 2
-                elif received < published * CONSUME_SHORTFALL:
-                    verdict, high = "consumer-bound", target
-                    target = low + (target - low) / 2
-                elif target < high:
-                    low, target = target, min(target * 2, high)
-                else:
-                    good += 1
-                    if good > GOOD_PERIODS:
-                        low, high, good = target * (1 - TIGHTEN), target * (1 + TIGHTEN), 0
-                out.append((groups[0], at, verdict, target, low, high))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
-
-    ordered = control.select(*columns).repartition(key).sortWithinPartitions(key, order)
-    return ordered.groupBy(key).applyInPandas(replay, schema)
-
-
 def backlog_phases(
     totals: DataFrame,
     keys: Sequence[str],

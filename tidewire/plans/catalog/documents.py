@@ -18,15 +18,15 @@ from tidewire.sources import configs, message_log, results
 
 # (run_id, workload, driver)
 RUNS = [
-    (0, "simple-workload", "kafka"),
-    (1, "1-topic-1-partition-1kb", "kafka"),
-    (2, "100-topics/1-partitions-1kb", "pulsar"),
+    (0, "steady-small", "kafka"),
+    (1, "steady-medium", "kafka"),
+    (2, "wide/fan-out", "pulsar"),
 ]
 
 RUNS_SQL = """
 runs(run_id, workload, driver) AS (
-  VALUES (0, 'simple-workload', 'kafka'), (1, '1-topic-1-partition-1kb', 'kafka'),
-         (2, '100-topics-1-partitions-1kb', 'pulsar'))"""
+  VALUES (0, 'steady-small', 'kafka'), (1, 'steady-medium', 'kafka'),
+         (2, 'wide-fan-out', 'pulsar'))"""
 
 
 def _documents(spark, sf_dir) -> DataFrame:
@@ -42,8 +42,8 @@ def _chart_sql(value: str, places: int = 6) -> str:
     return f"""
     placed AS (
       SELECT run_id, 10 * (row_number() OVER (PARTITION BY run_id ORDER BY period) - 1) AS x, y
-      FROM (SELECT c.run_id, c.period, {value} AS y FROM counters c
-            LEFT JOIN stats s USING (run_id, period) WHERE c.period >= 6))
+      FROM (SELECT c.run_id, c.period, {value} AS y FROM reported c
+            LEFT JOIN stats s USING (run_id, period)))
     SELECT workload, driver, x, round(y, {places}) AS y FROM placed JOIN runs USING (run_id)"""
 
 
@@ -118,10 +118,9 @@ def a19_group_by_workload(spark, sf_dir):
     "s2_write_results",
     f"""
     WITH {COUNTERS_SQL}, {RUNS_SQL}
-    SELECT CASE workload WHEN '100-topics-1-partitions-1kb' THEN '100-topics/1-partitions-1kb'
-             ELSE workload END AS workload, driver, count(*) AS periods,
+    SELECT CASE workload WHEN 'wide-fan-out' THEN 'wide/fan-out' ELSE workload END AS workload, driver, count(*) AS periods,
            round(max(messages_sent) / 10.0::DOUBLE, 6) AS best_rate
-    FROM counters JOIN runs USING (run_id) WHERE period >= 6 GROUP BY ALL""",
+    FROM reported JOIN runs USING (run_id) GROUP BY ALL""",
 )
 def s2_write_results(spark, sf_dir):
     """Documents written as JSON and read back, with the length of their arrays."""

@@ -156,7 +156,15 @@ def k2_key_round_robin(spark, sf_dir):
     return _keyed(spark, sf_dir, "KEY_ROUND_ROBIN")
 
 
-@query("k3_key_random")
+@query(
+    "k3_key_random",
+    f"""
+    WITH {SENT}, drawn AS (
+      SELECT producer_id, producer_seq,
+             ('0x' || substr(sha256('0|' || producer_id || '|' || producer_seq), 1, 15))::BIGINT % 10000 AS idx
+      FROM sent)
+    SELECT producer_id, producer_seq, {token_sql("keys", "idx", 7)} AS key FROM drawn""",
+)
 def k3_key_random(spark, sf_dir):
     return _keyed(spark, sf_dir, "RANDOM_NANO")
 
@@ -404,11 +412,18 @@ sides AS (
   SELECT run_id, worker, send_ms // 10000 AS period, 1 AS s, bytes AS sb, 0 AS r, 0 AS rb
   FROM sent WHERE status = 'ok'
   UNION ALL
-  SELECT run_id, worker, receive_ms // 10000, 0, 0, 1, bytes FROM recv),
+  SELECT run_id, worker, CAST(floor(receive_ms / 10000) AS BIGINT), 0, 0, 1, bytes FROM recv),
 counters AS (
   SELECT run_id, period, CAST(sum(s) AS BIGINT) AS messages_sent, CAST(sum(sb) AS BIGINT) AS bytes_sent,
          CAST(sum(r) AS BIGINT) AS messages_received, CAST(sum(rb) AS BIGINT) AS bytes_received
   FROM sides GROUP BY run_id, period),
+calendar AS (
+  SELECT run_id, unnest(range(min(period), max(period) + 1)) AS period FROM counters GROUP BY run_id),
+every AS (
+  SELECT run_id, period, coalesce(messages_sent, 0) AS messages_sent, coalesce(bytes_sent, 0) AS bytes_sent,
+         coalesce(messages_received, 0) AS messages_received, coalesce(bytes_received, 0) AS bytes_received
+  FROM calendar LEFT JOIN counters USING (run_id, period)),
+reported AS (SELECT * FROM every WHERE period >= 6),
 totals AS (
   SELECT *, CAST(sum(messages_sent) OVER w AS BIGINT) AS total_sent,
          CAST(sum(messages_received) OVER w AS BIGINT) AS total_received
@@ -421,6 +436,20 @@ def _counters(spark, sf_dir, *by: str):
     return aggregates.period_counters(sent, recipes.receives(spark, sf_dir), [*RUN, *by])
 
 
+def _every_period(spark, sf_dir):
+    """Counters of all periods from a run's first to its last, idle ones with zeros."""
+    return joins.fill_empty_periods(
+        stored(_counters(spark, sf_dir)), RUN, "period", aggregates.COUNTERS
+    )
+
+
+def _reported(spark, sf_dir):
+    """Counters of all periods after warm-up."""
+    return _every_period(spark, sf_dir).where(
+        F.col("period") >= aggregates.period_of(F.lit(filters.WARMUP_MS))
+    )
+
+
 @query("a1_period_counters", f"WITH {COUNTERS_SQL} SELECT * FROM counters")
 def a1_period_counters(spark, sf_dir):
     return _counters(spark, sf_dir)
@@ -592,10 +621,10 @@ def o2_order_quantiles(spark, sf_dir):
            round(avg(messages_received / 10.0::DOUBLE), 6) AS consume_rate,
            round(avg(messages_sent / 10.0::DOUBLE) * 1024 * 1e-6, 9) AS publish_mb_per_s,
            round(avg(messages_received / 10.0::DOUBLE) * 1024 * 1e-6, 9) AS consume_mb_per_s
-    FROM counters GROUP BY run_id""",
+    FROM reported GROUP BY run_id""",
 )
 def a11_mean_rates(spark, sf_dir):
-    rates = aggregates.period_rates(_counters(spark, sf_dir))
+    rates = aggregates.period_rates(_reported(spark, sf_dir))
     means = aggregates.mean_rates(rates, RUN, F.lit(1024))
     means = rounded(means, "publish_rate", "consume_rate")
     return rounded(means, "publish_mb_per_s", "consume_mb_per_s", places=9)
@@ -605,13 +634,14 @@ def a11_mean_rates(spark, sf_dir):
     "a12_counter_totals",
     f"""
     WITH {RECV}, s AS (
-      SELECT run_id, count(*) AS total_sent, count(*) FILTER (WHERE seq < 24) AS probes FROM sent GROUP BY 1),
+      SELECT run_id, count(*) AS total_sent, count(*) FILTER (WHERE seq < 24) AS probes FROM sent
+      WHERE status = 'ok' GROUP BY 1),
     r AS (SELECT run_id, count(*) AS total_received FROM recv GROUP BY 1)
     SELECT run_id, total_sent, probes, total_received FROM s JOIN r USING (run_id)""",
 )
 def a12_counter_totals(spark, sf_dir):
     """The first message of each producer and run counts as a probe."""
-    sent = recipes.sends(spark, sf_dir).withColumn("is_probe", F.col("seq") < 24)
+    sent = filters.successful_only(recipes.sends(spark, sf_dir)).withColumn("is_probe", F.col("seq") < 24)
     return aggregates.counter_totals(sent, recipes.receives(spark, sf_dir), RUN)
 
 
@@ -671,12 +701,12 @@ def a15_last_offsets(spark, sf_dir):
     "a16_axis_max",
     f"""
     WITH {COUNTERS_SQL}, points AS (
-      SELECT run_id, 'publish' AS metric, messages_sent / 10.0::DOUBLE AS y FROM counters
-      UNION ALL SELECT run_id, 'consume', messages_received / 10.0::DOUBLE FROM counters)
+      SELECT run_id, 'publish' AS metric, messages_sent / 10.0::DOUBLE AS y FROM reported
+      UNION ALL SELECT run_id, 'consume', messages_received / 10.0::DOUBLE FROM reported)
     SELECT run_id, metric, round(max(y) * 1.2::DOUBLE, 6) AS axis_max FROM points GROUP BY ALL""",
 )
 def a16_axis_max(spark, sf_dir):
-    rates = aggregates.period_rates(_counters(spark, sf_dir))
+    rates = aggregates.period_rates(_reported(spark, sf_dir))
     points = rates.select(
         *RUN,
         F.inline(
@@ -693,14 +723,18 @@ def a16_axis_max(spark, sf_dir):
     "a17_collect_series",
     f"""
     WITH {COUNTERS_SQL}
-    SELECT run_id, period // 100 AS part, count(*) AS points,
+    , summed AS (
+      SELECT *, sum(messages_sent) OVER w AS total_sent, sum(messages_received) OVER w AS total_received,
+             row_number() OVER w - 1 AS i
+      FROM every WINDOW w AS (PARTITION BY run_id ORDER BY period))
+    SELECT run_id, i // 100 AS part, count(*) AS points,
            string_agg(CAST(messages_sent AS VARCHAR), ',' ORDER BY period) AS sent,
-           string_agg(CAST(3 * total_sent - total_received AS VARCHAR), ',' ORDER BY period) AS backlog
-    FROM totals GROUP BY run_id, period // 100""",
+           string_agg(CAST(CAST(3 * total_sent - total_received AS BIGINT) AS VARCHAR), ',' ORDER BY period) AS backlog
+    FROM summed GROUP BY run_id, i // 100""",
 )
 def a17_collect_series(spark, sf_dir):
     """Arrays of at most 100 periods, shown as text."""
-    totals = aggregates.running_totals(stored(_counters(spark, sf_dir)))
+    totals = aggregates.running_totals(stored(_every_period(spark, sf_dir)))
     left = aggregates.backlog(totals, F.lit(SUBSCRIPTIONS), F.lit(MESSAGE_SIZE))
     columns = {"sent": "messages_sent", "backlog": "backlog"}
     series = reports.collect_series(left, columns, periods_per_document=100)
@@ -792,7 +826,7 @@ def p16_report_line(spark, sf_dir):
     f"""
     WITH {COUNTERS_SQL}, {PUBLISHED_ONLY}, means AS (
       SELECT run_id, avg(messages_sent / 10.0::DOUBLE) AS p, avg(messages_received / 10.0::DOUBLE) AS c
-      FROM counters GROUP BY run_id),
+      FROM reported GROUP BY run_id),
     ranked AS ({ranked_sql("published", "run_id")}),
     stats AS (SELECT run_id, {summary_sql()} FROM ranked GROUP BY run_id)
     SELECT run_id, '----- Aggregated Pub rate ' || printf('%4s', printf('%.1f', p)) || ' msg/s / '
@@ -807,7 +841,7 @@ def p16_report_line(spark, sf_dir):
 )
 def p16_summary_lines(spark, sf_dir):
     """The two closing lines of a run."""
-    rates = aggregates.period_rates(_counters(spark, sf_dir))
+    rates = aggregates.period_rates(_reported(spark, sf_dir))
     means = aggregates.mean_rates(rates, RUN, F.lit(1024))
     published = reports.publish_latencies(recipes.sends(spark, sf_dir))
     both = means.join(aggregates.run_latency(published, RUN, "latency_us"), RUN)
@@ -832,8 +866,8 @@ CONTROL_SQL = (
     + """,
 control AS (
   SELECT run_id, w AS at_min, CAST(sum(s) AS BIGINT) AS sent, CAST(sum(r) AS BIGINT) AS received FROM (
-    SELECT run_id, send_ms // 60000 AS w, 1 AS s, 0 AS r FROM sent
-    UNION ALL SELECT run_id, receive_ms // 60000, 0, 1 FROM held) GROUP BY ALL),
+    SELECT run_id, send_ms // 60000 AS w, 1 AS s, 0 AS r FROM sent WHERE status = 'ok'
+    UNION ALL SELECT run_id, CAST(floor(receive_ms / 60000) AS BIGINT), 0, 1 FROM held) GROUP BY ALL),
 progress AS (
   SELECT run_id, (at_min + 1) * 60000 AS at_ms,
          CAST(sum(sent) OVER w AS BIGINT) AS total_sent, CAST(sum(received) OVER w AS BIGINT) AS total_received
@@ -849,8 +883,9 @@ rates AS (
 
 def _progress(spark, sf_dir, tick_ms: int = CONTROL_MS):
     """Totals at the end of each control period, while consumers pause now and then."""
+    sent = filters.successful_only(recipes.sends(spark, sf_dir))
     counters = aggregates.period_counters(
-        recipes.sends(spark, sf_dir), recipes.held_receives(spark, sf_dir), RUN, period_ms=tick_ms
+        sent, recipes.held_receives(spark, sf_dir), RUN, period_ms=tick_ms
     )
     totals = aggregates.running_totals(stored(counters))
     return totals.withColumn("at_ms", (F.col("period") + 1) * F.lit(tick_ms))
@@ -897,51 +932,13 @@ def w2_sustain_verdict(spark, sf_dir):
     return _control(spark, sf_dir).select(*RUN, "at_ms", verdict.alias("verdict"))
 
 
-@query(
-    "w3_rate_search",
-    f"""
-    WITH RECURSIVE {CONTROL_SQL}, numbered AS (
-      SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY at_ms) AS i FROM rates),
-    judged AS (
-      SELECT run_id, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS at_ms, '' AS verdict,
-             0.4::DOUBLE AS target, 0.1::DOUBLE AS low, 1.7976931348623157e308::DOUBLE AS high, 0 AS good
-      FROM (SELECT DISTINCT run_id FROM rates)
-      UNION ALL
-      SELECT n.run_id, n.i, n.at_ms, v.verdict,
-        CASE v.verdict WHEN 'producer-bound' THEN s.low + (s.target - s.low) / 2
-          WHEN 'consumer-bound' THEN s.low + (s.target - s.low) / 2
-          ELSE CASE WHEN s.target < s.high THEN least(s.target * 2, s.high) ELSE s.target END END,
-        CASE WHEN v.verdict <> 'ok' THEN s.low WHEN s.target < s.high THEN s.target
-          WHEN s.good >= 3 THEN s.target * (1 - 0.05::DOUBLE) ELSE s.low END,
-        CASE v.verdict WHEN 'producer-bound' THEN s.target * 1.1::DOUBLE
-          WHEN 'consumer-bound' THEN s.target
-          ELSE CASE WHEN s.target < s.high THEN s.high
-                    WHEN s.good >= 3 THEN s.target * (1 + 0.05::DOUBLE) ELSE s.high END END,
-        CASE WHEN v.verdict = 'ok' AND s.target >= s.high
-             THEN CASE WHEN s.good >= 3 THEN 0 ELSE s.good + 1 END ELSE s.good END
-      FROM judged s JOIN numbered n ON n.run_id = s.run_id AND n.i = s.i + 1,
-        LATERAL (SELECT CASE WHEN n.publish_rate < s.target * 0.95::DOUBLE THEN 'producer-bound'
-                 WHEN n.receive_rate < n.publish_rate * 0.98::DOUBLE THEN 'consumer-bound'
-                 ELSE 'ok' END AS verdict) v)
-    SELECT run_id, at_ms, verdict, round(target, 6) AS target_rate, round(low, 6) AS min_rate,
-           CASE WHEN high < 1e300 THEN round(high, 6) END AS max_rate
-    FROM judged WHERE i > 0""",
-)
-def w3_rate_search(spark, sf_dir):
-    searched = windows.rate_search(_control(spark, sf_dir), "run_id", "at_ms", 0.4)
-    bounded = F.when(F.col("max_rate") < 1e300, F.col("max_rate"))
-    return rounded(
-        searched.withColumn("max_rate", bounded), "target_rate", "min_rate", "max_rate"
-    )
-
-
 @query(
     "w4_backlog_phases",
     f"""
     WITH {HELD}, ticks AS (
       SELECT run_id, w, sum(s) AS s, sum(r) AS r FROM (
-        SELECT run_id, send_ms // 1000 AS w, 1 AS s, 0 AS r FROM sent
-        UNION ALL SELECT run_id, receive_ms // 1000, 0, 1 FROM held) GROUP BY ALL),
+        SELECT run_id, send_ms // 1000 AS w, 1 AS s, 0 AS r FROM sent WHERE status = 'ok'
+        UNION ALL SELECT run_id, CAST(floor(receive_ms / 1000) AS BIGINT), 0, 1 FROM held) GROUP BY ALL),
     left_over AS (
       SELECT run_id, (w + 1) * 1000 AS at_ms,
              3 * sum(s) OVER (PARTITION BY run_id ORDER BY w) - sum(r) OVER (PARTITION BY run_id ORDER BY w) AS b
@@ -964,11 +961,11 @@ def w4_backlog_phases(spark, sf_dir):
     f"""
     WITH {COUNTERS_SQL}, placed AS (
       SELECT run_id, messages_sent, row_number() OVER (PARTITION BY run_id ORDER BY period) - 1 AS i
-      FROM counters)
+      FROM every)
     SELECT run_id, 10 * i AS x, messages_sent AS y FROM placed""",
 )
 def w5_sample_seconds(spark, sf_dir):
-    series = reports.collect_series(_counters(spark, sf_dir), {"sent": "messages_sent"})
+    series = reports.collect_series(_every_period(spark, sf_dir), {"sent": "messages_sent"})
     points = series.select(*RUN, "part", F.posexplode("sent").alias("pos", "y"))
     position = F.col("part") * F.lit(reports.PERIODS_PER_DOCUMENT) + F.col("pos")
     return points.select(*RUN, windows.sample_seconds(position).alias("x"), "y")
@@ -978,7 +975,7 @@ def w5_sample_seconds(spark, sf_dir):
     "w6_ready_at",
     f"""
     WITH {HELD}, ticks AS (
-      SELECT run_id, receive_ms // 1000 AS w, count(*) AS r FROM held GROUP BY ALL),
+      SELECT run_id, CAST(floor(receive_ms / 1000) AS BIGINT) AS w, count(*) AS r FROM held GROUP BY ALL),
     totals AS (SELECT run_id, (w + 1) * 1000 AS at_ms,
       sum(r) OVER (PARTITION BY run_id ORDER BY w) AS t FROM ticks)
     SELECT run_id, min(at_ms) FILTER (WHERE t >= 15) AS ready_ms FROM totals GROUP BY run_id""",

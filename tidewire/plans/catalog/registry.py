@@ -53,7 +53,7 @@ recv AS (
          send_ms + value_ms * (subscription + 1)
            - CASE WHEN seq % 50 = 0 THEN 1000 ELSE 0 END AS receive_ms
   FROM sent CROSS JOIN subs
-  WHERE (seq + subscription) % 41 <> 0)"""
+  WHERE status = 'ok' AND (seq + subscription) % 41 <> 0)"""
 
 HELD = RECV + """,
 held AS (
@@ -121,7 +121,7 @@ LATENCY_COLUMNS = ("latency_avg", *[f"latency_{n}" for n in QUANTILE_NAMES], "la
 
 SYSTEM_LIST = (
     "['kafka','pulsar','rocketmq','artemis','nsq',"
-    "'distributedlog','rabbitmq','nats-streaming','nats','pravega']"
+    "'distributedlog','rabbitmq','nats-streaming','nats','stamped-stream']"
 )
 
 

@@ -17,7 +17,7 @@ def _eid():
 
 
 # Prefixes that two systems take from their configuration.
-CONFIGURED = {"pulsar": "persistent://benchmark/ns/test", "pravega": "bench-stream"}
+CONFIGURED = {"pulsar": "persistent://benchmark/ns/test", "stamped-stream": "bench-stream"}
 
 
 @query(
@@ -36,7 +36,7 @@ CONFIGURED = {"pulsar": "persistent://benchmark/ns/test", "pravega": "bench-stre
 def p1_topic_name(spark, sf_dir):
     system = recipes.system_of(_eid())
     configured = F.when(system == "pulsar", CONFIGURED["pulsar"]).when(
-        system == "pravega", CONFIGURED["pravega"]
+        system == "stamped-stream", CONFIGURED["stamped-stream"]
     )
     prefix = naming.topic_prefix(system, configured)
     token = naming.random_token("topic", _eid())
@@ -395,7 +395,7 @@ def p21_enum_default(spark, sf_dir):
 )
 def p22_transaction_mode(spark, sf_dir):
     props = config.merge_properties(*_properties_text())
-    system = F.when(F.col("o_orderkey") % 2 == 0, F.lit("kafka")).otherwise(F.lit("pravega"))
+    system = F.when(F.col("o_orderkey") % 2 == 0, F.lit("kafka")).otherwise(F.lit("stamped-stream"))
     return table(spark, sf_dir, "orders").select(
         "o_orderkey",
         config.transaction_enabled(props).alias("enabled"),

@@ -15,7 +15,7 @@ from tidewire.plans.catalog.registry import (
 )
 from tidewire.schemas import EVENTS
 from tidewire.session import shared_folder
-from tidewire.sources import message_log, plugin
+from tidewire.sources import message_log
 from tidewire.streaming import hooks, pairing, stats, tables
 
 RUN = ["run_id"]
@@ -76,36 +76,34 @@ def t1_stream_period_stats(spark, sf_dir):
     WITH {HELD}, c AS (
       SELECT run_id, 1704067200000 + w * 60000 AS period_ms, CAST(sum(s) AS BIGINT) AS sent,
              CAST(sum(r) AS BIGINT) AS received FROM (
-        SELECT run_id, send_ms // 60000 AS w, 1 AS s, 0 AS r FROM sent
+        SELECT run_id, send_ms // 60000 AS w, 1 AS s, 0 AS r FROM sent WHERE status = 'ok'
         UNION ALL SELECT run_id, CAST(floor(receive_ms / 60000) AS BIGINT), 0, 1 FROM recv) GROUP BY ALL)
     SELECT run_id, period_ms, sent, received,
       CASE WHEN sent / 60.0::DOUBLE < 0.9 * 0.95::DOUBLE THEN 'producer-bound'
-           WHEN received / 180.0::DOUBLE < sent / 60.0::DOUBLE * 0.98::DOUBLE THEN 'consumer-bound' ELSE 'ok' END AS verdict
+           WHEN received / 60.0::DOUBLE < sent / 60.0::DOUBLE * 0.98::DOUBLE THEN 'consumer-bound' ELSE 'ok' END AS verdict
     FROM c""",
 )
 def t2_stream_control_windows(spark, sf_dir):
-    """Rates per subscription, in windows of a minute."""
+    """Rates of all messages, in windows of a minute."""
     counts = stats.control_counts(
-        _sends(spark, sf_dir), _receives(spark, sf_dir), RUN, period="1 minute"
+        successful_only(_sends(spark, sf_dir)), _receives(spark, sf_dir), RUN, period="1 minute"
     )
     updates = tables.run_into_table(counts, shared_folder(spark, "t2"), mode="update")
     current = tables.latest_by_key(updates, [*RUN, "period_ms"])
-    judged = stats.control_verdicts(
-        current, F.lit(0.9), seconds=60.0, subscriptions=recipes.SUBSCRIPTIONS
-    )
+    judged = stats.control_verdicts(current, F.lit(0.9), seconds=60.0)
     return judged.select(*RUN, "period_ms", "sent", "received", "verdict")
 
 
 @query(
     "t3_stream_totals",
     f"""
-    WITH {RECV}, s AS (SELECT run_id, count(*) AS total_sent FROM sent GROUP BY 1),
+    WITH {RECV}, s AS (SELECT run_id, count(*) AS total_sent FROM sent WHERE status = 'ok' GROUP BY 1),
     r AS (SELECT run_id, count(*) AS total_received FROM recv GROUP BY 1)
     SELECT run_id, total_sent, total_received, 3 * total_sent - total_received AS backlog
     FROM s JOIN r USING (run_id)""",
 )
 def t3_stream_totals(spark, sf_dir):
-    totals = stats.totals(_sends(spark, sf_dir), _receives(spark, sf_dir), RUN)
+    totals = stats.totals(successful_only(_sends(spark, sf_dir)), _receives(spark, sf_dir), RUN)
     updates = tables.run_into_table(totals, shared_folder(spark, "t3"), mode="update")
     current = tables.latest_by_key(updates, RUN)
     left = F.lit(recipes.SUBSCRIPTIONS) * F.col("total_sent") - F.col("total_received")
@@ -277,27 +275,6 @@ def s7_write_message_log(spark, sf_dir):
     return tables.read_table(spark, folder, messages.schema).drop("batch_id")
 
 
-@query(
-    "u1_driver_plugin",
-    """
-    SELECT event_type AS topic, event_id % 4 AS "partition", count(*) AS messages,
-           CAST(sum(length(props)) AS BIGINT) AS bytes
-    FROM events GROUP BY ALL""",
-)
-def u1_driver_plugin(spark, sf_dir):
-    """The log written and read through a driver named by its class path."""
-    name = plugin.register_driver(spark, "tidewire.sources.plugin.SegmentDriver")
-    folder = shared_folder(spark, "segments")
-    messages = recipes.sends(spark, sf_dir).select(
-        "topic", "partition", "key", F.col("payload").cast("binary").alias("payload")
-    )
-    messages.write.format(name).mode("append").option("path", folder).save()
-    stored = spark.read.format(name).option("path", folder).load()
-    return stored.groupBy("topic", "partition").agg(
-        F.count(F.lit(1)).alias("messages"), F.sum(F.octet_length("payload")).alias("bytes")
-    )
-
-
 @query(
     "u2_message_callback",
     f"""

@@ -13,10 +13,15 @@ from tidewire.plans.reports import PERIODS_PER_DOCUMENT
 
 
 def group_by_workload(results: DataFrame) -> DataFrame:
-    """Number of documents and drivers of each workload."""
-    return results.groupBy(chart_label(F.col("workload")).alias("workload")).agg(
-        F.count(F.lit(1)).alias("documents"), F.count_distinct("driver").alias("drivers")
+    """Number of runs and drivers of each workload, known by its own name.
+
+    A run that goes on over several documents counts once, by its first part.
+    """
+    counted = results.groupBy("workload").agg(
+        F.count_if(F.coalesce(F.col("part"), F.lit(0)) == 0).alias("documents"),
+        F.count_distinct("driver").alias("drivers"),
     )
+    return counted.withColumn("workload", chart_label(F.col("workload")))
 
 
 def series(

@@ -25,7 +25,7 @@ RESTART_SLOTS = 120
 
 SYSTEMS = (
     "kafka", "pulsar", "rocketmq", "artemis", "nsq",
-    "distributedlog", "rabbitmq", "nats-streaming", "nats", "pravega",
+    "distributedlog", "rabbitmq", "nats-streaming", "nats", "stamped-stream",
 )
 
 
@@ -71,13 +71,13 @@ def sends(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def receive_columns(sent: DataFrame) -> DataFrame:
-    """Deliveries to three subscriptions, some with a skewed clock and some missing."""
+    """Deliveries of successful sends to three subscriptions, some with a skewed clock and some missing."""
     each = sent.withColumn(
         "subscription", F.explode(F.array(*[long(i) for i in range(SUBSCRIPTIONS)]))
     )
     skew = F.when(F.col("seq") % 50 == 0, long(1000)).otherwise(long(0))
     arrived = F.col("send_ms") + F.col("value_ms") * (F.col("subscription") + 1) - skew
-    delivered = (F.col("seq") + F.col("subscription")) % 41 != 0
+    delivered = (F.col("status") == "ok") & ((F.col("seq") + F.col("subscription")) % 41 != 0)
     return each.where(delivered).select(
         "run_id", "worker", "topic", "partition", "subscription", "seq", "bytes",
         F.col("send_ms").alias("publish_ms"), arrived.alias("receive_ms"),

@@ -13,6 +13,7 @@ from tidewire.operators.filters import WARMUP_MS, positive_latency, successful_o
 from tidewire.operators.histograms import (
     bucket_counts, latency_summary, merge_histograms, quantile_curve,
 )
+from tidewire.operators.joins import fill_empty_periods
 from tidewire.operators.lineage import stored
 from tidewire.schemas import LATENCY_STATS, SIDES
 
@@ -96,7 +97,7 @@ def _of_side(side: str, value: Column | str) -> Column:
 def period_report(
     histograms: DataFrame, subscriptions: Column, message_size: Column
 ) -> DataFrame:
-    """One row per run and period: rates, backlog and both latency summaries.
+    """One row per run and period, idle ones included: rates, backlog and both latency summaries.
 
     Totals count from the start of the run; reported periods start after warm-up.
     """
@@ -113,7 +114,9 @@ def period_report(
         for side in SIDES
         for s in LATENCY_STATS
     ]
-    totals = running_totals(stored(both.groupBy(*groups).agg(*counters, *latencies)))
+    counted = stored(both.groupBy(*groups).agg(*counters, *latencies))
+    every = fill_empty_periods(counted, RUN, "period", counted.columns[len(groups) :])
+    totals = running_totals(stored(every))
     rated = backlog(period_rates(totals), subscriptions, message_size)
     return rated.where(F.col("period") >= period_of(F.lit(WARMUP_MS)))
 
@@ -142,12 +145,14 @@ def collect_series(
 ) -> DataFrame:
     """Period rows as arrays in period order; ``columns`` maps array name to column.
 
-    A run longer than ``periods_per_document`` continues in further parts, so no
-    array grows without bound and no period is left out.
+    ``report`` has all periods of a run from its first to its last. They are numbered
+    from the first one. A run longer than ``periods_per_document`` continues in further
+    parts, so no array grows without bound and no period is left out.
     """
-    part = whole_div(F.col("period"), periods_per_document)
+    firsts = report.groupBy(*RUN).agg(F.min("period").alias("_first"))
+    part = whole_div(F.col("period") - F.col("_first"), periods_per_document)
     point = F.struct("period", *[F.col(c).alias(name) for name, c in columns.items()])
-    collected = report.groupBy(*RUN, part.alias("part")).agg(
+    collected = report.join(firsts, RUN).groupBy(*RUN, part.alias("part")).agg(
         F.array_sort(F.collect_list(point)).alias("_points")
     )
     return collected.select(

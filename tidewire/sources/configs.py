@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.functions.config import enum_default, or_zero
@@ -24,10 +24,29 @@ def read_texts(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
+def _value(text: Column) -> Column:
+    """A scalar without its quotes, or without the comment behind it."""
+    quoted = F.regexp_extract(text, r"""^(["'])(.*)\1\s*(#.*)?$""", 2)
+    plain = F.rtrim(F.regexp_replace(text, r"(^|\s)#.*$", ""))
+    return F.when(text.rlike(r"""^(["']).*\1\s*(#.*)?$"""), quoted).otherwise(plain)
+
+
+def _last_values(entries: Column) -> Column:
+    """A map of (key, value) entries; of equal keys the last counts."""
+
+    def later(found: Column, entry: Column) -> Column:
+        others = F.map_filter(found, lambda k, _: k != entry["key"])
+        return F.map_concat(others, F.create_map(entry["key"], entry["value"]))
+
+    return F.aggregate(entries, F.expr("cast(map() AS map<string,string>)"), later)
+
+
 def parse_workloads(files: DataFrame) -> DataFrame:
     """Typed workload rows from flat ``key: value`` text; unknown keys are ignored.
 
-    Missing numbers become 0 and an unknown key mode becomes the default.
+    Of a key that is given twice the last counts, and a comment after a value is dropped.
+    Missing numbers become 0 and an unknown key mode becomes the default; ``unreadable``
+    lists the fields whose text is there but is no number.
     """
     lines = F.transform(F.split("text", r"\r?\n"), lambda line: F.trim(line))
     pairs = F.filter(lines, lambda line: line.rlike(r"^\w+\s*:"))
@@ -35,20 +54,30 @@ def parse_workloads(files: DataFrame) -> DataFrame:
         pairs,
         lambda line: F.struct(
             F.regexp_extract(line, r"^(\w+)", 1).alias("key"),
-            F.regexp_replace(
-                F.regexp_replace(line, r"^\w+\s*:\s*", ""), r'^["\'](.*)["\']$', "$1"
-            ).alias("value"),
+            _value(F.regexp_replace(line, r"^\w+\s*:\s*", "")).alias("value"),
         ),
     )
-    fields = files.select("path", F.map_from_entries(entries).alias("fields"))
-
-    def typed(field: str, kind: str):
-        raw = F.nullif(F.try_element_at("fields", F.lit(field)), F.lit(""))
-        return raw if kind == "string" else raw.try_cast(kind)
-
+    fields = files.select("path", _last_values(entries).alias("fields"))
+
+    def raw(field: str) -> Column:
+        return F.nullif(F.try_element_at("fields", F.lit(field)), F.lit(""))
+
+    def typed(field: str, kind: str) -> Column:
+        return raw(field) if kind == "string" else raw(field).try_cast(kind)
+
+    unreadable = F.array_compact(
+        F.array(
+            *[
+                F.when(raw(field).isNotNull() & typed(field, kind).isNull(), F.lit(field))
+                for field, (_, kind) in WORKLOAD_FIELDS.items()
+                if kind != "string"
+            ]
+        )
+    )
     rows = fields.select(
         workload_stem(F.col("path")).alias("workload"),
         *[typed(field, kind).alias(column) for field, (column, kind) in WORKLOAD_FIELDS.items()],
+        unreadable.alias("unreadable"),
     )
     return workload_defaults(rows)
 

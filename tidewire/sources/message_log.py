@@ -102,35 +102,3 @@ def synthesize_messages(
         payload.alias("payload"),
         (F.col("seq") * F.lit(spacing_ms)).alias("send_ms"),
     )
-
-
-def stream_synthetic_messages(
-    spark: SparkSession,
-    *,
-    rows_per_batch: int,
-    producers: int,
-    payload: Column,
-    spacing_ms: int,
-    start_ms: int,
-    key_mode: str = "NO_KEY",
-) -> DataFrame:
-    """An endless stream of messages with a fixed number of rows per micro-batch.
-
-    Event times follow from the row number alone, so a restarted stream repeats them.
-    """
-    rows = (
-        spark.readStream.format("rate-micro-batch")
-        .option("rowsPerBatch", rows_per_batch)
-        .option("startTimestamp", start_ms)
-        .option("advanceMillisPerBatch", rows_per_batch * spacing_ms)
-        .load()
-    )
-    number = F.col("value")
-    producer, seq = F.pmod(number, F.lit(producers)), whole_div(number, producers)
-    return rows.select(
-        producer.alias("producer_id"),
-        seq.alias("seq"),
-        key_for(key_mode, producer, seq).alias("key"),
-        payload.alias("payload"),
-        F.timestamp_millis(number * F.lit(spacing_ms) + F.lit(start_ms)).alias("event_time"),
-    )

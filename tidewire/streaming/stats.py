@@ -19,10 +19,6 @@ from tidewire.operators.windows import sustain_verdict
 DEFAULT_DELAY = "1 minute"
 
 
-def _window_ms(window: str) -> int:
-    return {"10 seconds": 10_000, "3 seconds": 3_000, "1 minute": 60_000}[window]
-
-
 def period_buckets(
     messages: DataFrame,
     keys: Sequence[str],
@@ -67,10 +63,10 @@ def control_counts(
     return counted.select(*keys, F.unix_millis("window.start").alias("period_ms"), "sent", "received")
 
 
-def control_verdicts(counts: DataFrame, target, *, seconds: float, subscriptions: int = 1) -> DataFrame:
+def control_verdicts(counts: DataFrame, target, *, seconds: float) -> DataFrame:
     """Rates and verdict of each control period; ``target`` is a rate per second."""
     publish = F.col("sent") / F.lit(seconds)
-    receive = F.col("received") / F.lit(seconds * subscriptions)
+    receive = F.col("received") / F.lit(seconds)
     return counts.withColumn("publish_rate", publish).withColumn("receive_rate", receive).withColumn(
         "verdict", sustain_verdict(F.col("publish_rate"), F.col("receive_rate"), target)
     )
