@@ -351,7 +351,7 @@ def links(docs: DataFrame) -> DataFrame:
     found = stored(verified(near, bag), "links")
     roots = components(found)
 
-    blocks = _blocked(large, roots).join(sign, "node").join(bag, "node")
+    blocks = _blocked(large, roots).join(sign.join(bag, "node"), "node")
     between = stored(
         blocks.groupBy("band", "key", "left", "right").applyInArrow(_links_between, "a long, b long, similarity double"),
         "links",
