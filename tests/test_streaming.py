@@ -82,14 +82,30 @@ def test_drain_ends_with_nothing_left(spark, sf_dir):
     assert rows[-1].total_received == 1000 and rows[-1].drained
 
 
-def test_observed_counters_add_up(spark, sf_dir):
-    rows = streams.t11_observe_counters(spark, sf_dir).collect()
-    sent = recipes.sends(spark, sf_dir)
-    total = {}
-    for r in rows:
-        total[r.metric] = total.get(r.metric, 0) + r.value
-    assert total["benchmark_producer_messages_sent"] == sent.count()
-    assert total["benchmark_producer_bytes_sent"] == sent.agg(F.sum("bytes")).first()[0]
+def test_counters_and_late_rows_of_more_batches_than_a_query_remembers(spark, tmp_path):
+    arrived = str(tmp_path / "arrived")
+    rows = spark.createDataFrame([(i, 1 << 60) for i in range(105)], "seq bigint, big bigint")
+    rows.repartition(105, "seq").write.option("maxRecordsPerFile", 1).parquet(arrived)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(arrived)
+    scope = hooks.MetricScope("x")
+    scope.counter("rows")
+    scope.gauge("big", F.max("big"))
+    late = hooks.LateRows()
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    spark.streams.addListener(late)
+    try:
+        hooks.count_batches(stream, scope, str(tmp_path / "n"), str(tmp_path / "c")).awaitTermination()
+        counted = stream.groupBy((F.col("seq") % 2).alias("k")).count()
+        query = tables.into_table(counted, str(tmp_path / "r"), str(tmp_path / "d"), mode="update")
+        query.awaitTermination()
+        assert late.table(query).select("batch_id").distinct().count() == 105
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        spark.streams.removeListener(late)
+    got = hooks.stored_counters(spark, str(tmp_path / "n")).collect()
+    assert sum(r.value for r in got if r.metric == "x_rows") == 105
+    assert {r.value for r in got if r.metric == "x_big"} == {1 << 60} and len(got) == 210
 
 
 def test_listener_receives_counters(spark, tmp_path):

@@ -19,7 +19,7 @@ from tidewire.sources import message_log
 from tidewire.streaming import hooks, pairing, stats, tables
 
 RUN = ["run_id"]
-SPLITS = 4
+SITTINGS = 4
 EPOCH = recipes.EPOCH_MS
 
 
@@ -41,14 +41,6 @@ def _receives(spark, sf_dir) -> DataFrame:
     return recipes.receive_columns(_sends(spark, sf_dir)).select("*", _at("receive_ms"))
 
 
-def _split_log(spark, sf_dir) -> str:
-    """The events log in several files, as a log that arrives bit by bit."""
-    folder = shared_folder(spark, "log")
-    events = recipes.table(spark, sf_dir, "events")
-    events.repartitionByRange(SPLITS, "event_id").write.parquet(folder)
-    return folder
-
-
 @query(
     "t1_stream_period_stats",
     f"""
@@ -177,22 +169,29 @@ def t7_dedup(spark, sf_dir):
     return tables.run_into_table(kept, shared_folder(spark, "t7")).drop("batch_id")
 
 
-def _in_two_sittings(spark, sf_dir, folder: str, shape, mode: str = "append"):
-    """Half of the log is consumed; the rest arrives while consumption is held, and the
-    query then goes on from its checkpoint until nothing is left.
+def _in_sittings(spark, sf_dir, folder: str, run):
+    """The log arrives in parts, and each is consumed in a sitting of one micro-batch.
 
-    ``shape`` turns the stream of events into the rows to store. Returns the second
-    query and the table of both.
+    ``run`` starts a query on the stream of events, which goes on from its checkpoint.
+    Returns the last query.
     """
-    log, arrived = _split_log(spark, sf_dir), f"{folder}/arrived"
-    for late in (0, 1):
-        part = recipes.table(spark, log, "*").where(F.col("event_id") % 2 == late)
-        part.write.mode("append").parquet(arrived)
-        stream = message_log.stream_message_log(spark, arrived, EVENTS, max_files_per_trigger=1)
-        rows = shape(stream)
-        sitting = tables.into_table(rows, f"{folder}/rows", f"{folder}/checkpoint", mode=mode)
+    events = recipes.table(spark, sf_dir, "events")
+    arrived = f"{folder}/arrived"
+    for part in range(SITTINGS):
+        events.where(F.col("event_id") % SITTINGS == part).write.mode("append").parquet(arrived)
+        sitting = run(message_log.stream_message_log(spark, arrived, EVENTS))
         sitting.awaitTermination()
-    return sitting, tables.read_table(spark, f"{folder}/rows", rows.schema)
+    return sitting
+
+
+def _consumed(spark, sf_dir, folder: str) -> DataFrame:
+    """The topics of all messages, consumed in sittings, with the micro-batch of each."""
+
+    def run(stream: DataFrame):
+        return tables.into_table(_topics(stream), f"{folder}/rows", f"{folder}/checkpoint")
+
+    _in_sittings(spark, sf_dir, folder, run)
+    return tables.read_table(spark, f"{folder}/rows", _topics(recipes.table(spark, sf_dir, "events")).schema)
 
 
 def _topics(events: DataFrame) -> DataFrame:
@@ -205,8 +204,8 @@ def _topics(events: DataFrame) -> DataFrame:
     "FROM events GROUP BY event_type",
 )
 def t8_resume_from_offset(spark, sf_dir):
-    """Every message is consumed once although the query stops half-way."""
-    _, consumed = _in_two_sittings(spark, sf_dir, shared_folder(spark, "t8"), _topics)
+    """Every message is consumed once although the query stops again and again."""
+    consumed = _consumed(spark, sf_dir, shared_folder(spark, "t8"))
     return consumed.groupBy("topic").agg(
         F.count(F.lit(1)).alias("messages"), F.count_distinct("event_id").alias("distinct_messages")
     )
@@ -228,40 +227,68 @@ def t9_transactional_sink(spark, sf_dir):
     return transaction_batches(committed, "producer_id", "producer_seq", 100).drop("first_seq")
 
 
-@query("t10_drain")
+@query(
+    "t10_drain",
+    """
+    WITH batches AS (SELECT event_id % 4 AS batch_id, count(*) AS n FROM events GROUP BY 1),
+    totals AS (
+      SELECT batch_id, CAST(sum(n) OVER (ORDER BY batch_id) AS BIGINT) AS total_received,
+             CAST(sum(n) OVER () AS BIGINT) AS sent FROM batches)
+    SELECT batch_id, total_received, sent - total_received AS backlog, sent - total_received <= 1000 AS drained
+    FROM totals""",
+)
 def t10_drain(spark, sf_dir):
-    """Backlog after each micro-batch: held half-way, then drained file by file."""
-    _, consumed = _in_two_sittings(spark, sf_dir, shared_folder(spark, "t10"), _topics)
+    """Backlog after each micro-batch: consumption is held between parts of the log."""
+    consumed = _consumed(spark, sf_dir, shared_folder(spark, "t10"))
     waiting = recipes.table(spark, sf_dir, "events")
     return tables.drain_progress(consumed, waiting, drained_at=1000)
 
 
-@query("t11_observe_counters")
+@query(
+    "t11_observe_counters",
+    f"""
+    WITH {SENT}, batches AS (
+      SELECT seq % 4 AS batch_id, count(*) AS n, CAST(sum(bytes) AS BIGINT) AS b, max(seq) AS s
+      FROM sent GROUP BY 1)
+    SELECT batch_id, 'benchmark_producer_messages_sent' AS metric, n AS value FROM batches
+    UNION ALL SELECT batch_id, 'benchmark_producer_bytes_sent', b FROM batches
+    UNION ALL SELECT batch_id, 'benchmark_consumer_largest_seq', s FROM batches""",
+)
 def t11_observe_counters(spark, sf_dir):
+    """Named counters of every micro-batch."""
     scope = hooks.MetricScope("benchmark")
     producer = scope.scope("producer")
     producer.counter("messages_sent")
     producer.counter("bytes_sent", F.col("bytes"))
     scope.scope("consumer").gauge("largest_seq", F.max("seq"))
-    observed = scope.observe(_sends(spark, sf_dir).select("seq", "bytes"))
     folder = shared_folder(spark, "t11")
-    running = tables.into_table(observed, f"{folder}/rows", f"{folder}/checkpoint")
-    running.awaitTermination()
-    return hooks.observed_counters(spark, running)
+
+    def run(stream: DataFrame):
+        sent = recipes.send_columns(stream).select("seq", "bytes")
+        return hooks.count_batches(sent, scope, f"{folder}/counters", f"{folder}/checkpoint")
+
+    _in_sittings(spark, sf_dir, folder, run)
+    return hooks.stored_counters(spark, f"{folder}/counters")
 
 
 @query("t12_late_rows")
 def t12_late_rows(spark, sf_dir):
-    """The second half of the log lies behind the watermark that the first half left."""
+    """Later parts of the log lie behind the watermark that the first part left."""
+    folder = shared_folder(spark, "t12")
 
-    def counted(events: DataFrame) -> DataFrame:
+    def run(events: DataFrame):
         at = F.timestamp_millis(F.lit(EPOCH) + F.col("event_id") * F.lit(recipes.SPACING_MS))
         timed = events.withColumn("event_time", at).withWatermark("event_time", "10 seconds")
         windows = timed.groupBy(F.window("event_time", "10 seconds"))
-        return windows.agg(F.count(F.lit(1)).alias("n")).select("n")
-
-    second, _ = _in_two_sittings(spark, sf_dir, shared_folder(spark, "t12"), counted, "update")
-    return hooks.late_rows(spark, second)
+        counts = windows.agg(F.count(F.lit(1)).alias("n")).select("n")
+        return tables.into_table(counts, f"{folder}/rows", f"{folder}/checkpoint", mode="update")
+
+    late = hooks.LateRows()
+    spark.streams.addListener(late)
+    try:
+        return late.table(_in_sittings(spark, sf_dir, folder, run))
+    finally:
+        spark.streams.removeListener(late)
 
 
 @query(

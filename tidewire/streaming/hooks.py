@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
+from tidewire.streaming.tables import for_each_batch
+
 Sink = Callable[[str, int, dict[str, object]], None]
 
 
@@ -35,8 +38,11 @@ class MetricScope:
         """An aggregate read at the end of each micro-batch."""
         self._metrics[self._full(name)] = value
 
+    def columns(self) -> list[Column]:
+        return [v.alias(k) for k, v in self._metrics.items()]
+
     def observe(self, stream: DataFrame, name: str = "counters") -> DataFrame:
-        return stream.observe(name, *[v.alias(k) for k, v in self._metrics.items()])
+        return stream.observe(name, *self.columns())
 
 
 class CounterListener(StreamingQueryListener):
@@ -61,24 +67,57 @@ class CounterListener(StreamingQueryListener):
         pass
 
 
-def observed_counters(
-    spark: SparkSession, query: StreamingQuery, observation: str = "counters"
-) -> DataFrame:
-    """(batch_id, metric, value) of the micro-batches a query still remembers."""
-    rows = [
-        (p.batchId, name, float(value))
-        for p in query.recentProgress
-        if observation in p.observedMetrics
-        for name, value in p.observedMetrics[observation].asDict().items()
-    ]
-    return spark.createDataFrame(rows, "batch_id bigint, metric string, value double")
-
-
-def late_rows(spark: SparkSession, query: StreamingQuery) -> DataFrame:
-    """(batch_id, operator, dropped): rows behind the watermark, per stateful operator."""
-    rows = [
-        (p.batchId, i, operator.numRowsDroppedByWatermark)
-        for p in query.recentProgress
-        for i, operator in enumerate(p.stateOperators)
-    ]
-    return spark.createDataFrame(rows, "batch_id bigint, operator int, dropped bigint")
+def count_batches(stream: DataFrame, scope: MetricScope, path: str, checkpoint: str) -> StreamingQuery:
+    """Store the scope's metrics of every micro-batch under its number, as they are.
+
+    A batch that is attempted again replaces its counters, so none is lost or doubled,
+    however many batches there are.
+    """
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        batch.agg(*scope.columns()).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    return for_each_batch(stream, store, checkpoint)
+
+
+def stored_counters(spark: SparkSession, path: str) -> DataFrame:
+    """(batch_id, metric, value) of all stored micro-batches; the metrics are whole numbers."""
+    wide = spark.read.parquet(path)
+    names = [c for c in wide.columns if c != "batch_id"]
+    pairs = [F.struct(F.lit(n).alias("metric"), F.col(n).cast("bigint").alias("value")) for n in names]
+    return wide.select(F.col("batch_id").cast("bigint").alias("batch_id"), F.inline(F.array(*pairs)))
+
+
+class LateRows(StreamingQueryListener):
+    """Keeps, for every micro-batch that ends, the rows behind the watermark of each operator.
+
+    These are a few numbers for each micro-batch; unlike a query's own last progress
+    reports they are complete.
+    """
+
+    def __init__(self) -> None:
+        self._rows: dict[tuple[int, int], int] = {}
+        self._ended: set[str] = set()
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        for i, operator in enumerate(event.progress.stateOperators):
+            self._rows[event.progress.batchId, i] = operator.numRowsDroppedByWatermark
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        self._ended.add(str(event.runId))
+
+    def table(self, query: StreamingQuery, seconds: float = 60.0) -> DataFrame:
+        """(batch_id, operator, dropped), once the query has ended and all its reports are in."""
+        deadline = time.monotonic() + seconds
+        while str(query.runId) not in self._ended:
+            if time.monotonic() > deadline:
+                raise TimeoutError("the query's end was not reported")
+            time.sleep(0.05)
+        rows = [(batch, operator, dropped) for (batch, operator), dropped in sorted(self._rows.items())]
+        return SparkSession.active().createDataFrame(rows, "batch_id bigint, operator int, dropped bigint")
