@@ -114,12 +114,24 @@ def test_results_round_trip(spark, tmp_path):
         "aggregatedPublishLatencyQuantiles": {"50.0": 1.0},
     }
     df = spark.createDataFrame([tuple(row[f.name] for f in RESULT.fields)], RESULT)
-    results.write_results(df, str(tmp_path / "out"))
+    for _ in range(2):  # the second time replaces the first
+        results.write_results(df, str(tmp_path / "out"))
     [back] = results.read_results(spark, str(tmp_path / "out"), one_per_file=False).collect()
     assert (back.workload, back.driver, back.publishRate, back.backlog) == ("a/b", "d", [1.5], [7])
     assert back.aggregatedPublishLatencyQuantiles == {"50.0": 1.0}
 
 
+def test_runs_at_two_times_stay_apart(spark, tmp_path):
+    from tidewire.schemas import RESULT
+
+    row = {f.name: None for f in RESULT.fields} | {"workload": "a/b", "driver": "d", "part": 0}
+    df = spark.createDataFrame([tuple(row[f.name] for f in RESULT.fields)], RESULT)
+    for hour in (1, 2, 2):
+        results.write_results(df, str(tmp_path / "out"), F.make_timestamp(*map(F.lit, (2024, 5, 6, hour, 0, 0))))
+    found = results.read_results(spark, str(tmp_path / "out"), one_per_file=False).select("run").collect()
+    assert sorted(r.run for r in found) == ["a-b-d-2024-05-06-01-00-00", "a-b-d-2024-05-06-02-00-00"]
+
+
 def test_exposition_text(spark, tmp_path):
     (tmp_path / "m.txt").write_text(
         '# HELP a text\na{x="1",y="p, \\"q\\""} 1.5 1000\nb 2e3\nc{} +Inf 5\nbroken{ 1\n\n'

@@ -29,10 +29,19 @@ runs(run_id, workload, driver) AS (
          (2, 'wide-fan-out', 'pulsar'))"""
 
 
+def _runs(spark) -> DataFrame:
+    return spark.createDataFrame(RUNS, "run_id bigint, workload string, driver string")
+
+
+def _series(spark, sf_dir, metric: str) -> DataFrame:
+    return reports.series_documents(
+        recipes.sends(spark, sf_dir), recipes.receives(spark, sf_dir), _runs(spark), metric
+    )
+
+
 def _documents(spark, sf_dir) -> DataFrame:
-    runs = spark.createDataFrame(RUNS, "run_id bigint, workload string, driver string")
     return reports.result_documents(
-        recipes.sends(spark, sf_dir), recipes.receives(spark, sf_dir), runs,
+        recipes.sends(spark, sf_dir), recipes.receives(spark, sf_dir), _runs(spark),
         subscriptions=recipes.SUBSCRIPTIONS, message_size=1024,
     )
 
@@ -64,7 +73,7 @@ stats AS (
     f"WITH {_PUBLISH_STATS}, {RUNS_SQL}, {_chart_sql('coalesce(s.p99, 0)')}",
 )
 def r1_series_publish_p99(spark, sf_dir):
-    return rounded(charts.series_publish_p99(_documents(spark, sf_dir)), "y")
+    return rounded(charts.series_publish_p99(_series(spark, sf_dir, "publishLatency99pct")), "y")
 
 
 @query(
@@ -72,7 +81,7 @@ def r1_series_publish_p99(spark, sf_dir):
     f"WITH {_PUBLISH_STATS}, {RUNS_SQL}, {_chart_sql('c.messages_sent / 10.0::DOUBLE')}",
 )
 def r2_series_publish_rate(spark, sf_dir):
-    return rounded(charts.series_publish_rate(_documents(spark, sf_dir)), "y")
+    return rounded(charts.series_publish_rate(_series(spark, sf_dir, "publishRate")), "y")
 
 
 @query(
@@ -80,7 +89,7 @@ def r2_series_publish_rate(spark, sf_dir):
     f"WITH {_PUBLISH_STATS}, {RUNS_SQL}, {_chart_sql('c.messages_received / 10.0::DOUBLE')}",
 )
 def r3_series_consume_rate(spark, sf_dir):
-    return rounded(charts.series_consume_rate(_documents(spark, sf_dir)), "y")
+    return rounded(charts.series_consume_rate(_series(spark, sf_dir, "consumeRate")), "y")
 
 
 @query(
@@ -88,7 +97,7 @@ def r3_series_consume_rate(spark, sf_dir):
     f"WITH {_E2E_STATS}, {RUNS_SQL}, {_chart_sql('coalesce(s.mean, 0)')}",
 )
 def r4_series_e2e_avg(spark, sf_dir):
-    return rounded(charts.series_e2e_avg(_documents(spark, sf_dir)), "y")
+    return rounded(charts.series_e2e_avg(_series(spark, sf_dir, "endToEndLatencyAvg")), "y")
 
 
 @query(
@@ -100,7 +109,8 @@ def r4_series_e2e_avg(spark, sf_dir):
     FROM curve JOIN runs USING (run_id) WHERE percentile <= 99.999""",
 )
 def r5_quantile_series(spark, sf_dir):
-    return rounded(charts.quantile_series(_documents(spark, sf_dir)), "percentile", "x", "y")
+    documents = reports.curve_documents(recipes.sends(spark, sf_dir), _runs(spark))
+    return rounded(charts.quantile_series(documents), "percentile", "x", "y")
 
 
 @query(
@@ -111,7 +121,8 @@ def r5_quantile_series(spark, sf_dir):
     FROM present JOIN runs USING (run_id) GROUP BY workload""",
 )
 def a19_group_by_workload(spark, sf_dir):
-    return charts.group_by_workload(_documents(spark, sf_dir))
+    present = recipes.sends(spark, sf_dir).select("run_id").distinct().join(_runs(spark), "run_id")
+    return charts.group_by_workload(present.withColumn("part", long(0)))
 
 
 @query(

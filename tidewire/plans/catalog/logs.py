@@ -660,10 +660,18 @@ def a13_merge_workers(spark, sf_dir):
     FROM single GROUP BY run_id""",
 )
 def o4_union_workers(spark, sf_dir):
-    """Statistics of each worker as its own table, put together before they are summed."""
-    single = _counters(spark, sf_dir, "worker")
-    parts = [single.where(F.col("worker") == w) for w in range(recipes.WORKERS)]
-    merged = aggregates.union_workers(*parts)
+    """Statistics of the senders and of the receivers, put together before they are summed."""
+    sent = filters.successful_only(recipes.sends(spark, sf_dir))
+    received = recipes.receives(spark, sf_dir)
+    parts = [
+        rows.groupBy(*RUN, "worker", aggregates.period_of(F.col(at)).alias("period")).agg(
+            F.count(F.lit(1)).alias(f"messages_{side}")
+        )
+        for rows, at, side in ((sent, "send_ms", "sent"), (received, "receive_ms", "received"))
+    ]
+    merged = aggregates.union_workers(*parts).groupBy(*RUN, "worker", "period").agg(
+        F.sum("messages_sent").alias("messages_sent")
+    )
     return merged.groupBy(*RUN).agg(
         F.count(F.lit(1)).alias("worker_periods"), F.sum("messages_sent").alias("messages_sent")
     )

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -88,11 +86,6 @@ def _points(points: DataFrame, *columns: str) -> DataFrame:
     return rounded(points.select(*columns, "t_ms", "value"), "value", places=PLACES)
 
 
-def _each_group(panel) -> DataFrame:
-    parts = [panel(g).withColumn("group", F.lit(g)) for g in GROUPS]
-    return reduce(DataFrame.unionByName, parts)
-
-
 # --- sources, labels -------------------------------------------------------------------
 
 
@@ -261,7 +254,7 @@ _latency_panel("m9_e2e_latency_q", dashboards.e2e_latency_q, "benchmark_consumer
 )
 def m10_cpu_percent(spark, sf_dir):
     samples = recipes.metric_samples(spark, sf_dir, "process_cpu_seconds_total")
-    return _points(_each_group(lambda g: dashboards.cpu_percent(samples, g)), "group", "legend")
+    return _points(dashboards.cpu_percent(samples, GROUPS), "group", "legend")
 
 
 @query(
@@ -273,12 +266,9 @@ def m10_cpu_percent(spark, sf_dir):
 )
 def m11_heap_sums(spark, sf_dir):
     """Committed memory is sampled for two areas of the heap."""
-    parts = []
-    for area in ("committed", "used", "max"):
-        samples = recipes.metric_samples(spark, sf_dir, f"jvm_memory_bytes_{area}")
-        summed = _each_group(lambda g, s=samples, a=area: dashboards.heap_sum(s, g, a))
-        parts.append(summed.withColumn("area", F.lit(area)))
-    return _points(reduce(DataFrame.unionByName, parts), "group", "area")
+    names = [f"jvm_memory_bytes_{area}" for area in ("committed", "used", "max")]
+    samples = recipes.metric_samples(spark, sf_dir, *names)
+    return _points(dashboards.heap_sums(samples, GROUPS), "group", "area")
 
 
 @query(
@@ -288,12 +278,8 @@ def m11_heap_sums(spark, sf_dir):
     FROM points, {_GROUP_ROWS}, (SELECT unnest(['used', 'max']) AS area)""",
 )
 def m12_direct_memory(spark, sf_dir):
-    parts = []
-    for area in ("used", "max"):
-        samples = recipes.metric_samples(spark, sf_dir, f"jvm_memory_direct_bytes_{area}")
-        latest = _each_group(lambda g, s=samples, a=area: dashboards.direct_memory(s, g, a))
-        parts.append(latest.withColumn("area", F.lit(area)))
-    points = reduce(DataFrame.unionByName, parts)
+    names = [f"jvm_memory_direct_bytes_{area}" for area in ("used", "max")]
+    points = dashboards.direct_memory(recipes.metric_samples(spark, sf_dir, *names), GROUPS)
     named = points.withColumn("instance", label(F.col("labels"), "instance"))
     return _points(named, "group", "area", "instance")
 
@@ -307,7 +293,7 @@ def m12_direct_memory(spark, sf_dir):
 def m13_gc_pause(spark, sf_dir):
     """Two collectors per instance, summed."""
     samples = recipes.metric_samples(spark, sf_dir, "jvm_gc_collection_seconds_sum")
-    paused = _each_group(lambda g: dashboards.gc_pause(samples, g))
+    paused = dashboards.gc_pause(samples, GROUPS)
     return rounded(paused.select("group", "t_ms", "value"), "value", places=4)
 
 

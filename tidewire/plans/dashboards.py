@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.functions.labels import series_label
+from tidewire.functions.labels import label, series_label
 from tidewire.operators.lookback import (
     Selector, avg_by, increase, instant, irate, select_series, sum_by,
 )
@@ -13,6 +15,10 @@ from tidewire.operators.lookback import (
 SHORT_MS = 30_000
 LONG_MS = 5 * 60_000
 
+# Metric names without the area at their end.
+HEAP = "jvm_memory_bytes_"
+DIRECT = "jvm_memory_direct_bytes_"
+
 CLIENT: Selector = ("group", "=~", "client")
 REAL_DEVICE: Selector = ("device", "!~", "veth.*|lo")
 
@@ -56,28 +62,39 @@ def e2e_latency_q(samples: DataFrame, quantile: str) -> DataFrame:
     return _latency_quantile(samples, "benchmark_consumer_e2e_latency", quantile)
 
 
-def cpu_percent(samples: DataFrame, group: str) -> DataFrame:
-    rates = irate(
-        select_series(samples, "process_cpu_seconds_total", ("group", "=", group)), SHORT_MS
-    )
-    percent = rates.withColumn("value", F.col("value") * F.lit(100))
+def _family(samples: DataFrame, names: Sequence[str], groups: Sequence[str]) -> DataFrame:
+    """The samples of several metrics in several groups, for one look-back over all of them."""
+    return samples.where(F.col("name").isin(*names) & label(F.col("labels"), "group").isin(*groups))
+
+
+def _with_group(points: DataFrame) -> DataFrame:
+    return points.withColumn("group", label(F.col("labels"), "group"))
+
+
+def _with_area(points: DataFrame, prefix: str) -> DataFrame:
+    return _with_group(points).withColumn("area", F.substring_index("name", prefix, -1))
+
+
+def cpu_percent(samples: DataFrame, groups: Sequence[str]) -> DataFrame:
+    rates = irate(_family(samples, ["process_cpu_seconds_total"], groups), SHORT_MS)
+    percent = _with_group(rates).withColumn("value", F.col("value") * F.lit(100))
     return with_legend(percent, "{{instance}}")
 
 
-def heap_sum(samples: DataFrame, group: str, area: str) -> DataFrame:
-    """``area`` is committed, used or max."""
-    chosen = select_series(samples, f"jvm_memory_bytes_{area}", ("group", "=", group))
-    return sum_by(instant(chosen))
+def heap_sums(samples: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """Sums over all series of a group and area (committed, used, max)."""
+    latest = instant(_family(samples, [HEAP + a for a in ("committed", "used", "max")], groups))
+    return _with_area(latest, HEAP).groupBy("group", "area", "t_ms").agg(F.sum("value").alias("value"))
 
 
-def direct_memory(samples: DataFrame, group: str, area: str) -> DataFrame:
-    """``area`` is used or max."""
-    return instant(select_series(samples, f"jvm_memory_direct_bytes_{area}", ("group", "=", group)))
+def direct_memory(samples: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """Points of each series with group and area (used, max)."""
+    return _with_area(instant(_family(samples, [DIRECT + a for a in ("used", "max")], groups)), DIRECT)
 
 
-def gc_pause(samples: DataFrame, group: str) -> DataFrame:
-    chosen = select_series(samples, "jvm_gc_collection_seconds_sum", ("group", "=", group))
-    return sum_by(increase(chosen, SHORT_MS))
+def gc_pause(samples: DataFrame, groups: Sequence[str]) -> DataFrame:
+    grown = increase(_family(samples, ["jvm_gc_collection_seconds_sum"], groups), SHORT_MS)
+    return _with_group(grown).groupBy("group", "t_ms").agg(F.sum("value").alias("value"))
 
 
 def disk_bytes(samples: DataFrame, direction: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewire.functions.latency import e2e_latency_us, whole_div
 from tidewire.operators.aggregates import (
-    PERIOD_MS, backlog, period_of, period_rates, running_totals,
+    COUNTERS, PERIOD_MS, backlog, period_counters, period_of, period_rates, running_totals,
 )
 from tidewire.operators.filters import WARMUP_MS, positive_latency, successful_only
 from tidewire.operators.histograms import (
@@ -160,6 +160,40 @@ def collect_series(
     )
 
 
+def series_documents(
+    sends: DataFrame, receives: DataFrame, runs: DataFrame, metric: str
+) -> DataFrame:
+    """Documents with one array only, from no more of the messages than it takes.
+
+    ``metric`` is publishRate, consumeRate or a latency of one side, such as
+    endToEndLatencyAvg.
+    """
+    counters = period_counters(successful_only(sends), receives, RUN)
+    every = fill_empty_periods(stored(counters), RUN, "period", COUNTERS)
+    report = period_rates(every).where(F.col("period") >= period_of(F.lit(WARMUP_MS)))
+    columns = {"publishRate": "publish_rate", "consumeRate": "consume_rate"}
+    if metric not in columns:
+        side, stat = metric.split("Latency")
+        rows = publish_latencies(sends) if side == "publish" else e2e_latencies(receives)
+        groups = [*RUN, "period"]
+        stats = latency_summary(bucket_counts(rows, groups, "latency_us"), groups)
+        report = report.join(stats.select(*groups, _suffix(stat)), groups, "left").withColumn(
+            _suffix(stat), F.coalesce(_suffix(stat), F.lit(0.0))
+        )
+        columns[metric] = _suffix(stat)
+    return collect_series(report, {metric: columns[metric]}).join(runs, RUN).drop(*RUN)
+
+
+def curve_documents(sends: DataFrame, runs: DataFrame) -> DataFrame:
+    """Documents with the publish latency's quantile curve only."""
+    groups = [*RUN, "kind"]
+    published = publish_latencies(sends).withColumn("kind", F.lit(SIDES[0]))
+    curves = run_summary(bucket_counts(published, groups, "latency_us")).select(
+        *RUN, F.lit(0).cast("bigint").alias("part"), F.col("quantiles").alias("aggregatedPublishLatencyQuantiles")
+    )
+    return curves.join(runs, RUN).drop(*RUN)
+
+
 def result_documents(
     sends: DataFrame, receives: DataFrame, runs: DataFrame,
     *, subscriptions: int, message_size: int,

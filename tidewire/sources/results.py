@@ -2,23 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.functions.naming import chart_label
+from tidewire.functions.naming import chart_label, run_name
 from tidewire.schemas import RESULT
 
 
-def write_results(results: DataFrame, path: str) -> None:
-    """One JSON document per row, in a folder per workload and driver.
+def write_results(results: DataFrame, path: str, started: Column | None = None) -> None:
+    """One JSON document per row, in a folder for each run.
 
-    The folder columns are copies, so each document still names its workload and
-    driver and readers can prune by folder.
+    A run is known by workload, driver and, if ``started`` tells it, its time. Writing
+    a run again replaces its folder and no other. The folder columns are copies, so each document
+    still names its workload and driver and readers can prune by folder.
     """
-    foldered = results.withColumn("run_workload", chart_label(F.col("workload"))).withColumn(
-        "run_driver", F.col("driver")
+    label = chart_label(F.col("workload"))
+    run = F.concat_ws("-", label, "driver") if started is None else run_name(label, F.col("driver"), started)
+    foldered = results.withColumns({"run_workload": label, "run_driver": F.col("driver"), "run": run})
+    (
+        foldered.write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("run_workload", "run_driver", "run")
+        .json(path)
     )
-    foldered.write.mode("append").partitionBy("run_workload", "run_driver").json(path)
 
 
 def read_results(
