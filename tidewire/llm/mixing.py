@@ -22,12 +22,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewire.llm.tables import checked_broadcast
+
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1, 2, 3)
 #: No source is repeated more often.
 MOST = 3
 SEED = "mix"
 SLICES = 4096
+#: Sources up to which their decisions are broadcast.
+MOST_SOURCES = 100_000
 RESULTS = ("size", "source_size", "target", "copies", "taken")
 
 
@@ -130,8 +134,13 @@ def mix(docs: DataFrame, seed: str = SEED, key: str = "doc_id", text: str = "tex
         .agg(F.max(F.when(F.col("in"), F.col("_u"))).alias("_last"))
         .select(F.col("source").alias("_e"), "_end", F.coalesce("_last", F.lit(-1.0)).alias("_last"))
     )
-    decided = plan.join(ends, F.col("source").eqNullSafe(F.col("_e")), "left").select(
-        F.col("source").alias("_s"), "source_size", "target", "whole", "_end", "_last"
+    # One row a source: written, and broadcast if the sources are few, so that texts stay where they are.
+    decided = checked_broadcast(
+        plan.join(ends, F.col("source").eqNullSafe(F.col("_e")), "left").select(
+            F.col("source").alias("_s"), "source_size", "target", "whole", "_end", "_last"
+        ),
+        "mix",
+        MOST_SOURCES,
     )
     extra = F.coalesce(
         (F.col("_slice") < F.col("_end")) | ((F.col("_slice") == F.col("_end")) & (F.col("_u") <= F.col("_last"))),
@@ -145,11 +154,13 @@ def mix(docs: DataFrame, seed: str = SEED, key: str = "doc_id", text: str = "tex
     )
 
 
-def copied(mixed: DataFrame) -> DataFrame:
-    """Each row as often as its ``copies`` say, without the columns that ``mix`` added."""
+def mixture(docs: DataFrame, seed: str = SEED) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it, with their own columns."""
+    packed = docs.select(F.struct("*").alias("whole_row"), "doc_id", "text", "source")
     times = F.sequence(F.lit(1).cast("long"), F.col("copies"))
     return (
-        mixed.filter(F.col("copies") > 0)
-        .withColumn("_nth", F.explode(times))
-        .drop("_nth", *RESULTS)
+        mix(packed, seed)
+        .filter(F.col("copies") > 0)
+        .select("whole_row", F.explode(times).alias("nth"))
+        .select("whole_row.*")
     )
