@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidewire.llm.bag_minhash import one_of_each
 from tidewire.llm.decontaminate import decontaminated
-from tidewire.llm.mixing import copied, mix
+from tidewire.llm.mixing import mixture
 from tidewire.llm.registry import table
 from tidewire.llm.sharding import assign_shards
 from tidewire.llm.toxicity import without_toxic
@@ -40,7 +40,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of their sources takes them."""
-    return copied(mix(docs))
+    return mixture(docs)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
