@@ -179,3 +179,9 @@ def test_workload_values_with_comments_repeats_and_bad_numbers(spark):
     row = configs.parse_workloads(spark.createDataFrame([("/w.yaml", text)], "path string, text string")).first()
     assert (row["name"], row.topics, row.producer_rate, row.payload_file) == ("a # b", 5, 0, "x#y")
     assert sorted(row.unreadable) == ["messageSize", "producerRate"]
+
+
+def test_driver_lines_that_are_no_settings_are_reported(spark):
+    text = "name: a\nservers:\n  - one\n  - two\n# note\nclient:\n  threads: 3\n"
+    row = configs.parse_drivers(spark.createDataFrame([("/d.yaml", text)], "path string, text string")).first()
+    assert row.unread == ["- one", "- two"] and row.extra == {"client.threads": "3"}

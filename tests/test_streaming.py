@@ -4,7 +4,6 @@ import time
 
 from pyspark.sql import functions as F
 
-from tidewire.plans import recipes
 from tidewire.plans.catalog import streams
 from tidewire.schemas import EVENTS
 from tidewire.sources import message_log

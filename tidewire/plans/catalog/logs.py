@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.functions import keys, latency, text
@@ -13,6 +14,9 @@ from tidewire.plans.catalog.registry import (
     ranked_sql, rounded, summary_sql, token_sql,
 )
 from tidewire.plans.recipes import long, table
+from tidewire.schemas import MESSAGES_RECEIVED, MESSAGES_SENT
+from tidewire.session import shared_folder
+from tidewire.sources import message_log
 from tidewire.streaming import pairing
 
 RUN = ["run_id"]
@@ -801,6 +805,60 @@ def period_stats(spark, sf_dir):
     )
 
 
+def _canonical_log(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """The log in its canonical form, with epoch times, written to files and read back."""
+    folder = shared_folder(spark, "canonical")
+    epoch_us = F.lit(recipes.EPOCH_MS * 1000)
+    send_us = epoch_us + F.col("send_ms") * F.lit(1000)
+    sent = recipes.sends(spark, sf_dir).withColumns(
+        {"send_us": send_us, "ack_us": send_us + F.col("latency_us"), "payload": F.col("payload").cast("binary")}
+    )
+    received = recipes.receives(spark, sf_dir).select(
+        "*", F.col("bytes").alias("payload_len"), long(0).alias("consumer_id")
+    ).withColumns({c: F.col(c) + F.lit(recipes.EPOCH_MS) for c in ("publish_ms", "receive_ms")})
+    for name, rows, schema in (("sent", sent, MESSAGES_SENT), ("received", received, MESSAGES_RECEIVED)):
+        rows.select(*schema.fieldNames()).write.parquet(f"{folder}/{name}")
+    return (
+        message_log.read_message_log(spark, f"{folder}/sent", MESSAGES_SENT),
+        message_log.read_message_log(spark, f"{folder}/received", MESSAGES_RECEIVED),
+    )
+
+
+@query(
+    "period_stats_canonical",
+    f"""
+    WITH {RECV}, starts AS (SELECT run_id, min(send_ms) AS start_ms FROM sent GROUP BY run_id),
+    published AS (
+      SELECT run_id, (send_ms - start_ms) // 10000 AS period, latency_us, {bucket_sql("latency_us")} AS bucket
+      FROM sent JOIN starts USING (run_id) WHERE status = 'ok' AND send_ms - start_ms >= 60000),
+    ranked AS ({ranked_sql("published", "run_id, period")}),
+    arrived AS (
+      SELECT run_id, CAST(floor((receive_ms - start_ms) / 10000) AS BIGINT) AS period, count(*) AS received
+      FROM recv JOIN starts USING (run_id) GROUP BY ALL),
+    stats AS (
+      SELECT run_id, period, count(*) AS messages, round(count(*) / 10.0::DOUBLE, 6) AS publish_rate,
+             round(avg(latency_us) / 1000, 6) AS latency_avg,
+             round(min(bucket) FILTER (WHERE rn * 10000 >= 9900 * total) / 1000, 6) AS latency_99pct
+      FROM ranked GROUP BY run_id, period)
+    SELECT stats.*, coalesce(received, 0) AS messages_received
+    FROM stats LEFT JOIN arrived USING (run_id, period)""",
+)
+def period_stats_canonical(spark, sf_dir):
+    """Rates and latency of each period from a canonical log: runs start when they first send."""
+    sent, received = _canonical_log(spark, sf_dir)
+    starts = message_log.run_starts(sent)
+    stats = reports.flagship(message_log.relative_sends(sent, starts)).select(
+        *RUN, "period", "messages", "publish_rate", "latency_avg", "latency_99pct"
+    )
+    arrived = message_log.relative_receives(received, starts).groupBy(
+        *RUN, aggregates.period_of(F.col("receive_ms")).alias("period")
+    ).agg(F.count(F.lit(1)).alias("received"))
+    both = stats.join(arrived, [*RUN, "period"], "left").withColumn(
+        "messages_received", F.coalesce("received", long(0))
+    )
+    return rounded(both.drop("received"), "publish_rate", "latency_avg", "latency_99pct")
+
+
 @query(
     "p16_report_line",
     f"""

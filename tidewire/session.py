@@ -29,6 +29,12 @@ def _local_folder() -> str:
     return tempfile.mkdtemp(prefix="tidewire-")
 
 
+def remove_at_exit(spark: SparkSession, folder: str) -> None:
+    """Have the file system remove a folder that exists when the driver's JVM ends."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+
+
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder under the cluster's shared checkpoint folder.
 

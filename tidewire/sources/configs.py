@@ -91,9 +91,13 @@ def read_workloads(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return parse_workloads(read_texts(spark, paths)).orderBy("workload")
 
 
-def _flatten(text: str) -> dict[str, str]:
-    """Indented ``key: value`` text as dotted names; block text is kept as it stands."""
+def _flatten(text: str) -> tuple[dict[str, str], list[str]]:
+    """Indented ``key: value`` text as dotted names, and the lines that say something else.
+
+    Block text is kept as it stands.
+    """
     found: dict[str, str] = {}
+    unread: list[str] = []
     open_keys: list[tuple[int, str]] = []
     block: tuple[int, str] | None = None
     for line in text.splitlines():
@@ -103,7 +107,10 @@ def _flatten(text: str) -> dict[str, str]:
             continue
         block = None
         match = re.match(r"\s*([\w.\-]+)\s*:\s*(.*?)\s*$", line)
-        if line.lstrip().startswith("#") or not match:
+        if not line.strip() or line.lstrip().startswith("#"):
+            continue
+        if not match:
+            unread.append(line.strip())
             continue
         while open_keys and open_keys[-1][0] >= indent:
             open_keys.pop()
@@ -115,28 +122,31 @@ def _flatten(text: str) -> dict[str, str]:
             found[dotted] = value.strip("\"'")
         else:
             open_keys.append((indent, key))
-    return found
+    return found, unread
 
 
 def parse_drivers(files: DataFrame) -> DataFrame:
-    """(path, name, driver_class, extra) from driver files, one file per row.
+    """(path, name, driver_class, extra, unread) from driver files, one file per row.
+
+    ``unread`` has the lines, such as list items, that are no ``key: value``.
 
     Files are small configuration documents, read one at a time inside tasks.
     """
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            flat = [_flatten(text) for text in batch["text"]]
+            flat, unread = zip(*map(_flatten, batch["text"]), strict=True) if len(batch) else ((), ())
             yield pd.DataFrame(
                 {
                     "path": batch["path"],
                     "name": [f.pop("name", None) for f in flat],
                     "driver_class": [f.pop("driverClass", None) for f in flat],
-                    "extra": flat,
+                    "extra": list(flat),
+                    "unread": list(unread),
                 }
             )
 
-    schema = "path string, name string, driver_class string, extra map<string,string>"
+    schema = "path string, name string, driver_class string, extra map<string,string>, unread array<string>"
     return files.select("path", "text").mapInPandas(parse, schema)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tidewire.functions.keys import key_for
-from tidewire.functions.latency import whole_div
+from tidewire.functions.latency import publish_latency_us, whole_div
 
 EXPAND_BLOCK = 1 << 20
 
@@ -17,6 +17,36 @@ def read_message_log(spark: SparkSession, path: str, schema: T.StructType) -> Da
     return spark.read.schema(schema).parquet(path)
 
 
+def run_starts(sent: DataFrame) -> DataFrame:
+    """(run_id, start_us): the first send of each run of a log of ``MESSAGES_SENT``."""
+    return sent.groupBy("run_id").agg(F.min("send_us").alias("start_us"))
+
+
+def relative_sends(sent: DataFrame, starts: DataFrame) -> DataFrame:
+    """Sends as reports take them: times from the start of their run, and their latency."""
+    placed = sent.join(starts, "run_id")
+    latency = publish_latency_us(F.col("send_us") * F.lit(1000), F.col("ack_us") * F.lit(1000))
+    return placed.select(
+        "run_id", "worker", "producer_id", "topic", "partition", "seq", "key",
+        F.octet_length("payload").cast("bigint").alias("bytes"),
+        whole_div(F.col("send_us") - F.col("start_us"), 1000).alias("send_ms"),
+        whole_div(F.col("ack_us") - F.col("start_us"), 1000).alias("ack_ms"),
+        latency.alias("latency_us"),
+        "status",
+    )
+
+
+def relative_receives(received: DataFrame, starts: DataFrame) -> DataFrame:
+    """Deliveries of ``MESSAGES_RECEIVED`` with times from the start of their run."""
+    start_ms = whole_div(F.col("start_us"), 1000)
+    return received.join(starts, "run_id").select(
+        "run_id", "worker", "topic", "partition", "subscription", "seq",
+        F.col("payload_len").alias("bytes"),
+        (F.col("publish_ms") - start_ms).alias("publish_ms"),
+        (F.col("receive_ms") - start_ms).alias("receive_ms"),
+    )
+
+
 def stream_message_log(
     spark: SparkSession,
     path: str,
