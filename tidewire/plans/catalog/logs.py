@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.functions import keys, latency, text
@@ -10,7 +10,7 @@ from tidewire.operators import aggregates, assign, filters, histograms, joins, o
 from tidewire.operators.lineage import stored
 from tidewire.plans import recipes, reports
 from tidewire.plans.catalog.registry import (
-    DELIVERED, HELD, LATENCY_COLUMNS, PUBLISHED, PUBLISHED_ONLY, RECV, SENT, bucket_sql, query,
+    DELIVERED, DELIVERED_ONLY, HELD, LATENCY_COLUMNS, PUBLISHED, PUBLISHED_ONLY, RECV, SENT, bucket_sql, query,
     ranked_sql, rounded, summary_sql, token_sql,
 )
 from tidewire.plans.recipes import long, table
@@ -859,70 +859,99 @@ def period_stats_canonical(spark, sf_dir):
     return rounded(both.drop("received"), "publish_rate", "latency_avg", "latency_99pct")
 
 
+# The statistics of a report line, as shown -> column.
+PERIOD_SHOWN = {
+    "avg": "latency_avg", "50%": "latency_50pct", "99%": "latency_99pct", "99.9%": "latency_999pct",
+    "Max": "latency_max",
+}
+RUN_SHOWN = {
+    "avg": "latency_avg", "50%": "latency_50pct", "95%": "latency_95pct", "99%": "latency_99pct",
+    "99.9%": "latency_999pct", "99.99%": "latency_9999pct", "Max": "latency_max",
+}
+
+
+def _latency_sql(table: str, shown: dict[str, str]) -> str:
+    parts = [f"'{n}: ' || printf('%4s', printf('%.1f', coalesce({table}.{c}, 0)))" for n, c in shown.items()]
+    return " || ' - ' || ".join(parts)
+
+
+def _rates_sql(width: int, p: str, p_mb: str, c: str, c_mb: str) -> str:
+    return f"""'Pub rate ' || printf('%{width}s', printf('%.1f', {p})) || ' msg/s / '
+      || printf('%4s', printf('%.1f', {p_mb})) || ' MB/s | Cons rate '
+      || printf('%{width}s', printf('%.1f', {c})) || ' msg/s / '
+      || printf('%4s', printf('%.1f', {c_mb})) || ' MB/s'"""
+
+
+_BOTH_STATS = f"""
+    {PUBLISHED_ONLY}, {DELIVERED_ONLY}"""
+
+
+def _stats_sql(keys: str) -> str:
+    return f"""
+    p AS (SELECT {keys}, {summary_sql()} FROM ({ranked_sql("published", keys)}) GROUP BY {keys}),
+    e AS (SELECT {keys}, {summary_sql()} FROM ({ranked_sql("delivered", keys)}) GROUP BY {keys})"""
+
+
 @query(
     "p16_report_line",
     f"""
-    WITH {PUBLISHED}, ranked AS ({ranked_sql("published", "run_id, period")}),
-    stats AS (
-      SELECT run_id, period, count(*) / 10.0::DOUBLE AS rate, avg(latency_us) / 1000 AS mean,
-             CAST(sum(bytes) AS BIGINT) / 10.0::DOUBLE / 1e6 AS mb,
-             min(bucket) FILTER (WHERE rn * 10000 >= 9900 * total) / 1000 AS p99 FROM ranked GROUP BY ALL)
-    SELECT run_id, period, 'Pub rate ' || printf('%7s', printf('%.1f', rate)) || ' msg/s / '
-      || printf('%4s', printf('%.1f', mb)) || ' MB/s | Cons rate '
-      || printf('%7s', printf('%.1f', rate / 8)) || ' msg/s / ' || printf('%4s', printf('%.1f', mb / 8))
-      || ' MB/s | Backlog: ' || CAST(period AS VARCHAR) || ' msg | Pub Latency (ms) avg: '
-      || printf('%4s', printf('%.1f', mean)) || ' - 99%: ' || printf('%4s', printf('%.1f', p99)) AS line
-    FROM stats""",
+    WITH {COUNTERS_SQL}, {_BOTH_STATS}, {_stats_sql("run_id, period")},
+    summed AS (
+      SELECT *, CAST(3 * sum(messages_sent) OVER w - sum(messages_received) OVER w AS BIGINT) AS backlog
+      FROM every WINDOW w AS (PARTITION BY run_id ORDER BY period))
+    SELECT run_id, period, {_rates_sql(7, "messages_sent / 10.0::DOUBLE", "bytes_sent / 10.0::DOUBLE / 1e6", "messages_received / 10.0::DOUBLE", "bytes_received / 10.0::DOUBLE / 1e6")}
+        || ' | Backlog: ' || CAST(backlog AS VARCHAR) || ' msg | Pub Latency (ms) '
+        || {_latency_sql("p", PERIOD_SHOWN)} AS line,
+      'E2E Latency (ms) ' || {_latency_sql("e", PERIOD_SHOWN)} AS e2e_line
+    FROM summed LEFT JOIN p USING (run_id, period) LEFT JOIN e USING (run_id, period) WHERE period >= 6""",
 )
 def p16_report_line(spark, sf_dir):
-    published = reports.publish_latencies(recipes.sends(spark, sf_dir))
-    groups = [*RUN, "period"]
-    stats = histograms.latency_summary(
-        histograms.bucket_counts(published, groups, "latency_us", "bytes"), groups
+    """Both progress lines of each period after warm-up."""
+    messages = reports.period_histograms(recipes.sends(spark, sf_dir), recipes.receives(spark, sf_dir))
+    report = reports.period_report(stored(messages), F.lit(SUBSCRIPTIONS), F.lit(1024))
+
+    def shown(side: str) -> dict[str, Column]:
+        return {name: F.col(f"{side}_{column}") for name, column in PERIOD_SHOWN.items()}
+
+    line = text.period_line(
+        F.col("publish_rate"), F.col("publish_mb_per_s"), F.col("consume_rate"), F.col("consume_mb_per_s"),
+        F.col("backlog"), shown("publish"),
+    )
+    return report.select(
+        *RUN, "period", line.alias("line"), text.latency_line("E2E Latency", shown("endToEnd")).alias("e2e_line")
     )
-    rate = F.col("messages") / F.lit(10.0)
-    mb = latency.to_mb_per_s(F.col("bytes"), 10.0)
-    shown = {"avg": F.col("latency_avg"), "99%": F.col("latency_99pct")}
-    line = text.period_line(rate, mb, rate / 8, mb / 8, F.col("period"), shown)
-    return stats.select(*groups, line.alias("line"))
 
 
 @query(
     "p16_summary_lines",
     f"""
-    WITH {COUNTERS_SQL}, {PUBLISHED_ONLY}, means AS (
+    WITH {COUNTERS_SQL}, {_BOTH_STATS}, {_stats_sql("run_id")}, means AS (
       SELECT run_id, avg(messages_sent / 10.0::DOUBLE) AS p, avg(messages_received / 10.0::DOUBLE) AS c
-      FROM reported GROUP BY run_id),
-    ranked AS ({ranked_sql("published", "run_id")}),
-    stats AS (SELECT run_id, {summary_sql()} FROM ranked GROUP BY run_id)
-    SELECT run_id, '----- Aggregated Pub rate ' || printf('%4s', printf('%.1f', p)) || ' msg/s / '
-        || printf('%4s', printf('%.1f', p * 1024 * 1e-6)) || ' MB/s | Cons rate '
-        || printf('%4s', printf('%.1f', c)) || ' msg/s / '
-        || printf('%4s', printf('%.1f', c * 1024 * 1e-6)) || ' MB/s' AS rates,
-      '----- Aggregated Pub Latency (ms) avg: ' || printf('%4s', printf('%.1f', latency_avg))
-        || ' - 50%: ' || printf('%4s', printf('%.1f', latency_50pct))
-        || ' - 99.99%: ' || printf('%4s', printf('%.1f', latency_9999pct))
-        || ' - Max: ' || printf('%4s', printf('%.1f', latency_max)) AS latency
-    FROM means JOIN stats USING (run_id)""",
+      FROM reported GROUP BY run_id)
+    SELECT run_id, '----- Aggregated ' || {_rates_sql(4, "means.p", "means.p * 1024 * 1e-6", "means.c", "means.c * 1024 * 1e-6")} AS rates,
+      '----- Aggregated Pub Latency (ms) ' || {_latency_sql("p", RUN_SHOWN)} AS latency,
+      '----- Aggregated E2E Latency (ms) ' || {_latency_sql("e", RUN_SHOWN)} AS e2e_latency
+    FROM means JOIN p USING (run_id) JOIN e USING (run_id)""",
 )
 def p16_summary_lines(spark, sf_dir):
-    """The two closing lines of a run."""
-    rates = aggregates.period_rates(_reported(spark, sf_dir))
-    means = aggregates.mean_rates(rates, RUN, F.lit(1024))
-    published = reports.publish_latencies(recipes.sends(spark, sf_dir))
-    both = means.join(aggregates.run_latency(published, RUN, "latency_us"), RUN)
-    shown = {
-        "avg": F.col("latency_avg"), "50%": F.col("latency_50pct"),
-        "99.99%": F.col("latency_9999pct"), "Max": F.col("latency_max"),
+    """The three closing lines of a run."""
+    means = aggregates.mean_rates(aggregates.period_rates(_reported(spark, sf_dir)), RUN, F.lit(1024))
+    sides = {
+        "publish": reports.publish_latencies(recipes.sends(spark, sf_dir)),
+        "e2e": reports.e2e_latencies(recipes.receives(spark, sf_dir)),
     }
-    return both.select(
+    lines = means.select(
         *RUN,
         text.summary_line(
             F.col("publish_rate"), F.col("publish_mb_per_s"),
             F.col("consume_rate"), F.col("consume_mb_per_s"),
         ).alias("rates"),
-        text.latency_line("----- Aggregated Pub Latency", shown).alias("latency"),
     )
+    for title, name, side in (("Pub", "latency", "publish"), ("E2E", "e2e_latency", "e2e")):
+        shown = {n: F.col(column) for n, column in RUN_SHOWN.items()}
+        line = text.latency_line(f"----- Aggregated {title} Latency", shown).alias(name)
+        lines = lines.join(aggregates.run_latency(sides[side], RUN, "latency_us").select(*RUN, line), RUN)
+    return lines
 
 
 # --- windows -------------------------------------------------------------------------
