@@ -7,9 +7,9 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from fixtures import ALNUM, ODD, alnum, bag, blank, near_classes
+from fixtures import ODD, alnum, bag, blank, near_classes
 
-from tidewire.llm import bag_minhash, compression_bands, decontaminate, kneser_ney, language_id, license_scan, ngram_trie, toxicity, words
+from tidewire.llm import bag_minhash, compression_bands, decontaminate, kneser_ney, license_scan, ngram_trie, toxicity, words
 from tidewire.llm import queries as llm
 from tidewire.llm.elias_fano import EliasFano
 
@@ -177,12 +177,10 @@ def test_toxicity_of_held_out_documents(spark):
 def test_folding_and_exceptions():
     lexicon, exceptions = (("clown", 2.0), ("idiot", 3.0)), ("clown fish",)
     for text, weight in (
-        ("You 1D10T!", 3.0), ("an іdіot", 3.0), ("idi​ots", 3.0), ("a Clown-fish", 0.0), ("clown. fishing clown", 2.0),
+        ("You 1D10T!", 3.0), ("an іdіot", 3.0), ("idi\u200bots", 3.0), ("a Clown-fish", 0.0), ("clown. fishing clown", 2.0),
         ("clown fish and clown", 2.0), ("", 0.0), ("nonidiot", 0.0), ("ｉｄｉｏｔ", 3.0),
     ):
-        want = 0.0 if text == "clown. fishing clown" else weight
-        found = toxicity.weight_found(toxicity.folded(text), lexicon, exceptions)[0]
-        assert found == (2.0 if text == "clown. fishing clown" else want)
+        assert toxicity.weight_found(toxicity.folded(text), lexicon, exceptions)[0] == weight
 
 
 # --- op5 ------------------------------------------------------------------------------------
@@ -208,12 +206,12 @@ def test_quality_counts(documents):
 
 def test_bands_reject_repetition_and_noise():
     rng = random.Random(2)
-    noise = " ".join("".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=40)) for _ in range(300))
     loop = "".join(f"line {i % 7} says it all over again\n" for i in range(3000))
     unpacked = compression_bands.shares(loop.encode(), compression_bands.zstandard.ZstdCompressor(level=3))
     assert unpacked[0] < compression_bands.band(len(loop))[0]
-    out = compression_bands.judge([loop.encode(), rng.randbytes(20_000).replace(b" ", b"x")])
-    assert not out[6][0].as_py() and not out[6][1].as_py() and noise
+    prose = " ".join("".join(rng.choices("etaoinshr", k=rng.randint(2, 9))) for _ in range(300))
+    out = compression_bands.judge([loop.encode(), rng.randbytes(20_000), prose.encode()])
+    assert [kept.as_py() for kept in out[6]] == [False, False, True]
 
 
 # --- op7 ------------------------------------------------------------------------------------
@@ -369,4 +367,3 @@ def test_large_groups_equal_all_pairs(spark):
 def test_odd_classes(spark, odd_dir):
     got = {r.doc_id: r.class_id for r in QUERIES["op10_bag_minhash"](spark, odd_dir).collect() if r.doc_id is not None}
     assert got[2] == 1 and got[3] == 3 and got[4] == 4 and got[11] == 10 and got[14] == got[15] == 14 and got[16] == 16
-    assert ALNUM is not None

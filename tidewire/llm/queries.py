@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewire.llm import bag_minhash_queries, compression_queries, decontaminate_queries, kneser_ney_queries, language_queries, license_queries, mixing_queries, ngram_queries, sharding_queries, toxicity_queries  # noqa: F401  (registers on import)
+from tidewire.llm import (  # noqa: F401  (register on import)
+    bag_minhash_queries,
+    compression_queries,
+    decontaminate_queries,
+    kneser_ney_queries,
+    language_queries,
+    license_queries,
+    mixing_queries,
+    ngram_queries,
+    sharding_queries,
+    toxicity_queries,
+)
 from tidewire.llm.registry import ORACLES, QUERIES, Query
 from tidewire.session import configure
 
