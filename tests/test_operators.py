@@ -68,6 +68,18 @@ def test_dense_index_numbers_everything_once(spark):
     assert got == {v: (i, 700) for i, v in enumerate(sorted(ids))}
 
 
+def test_dense_index_of_sparse_and_crowded_ids(spark):
+    sparse = [i * 10**12 for i in range(3000)]
+    crowded = [*range(5000), 10**15, *(10**15 - i for i in range(1, 2000))]
+    for ids in (sparse, crowded, [7] * 50, []):
+        df = spark.createDataFrame([(i, n) for n, i in enumerate(ids)], "id bigint, n bigint")
+        got = sorted((r.idx, r.id, r.n) for r in scan.dense_index(df, "id", ties=["n"]).collect())
+        want = sorted((i, n) for n, i in enumerate(ids))
+        assert got == [(place, i, n) for place, (i, n) in enumerate(want)]
+        blocks = scan.with_ranked_block(df, "id").groupBy("_block").count().agg(F.max("count")).first()[0]
+        assert len(set(ids)) < 2 or blocks <= max(10, len(ids) // 100)
+
+
 def test_dense_index_has_no_global_sort_of_rows(spark):
     df = spark.range(1000)
     plan = scan.dense_index(df, "id", span=10)._jdf.queryExecution().optimizedPlan().toString()

@@ -8,14 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.functions.latency import whole_div
-from tidewire.operators.scan import DEFAULT_SPAN, dense_index
+from tidewire.operators.scan import dense_index
 
 _HASH_HEX_DIGITS = 15
-SHUFFLE_SPAN = 1 << 44  # 2^60 hash values in 65,536 blocks
 
 
 def assign_round_robin(
-    items: DataFrame, order: str, buckets: int, *, span: int = DEFAULT_SPAN
+    items: DataFrame, order: str, buckets: int, *, span: int | None = None
 ) -> DataFrame:
     """Item i goes to bucket i mod n; buckets beyond the items appear once, with NULLs.
 
@@ -33,7 +32,7 @@ def assign_round_robin(
 
 
 def assign_chunks(
-    items: DataFrame, order: str, *, size: Column, span: int = DEFAULT_SPAN
+    items: DataFrame, order: str, *, size: Column, span: int | None = None
 ) -> DataFrame:
     """Contiguous chunks of ``size`` items; ``size`` may refer to ``idx`` and ``total``."""
     numbered = dense_index(items, order, total="total", span=span)
@@ -45,7 +44,7 @@ def producers_per_chunk(processors: int) -> Column:
     return whole_div(F.col("total") + F.lit(processors - 1), processors)
 
 
-def worker_roles(workers: DataFrame, order: str, *, span: int = DEFAULT_SPAN) -> DataFrame:
+def worker_roles(workers: DataFrame, order: str, *, span: int | None = None) -> DataFrame:
     """First half of the workers produce, second half consume; an odd one is idle."""
     half = F.greatest(whole_div(F.col("total"), 2), F.lit(1))
     chunked = assign_chunks(workers, order, size=half, span=span)
@@ -84,9 +83,7 @@ def shuffle_assignments(items: DataFrame, ident: Sequence[str], seed: str) -> Da
     text = F.concat_ws("|", F.lit(seed), *[F.col(c).cast("string") for c in ident])
     drawn = F.conv(F.substring(F.sha2(text, 256), 1, _HASH_HEX_DIGITS), 16, 10).cast("bigint")
     ranked = items.withColumn("_drawn", drawn)
-    return dense_index(
-        ranked, "_drawn", ties=ident, name="position", span=SHUFFLE_SPAN
-    ).drop("_drawn")
+    return dense_index(ranked, "_drawn", ties=ident, name="position").drop("_drawn")
 
 
 def transaction_batches(events: DataFrame, producer: str, seq: str, size: int) -> DataFrame:

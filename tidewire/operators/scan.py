@@ -23,6 +23,7 @@ from tidewire.functions.latency import whole_div
 
 BLOCK = "_block"
 DEFAULT_SPAN = 1 << 16
+RANKED_BLOCKS = 1 << 10
 
 
 @dataclass(frozen=True)
@@ -53,6 +54,23 @@ def with_block(df: DataFrame, order: str, span: int) -> DataFrame:
     return df.withColumn(BLOCK, whole_div(F.col(order), span))
 
 
+def with_ranked_block(df: DataFrame, order: str) -> DataFrame:
+    """Blocks of about equally many rows, cut at approximate quantiles of the order column.
+
+    Unlike blocks of a fixed span they hold for ids that lie far apart or crowd together.
+    Values that agree in their first 53 bits share a block. The quantiles are one row, computed in the query.
+    """
+    shares = [i / RANKED_BLOCKS for i in range(1, RANKED_BLOCKS)]
+    bounds = df.agg(F.percentile_approx(order, F.lit(shares), F.lit(10_000))).scalar()
+    steps = F.lit([RANKED_BLOCKS >> i for i in range(1, RANKED_BLOCKS.bit_length())])
+
+    def halved(at: Column, step: Column) -> Column:
+        return F.when(F.element_at("_bounds", at + step) <= F.col(order), at + step).otherwise(at)
+
+    placed = df.withColumn("_bounds", bounds)
+    return placed.withColumn(BLOCK, F.aggregate(steps, F.lit(0), halved)).drop("_bounds")
+
+
 def _attach(blocked: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Every block has its totals, so the join keeps all rows. Being an inner join it
     puts the same filters on both sides, which lets them share one shuffle."""
@@ -140,13 +158,15 @@ def previous(
 
 def dense_index(
     df: DataFrame, order: str, *, ties: Sequence[str] = (), name: str = "idx",
-    total: str | None = None, span: int = DEFAULT_SPAN,
+    total: str | None = None, span: int | None = None,
 ) -> DataFrame:
     """Number all rows 0..N-1 in the order of a whole-number column, then of ``ties``.
 
+    Blocks are cut at quantiles of the column, or, with ``span``, at its multiples.
+
     ``total`` names an optional column for N. Only block totals meet in one task.
     """
-    blocked = with_block(df, order, span)
+    blocked = with_block(df, order, span) if span else with_ranked_block(df, order)
     totals = blocked.groupBy(BLOCK).agg(F.count(F.lit(1)).alias("_n"))
     earlier = Window.orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.orderBy(BLOCK).rowsBetween(

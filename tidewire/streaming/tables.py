@@ -96,8 +96,7 @@ def drain_progress(consumed: DataFrame, sent: DataFrame, drained_at: int) -> Dat
     """
     per_batch = consumed.groupBy("batch_id").agg(F.count(F.lit(1)).alias("received"))
     totals = running(per_batch, [], "batch_id", {"total_received": Running(F.col("received"))})
-    all_sent = sent.agg(F.count(F.lit(1)).alias("sent")).withColumn("_all", F.lit(0))
-    left = F.col("sent") - F.col("total_received")
-    return totals.withColumn("_all", F.lit(0)).join(all_sent, "_all").select(
+    left = sent.agg(F.count(F.lit(1))).scalar() - F.col("total_received")
+    return totals.select(
         "batch_id", "total_received", left.alias("backlog"), (left <= drained_at).alias("drained")
     )
