@@ -8,9 +8,9 @@ the landmarks' own kernel matrix. On these features one ridge regression per lan
 tells it from the rest. All of a text's pieces are scored, as products of matrices of many
 pieces, and their scores are averaged by length.
 
-The model is fitted on the driver to about SAMPLE documents of each language (at most
-MOST_SAMPLE in all, of at most LONGEST_SAMPLE characters), drawn by a hash of their ids; scores cover
-whole texts of all documents.
+The model is fitted on the driver to about SAMPLE documents of each of the MOST_LANGUAGES languages with
+most documents (at most MOST_SAMPLE in all, of at most LONGEST_SAMPLE characters), drawn by a hash of
+their ids; scores cover whole texts of all documents.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; null languages and
 ids are not learned from; equal texts get equal predictions; without anything to
@@ -36,6 +36,7 @@ SLOTS = 2048
 LANDMARKS = 160
 RIDGE = 1e-2
 SAMPLE = 600
+MOST_LANGUAGES = 1000
 MOST_SAMPLE = 20_000
 LONGEST_SAMPLE = 20_000
 #: Training pieces of one document, taken evenly over its text.
@@ -134,7 +135,7 @@ def sample(docs: DataFrame) -> DataFrame:
     return (
         known.filter(F.length("text").between(1, LONGEST_SAMPLE) & F.col("text").rlike(r"\p{L}"))
         .select("doc_id", "text", F.col("lang").cast("string").alias("lang"), chance.alias("chance"))
-        .join(F.broadcast(counts.orderBy(F.desc("n"), "_lang").limit(1000)), F.col("lang") == F.col("_lang"))
+        .join(F.broadcast(counts.orderBy(F.desc("n"), "_lang").limit(MOST_LANGUAGES)), F.col("lang") == F.col("_lang"))
         .filter(F.col("chance") < F.lit(float(SAMPLE)) / F.col("n"))
         .orderBy("chance", "doc_id", "text")
         .select("text", "lang")
