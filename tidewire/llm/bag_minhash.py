@@ -117,7 +117,7 @@ def signatures(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _bytes_and_node(docs: DataFrame) -> DataFrame:
-    return docs.select("node", F.col("text").cast("string").cast("binary").alias("text"))
+    return words.small_batches(docs).select("node", F.col("text").cast("string").cast("binary").alias("text"))
 
 
 def _pieces(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, list[bytes | None]]]:

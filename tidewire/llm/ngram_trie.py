@@ -290,7 +290,7 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", chunk_bytes
     size = docs.agg(F.sum(F.octet_length(F.col(text).cast("string"))).alias("bytes")).first()["bytes"] or 0
     parts = max(1, -(-size // chunk_bytes))
     rest = F.crc32(F.col(key).cast("string").cast("binary")) % F.lit(10)
-    rows = docs.select(
+    rows = words.small_batches(docs).select(
         F.pmod(F.xxhash64(F.col(key), F.col(text)), F.lit(parts)).cast("int").alias("chunk"),
         F.col(key).cast("long").alias("doc_id"),
         F.coalesce(rest == 0, F.lit(False)).alias("held_out"),

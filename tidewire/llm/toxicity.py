@@ -60,7 +60,7 @@ LONGEST_SAMPLE = 60_000
 #: Word beginnings: lengths, least toxic documents (as number and part), least log odds, and how many at most.
 BEGINNINGS = range(3, 11)
 LEAST_DOCUMENTS = 5
-LEAST_PART = 0.002
+LEAST_PART = 0.005
 LEAST_ODDS = 3.0
 #: Entries that a toxic document can have before it no longer speaks for further ones.
 COVERS = 3
@@ -131,26 +131,28 @@ def features(weight: float, n_words: int) -> tuple[float, float, float]:
     return 1.0, math.log1p(weight), math.log1p(100.0 * weight / (n_words + EXTRA_WORDS))
 
 
-def learned_lexicon(toxic: Sequence[set[str]], clean: Sequence[set[str]]) -> dict[str, float]:
-    """Word beginnings that mark toxic documents, with their log odds, from sets of folded words.
+def learned_lexicon(toxic: Sequence[str], clean: Sequence[str]) -> dict[str, float]:
+    """Word beginnings that mark toxic documents, with their log odds, from folded texts.
 
     Of beginnings that occur in the same documents the longest counts. They are taken by how many
     toxic documents they add to those that have COVERS entries already, so that
     words which merely come along in some copies of a document are left out.
     """
 
-    def beginnings(own: set[str]) -> set[str]:
-        return {w[:n] for w in own for n in BEGINNINGS if len(w) >= n}
+    def beginnings(text: str) -> set[str]:
+        return {w[:n] for w in set(text.split()) for n in BEGINNINGS if len(w) >= n}
 
     least = max(LEAST_DOCUMENTS, math.ceil(LEAST_PART * len(toxic)))
     bad: Counter[str] = Counter()
-    for own in toxic:
-        bad.update(beginnings(own))
-    bad = Counter({b: n for b, n in bad.items() if n >= least})
+    # Length by length: only what begins like a frequent one can be frequent.
+    for n in BEGINNINGS:
+        found: Counter[str] = Counter()
+        for text in toxic:
+            found.update({w[:n] for w in set(text.split()) if len(w) >= n and (n == BEGINNINGS[0] or w[: n - 1] in bad)})
+        bad.update({b: count for b, count in found.items() if count >= least})
     good: Counter[str] = Counter()
-    among = set(bad)
-    for own in clean:
-        good.update(beginnings(own) & among)
+    for text in clean:
+        good.update(beginnings(text) & bad.keys())
     longer: Counter[str] = Counter()
     for b, n in bad.items():
         longer[b[:-1]] = max(longer[b[:-1]], n)
@@ -166,8 +168,8 @@ def learned_lexicon(toxic: Sequence[set[str]], clean: Sequence[set[str]]) -> dic
             if n < len(b) and bad[b] >= 0.8 * bad[b[:n]] and x >= odds.get(b[:n], x) + 1.0:
                 del odds[b[:n]]
     where: dict[str, set[int]] = {b: set() for b in odds}
-    for number, own in enumerate(toxic):
-        for b in beginnings(own) & where.keys():
+    for number, text in enumerate(toxic):
+        for b in beginnings(text) & where.keys():
             where[b].add(number)
     covers: Counter[int] = Counter()
     chosen: dict[str, float] = {}
@@ -208,7 +210,7 @@ def fitted_curve(rows: np.ndarray, labels: np.ndarray) -> tuple[float, float, fl
 def fit(texts: Sequence[str], labels: Sequence[int]) -> Model:
     """The model of some labelled texts."""
     split = list(dict.fromkeys((folded(t), y) for t, y in sorted(zip(texts, labels, strict=True))))
-    found = learned_lexicon([set(t.split()) for t, y in split if y], [set(t.split()) for t, y in split if not y])
+    found = learned_lexicon([t for t, y in split if y], [t for t, y in split if not y])
     lexicon = tuple(sorted({**{w: SEED_WEIGHT for w in SEED_WORDS}, **found}.items()))
     exceptions = tuple(sorted(EXCEPTIONS))
     rows = np.array([features(*weight_found(t, lexicon, exceptions)) for t, _ in split]).reshape(-1, 3)

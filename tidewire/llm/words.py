@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SEGMENT = 1 << 20
+BATCH_ROWS = 500
 BASE = 0x9E3779B97F4A7C15
 U64 = np.uint64
 
@@ -123,6 +124,16 @@ def parts(lengths: np.ndarray, most: int = SEGMENT) -> Iterator[tuple[int, int]]
         at = end
 
 
+def small_batches(docs: DataFrame) -> DataFrame:
+    """``docs``, in a session that hands BATCH_ROWS rows at a time to Python.
+
+    Whole documents are long; a batch of the usual 10,000 would take hundreds of
+    megabytes on both sides of each running task.
+    """
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return docs
+
+
 def per_document(
     docs: DataFrame,
     keep: Sequence[str],
@@ -151,4 +162,4 @@ def per_document(
                 old = [c.slice(start, end - start) for c in batch.columns[:-1]]
                 yield pa.RecordBatch.from_arrays([*old, *made], names=columns)
 
-    return rows.mapInArrow(run, schema)
+    return small_batches(rows).mapInArrow(run, schema)
