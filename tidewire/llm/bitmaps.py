@@ -21,9 +21,6 @@ class Bitmap:
     def __getstate__(self) -> dict:
         return {"packed": self.packed, "bits": self.bits, "table": None}
 
-    def __contains__(self, hashed: int) -> bool:
-        return bool(self.has(np.array([hashed], np.uint64))[0])
-
     def has(self, hashes: np.ndarray) -> np.ndarray:
         """Whether each of the hashes may be in the set."""
         if self.table is None:

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewire.llm import words
+from tidewire.llm.bitmaps import Bitmap, bitmap
 from tidewire.llm.tables import checked_broadcast
 
 LEAST_TILE = 5
@@ -48,7 +49,7 @@ def fingerprint(text: Column) -> Column:
     return F.xxhash64(text.cast("string"))
 
 
-def _seeds(rows: DataFrame, keep: list[str], bitmap: _Bits | None = None) -> DataFrame:
+def _seeds(rows: DataFrame, keep: list[str], known: Bitmap | None = None) -> DataFrame:
     """``keep`` and each seed of ``text``, with its first word and the text's words."""
     schema = T.StructType([*(rows.schema[c] for c in keep), *_SEED])
     rows = rows.select(*keep, F.col("text").cast("string").cast("binary").alias("text"))
@@ -60,43 +61,14 @@ def _seeds(rows: DataFrame, keep: list[str], bitmap: _Bits | None = None) -> Dat
             for start, end in words.parts(lengths):
                 h, bounds = words.hashes(texts.slice(start, end - start).to_pylist(), words.ALNUM)
                 seed, first, text = words.runs(h, bounds, LEAST_TILE)
-                if bitmap is not None:
-                    passed = np.flatnonzero(bitmap[(seed >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)])
+                if known is not None:
+                    passed = np.flatnonzero(known.has(seed))
                     seed, first, text = seed[passed], first[passed], text[passed]
                 made = [seed.view(np.int64), (first - bounds[text]).astype(np.int32), np.diff(bounds)[text].astype(np.int32)]
                 kept = [c.take(pa.array(text + start)) for c in batch.columns[:-1]]
                 yield pa.RecordBatch.from_arrays([*kept, *map(pa.array, made)], names=schema.names)
 
-    return rows.mapInArrow(run, schema)
-
-
-def _bitmap(seeds: DataFrame) -> np.ndarray:
-    """One bit for each value of a seed's upper bits: whether the benchmark has it."""
-    bit = F.shiftrightunsigned("seed", 64 - BITMAP_BITS)
-    long_words = (
-        seeds.groupBy(F.shiftright(bit, 6).alias("word"))
-        .agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(seed, {64 - BITMAP_BITS}) & 63 AS int))")).alias("bits"))
-        .toPandas()  # at most 2^BITMAP_BITS / 64 rows
-    )
-    packed = np.zeros((1 << BITMAP_BITS) // 64, np.uint64)
-    packed[long_words["word"].to_numpy(np.int64)] = long_words["bits"].to_numpy(np.int64).view(np.uint64)
-    return packed
-
-
-class _Bits:
-    """The packed bitmap as sent to the workers; unpacked there once."""
-
-    def __init__(self, packed: np.ndarray) -> None:
-        self.packed = packed
-        self.table: np.ndarray | None = None
-
-    def __getstate__(self) -> dict:
-        return {"packed": self.packed, "table": None}
-
-    def __getitem__(self, at: np.ndarray) -> np.ndarray:
-        if self.table is None:
-            self.table = np.unpackbits(self.packed.view(np.uint8), bitorder="little").view(bool)
-        return self.table[at]
+    return words.small_batches(rows).mapInArrow(run, schema)
 
 
 def tiles(matches: list[tuple[int, int]], k: int = LEAST_TILE) -> list[tuple[int, int, int]]:
@@ -140,10 +112,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least_covered: float = LEAST
     """Pairs (key, text_id, item, covered, tiles, longest_tile, item_words) with enough coverage."""
     items = benchmark.select(F.col(item).alias("item"), "text")
     item_seeds = _seeds(items, ["item"]).withColumnsRenamed({"at": "item_at", "n_words": "item_words"})
-    bits = _Bits(_bitmap(item_seeds))
+    known = bitmap(item_seeds.select("seed"), BITMAP_BITS)
     rows = docs.select(F.col(key).alias("key"), fingerprint(F.col("text")).alias("text_id"), "text")
     salt = F.pmod(F.xxhash64("text_id", "at"), F.lit(SALTS)).cast("int")
-    found = _seeds(rows, ["key", "text_id"], bits).drop("n_words").withColumn("salt", salt)
+    found = _seeds(rows, ["key", "text_id"], known).drop("n_words").withColumn("salt", salt)
     salted = item_seeds.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
     pairs = (
         found.join(salted, ["seed", "salt"])
