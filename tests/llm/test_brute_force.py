@@ -3,6 +3,7 @@
 import math
 import random
 import zlib
+from base64 import b64encode
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -214,6 +215,21 @@ def test_bands_reject_repetition_and_noise():
     assert [kept.as_py() for kept in out[6]] == [False, False, True]
 
 
+def test_bands_reject_noise_in_valid_text():
+    rng = random.Random(8)
+    printable = [chr(c) for c in range(33, 127)]
+    for n in (170, 250, 400, 499, 700, 999, 1500, 2999, 4096, 20_000, 200_000):
+        base64 = b64encode(rng.randbytes(n)).decode()
+        for noise in (base64, "".join(rng.choices(printable, k=n))):
+            dump = " ".join(noise[i : i + 7] for i in range(0, n, 7))[:n].encode()
+            out = compression_bands.judge([dump])
+            assert not out[5][0].as_py() and not out[6][0].as_py(), (n, out[7][0].as_py())
+    # Chunks of noise between lines of prose.
+    prose = " ".join("".join(rng.choices("etaoinshr", k=rng.randint(2, 9))) for _ in range(3000))[:8192]
+    mixed = prose.encode() + b64encode(rng.randbytes(9216))
+    assert compression_bands.shares(mixed, compression_bands.zstandard.ZstdCompressor(level=3))[1] == 0.6
+
+
 # --- op7 ------------------------------------------------------------------------------------
 
 

@@ -24,9 +24,12 @@ from tidewire.llm import words
 
 LEVEL = 3
 CHUNK = 4096
-#: From so many bytes: least and most compressed share.
-BANDS = ((0, 0.0, 9.0), (100, 0.30, 1.15), (500, 0.25, 0.95), (3000, 0.20, 0.90), (50_000, 0.15, 0.85))
-CHUNK_BAND = (0.15, 0.90)
+#: From so many bytes: least compressed share.
+LEAST = ((0, 0.0), (100, 0.30), (500, 0.25), (3000, 0.20), (50_000, 0.15))
+#: At so many bytes: most compressed share, on lines over the logarithm of the length. The limits lie between prose
+#: and noise in valid text (base64, random letters and digits, random ASCII or CJK); shorter texts have none.
+MOST = ((100, 1.03), (150, 0.97), (200, 0.92), (300, 0.86), (500, 0.79), (1000, 0.73), (3000, 0.68))
+CHUNK_BAND = (0.15, 0.68)
 MOST_BAD_CHUNKS = 0.5
 
 RUN = 8
@@ -66,7 +69,11 @@ def repeated_words(texts: Sequence[bytes | None]) -> tuple[np.ndarray, np.ndarra
 
 
 def band(length: int) -> tuple[float, float]:
-    return next((low, high) for start, low, high in reversed(BANDS) if length >= start)
+    low = next(low for start, low in reversed(LEAST) if length >= start)
+    if length < MOST[0][0]:
+        return low, 9.0
+    lengths, highs = zip(*MOST, strict=True)
+    return low, float(np.interp(np.log(length), np.log(lengths), highs))
 
 
 def shares(text: bytes, packer: zstandard.ZstdCompressor) -> tuple[float, float]:
