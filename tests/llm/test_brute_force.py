@@ -7,6 +7,8 @@ from base64 import b64encode
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 import pytest
 from fixtures import ODD, alnum, bag, blank, near_classes
 
@@ -285,6 +287,50 @@ def test_number_of_chunks_changes_little(spark):
     assert sum(r.score for r in few.values()) == pytest.approx(sum(r.score for r in many.values()), rel=0.02)
 
 
+def packed(number, rows):
+    """What a chunk sends to one shard, from rows (word, count, {successor: count})."""
+    rows = sorted(rows)
+    pairs = [sorted(r[2].items()) for r in rows]
+    columns = {
+        "hashes": np.array([r[0] for r in rows], np.uint64), "ones": np.array([r[1] for r in rows], ngram_trie.COUNT),
+        "lengths": np.array([len(p) for p in pairs], np.uint32),
+        "successors": ngram_trie._narrow(np.array([w for p in pairs for w, _ in p], np.uint64)),
+        "twos": np.array([c for p in pairs for _, c in p], ngram_trie.COUNT),
+    }
+    row = {name: pa.array([ngram_trie._zip(x)], pa.binary()) for name, x in columns.items()}
+    return pa.table({"shard": pa.array([0], pa.int32()), "chunk": pa.array([number], pa.int32()), **row})
+
+
+def score_of_rare(begun):
+    """The row of the text "rare", and its plain base score and score, if ``begun`` texts begin, and a quarter ends at once."""
+    rare, end, start = int(words.hashes([b"rare"], words.BLANK_LOWER)[0][0]), ngram_trie.END, ngram_trie.START
+    asked = pa.concat_tables([
+        packed(0, [(start, 1, {rare: 1}), (rare, 1, {end: 1}), (end, 1, {})]),
+        packed(1, [(start, begun - 1, {end: begun // 4}), (end, begun // 4, {})]),
+    ])
+    replies = ngram_trie.answers(asked)
+    docs = pa.table({"text": pa.array([b"rare"]), "doc_id": pa.array([1]), "held_out": pa.array([False])})
+    row = ngram_trie.scores(docs, replies.filter(pa.compute.equal(replies["chunk"], 0))).to_pylist()[0]
+    tokens = begun // 4 + 2
+    alone = [1.1 / (tokens + 0.3), (begun // 4 + 1.1) / (tokens + 0.3)]
+    d = ngram_trie.DEFAULT_DISCOUNT
+    plain = math.log10((1 - d + 2 * d * alone[0]) / begun) + math.log10(1 - d + d * alone[1])
+    return row, sum(map(math.log10, alone)), plain
+
+
+def test_rare_pairs_of_a_very_frequent_word():
+    row, _, plain = score_of_rare(3_000_000_000)
+    assert row["score"] == pytest.approx(plain, rel=1e-6)
+
+
+def test_codes_follow_the_largest_count():
+    for most in (1, 64, 65, 10**6, 10**13):
+        counts = np.unique(np.geomspace(1, most, 5000).astype(np.int64))
+        back = ngram_trie.decoded(ngram_trie.codes(counts, most), most)
+        assert (back[counts <= ngram_trie.EXACT] == counts[counts <= ngram_trie.EXACT]).all()
+        assert np.abs(back / counts - 1).max() < 0.08
+
+
 # --- op8 ------------------------------------------------------------------------------------
 
 

@@ -2,10 +2,10 @@
 
 The trie has two levels: words, and the successors of each word. A word's successors are a
 rising sequence; with the word's rank in front of them all successors of a shard are one
-rising sequence, and rising pointers tell where a word's successors begin. Words, pointers and successors
-are Elias-Fano sequences; the smoothed probabilities of pairs and the weights of the shorter n-gram
-are logarithms in 8 bits. The levels of a shard lie in one file, which is mapped
-into memory while it is asked.
+rising sequence, and rising pointers tell where a word's successors begin, and so their number. Words, pointers and
+successors are Elias-Fano sequences; the counts of pairs are codes of 8 bits: small counts as they are, larger
+ones as logarithms up to the shard's largest count, which is part of the trie. So no probability is cut off,
+however often a word occurs. The levels of a shard lie in one file, which is mapped into memory while it is asked.
 
     p(w | v) = (c(v w) - d) / c(v) + d * s(v) / c(v) * p(w)        p(w) = (c(w) + 0.1) / (N + 0.1 (V + 1))
 
@@ -14,7 +14,7 @@ with s(v) the number of v's successors and d the share of pairs seen once, n1 /
 The work is cut twice. Documents are dealt by hash to chunks; a chunk reduces its texts to sorted
 distinct words and pairs with their training counts and sends each shard its stretch of them, packed. A shard (a range of word
 hashes, with the pairs that begin with its words) adds the chunks' counts up, builds its trie
-and answers each chunk with counts and 8-bit codes in the order of the questions. The chunk
+and answers each chunk with counts, numbers of successors and 8-bit codes in the order of the questions. The chunk
 meets its documents again, and scores them. Each part depends on a bounded share of the input; there is
 nothing on the driver but two numbers to choose the parts by. Words are known by 64 bits, and a word's
 successors by 40.
@@ -43,9 +43,11 @@ from tidewire.llm.elias_fano import EliasFano
 CHUNK = 16 << 20
 ADDED = 0.1
 SUCCESSOR_BITS = 40
-#: An 8-bit code c stands for 10^(-LEAST_LOG * ((c - 1) / 254)^2), finest near 1; 0 stands for nothing.
-LEAST_LOG = 7.0
+#: Codes up to here are counts; those above it are spaced evenly, as logarithms, up to the largest count.
+EXACT = 64
 DEFAULT_DISCOUNT = 0.75
+#: What counts are kept and sent in.
+COUNT = np.uint32
 U64 = np.uint64
 END = 0xE3D5A1B7C9F08642
 START = 0x5B8C3F1E7A2D9046
@@ -96,7 +98,7 @@ class Chunk:
         taken = np.repeat(training, self.ends - self.starts)
         one = np.bincount(self.word[taken], minlength=len(self.words))
         one[self.start] = training.sum()
-        return one.astype(np.uint32), np.bincount(self.pair[taken], minlength=len(self.first)).astype(np.uint32)
+        return one.astype(COUNT), np.bincount(self.pair[taken], minlength=len(self.first)).astype(COUNT)
 
     def edges(self, shards: int) -> np.ndarray:
         """Where each shard's words begin, and at last their number."""
@@ -131,12 +133,16 @@ def questions(table: pa.Table, shards: int) -> pa.Table:
     })
 
 
-def codes(share: np.ndarray) -> np.ndarray:
-    log = np.clip(-np.log10(np.maximum(share, 1e-30)), 0.0, LEAST_LOG)
-    return (np.rint(254 * np.sqrt(log / LEAST_LOG)) + 1).astype(np.uint8)
+def codes(counts: np.ndarray, most: int) -> np.ndarray:
+    """8-bit codes of counts from 1 to ``most``."""
+    log = np.log(np.maximum(counts, EXACT) / EXACT) / np.log(max(most, 2 * EXACT) / EXACT)
+    return np.where(counts <= EXACT, counts, EXACT + np.rint((255 - EXACT) * log)).astype(np.uint8)
 
 
-_DECODED = np.concatenate([[0.0], 10.0 ** (-LEAST_LOG * (np.arange(255) / 254) ** 2)])
+def decoded(codes: np.ndarray, most: int) -> np.ndarray:
+    """The counts that codes stand for; 0 is no count."""
+    above = EXACT * (max(most, 2 * EXACT) / EXACT) ** (np.arange(1, 256 - EXACT) / (255 - EXACT))
+    return np.concatenate([np.arange(EXACT + 1.0), above])[codes]
 
 
 class Trie:
@@ -149,13 +155,11 @@ class Trie:
         """Write the trie of trained words (sorted) and pairs (rank of the first, successor; sorted)."""
         low = int(hashes[0]) if len(hashes) else 0
         top = int(hashes[-1]) - low + 1 if len(hashes) else 1
-        n1, n2 = int((twos == 1).sum()), int((twos == 2).sum())
-        discount = n1 / (n1 + 2.0 * n2) if n1 and n2 else DEFAULT_DISCOUNT
         per_word = np.bincount(first, minlength=len(hashes))
         pointers = np.concatenate([[0], np.cumsum(per_word)])
-        total = np.maximum(ones, 1).astype(np.float64)
         relative = (first.astype(U64) << U64(SUCCESSOR_BITS)) | successors
-        arrays = [np.array([low], U64)]
+        most = int(twos.max()) if len(twos) else 1
+        arrays = [np.array([low, most], U64)]
         for values, universe in (
             (hashes - U64(low), top),
             (pointers, len(first) + 1),
@@ -163,35 +167,34 @@ class Trie:
         ):
             n, width, lower, upper = EliasFano.parts(values, universe)
             arrays += [np.array([n, width], np.int64), lower, upper]
-        arrays += [ones, codes(discount * per_word / total), codes((twos - discount) / total[first])]
+        arrays += [ones, codes(twos, most)]
         with open(path, "wb") as file:
             for array in arrays:
                 np.save(file, array, allow_pickle=False)
 
     def __init__(self, path: str) -> None:
         arrays = list(_mapped(path))
-        self.low = arrays[0][0]
+        self.low, self.most = arrays[0][0], int(arrays[0][1])
         for i, name in enumerate(self.LEVELS):
             (n, width), lower, upper = arrays[1 + 3 * i : 4 + 3 * i]
             setattr(self, name, EliasFano(int(n), int(width), lower, upper))
-        self.ones, self.weights, self.shares = arrays[10:]
+        self.ones, self.twos = arrays[10:]
 
     def ask(self, hashes: np.ndarray, lengths: np.ndarray, successors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Counts and weight codes of words, and share codes of pairs (for each word some successors)."""
+        """Counts of words, numbers of their successors, and count codes of pairs (for each word some successors)."""
         rank = self.words.find(hashes - self.low)
         rank[hashes < self.low] = -1
         known = rank >= 0
-        ones, weights = np.zeros(len(hashes), np.uint32), np.zeros(len(hashes), np.uint8)
-        ones[known], weights[known] = self.ones[rank[known]], self.weights[rank[known]]
-        # A successor is looked for from its word's pointer on.
-        has_next = np.zeros(len(hashes), bool)
-        has_next[known] = self.pointers.get(rank[known] + 1) > self.pointers.get(rank[known])
-        of = np.repeat(np.where(has_next, rank, -1), lengths)
+        ones, spread = np.zeros(len(hashes), COUNT), np.zeros(len(hashes), np.int64)
+        ones[known] = self.ones[rank[known]]
+        spread[known] = self.pointers.get(rank[known] + 1) - self.pointers.get(rank[known])
+        # Only words with successors are asked for them.
+        of = np.repeat(np.where(spread > 0, rank, -1), lengths)
         asked = np.flatnonzero(of >= 0)
         at = self.successors.find((of[asked].astype(U64) << U64(SUCCESSOR_BITS)) | successors[asked])
-        shares = np.zeros(len(successors), np.uint8)
-        shares[asked[at >= 0]] = self.shares[at[at >= 0]]
-        return ones, weights, shares
+        twos = np.zeros(len(successors), np.uint8)
+        twos[asked[at >= 0]] = self.twos[at[at >= 0]]
+        return ones, spread, twos
 
 
 def _mapped(path: str) -> Iterator[np.ndarray]:
@@ -214,9 +217,9 @@ def answers(table: pa.Table) -> pa.Table:
     lengths = [_unzip(x, np.uint32) for x in columns["lengths"]]
     successors = [_wide(_unzip(x, np.uint8)) for x in columns["successors"]]
     all_words, place = np.unique(np.concatenate(hashes), return_inverse=True)
-    ones = np.bincount(place, weights=np.concatenate([_unzip(x, np.uint32) for x in columns["ones"]]), minlength=len(all_words)).astype(np.int64)
+    ones = np.bincount(place, weights=np.concatenate([_unzip(x, COUNT) for x in columns["ones"]]), minlength=len(all_words)).astype(np.int64)
     # Only what occurs in training texts is in the trie.
-    twos = np.concatenate([_unzip(x, np.uint32) for x in columns["twos"]])
+    twos = np.concatenate([_unzip(x, COUNT) for x in columns["twos"]])
     trained = np.flatnonzero(twos)
     first = np.repeat(place, np.concatenate(lengths).astype(np.int64))[trained]
     ranks = np.cumsum(ones > 0) - 1
@@ -226,10 +229,11 @@ def answers(table: pa.Table) -> pa.Table:
     with tempfile.TemporaryDirectory() as folder:
         path = os.path.join(folder, "trie")
         Trie.write(
-            path, all_words[known], np.minimum(ones[known], 0xFFFFFFFF).astype(np.uint32),
+            path, all_words[known], np.minimum(ones[known], 0xFFFFFFFF).astype(COUNT),
             (pairs >> U64(SUCCESSOR_BITS)).astype(np.int64), pairs & U64((1 << SUCCESSOR_BITS) - 1), counts,
         )
         trie = Trie(path)
+        most = trie.most
         replies = [[_zip(a) for a in trie.ask(*asked)] for asked in zip(hashes, lengths, successors, strict=True)]
         del trie
     start = all_words == U64(START)
@@ -239,8 +243,11 @@ def answers(table: pa.Table) -> pa.Table:
         "tokens": pa.array([int(ones[~start].sum())] * len(replies), pa.int64()),
         "words": pa.array([int((known & ~start).sum())] * len(replies), pa.int64()),
         "ones": pa.array([r[0] for r in replies], pa.binary()),
-        "weights": pa.array([r[1] for r in replies], pa.binary()),
-        "shares": pa.array([r[2] for r in replies], pa.binary()),
+        "spread": pa.array([r[1] for r in replies], pa.binary()),
+        "twos": pa.array([r[2] for r in replies], pa.binary()),
+        "most": pa.array([most] * len(replies), pa.int64()),
+        "once": pa.array([int((counts == 1).sum())] * len(replies), pa.int64()),
+        "twice": pa.array([int((counts == 2).sum())] * len(replies), pa.int64()),
     })
 
 
@@ -254,12 +261,20 @@ def scores(docs: pa.Table, replies: pa.Table) -> pa.Table:
     def joined(name: str, kind: type) -> np.ndarray:
         return np.concatenate([_unzip(x, kind) for x in replies.column(name).to_pylist()])
 
-    one, weight, share = joined("ones", np.uint32), joined("weights", np.uint8), joined("shares", np.uint8)
+    one, spread = joined("ones", COUNT), joined("spread", np.int64)
     n, v = sum(replies.column("tokens").to_pylist()), sum(replies.column("words").to_pylist())
     alone = (one + ADDED) / (n + ADDED * (v + 1))
+    two, discount = [], []
+    for reply in replies.select(["twos", "most", "once", "twice"]).to_pylist():
+        two.append(decoded(_unzip(reply["twos"], np.uint8), reply["most"]))
+        n1, n2 = reply["once"], reply["twice"]
+        discount.append(np.full(len(two[-1]), n1 / (n1 + 2.0 * n2) if n1 and n2 else DEFAULT_DISCOUNT))
+    two, discount = np.concatenate(two), np.concatenate(discount)
+    total, next_ = np.maximum(one, 1)[chunk.first], alone[chunk.second]
     both = np.where(
-        weight[chunk.first] > 0, _DECODED[share] + _DECODED[weight[chunk.first]] * alone[chunk.second], alone[chunk.second]
-    )
+        spread[chunk.first] > 0,
+        (np.maximum(two - discount, 0.0) + discount * spread[chunk.first] * next_) / total, next_,
+    )
 
     def summed(values: np.ndarray) -> np.ndarray:
         return np.add.reduceat(values, chunk.starts)  # every document has its end token
@@ -302,7 +317,8 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", chunk_bytes
         "shard int, chunk int, hashes binary, ones binary, lengths binary, successors binary, twos binary",
     )
     replied = asked.groupBy("shard").applyInArrow(
-        answers, "chunk int, shard int, tokens long, words long, ones binary, weights binary, shares binary"
+        answers,
+        "chunk int, shard int, tokens long, words long, ones binary, spread binary, twos binary, most long, once long, twice long",
     )
     # Both reads of the documents come from one exchange by chunk.
     return (
