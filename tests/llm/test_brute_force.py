@@ -323,6 +323,12 @@ def test_rare_pairs_of_a_very_frequent_word():
     assert row["score"] == pytest.approx(plain, rel=1e-6)
 
 
+def test_counts_beyond_32_bits():
+    row, base, plain = score_of_rare(60_000_000_000)
+    assert row["base_score"] == pytest.approx(base, rel=1e-12)
+    assert row["score"] == pytest.approx(plain, rel=1e-6)
+
+
 def test_codes_follow_the_largest_count():
     for most in (1, 64, 65, 10**6, 10**13):
         counts = np.unique(np.geomspace(1, most, 5000).astype(np.int64))

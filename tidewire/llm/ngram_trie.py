@@ -46,8 +46,8 @@ SUCCESSOR_BITS = 40
 #: Codes up to here are counts; those above it are spaced evenly, as logarithms, up to the largest count.
 EXACT = 64
 DEFAULT_DISCOUNT = 0.75
-#: What counts are kept and sent in.
-COUNT = np.uint32
+#: What counts are kept and sent in; zstd takes out the zeros above small ones.
+COUNT = np.int64
 U64 = np.uint64
 END = 0xE3D5A1B7C9F08642
 START = 0x5B8C3F1E7A2D9046
@@ -217,19 +217,19 @@ def answers(table: pa.Table) -> pa.Table:
     lengths = [_unzip(x, np.uint32) for x in columns["lengths"]]
     successors = [_wide(_unzip(x, np.uint8)) for x in columns["successors"]]
     all_words, place = np.unique(np.concatenate(hashes), return_inverse=True)
-    ones = np.bincount(place, weights=np.concatenate([_unzip(x, COUNT) for x in columns["ones"]]), minlength=len(all_words)).astype(np.int64)
+    ones = np.bincount(place, weights=np.concatenate([_unzip(x, COUNT) for x in columns["ones"]]), minlength=len(all_words)).astype(COUNT)
     # Only what occurs in training texts is in the trie.
     twos = np.concatenate([_unzip(x, COUNT) for x in columns["twos"]])
     trained = np.flatnonzero(twos)
     first = np.repeat(place, np.concatenate(lengths).astype(np.int64))[trained]
     ranks = np.cumsum(ones > 0) - 1
     pairs, at = np.unique((ranks[first].astype(U64) << U64(SUCCESSOR_BITS)) | np.concatenate(successors)[trained], return_inverse=True)
-    counts = np.bincount(at, weights=twos[trained], minlength=len(pairs)).astype(np.int64)
+    counts = np.bincount(at, weights=twos[trained], minlength=len(pairs)).astype(COUNT)
     known = ones > 0
     with tempfile.TemporaryDirectory() as folder:
         path = os.path.join(folder, "trie")
         Trie.write(
-            path, all_words[known], np.minimum(ones[known], 0xFFFFFFFF).astype(COUNT),
+            path, all_words[known], ones[known],
             (pairs >> U64(SUCCESSOR_BITS)).astype(np.int64), pairs & U64((1 << SUCCESSOR_BITS) - 1), counts,
         )
         trie = Trie(path)
