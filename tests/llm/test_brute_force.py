@@ -12,7 +12,7 @@ import pyarrow.compute
 import pytest
 from fixtures import ODD, alnum, bag, blank, near_classes
 
-from tidewire.llm import bag_minhash, compression_bands, decontaminate, kneser_ney, license_scan, ngram_trie, toxicity, words
+from tidewire.llm import bag_minhash, compression_bands, decontaminate, kneser_ney, language_id, license_scan, ngram_trie, toxicity, words
 from tidewire.llm import queries as llm
 from tidewire.llm.elias_fano import EliasFano
 
@@ -161,6 +161,18 @@ def test_languages_of_held_out_documents(spark, documents):
     assert sum(r.lang_pred == documents[r.doc_id].lang for r in held) / len(held) > 0.97
 
 
+def test_rare_languages_are_learned_from(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "SAMPLE", 100)
+    monkeypatch.setattr(language_id, "MOST_SAMPLE", 500)
+    sizes = {f"l{i:02}": 2000 if i < 44 else 8 for i in range(50)}
+    rows = [(doc, lang) for doc, lang in enumerate(lang for lang, n in sizes.items() for _ in range(n))]
+    docs = spark.createDataFrame([(doc, f"text {doc}", lang) for doc, lang in rows], "doc_id long, text string, lang string")
+    found = Counter(r.lang for r in language_id.sample(docs).collect())
+    left = Counter(lang for doc, lang in rows if zlib.crc32(str(doc).encode()) % 4 != 2)
+    assert set(found) == set(sizes) and sum(found.values()) <= 500
+    assert all(found[lang] == left[lang] for lang, n in sizes.items() if n == 8)
+
+
 def test_texts_without_letters_have_no_language(spark, odd_dir):
     rows = {r.doc_id: r for r in QUERIES["op3_language_id"](spark, odd_dir).collect()}
     assert [rows[i].lang_pred for i in (1, 2, 3, 9)] == ["und"] * 4 and rows[1].score == 0

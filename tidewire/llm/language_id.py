@@ -9,8 +9,8 @@ tells it from the rest. All of a text's pieces are scored, as products of matric
 pieces, and their scores are averaged by length.
 
 The model is fitted on the driver to about SAMPLE documents of each of the MOST_LANGUAGES languages with
-most documents (at most MOST_SAMPLE in all, of at most LONGEST_SAMPLE characters), drawn by a hash of
-their ids; scores cover whole texts of all documents.
+most documents (an equal share of MOST_SAMPLE, where that is less; of at most LONGEST_SAMPLE characters), drawn by a hash of
+their ids; rarer languages give all they have. Scores cover whole texts of all documents.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; null languages and
 ids are not learned from; equal texts get equal predictions; without anything to
@@ -24,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -126,18 +126,23 @@ def held_out(doc_id: Column) -> Column:
 
 
 def sample(docs: DataFrame) -> DataFrame:
-    """Rows (text, lang) to learn from: about SAMPLE of each language, MOST_SAMPLE in all."""
+    """Rows (text, lang) to learn from: about SAMPLE of each language or its share of MOST_SAMPLE, or all it has."""
     known = docs.filter(
         F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))
     )
     counts = known.groupBy(F.col("lang").alias("_lang")).agg(F.count(F.lit(1)).alias("n"))
+    taken = counts.orderBy(F.desc("n"), "_lang").limit(MOST_LANGUAGES)
+    languages = F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))  # of MOST_LANGUAGES rows at most
+    taken = taken.withColumn("rows", F.least(F.lit(float(SAMPLE)), F.lit(float(MOST_SAMPLE)) / languages))
     chance = F.pmod(F.xxhash64(F.lit("language"), F.col("doc_id")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     return (
         known.filter(F.length("text").between(1, LONGEST_SAMPLE) & F.col("text").rlike(r"\p{L}"))
         .select("doc_id", "text", F.col("lang").cast("string").alias("lang"), chance.alias("chance"))
-        .join(F.broadcast(counts.orderBy(F.desc("n"), "_lang").limit(MOST_LANGUAGES)), F.col("lang") == F.col("_lang"))
-        .filter(F.col("chance") < F.lit(float(SAMPLE)) / F.col("n"))
-        .orderBy("chance", "doc_id", "text")
+        .join(F.broadcast(taken), F.col("lang") == F.col("_lang"))
+        # A language's rows come at the numbers 0 to n, so what the draws give beyond the bound is cut from the largest ones.
+        .withColumn("nth", F.col("chance") * F.col("n"))
+        .filter(F.col("nth") < F.col("rows"))
+        .orderBy("nth", "doc_id", "text")
         .select("text", "lang")
         .limit(MOST_SAMPLE)
     )
