@@ -341,6 +341,36 @@ def test_counts_beyond_32_bits():
     assert row["score"] == pytest.approx(plain, rel=1e-6)
 
 
+def test_pairs_of_a_frequent_word_go_to_many_shards():
+    rng = random.Random(3)
+    text = [" ".join(x for i in range(300) for x in ("the", f"w{rng.randrange(5000)}")).encode() for _ in range(30)]
+    table = pa.table({
+        "text": pa.array(text), "training": pa.array([i % 10 > 0 for i in range(30)]), "chunk": pa.array([i % 2 for i in range(30)], pa.int32()),
+        "doc_id": pa.array(range(30)), "held_out": pa.array([i % 10 == 0 for i in range(30)]),
+    })
+    the = int(words.hashes([b"the"], words.BLANK_LOWER)[0][0])
+    out, largest = [], []
+    for frequent in (ngram_trie.NONE, ngram_trie.Frequent([the, ngram_trie.START], [32, 3])):
+        chunks = [table.filter(pa.compute.equal(table["chunk"], i)) for i in range(2)]
+        asked = pa.concat_tables([ngram_trie.questions(c, 8, frequent) for c in chunks])
+        by_shard = [asked.filter(pa.compute.equal(asked["shard"], i)) for i in range(8)]
+        pairs = [sum(len(ngram_trie._unzip(x, np.uint8)) // 5 for x in t["successors"].to_pylist()) for t in by_shard]
+        largest.append(max(pairs) / sum(pairs))
+        replies = pa.concat_tables([ngram_trie.answers(t, frequent) for t in by_shard])
+        out.append([ngram_trie.scores(c, replies.filter(pa.compute.equal(replies["chunk"], i)), frequent).to_pylist() for i, c in enumerate(chunks)])
+    assert largest[0] > 0.5 and largest[1] < 0.3
+    for a, b in zip(sum(out[0], []), sum(out[1], []), strict=True):
+        assert {k: v for k, v in a.items() if k != "score"} == {k: v for k, v in b.items() if k != "score"}
+        assert b["score"] == pytest.approx(a["score"], rel=0.01)
+
+
+def test_frequent_words_are_found(spark):
+    docs = spark.range(400).selectExpr("id AS doc_id", "concat_ws(' ', 'The', id, 'the', id + 1000, 'the', id + 2000) AS text")
+    found = ngram_trie.frequent_words(docs.selectExpr("CAST(text AS BINARY) AS text"), 10_000, 20)
+    the = int(words.hashes([b"the"], words.BLANK_LOWER)[0][0])
+    assert dict(zip(found.hashes.tolist(), found.places.tolist(), strict=True)) == {the: 9, ngram_trie.START: 3}
+
+
 def test_codes_follow_the_largest_count():
     for most in (1, 64, 65, 10**6, 10**13):
         counts = np.unique(np.geomspace(1, most, 5000).astype(np.int64))

@@ -15,8 +15,10 @@ The work is cut twice. Documents are dealt by hash to chunks; a chunk reduces it
 distinct words and pairs with their training counts and sends each shard its stretch of them, packed. A shard (a range of word
 hashes, with the pairs that begin with its words) adds the chunks' counts up, builds its trie
 and answers each chunk with counts, numbers of successors and 8-bit codes in the order of the questions. The chunk
-meets its documents again, and scores them. Each part depends on a bounded share of the input; there is
-nothing on the driver but two numbers to choose the parts by. Words are known by 64 bits, and a word's
+meets its documents again, and scores them. The pairs of a word that begins more than two shards' share of them have
+places in several shards, by the hash of the successor; the chunk adds up its numbers of successors. Each part
+depends on a bounded share of the input, but for rows of equal id and text, which all go to one chunk; there is nothing on the driver
+but the input's size and the list of those words. Words are known by 64 bits, and a word's
 successors by 40.
 
 Defined results: null texts are empty; an empty text is its end token; null ids are neither
@@ -28,10 +30,11 @@ from __future__ import annotations
 
 import os
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,6 +44,8 @@ from tidewire.llm.elias_fano import EliasFano
 
 #: Bytes of text in a chunk, and words' and pairs' share of a shard, as if it were a chunk.
 CHUNK = 16 << 20
+#: Bytes of text in which frequent words are counted, and of them in one step.
+COUNTED, COUNTED_AT_ONCE = 64 << 20, 1 << 20
 ADDED = 0.1
 SUCCESSOR_BITS = 40
 #: Codes up to here are counts; those above it are spaced evenly, as logarithms, up to the largest count.
@@ -72,10 +77,35 @@ def _wide(packed: np.ndarray) -> np.ndarray:
     return out.reshape(-1).view(U64)
 
 
+class Frequent:
+    """Words whose pairs are dealt to several shards: each has some places, whose hashes stand for it in pairs."""
+
+    def __init__(self, hashes: np.ndarray | Sequence[int] = (), places: np.ndarray | Sequence[int] = ()) -> None:
+        order = np.argsort(np.asarray(hashes, U64))
+        self.hashes, self.places = np.asarray(hashes, U64)[order], np.asarray(places, np.int64)[order]
+        self.ends = np.cumsum(self.places)
+        self.begins = self.ends - self.places
+        nth = np.arange(self.places.sum()) - np.repeat(self.begins, self.places)
+        self.all = words.mixed(np.repeat(self.hashes, self.places) ^ words.mixed(nth.astype(U64) + U64(1)))
+
+    def number(self, hashes: np.ndarray) -> np.ndarray:
+        """Which of the frequent words each one is, or -1."""
+        if not len(self.hashes):
+            return np.full(len(hashes), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, at, -1)
+
+
+NONE = Frequent()
+
+
 class Chunk:
-    """The distinct words and pairs of some texts, sorted by hash, and where each token has them."""
+    """The distinct words and pairs of some texts, sorted by hash, and where each token has them.
 
-    def __init__(self, texts: list[bytes | None]) -> None:
+    The places of the frequent words among them are words too, and begin these words' pairs.
+    """
+
+    def __init__(self, texts: list[bytes | None], frequent: Frequent = NONE) -> None:
         h, bounds = words.hashes(texts, words.BLANK_LOWER)
         n = np.diff(bounds) + 1
         self.ends = np.cumsum(n)
@@ -84,20 +114,40 @@ class Chunk:
         is_end = np.zeros(len(tokens), bool)
         is_end[self.ends - 1] = True
         tokens[is_end], tokens[~is_end] = U64(END), h
-        self.words, place = np.unique(np.concatenate([tokens, np.array([START], U64)]), return_inverse=True)
-        self.word, start = place[:-1], place[-1]
-        self.before = np.empty_like(self.word)
-        self.before[1:] = self.word[:-1]
-        self.before[self.starts] = start
-        self.start = start
+        found, place = np.unique(np.concatenate([tokens, np.array([START], U64)]), return_inverse=True)
+        number = frequent.number(found)
+        dealt = np.flatnonzero(number >= 0)
+        n = frequent.places[number[dealt]]
+        at = np.repeat(frequent.begins[number[dealt]] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        self.words = np.sort(np.concatenate([found, frequent.all[at]]))
+        new = np.searchsorted(self.words, found)
+        of_all = np.zeros(len(frequent.all), np.int64)
+        of_all[at] = np.searchsorted(self.words, frequent.all[at])
+        #: The word itself, or the one whose place it is; and which words are places.
+        self.owner = np.arange(len(self.words))
+        self.owner[of_all[at]] = np.repeat(new[dealt], n)
+        self.is_place = self.owner != np.arange(len(self.words))
+        self.word, self.start = new[place[:-1]], new[place[-1]]
+        before = np.empty_like(place[:-1])
+        before[1:] = place[:-2]
+        before[self.starts] = place[-1]
+        #: What begins each token's pair: the word before it, or one of its places by the token's hash.
+        self.before = new[before]
+        if len(dealt):
+            some = np.flatnonzero(number[before] >= 0)
+            which = number[before[some]]
+            nth = words.mixed(tokens[some]) % frequent.places[which].astype(U64)
+            self.before[some] = of_all[frequent.begins[which] + nth.astype(np.int64)]
         keys, self.pair = np.unique((self.before.astype(U64) << U64(32)) | self.word.astype(U64), return_inverse=True)
         self.first, self.second = (keys >> U64(32)).astype(np.int64), (keys & U64(0xFFFFFFFF)).astype(np.int64)
 
     def counts(self, training: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """How often words (START: as the beginning) and pairs occur in the training texts."""
+        """How often words (START and places: as the beginning) and pairs occur in the training texts."""
         taken = np.repeat(training, self.ends - self.starts)
         one = np.bincount(self.word[taken], minlength=len(self.words))
         one[self.start] = training.sum()
+        begun = np.bincount(self.before[taken], minlength=len(self.words))
+        one[self.is_place] = begun[self.is_place]
         return one.astype(COUNT), np.bincount(self.pair[taken], minlength=len(self.first)).astype(COUNT)
 
     def edges(self, shards: int) -> np.ndarray:
@@ -110,9 +160,9 @@ def _texts(table: pa.Table) -> list[bytes | None]:
     return table.column("text").to_pylist()
 
 
-def questions(table: pa.Table, shards: int) -> pa.Table:
+def questions(table: pa.Table, shards: int, frequent: Frequent = NONE) -> pa.Table:
     """A row for each shard: a chunk's words and pairs with their training counts, packed."""
-    chunk = Chunk(_texts(table))
+    chunk = Chunk(_texts(table), frequent)
     one, two = chunk.counts(table.column("training").to_numpy().astype(bool))
     edges = chunk.edges(shards)
     per_word = np.bincount(chunk.first, minlength=len(chunk.words)).astype(np.uint32)
@@ -210,7 +260,7 @@ def _mapped(path: str) -> Iterator[np.ndarray]:
             file.seek(at + size)
 
 
-def answers(table: pa.Table) -> pa.Table:
+def answers(table: pa.Table, frequent: Frequent = NONE) -> pa.Table:
     """A row for each chunk: a shard's answers, packed, with its training tokens and words."""
     columns = {c: table.column(c).to_pylist() for c in ("hashes", "ones", "lengths", "successors", "twos")}
     hashes = [_unzip(x, U64) for x in columns["hashes"]]
@@ -236,12 +286,12 @@ def answers(table: pa.Table) -> pa.Table:
         most = trie.most
         replies = [[_zip(a) for a in trie.ask(*asked)] for asked in zip(hashes, lengths, successors, strict=True)]
         del trie
-    start = all_words == U64(START)
+    no_word = (all_words == U64(START)) | np.isin(all_words, frequent.all)
     return pa.table({
         "chunk": table.column("chunk"),
         "shard": table.column("shard"),
-        "tokens": pa.array([int(ones[~start].sum())] * len(replies), pa.int64()),
-        "words": pa.array([int((known & ~start).sum())] * len(replies), pa.int64()),
+        "tokens": pa.array([int(ones[~no_word].sum())] * len(replies), pa.int64()),
+        "words": pa.array([int((known & ~no_word).sum())] * len(replies), pa.int64()),
         "ones": pa.array([r[0] for r in replies], pa.binary()),
         "spread": pa.array([r[1] for r in replies], pa.binary()),
         "twos": pa.array([r[2] for r in replies], pa.binary()),
@@ -251,17 +301,19 @@ def answers(table: pa.Table) -> pa.Table:
     })
 
 
-def scores(docs: pa.Table, replies: pa.Table) -> pa.Table:
+def scores(docs: pa.Table, replies: pa.Table, frequent: Frequent = NONE) -> pa.Table:
     """The scores of a chunk's documents from the shards' answers."""
     if not docs.num_rows:
         return pa.table({name: pa.array([], kind) for name, kind in SCORES})
-    chunk = Chunk(_texts(docs))
+    chunk = Chunk(_texts(docs), frequent)
     replies = replies.sort_by("shard")
 
     def joined(name: str, kind: type) -> np.ndarray:
         return np.concatenate([_unzip(x, kind) for x in replies.column(name).to_pylist()])
 
     one, spread = joined("ones", COUNT), joined("spread", np.int64)
+    first = chunk.owner[chunk.first]
+    spread = np.bincount(chunk.owner, weights=spread, minlength=len(one))
     n, v = sum(replies.column("tokens").to_pylist()), sum(replies.column("words").to_pylist())
     alone = (one + ADDED) / (n + ADDED * (v + 1))
     two, discount = [], []
@@ -270,10 +322,10 @@ def scores(docs: pa.Table, replies: pa.Table) -> pa.Table:
         n1, n2 = reply["once"], reply["twice"]
         discount.append(np.full(len(two[-1]), n1 / (n1 + 2.0 * n2) if n1 and n2 else DEFAULT_DISCOUNT))
     two, discount = np.concatenate(two), np.concatenate(discount)
-    total, next_ = np.maximum(one, 1)[chunk.first], alone[chunk.second]
+    total, next_ = np.maximum(one, 1)[first], alone[chunk.second]
     both = np.where(
-        spread[chunk.first] > 0,
-        (np.maximum(two - discount, 0.0) + discount * spread[chunk.first] * next_) / total, next_,
+        spread[first] > 0,
+        (np.maximum(two - discount, 0.0) + discount * spread[first] * next_) / total, next_,
     )
 
     def summed(values: np.ndarray) -> np.ndarray:
@@ -291,6 +343,38 @@ def scores(docs: pa.Table, replies: pa.Table) -> pa.Table:
     })
 
 
+def frequent_words(docs: DataFrame, size: int, parts: int) -> Frequent:
+    """Words (START too) that begin more than two shards' share of the pairs, with a place for each share.
+
+    They are counted in texts of about COUNTED bytes drawn by hash: the list decides where pairs are
+    summed, not what comes out. It has fewer than 2 * parts places.
+    """
+    if parts < 3:
+        return NONE
+    draw = F.pmod(F.xxhash64(F.lit("frequent"), F.xxhash64("text")), F.lit(1 << 20))
+    drawn = docs.filter(draw < F.lit(max(1, min(1 << 20, COUNTED * (1 << 20) // size))))
+    least = 1.0 / parts
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths = pc.fill_null(pc.binary_length(batch.column(0)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            for start, end in words.parts(lengths, COUNTED_AT_ONCE):
+                h, _ = words.hashes(batch.column(0).slice(start, end - start).to_pylist(), words.BLANK_LOWER)
+                found, n = np.unique(np.concatenate([h, np.full(end - start, START, U64)]), return_counts=True)
+                total = int(n.sum())
+                some = n >= least * total
+                # The row of the word 0 has what all of them are a share of.
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.append(found[some].view(np.int64), 0)), pa.array(np.append(n[some], total))], names=["word", "n"]
+                )
+
+    rows = words.small_batches(drawn.select("text")).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    n = {r.word: r.n for r in rows.orderBy(F.desc("n"), "word").limit(parts + 1).collect()}
+    total = n.pop(0, 0)
+    share = {word: count * parts / total for word, count in n.items() if count * parts > 2 * total}
+    return Frequent(np.array(list(share), np.int64).view(U64), [int(x) + 1 for x in share.values()])
+
+
 SCORES = (
     ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
     ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()),
@@ -312,12 +396,13 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", chunk_bytes
         F.coalesce(rest != 0, F.lit(False)).alias("training"),
         F.col(text).cast("string").cast("binary").alias("text"),
     )
+    frequent = frequent_words(rows, size, parts)
     asked = rows.groupBy("chunk").applyInArrow(
-        lambda table: questions(table, parts),
+        lambda table: questions(table, parts, frequent),
         "shard int, chunk int, hashes binary, ones binary, lengths binary, successors binary, twos binary",
     )
     replied = asked.groupBy("shard").applyInArrow(
-        answers,
+        lambda table: answers(table, frequent),
         "chunk int, shard int, tokens long, words long, ones binary, spread binary, twos binary, most long, once long, twice long",
     )
     # Both reads of the documents come from one exchange by chunk.
@@ -325,7 +410,7 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", chunk_bytes
         rows.groupBy("chunk")
         .cogroup(replied.groupBy("chunk"))
         .applyInArrow(
-            scores,
+            lambda docs, replies: scores(docs, replies, frequent),
             "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
         )
     )
