@@ -341,6 +341,14 @@ def test_counts_beyond_32_bits():
     assert row["score"] == pytest.approx(plain, rel=1e-6)
 
 
+def test_discount_is_that_of_all_pairs(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    few, many = ({r.doc_id: r for r in ngram_trie.scored(docs, chunk_bytes=size).collect()} for size in (1 << 30, 50_000))
+    # Only the spacing of codes for counts over EXACT differs.
+    for i, r in few.items():
+        assert r.score == pytest.approx(many[i].score, abs=0.002 * r.n_tokens)
+
+
 def test_pairs_of_a_frequent_word_go_to_many_shards():
     rng = random.Random(3)
     text = [" ".join(x for i in range(300) for x in ("the", f"w{rng.randrange(5000)}")).encode() for _ in range(30)]

@@ -60,13 +60,18 @@ class EliasFano:
         """The values at some places."""
         return ((self.ones[at] - at).astype(U64) << U64(self.width)) | self._low(at)
 
-    def find(self, values: np.ndarray) -> np.ndarray:
-        """The place of each value's first successor if that is the value itself, else -1."""
+    def find(self, values: np.ndarray, first: np.ndarray | None = None, last: np.ndarray | None = None) -> np.ndarray:
+        """The place of each value's first successor if that is the value itself, else -1.
+
+        With ``first`` and ``last``, only places from the one to before the other are looked at.
+        """
         values = values.astype(U64)
         high = (values >> U64(self.width)).astype(np.int64)
         inside = high < len(self.begins) - 1
         high = np.where(inside, high, 0)
         at, end = self.begins[high], np.where(inside, self.begins[high + 1], 0)
+        if first is not None:
+            at, end = np.maximum(at, first), np.minimum(end, last)
         goal = values & U64((1 << self.width) - 1)
         stop = end.copy()
         left = np.flatnonzero(at < end)

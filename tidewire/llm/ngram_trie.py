@@ -9,7 +9,7 @@ however often a word occurs. The levels of a shard lie in one file, which is map
 
     p(w | v) = (c(v w) - d) / c(v) + d * s(v) / c(v) * p(w)        p(w) = (c(w) + 0.1) / (N + 0.1 (V + 1))
 
-with s(v) the number of v's successors and d the share of pairs seen once, n1 / (n1 + 2 n2), in the shard.
+with s(v) the number of v's successors and d the share of pairs seen once, n1 / (n1 + 2 n2), of all shards.
 
 The work is cut twice. Documents are dealt by hash to chunks; a chunk reduces its texts to sorted
 distinct words and pairs with their training counts and sends each shard its stretch of them, packed. A shard (a range of word
@@ -235,13 +235,16 @@ class Trie:
         rank = self.words.find(hashes - self.low)
         rank[hashes < self.low] = -1
         known = rank >= 0
-        ones, spread = np.zeros(len(hashes), COUNT), np.zeros(len(hashes), np.int64)
+        ones = np.zeros(len(hashes), COUNT)
         ones[known] = self.ones[rank[known]]
-        spread[known] = self.pointers.get(rank[known] + 1) - self.pointers.get(rank[known])
-        # Only words with successors are asked for them.
-        of = np.repeat(np.where(spread > 0, rank, -1), lengths)
+        begin, end = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64)
+        begin[known], end[known] = self.pointers.get(rank[known]), self.pointers.get(rank[known] + 1)
+        spread = end - begin
+        # A successor is looked for between its word's pointers.
+        of = np.repeat(np.where(spread > 0, np.arange(len(hashes)), -1), lengths)
         asked = np.flatnonzero(of >= 0)
-        at = self.successors.find((of[asked].astype(U64) << U64(SUCCESSOR_BITS)) | successors[asked])
+        of = of[asked]
+        at = self.successors.find((rank[of].astype(U64) << U64(SUCCESSOR_BITS)) | successors[asked], begin[of], end[of])
         twos = np.zeros(len(successors), np.uint8)
         twos[asked[at >= 0]] = self.twos[at[at >= 0]]
         return ones, spread, twos
@@ -316,12 +319,9 @@ def scores(docs: pa.Table, replies: pa.Table, frequent: Frequent = NONE) -> pa.T
     spread = np.bincount(chunk.owner, weights=spread, minlength=len(one))
     n, v = sum(replies.column("tokens").to_pylist()), sum(replies.column("words").to_pylist())
     alone = (one + ADDED) / (n + ADDED * (v + 1))
-    two, discount = [], []
-    for reply in replies.select(["twos", "most", "once", "twice"]).to_pylist():
-        two.append(decoded(_unzip(reply["twos"], np.uint8), reply["most"]))
-        n1, n2 = reply["once"], reply["twice"]
-        discount.append(np.full(len(two[-1]), n1 / (n1 + 2.0 * n2) if n1 and n2 else DEFAULT_DISCOUNT))
-    two, discount = np.concatenate(two), np.concatenate(discount)
+    n1, n2 = sum(replies.column("once").to_pylist()), sum(replies.column("twice").to_pylist())
+    discount = n1 / (n1 + 2.0 * n2) if n1 and n2 else DEFAULT_DISCOUNT
+    two = np.concatenate([decoded(_unzip(r["twos"], np.uint8), r["most"]) for r in replies.select(["twos", "most"]).to_pylist()])
     total, next_ = np.maximum(one, 1)[first], alone[chunk.second]
     both = np.where(
         spread[first] > 0,
