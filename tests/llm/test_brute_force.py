@@ -82,6 +82,23 @@ def test_license_templates_are_found_with_gaps():
     assert not any(label in found.as_py().split(",") for (label, _), found in zip(long, out[5], strict=True))
 
 
+def test_licenses_are_not_taken_for_their_siblings():
+    scanner = license_scan.Scanner(license_scan.PHRASES, license_scan.TEMPLATES)
+    gpl = next(t for label, t in license_scan.TEMPLATES if label == "gpl-notice")
+    cases = [
+        (gpl, ["gpl-notice"]),
+        (gpl.replace("GNU General", "GNU Affero General"), ["agpl-notice"]),
+        (gpl.replace("GNU General", "GNU Lesser General"), ["lgpl-notice"]),
+        ("licensed under the GNU General Public License, version 2", ["gpl-2.0"]),
+        (f"{gpl} x. Released under the MIT License", ["gpl-notice", "mit-notice"]),
+        ("This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, "
+         "compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, "
+         "commercial or non-commercial, and by any means.", ["unlicense"]),
+    ]
+    spans = scanner.scan([t.encode() for t, _ in cases])[7]
+    assert [sorted({s["label"] for s in found.as_py()}) for found in spans] == [want for _, want in cases]
+
+
 def test_automaton_knows_every_run():
     rng = random.Random(1)
     sequences = [[rng.randrange(3) for _ in range(rng.randint(1, 25))] for _ in range(6)]

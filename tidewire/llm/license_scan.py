@@ -3,7 +3,8 @@
 The automaton holds every run of tokens of every template. A text is streamed through it:
 at each word it knows the longest run that ends there and occurs in some template. Maximal
 runs are anchors; anchors of one template that follow each other, in the text and in the
-template, are chained into spans, and a span that covers enough of its template is a find.
+template, are chained into spans, and a span that covers enough of its template is a find. Where finds overlap, the
+one with most covered words stays, so a license is not taken for one whose notice is part of its own.
 The short phrases are templates too: one occurs wherever the current run's state lies at or
 below the phrase's own state in the tree of suffix links, so all places are counted.
 
@@ -15,6 +16,7 @@ equal texts get equal results; overlapping places all count.
 
 from __future__ import annotations
 
+import bisect
 import functools
 from collections.abc import Sequence
 
@@ -55,6 +57,30 @@ TEMPLATES = (
         "but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A "
         "PARTICULAR PURPOSE. See the GNU General Public License for more details.",
     ),
+    (
+        "agpl-notice",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
+        "Affero General Public License as published by the Free Software Foundation, either version 3 of the "
+        "License, or (at your option) any later version. This program is distributed in the hope that it will be "
+        "useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A "
+        "PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.",
+    ),
+    (
+        "lgpl-notice",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU "
+        "Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the "
+        "License, or (at your option) any later version. This library is distributed in the hope that it will be "
+        "useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A "
+        "PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+    ),
+    (
+        "lgpl-notice",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
+        "Lesser General Public License as published by the Free Software Foundation, either version 3 of the "
+        "License, or (at your option) any later version. This program is distributed in the hope that it will be "
+        "useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A "
+        "PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+    ),
     ("mit-notice", "Released under the MIT License"),
     (
         "mit-text",
@@ -83,6 +109,29 @@ TEMPLATES = (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the "
         "MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
     ),
+    (
+        "epl-2.0",
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public "
+        "License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    ),
+    (
+        "cc0",
+        "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring "
+        "rights to this software to the public domain worldwide. This software is distributed without any warranty.",
+    ),
+    (
+        "unlicense",
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, "
+        "publish, use, compile, sell, or distribute this software, either in source code form or as a compiled "
+        "binary, for any purpose, commercial or non-commercial, and by any means.",
+    ),
+    (
+        "zlib",
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors "
+        "be held liable for any damages arising from the use of this software. Permission is granted to anyone to "
+        "use this software for any purpose, including commercial applications, and to alter it and redistribute it "
+        "freely, subject to the following restrictions",
+    ),
     ("cc-by-4.0", "licensed under a Creative Commons Attribution 4.0 International License"),
     ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0"),
     ("cc-by-sa-4.0", "Licensed under CC BY-SA 4.0"),
@@ -260,6 +309,19 @@ class Scanner:
             ]
         return sorted(found)
 
+    def finds(self, chained: list[tuple[int, int, int, float]]) -> list[tuple[int, int, int, float]]:
+        """The spans that cover enough of their template; of those that overlap, the one with most covered words."""
+        enough = [s for s in chained if s[3] >= LEAST_COVERED]
+        enough.sort(key=lambda s: (-round(s[3] * self.sizes[s[0]]), -s[3], s))
+        firsts: list[int] = []
+        taken: list[tuple[int, int, int, float]] = []  # in order of their first words
+        for span in enough:
+            at = bisect.bisect(firsts, span[2])  # those before begin in this span or ahead of it
+            if not at or taken[at - 1][2] < span[1]:
+                firsts.insert(at, span[1])
+                taken.insert(at, span)
+        return sorted(taken)
+
     def scan(self, texts: list[bytes | None]) -> list[pa.Array]:
         h, bounds = words.hashes(texts, words.ALNUM)
         places: list[list[tuple[int, int]]] = [[] for _ in texts]
@@ -270,7 +332,7 @@ class Scanner:
         n_base, firsts, lasts, base, labels, scores, spans = [], [], [], [], [], [], []
         for at, runs in zip(places, anchors, strict=True):
             chained = self.spans(runs)
-            covered = [s for s in chained if s[3] >= LEAST_COVERED]
+            covered = self.finds(chained)
             own = {self.labels[number] for _, number in at}
             n_base.append(len(at))
             firsts.append(min((start for start, _ in at), default=None))
