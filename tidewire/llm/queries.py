@@ -17,6 +17,7 @@ from tidewire.llm import (  # noqa: F401  (register on import)
     ngram_queries,
     sharding_queries,
     toxicity_queries,
+    whitening_queries,
 )
 from tidewire.llm.registry import ORACLES, QUERIES, Query
 from tidewire.session import configure
