@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidewire.llm import (  # noqa: F401  (register on import)
     bag_minhash_queries,
     compression_queries,
+    conversation_queries,
     decontaminate_queries,
     kneser_ney_queries,
     language_queries,
