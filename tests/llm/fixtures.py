@@ -49,9 +49,19 @@ ODD = [
 ]
 
 CLASHING = ["score", "size", "shard", "kept", "n_words", "copies", "row", "node", "taken", "target", "chunk", "covered", "labels"]
+CLASHING_OTHERS = ["n", "component", "deviation", "code", "conv", "copies", "cost", "audit", "segment", "blank"]
 
 LABELS = [(1, 1, 0), (4, 1, 0), (4, None, 1), (13, 0, 1), (None, 1, 1), (14, 1, None), (99, 0, 0), (5, 1, 0)]
 BENCHMARK = [(1, LEAK), (2, None), (3, ""), (4, "too short"), (5, LEAK.upper().replace(" ", ", ")), (None, "p q r s t u v")]
+EMBEDDINGS = [
+    (1, [0.5, -0.25, 1.0]), (2, None), (3, [0.1, None, 0.2]), (4, [float("nan"), 0.0, 0.0]), (5, [float("inf"), 0.0, 0.0]),
+    (6, []), (7, [1.0]), (8, [0.5, -0.25, 1.0]), (8, [0.5, -0.25, 1.0]), (None, [-0.0, 1e30, -1e30]), (9, [0.0, 0.0, 0.0]),
+    (10, [0.3, 0.2, 0.1]), (11, [0.3001, 0.2, 0.1]),
+]
+CONVERSATIONS = [
+    (1, 0, "system", "Be kind."), (1, 1, "user", "Hi?"), (1, 2, "assistant", "Yes."), (2, 0, None, None), (None, None, None, None),
+    (None, 1, "user", "x"), (3, 1, "user", "z" * 100_000), (3, 1, "user", "z" * 100_000), (4, 2**62, "tool", "a."), (4, 0, "", ""),
+]
 
 
 def write_tables(folder: Path, documents: list[tuple], clashing: bool) -> str:
@@ -62,7 +72,20 @@ def write_tables(folder: Path, documents: list[tuple], clashing: bool) -> str:
         docs |= {name: pa.array([f"old {i}" for i in range(len(documents))], pa.string()) for name in CLASHING}
     labels = list(zip(*LABELS, strict=True)) if documents else [[]] * 3
     items = list(zip(*BENCHMARK, strict=True)) if documents else [[]] * 2
-    tables = {
+    vectors = list(zip(*EMBEDDINGS, strict=True)) if documents else [[]] * 2
+    turns = list(zip(*CONVERSATIONS, strict=True)) if documents else [[]] * 4
+    others = {
+        "embeddings": {"vec_id": pa.array(vectors[0], pa.int64()), "embedding": pa.array(vectors[1], pa.list_(pa.float32()))},
+        "conversations": {
+            "conv_id": pa.array(turns[0], pa.int64()), "turn": pa.array(turns[1], pa.int64()),
+            "role": pa.array(turns[2], pa.string()), "text": pa.array(turns[3], pa.string()),
+        },
+    }
+    if clashing:
+        for other in others.values():
+            rows = len(next(iter(other.values())))
+            other |= {name: pa.array([f"old {i}" for i in range(rows)], pa.string()) for name in CLASHING_OTHERS}
+    tables = others | {
         "documents": docs,
         "labels": {
             "doc_id": pa.array(labels[0], pa.int64()), "quality": pa.array(labels[1], pa.int32()),

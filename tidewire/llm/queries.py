@@ -16,6 +16,7 @@ from tidewire.llm import (  # noqa: F401  (register on import)
     license_queries,
     mixing_queries,
     ngram_queries,
+    packing_queries,
     sharding_queries,
     toxicity_queries,
     whitening_queries,
