@@ -62,9 +62,12 @@ class Postings:
     def __init__(self, units: Sequence[np.ndarray], idf: np.ndarray, average: float) -> None:
         self.count = len(units)
         lengths = np.array([len(u) for u in units])
-        unit = np.repeat(np.arange(self.count), lengths)
-        pairs, times = np.unique(np.concatenate(units).astype(np.int64) * self.count + unit, return_counts=True)
-        term, self.unit = pairs // self.count, pairs % self.count
+        ids, unit = np.concatenate(units), np.repeat(np.arange(self.count, dtype=np.int32), lengths)
+        by_term = np.argsort(ids, kind="stable")  # units stay in order
+        term, unit = ids[by_term], unit[by_term]
+        starts = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (unit[1:] != unit[:-1])))
+        times = np.diff(starts, append=len(ids))
+        term, self.unit = term[starts], unit[starts]
         self.weight = weights(times, idf[term], lengths[self.unit], average)
         self.first = np.searchsorted(term, np.arange(len(idf) + 1))
         by_unit = np.argsort(self.unit, kind="stable")
@@ -78,6 +81,13 @@ class Postings:
         return np.bincount(self.unit[at], self.weight[at], minlength=self.count)
 
 
+def terms_of(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different ids and how often each occurs (at least one id is there)."""
+    ranked = np.sort(ids, kind="stable")
+    last = np.append(np.flatnonzero(ranked[1:] != ranked[:-1]), len(ranked) - 1)
+    return ranked[last], np.diff(last, prepend=-1)
+
+
 def weights(times: np.ndarray, idf: np.ndarray, lengths: np.ndarray | int, average: float) -> np.ndarray:
     return idf * times * (K1 + 1) / (times + K1 * (1 - B + B * lengths / average))
 
@@ -135,8 +145,9 @@ def _tokenized(docs: DataFrame, kept: Sequence[str], text: str, path: str, windo
         table, number = word_ids(path), TaskContext.get().partitionId() << 32
         for batch in batches:
             at, out = [], []
-            for row, content in enumerate(batch.column(batch.num_columns - 1)):
-                ids = np.append(table.of(content.as_py() or b""), np.array([end_id], table.type))
+            texts = [text or b"" for text in batch.column(batch.num_columns - 1).to_pylist()]
+            for row, found in enumerate(table.of(texts)):
+                ids = np.append(found, np.array([end_id], table.type))
                 for start in range(0, len(ids), window):
                     own = ids[start : start + window]
                     unit = len(own) < window
@@ -170,7 +181,7 @@ def _statistics(units: DataFrame, path: str) -> tuple[np.ndarray, float, int]:
         for batch in batches:
             for data in batch.column(0).to_pylist():
                 ids = np.frombuffer(data, table.type)
-                counts[np.unique(ids)] += 1
+                counts[terms_of(ids)[0]] += 1
                 counts[-2:] += (1, len(ids))
         some = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(counts[some])], names=["term", "n"])
@@ -212,7 +223,7 @@ def pack(
         for batch in batches:
             keys = []
             for data in batch.column(batch.num_columns - 1).to_pylist():
-                terms, times = np.unique(np.frombuffer(data, kind), return_counts=True)
+                terms, times = terms_of(np.frombuffer(data, kind))
                 top = terms[np.argsort(-weights(times, idf[terms], times.sum(), average), kind="stable")[:3]]
                 keys.append(top.astype(">u4").tobytes() + zlib.crc32(data).to_bytes(4, "big"))
             yield batch.append_column("key", pa.array(keys, pa.binary()))

@@ -1,29 +1,32 @@
 """Ids of whole texts by a public tokenizer whose words end at white space.
 
-The tokenizer cuts texts at white space first, so the ids of a text are those of its words, one after the other.
-Words are looked up in a table of bounded size that each worker fills with what the tokenizer says; words of letters
-are asked for many at a time, as each gives one token that ends a word. Long texts are worked through in slices that end at
-white space, and long stretches without any are cut where the tokenizer cuts them in any case: after a digit before a letter,
-or between CJK punctuation and a letter. Only a longer stretch of letters without a digit or a blank is held as a whole.
+The tokenizer cuts texts at white space first, so the ids of a text are those of its words, one after the other. It also
+cuts between a letter and punctuation, and does not tell capitals from small letters. Words are looked up in tables of bounded
+size that each worker fills with what the tokenizer says: a young one, and the one before it, out of which words come
+back when they are met again. Words of letters are asked for many at a time, as each gives one token that ends a word.
+
+Long texts are worked through in slices that end at white space, and long stretches without any are cut where the
+tokenizer cuts them in any case: after a digit before a letter, or between CJK punctuation and a letter. Only a longer
+stretch of letters without a digit or a blank is held as a whole.
 """
 
 from __future__ import annotations
 
 import functools
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 from tokenizers import Tokenizer
 
-MOST_WORDS = 300_000
+MOST_WORDS = 500_000
 SLICE = 1 << 20
 LONG_WORD = 1 << 12
 GROUP = 200
 
 _SPACE = re.compile(rb"[ \t\n\r\x0b\x0c]")
-#: A word of ASCII and other characters that ends in an ASCII letter, and punctuation after it.
-_STEM = re.compile(rb"((?:[^\x00-\x7f]|[a-z])*[a-z])([.,;:!?]+)")
+#: A word that ends in punctuation after an ASCII letter or one of the letters from U+00C0 to U+00FF.
+_END = re.compile(rb"(.*(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))([!-&(-/:-@\[-`{-~]+)", re.DOTALL)
 _CUT = re.compile("(?<=[。，、！？])(?=[ぁ-ゖァ-ヺ一-鿿])|(?<=[0-9])(?=[A-Za-z])")
 
 
@@ -35,73 +38,90 @@ class WordIds:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.size = max(vocabulary.values()) + 1
         self.type = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
-        self.known: dict[bytes, bytes] = {}
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
         self.ends = np.zeros(self.size, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
-    def of(self, text: bytes) -> np.ndarray:
-        """The ids of a whole text."""
-        return np.frombuffer(b"".join(self._slice(part) for part in _slices(text)), self.type)
-
-    def _slice(self, part: bytes) -> bytes:
-        words = part.split()
-        different = set(words)
-        if len(self.known) + len(different) > MOST_WORDS:
-            self.known.clear()
-        missing = different.difference(self.known)
-        if missing:
-            self._learn(missing)
-        found = b"".join(map(self.known.__getitem__, words))
+    def of(self, texts: Sequence[bytes]) -> list[np.ndarray]:
+        """The ids of some whole texts."""
+        out: list[list[bytes]] = [[] for _ in texts]
+        held: list[tuple[int, list[bytes]]] = []
+        size = 0
+        for n, text in enumerate(texts):
+            for part in _slices(text):
+                held.append((n, _words(part)))
+                size += len(part)
+                if size >= SLICE:
+                    self._look_up(held, out)
+                    held, size = [], 0
+        self._look_up(held, out)
+        return [np.frombuffer(b"".join(parts), self.type) for parts in out]
+
+    def _look_up(self, held: list[tuple[int, list[bytes]]], out: list[list[bytes]]) -> None:
+        missing = set().union(*[words for _, words in held]).difference(self.young)
+        if len(self.young) + len(missing) > MOST_WORDS:
+            self.young, self.old = {}, self.young
+            missing = set().union(*[words for _, words in held])
+        self._learn(self._kept(missing))
+        find = self.young.__getitem__
+        for n, words in held:
+            out[n].append(b"".join(map(find, words)))
         for word in missing:
             if len(word) > LONG_WORD:
-                del self.known[word]
-        return found
+                del self.young[word]
+
+    def _kept(self, missing: set[bytes]) -> set[bytes]:
+        """Take what the old table has; the rest is new."""
+        young, old = self.young, self.old
+        again = [word for word in missing if word in old]
+        young.update(zip(again, map(old.__getitem__, again), strict=True))
+        return missing.difference(again)
 
     def _learn(self, words: set[bytes]) -> None:
-        pieces = {word: _pieces(word) for word in words}
-        needed = {p for some in pieces.values() for p in some}.difference(self.known)
-        fresh = dict(zip(needed, self._ask([p.decode() for p in needed]), strict=True))
-        for word, some in pieces.items():
-            self.known[word] = b"".join(fresh[p] if p in fresh else self.known[p] for p in some)
-
-    def _ask(self, pieces: list[str]) -> list[bytes]:
-        plain = [i for i, p in enumerate(pieces) if p.isalpha()]
-        other = [i for i, p in enumerate(pieces) if not p.isalpha()]
-        out: list[bytes] = [b""] * len(pieces)
+        young, tails, plain, other = self.young, [], [], []
+        for word in words:
+            if word.isalpha():
+                plain.append(word)
+            elif len(word) > LONG_WORD:
+                young[word] = b"".join(self._ids(_CUT.split(word.decode())))
+            elif b"<|" not in word and (tail := _END.fullmatch(word)):
+                tails.append((word, *tail.groups()))
+            else:
+                (plain if word.decode().isalpha() else other).append(word)
+        if tails:
+            parts = {p for _, *some in tails for p in some}.difference(young, words)
+            self._learn(self._kept(parts))
         for at in range(0, len(plain), GROUP):
             own = plain[at : at + GROUP]
-            ids = np.array(self.tokenizer.encode(" ".join(pieces[i] for i in own), add_special_tokens=False).ids, self.type)
-            stops = np.flatnonzero(self.ends[ids]) + 1
+            ids = np.array(self.tokenizer.encode(b" ".join(own).decode(), add_special_tokens=False).ids, self.type)
+            stops = ((np.flatnonzero(self.ends[ids]) + 1) * self.type.itemsize).tolist()
             if len(stops) == len(own):
-                for i, a, b in zip(own, [0, *stops.tolist()[:-1]], stops.tolist(), strict=True):
-                    out[i] = ids[a:b].tobytes()
+                data = ids.tobytes()
+                young.update(zip(own, [data[a:b] for a, b in zip([0, *stops], stops)], strict=True))
             else:  # a letter that the tokenizer does not count as one
                 other += own
-        for at in range(0, len(other), GROUP):
-            own = other[at : at + GROUP]
-            found = self.tokenizer.encode_batch_fast([pieces[i] for i in own], add_special_tokens=False)
-            for i, encoding in zip(own, found, strict=True):
-                out[i] = np.array(encoding.ids, self.type).tobytes()
-        return out
+        young.update(zip(other, self._ids([word.decode() for word in other]), strict=True))
+        young.update((word, young[stem] + young[end]) for word, stem, end in tails)
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        found = []
+        for at in range(0, len(texts), GROUP):
+            encodings = self.tokenizer.encode_batch_fast(texts[at : at + GROUP], add_special_tokens=False)
+            found += [np.array(e.ids, self.type).tobytes() for e in encodings]
+        return found
 
 
-def _pieces(word: bytes) -> list[bytes]:
-    """Parts of a word whose ids follow each other; capitals of ASCII count as small letters."""
-    if len(word) > LONG_WORD:
-        return [cut.encode() for cut in _CUT.split(word.decode())]
-    if b"<|" in word:  # may hold the name of a special token
-        return [word]
-    word = word.lower()
-    split = _STEM.fullmatch(word)
-    return list(split.groups()) if split else [word]
+def _words(part: bytes) -> list[bytes]:
+    return (part if b"<|" in part else part.lower()).split()  # names of special tokens are as they are
 
 
 def _slices(text: bytes) -> Iterator[bytes]:
     at = 0
     while at < len(text):
-        gap = _SPACE.search(text, at + SLICE)
+        gap = _SPACE.search(text, at + SLICE) if len(text) - at > SLICE else None
         end = gap.end() if gap else len(text)
-        yield text[at:end] if at or end < len(text) else text
+        yield text[at:end]
         at = end
 
 
