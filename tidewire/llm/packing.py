@@ -2,8 +2,8 @@
 
 Every document is its token ids and an end id. A document of a window or more gives whole windows by itself; what is left
 of it, or a shorter document, is a unit. Term and document counts for BM25 are taken over all units (terms are token
-ids, so the table has a proven bound: the vocabulary). Units are ordered by their weightiest terms, which brings copies and texts on
-one subject together, and this order is cut into shards of about SHARD_TOKENS tokens, each with its own
+ids, so the table has a proven bound: the vocabulary). Units are ordered by their weightiest terms (often in the unit, late in the
+tokenizer's vocabulary, which ranks by frequency), which brings copies and texts on one subject together, and this order is cut into shards of about SHARD_TOKENS tokens, each with its own
 inverted index. Within a shard the first unused unit is a seed; the index returns the unused units by falling score, and
 they fill the seed's window. The one that does not fit is cut, and its rest is the next seed. What a
 shard has left over goes to the next one of its task.
@@ -67,7 +67,7 @@ class Postings:
         term, unit = ids[by_term], unit[by_term]
         starts = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (unit[1:] != unit[:-1])))
         times = np.diff(starts, append=len(ids))
-        term, self.unit = term[starts], unit[starts]
+        term, self.unit = term[starts], unit[starts].astype(np.intp)
         self.weight = weights(times, idf[term], lengths[self.unit], average)
         self.first = np.searchsorted(term, np.arange(len(idf) + 1))
         by_unit = np.argsort(self.unit, kind="stable")
@@ -76,9 +76,9 @@ class Postings:
     def scores(self, seed: int) -> np.ndarray:
         """The BM25 score of every unit for the different terms of one."""
         starts, ends = self.first[self.terms[seed]], self.first[self.terms[seed] + 1]
-        sizes = ends - starts
-        at = np.arange(sizes.sum()) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
-        return np.bincount(self.unit[at], self.weight[at], minlength=self.count)
+        spans = list(map(slice, starts.tolist(), ends.tolist()))
+        units, parts = [self.unit[s] for s in spans], [self.weight[s] for s in spans]
+        return np.bincount(np.concatenate(units), np.concatenate(parts), minlength=self.count)
 
 
 def terms_of(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -136,59 +136,71 @@ def powers_of_two(pieces: list[tuple[int, int, int]]) -> Iterator[list[tuple[int
 
 
 def _tokenized(docs: DataFrame, kept: Sequence[str], text: str, path: str, window: int, end_id: int, with_ids: bool) -> DataFrame:
-    """Whole windows of long documents, each a sequence, and units with their ids; stored."""
+    """Whole windows of long documents, each a sequence, and units with their ids and key; stored.
+
+    Every task adds a row of its own (``unit`` is null): in how many units each id occurs, units, and ids.
+    """
     rows = docs.select(*[F.col(c) for c in kept], F.col(text).cast("string").cast("binary").alias("text of the document"))
-    fields = [T.StructField("unit", T.BooleanType()), *FIELDS, T.StructField("packed", T.BinaryType())]
-    schema = T.StructType([docs.schema[c] for c in kept] + fields)
+    own = [T.StructField(c, docs.schema[c].dataType) for c in kept]
+    new = [T.StructField("unit", T.BooleanType()), *FIELDS, *[T.StructField(c, T.BinaryType()) for c in ("packed", "key")]]
+    schema = T.StructType(own + new)
+    kinds = [pa.bool_(), *[pa.int64()] * len(FIELDS), pa.binary(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, number = word_ids(path), TaskContext.get().partitionId() << 32
+        rarity = np.log(np.arange(2, table.size + 2))
+        rarity[end_id] = 0
+        counts = np.zeros(table.size + 2, np.int64)
+        batch = None
+
+        def made(at: list[int], out: list[tuple]) -> pa.RecordBatch:
+            columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
+            return pa.RecordBatch.from_arrays([*[c.take(pa.array(at, pa.int32())) for c in batch.columns[:-1]], *columns], names=schema.names)
+
         for batch in batches:
             at, out = [], []
             texts = [text or b"" for text in batch.column(batch.num_columns - 1).to_pylist()]
             for row, found in enumerate(table.of(texts)):
                 ids = np.append(found, np.array([end_id], table.type))
                 for start in range(0, len(ids), window):
-                    own = ids[start : start + window]
-                    unit = len(own) < window
+                    part = ids[start : start + window]
+                    data = part.tobytes()
                     at.append(row)
-                    sequence = (None, None) if unit else (2 * number + 1, 0)
-                    data = own.tobytes() if unit or with_ids else None
-                    out.append((unit, start, len(own), None if unit else crc(own), len(ids), *sequence, data))
-                    number += not unit
+                    if len(part) < window:
+                        terms, times = terms_of(part)
+                        counts[terms] += 1
+                        counts[-2:] += (1, len(part))
+                        top = terms[np.argsort(-rarity[terms] * times / (times + K1), kind="stable")[:3]]
+                        key = top.astype(">u4").tobytes() + zlib.crc32(data).to_bytes(4, "big")
+                        out.append((True, start, len(part), None, len(ids), None, None, data, key))
+                    else:
+                        out.append((False, start, window, crc(part), len(ids), 2 * number + 1, 0, data if with_ids else None, None))
+                        number += 1
                 if len(out) >= 2000:
-                    yield _batch(batch, at, out, schema)
+                    yield made(at, out)
                     at, out = [], []
             if out:
-                yield _batch(batch, at, out, schema)
+                yield made(at, out)
+        if batch is not None and counts[-1]:
+            yield made([None], [(None, *[None] * len(FIELDS), counts.astype("<i8").tobytes(), None)])
 
     return stored(small_batches(rows).mapInArrow(run, schema), "tokens")
 
 
-def _batch(batch: pa.RecordBatch, at: list[int], out: list[tuple], schema: T.StructType) -> pa.RecordBatch:
-    kept = batch.num_columns - 1
-    kinds = [pa.bool_(), *[pa.int64()] * len(FIELDS), pa.binary()]
-    new = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
-    return pa.RecordBatch.from_arrays([*[c.take(pa.array(at)) for c in batch.columns[:kept]], *new], names=schema.names)
-
-
-def _statistics(units: DataFrame, path: str) -> tuple[np.ndarray, float, int]:
-    """Weight of every term, mean length and tokens in all, over all units: as many numbers as the vocabulary has."""
+def _statistics(tokenized: DataFrame, size: int) -> tuple[np.ndarray, float, int]:
+    """Weight of every term, mean length and ids in all, over all units: as many numbers as the vocabulary has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = word_ids(path)
-        counts = np.zeros(table.size + 2, np.int64)
+        counts = np.zeros(size + 2, np.int64)
         for batch in batches:
             for data in batch.column(0).to_pylist():
-                ids = np.frombuffer(data, table.type)
-                counts[terms_of(ids)[0]] += 1
-                counts[-2:] += (1, len(ids))
+                counts += np.frombuffer(data, "<i8")
         some = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(counts[some])], names=["term", "n"])
 
-    size = word_ids(path).size
     counts = np.zeros(size + 2)
-    for row in units.select("packed").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
+    parts = tokenized.filter("unit IS NULL").select("packed").mapInArrow(run, "term int, n long")
+    for row in parts.groupBy("term").agg(F.sum("n").alias("n")).collect():
         counts[row.term] = row.n
     n, tokens = counts[-2:]
     return np.log1p((n - counts[:-2] + 0.5) / (counts[:-2] + 0.5)), tokens / max(n, 1), int(tokens)
@@ -214,22 +226,13 @@ def pack(
     kept = [c for c in keep if c not in names]
     tokenized = _tokenized(docs, kept, text, path, window, end_id, with_ids)
     units = tokenized.filter("unit")
-    idf, average, tokens = _statistics(units, path)
+    size, kind = word_ids(path).size, word_ids(path).type
+    idf, average, tokens = _statistics(tokenized, size)
     idf[end_id] = 0.0
     schema = T.StructType([docs.schema[c] for c in kept] + fields)
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = word_ids(path).type
-        for batch in batches:
-            keys = []
-            for data in batch.column(batch.num_columns - 1).to_pylist():
-                terms, times = terms_of(np.frombuffer(data, kind))
-                top = terms[np.argsort(-weights(times, idf[terms], times.sum(), average), kind="stable")[:3]]
-                keys.append(top.astype(">u4").tobytes() + zlib.crc32(data).to_bytes(4, "big"))
-            yield batch.append_column("key", pa.array(keys, pa.binary()))
-
     def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind, number = word_ids(path).type, TaskContext.get().partitionId() << 32
+        number = TaskContext.get().partitionId() << 32
         held: list[tuple] = []  # kept values, start, document's tokens, ids
         size = 0
 
@@ -271,11 +274,9 @@ def pack(
             yield from emptied(last=True)
 
     columns = [*kept, "start", "doc_tokens", "packed"]
-    with_keys = T.StructType([*[units.schema[c] for c in columns], T.StructField("key", T.BinaryType())])
     order = ["key", "start", "doc_tokens", *[c for c in kept if not isinstance(docs.schema[c].dataType, T.MapType)]]
     placed = (
-        units.select(*columns)
-        .mapInArrow(keyed, with_keys)
+        units.select(*columns, "key")
         .repartitionByRange(tokens // shard_tokens + 1, *order)
         .sortWithinPartitions(*order)
         .select(*columns)
@@ -283,7 +284,6 @@ def pack(
     )
     long = tokenized.filter("NOT unit")
     if with_ids:
-        kind = word_ids(path).type
 
         @F.pandas_udf(IDS.dataType)
         def unpacked(data):  # noqa: ANN001, ANN202
