@@ -39,6 +39,7 @@ WINDOW = 4096
 END_ID = 2
 SHARD_TOKENS = 1 << 21
 K1, B = 1.2, 0.75
+DENSE = 16
 
 FIELDS = [
     T.StructField("start", T.LongType()),
@@ -57,7 +58,11 @@ def crc(ids: np.ndarray) -> int:
 
 
 class Postings:
-    """An inverted index of some units under BM25 with given term weights."""
+    """An inverted index of some units under BM25 with given term weights.
+
+    The lists of terms in one unit of DENSE or more are rows of a matrix, which is at most DENSE times as large as
+    the lists.
+    """
 
     def __init__(self, units: Sequence[np.ndarray], idf: np.ndarray, average: float) -> None:
         self.count = len(units)
@@ -67,18 +72,30 @@ class Postings:
         term, unit = ids[by_term], unit[by_term]
         starts = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (unit[1:] != unit[:-1])))
         times = np.diff(starts, append=len(ids))
-        term, self.unit = term[starts], unit[starts].astype(np.intp)
-        self.weight = weights(times, idf[term], lengths[self.unit], average)
+        term, unit = term[starts], unit[starts]
+        weight = weights(times, idf[term], lengths[unit], average)
         self.first = np.searchsorted(term, np.arange(len(idf) + 1))
-        by_unit = np.argsort(self.unit, kind="stable")
-        self.terms = np.split(term[by_unit], np.searchsorted(self.unit[by_unit], np.arange(1, self.count)))
+        frequent = np.flatnonzero(np.diff(self.first) * DENSE >= self.count)
+        self.row = np.full(len(idf), -1)
+        self.row[frequent] = np.arange(len(frequent))
+        self.dense = np.zeros((len(frequent), self.count))
+        for row, t in enumerate(frequent):
+            span = slice(self.first[t], self.first[t + 1])
+            self.dense[row, unit[span]] = weight[span]
+        by_unit = np.argsort(unit, kind="stable")
+        self.terms = np.split(term[by_unit], np.searchsorted(unit[by_unit], np.arange(1, self.count)))
+        self.unit, self.weight = unit.astype(np.intp), weight
 
     def scores(self, seed: int) -> np.ndarray:
         """The BM25 score of every unit for the different terms of one."""
-        starts, ends = self.first[self.terms[seed]], self.first[self.terms[seed] + 1]
-        spans = list(map(slice, starts.tolist(), ends.tolist()))
-        units, parts = [self.unit[s] for s in spans], [self.weight[s] for s in spans]
-        return np.bincount(np.concatenate(units), np.concatenate(parts), minlength=self.count)
+        rows = self.row[self.terms[seed]]
+        total = self.dense[rows[rows >= 0]].sum(axis=0)
+        rare = self.terms[seed][rows < 0]
+        if len(rare):
+            spans = list(map(slice, self.first[rare].tolist(), self.first[rare + 1].tolist()))
+            units, parts = [self.unit[s] for s in spans], [self.weight[s] for s in spans]
+            total += np.bincount(np.concatenate(units), np.concatenate(parts), minlength=self.count)
+        return total
 
 
 def terms_of(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
