@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.words import small_batches
+from tidewire.llm.words import BATCH_ROWS, small_batches
 from tidewire.operators.lineage import stored
 
 KEEP, REROLE, DELETE, INSERT, TRUNCATED = 0, 2, 3, 2, 1
@@ -231,21 +231,28 @@ def _segments(faulty: DataFrame, kind: str, most: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         open_segment: _Segment | None = None
+        done: list[tuple] = []
         for batch in batches:
             key = batch.schema.field(0).type
+            if done:
+                yield _segment_rows(done, key)
+                done = []
             for conv, role, text, symbol, blank, copies in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if open_segment and (conv != open_segment.conv or open_segment.full(most)):
-                    yield open_segment.row(number, key)
+                    done.append(open_segment.row(number))
                     number, open_segment = number + 1, None
                 open_segment = open_segment or _Segment(conv)
                 while copies > 0:
                     copies -= open_segment.add(role, text, symbol, blank, copies, most)
                     symbol = GONE
                     if copies:
-                        yield open_segment.row(number, key)
+                        done.append(open_segment.row(number))
                         number, open_segment = number + 1, _Segment(conv)
+                        if len(done) >= BATCH_ROWS:
+                            yield _segment_rows(done, key)
+                            done = []
         if open_segment:
-            yield open_segment.row(number, key)
+            yield _segment_rows([*done, open_segment.row(number)], key)
 
     return stored(small_batches(rows).mapInArrow(run, f"conv {kind}, {_SEGMENT_FIELDS}"), "segments")
 
@@ -274,13 +281,16 @@ class _Segment:
         self.counts["truncated"] += stays and symbol % 2
         return taken
 
-    def row(self, number: int, key: pa.DataType) -> pa.RecordBatch:
+    def row(self, number: int) -> tuple:
         self.counts["illegal"] = sum(a + b not in _LEGAL for a, b in zip(self.initials, self.initials[1:], strict=False))
         ends = (self.initials[0], self.initials[-1]) if self.initials else (None, None)
-        values = [self.conv, number, bytes(self.symbols), self.turns, *ends, *self.counts.values()]
-        kinds = [key, pa.int64(), pa.binary(), pa.list_(_turn_type), pa.string(), pa.string(), *[pa.int64()] * len(_COUNTS)]
-        names = ["conv", "segment", "symbols", "turns", "first", "last", *self.counts]
-        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds, strict=True)], names=names)
+        return self.conv, number, bytes(self.symbols), self.turns, *ends, *self.counts.values()
+
+
+def _segment_rows(rows: list[tuple], key: pa.DataType) -> pa.RecordBatch:
+    kinds = [key, pa.int64(), pa.binary(), pa.list_(_turn_type), pa.string(), pa.string(), *[pa.int64()] * len(_COUNTS)]
+    names = ["conv", "segment", "symbols", "turns", "first", "last", *_COUNTS]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
 
 def _chained(segments: DataFrame, kind: str) -> DataFrame:
