@@ -1,5 +1,6 @@
 """Streams: what arrives late or twice, restarts, commits, counters."""
 
+import random
 import time
 
 from pyspark.sql import functions as F
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 from tidewire.plans.catalog import streams
 from tidewire.schemas import EVENTS
 from tidewire.sources import message_log
-from tidewire.streaming import hooks, pairing, tables
+from tidewire.streaming import hooks, live, pairing, stats, tables
 
 AT = "timestamp_millis(ms)"
 
@@ -74,6 +75,82 @@ def test_late_rows_are_counted(spark, sf_dir):
     assert dropped > 0
 
 
+def test_a_log_is_taken_in_the_order_of_its_parts(spark, tmp_path):
+    rows = spark.createDataFrame([(i, 7 - i) for i in range(8)], "id bigint, part bigint")
+    folder = message_log.lay_out(rows, str(tmp_path / "log"), F.col("part"), 8, "id")
+    stream = message_log.stream_message_log(spark, folder, rows.schema, max_files_per_trigger=1)
+    found = tables.run_into_table(stream, str(tmp_path / "out")).collect()
+    assert {(r.id, r.batch_id) for r in found} == {(i, 7 - i) for i in range(8)}
+
+
+MINUTES = "run_id bigint, worker bigint, ms bigint"
+
+
+def side(spark, folder):
+    stream = message_log.stream_message_log(spark, folder, spark.createDataFrame([], MINUTES).schema, max_files_per_trigger=1)
+    return stream.withColumn("event_time", F.expr(AT))
+
+
+def totals_of(spark, folder, out):
+    rows = live.live_totals(side(spark, f"{folder}/s"), side(spark, f"{folder}/r"), delay="5 seconds")
+    return tables.run_into_table(rows, out, conf=live.STATE_STORE | {"spark.sql.shuffle.partitions": "2"})
+
+
+def test_closed_periods_come_out_once_also_after_a_restart(spark, tmp_path):
+    """A run that stops after two files and goes on gives what a run in one go gives."""
+    rng = random.Random(1)
+    parts = [[(w % 2, w, 30_000 * k + rng.randrange(30_000)) for w in range(3) for _ in range(40)] for k in range(4)]
+    folder = str(tmp_path / "log")
+
+    def arrive(rows):
+        for name in ("s", "r"):
+            spark.createDataFrame(rows, MINUTES).coalesce(1).write.mode("append").parquet(f"{folder}/{name}")
+        time.sleep(1.1)
+
+    for rows in parts[:2]:
+        arrive(rows)
+    totals_of(spark, folder, str(tmp_path / "stopped"))
+    for rows in parts[2:]:
+        arrive(rows)
+    resumed = totals_of(spark, folder, str(tmp_path / "stopped"))
+    columns = ["run_id", "worker", "at_ms", "sent", "received", "total_sent", "total_received"]
+    closed = [tuple(r) for r in resumed.where("kind = 'closed'").select(columns).collect()]
+    every = [m for rows in parts for m in rows]
+    end, want = max(ms for *_, ms in every) - 5_000, []
+    for worker in range(3):
+        own, total = [ms for _, w, ms in every if w == worker], 0
+        for start in sorted({ms // 10_000 * 10_000 for ms in own}):
+            n = sum(start <= ms < start + 10_000 for ms in own)
+            total += n
+            if start + 10_000 <= end:
+                want.append((worker % 2, worker, start, n, n, total, total))
+    assert sorted(closed) == sorted(want)
+    whole = totals_of(spark, folder, str(tmp_path / "whole"))
+    assert sorted(map(tuple, whole.where("kind = 'closed'").select(columns).collect())) == sorted(want)
+    now = {r.run_id: (r.total_sent, r.total_received) for r in live.current_totals(resumed, ["run_id"]).collect()}
+    assert now == {0: (320, 320), 1: (160, 160)}
+
+
+def test_a_silent_worker_is_reported_once(spark, tmp_path):
+    rows = [[(0, 0, 1_000), (0, 1, 1_500)], [(0, 0, 20_000)], [(0, 0, 80_000)], [(0, 0, 81_000)]]
+    for part in rows:
+        for name in ("s", "r"):
+            spark.createDataFrame(part, MINUTES).coalesce(1).write.mode("append").parquet(str(tmp_path / "log" / name))
+        time.sleep(1.1)
+    found = totals_of(spark, str(tmp_path / "log"), str(tmp_path / "out")).where("kind = 'idle'")
+    assert sorted((r.worker, r.at_ms, r.total_sent) for r in found.collect()) == [(0, 20_000, 2), (1, 1_500, 1)]
+
+
+def test_closed_periods_are_written_once(spark, sf_dir, tmp_path):
+    """However many micro-batches there are, a period's rows are written with one of them."""
+    log = streams._arrived(spark, sf_dir)
+    sent = streams._sends(spark, log)
+    rows = tables.run_into_table(stats.period_buckets(sent, ["run_id"]), str(tmp_path / "out"))
+    assert rows.select("batch_id").distinct().count() > 2
+    assert rows.count() == rows.dropDuplicates(["run_id", "period_ms", "bucket"]).count()
+    assert rows.groupBy("run_id", "period_ms").agg(F.count_distinct("batch_id").alias("n")).where("n > 1").isEmpty()
+
+
 def test_drain_ends_with_nothing_left(spark, sf_dir):
     rows = streams.t10_drain(spark, sf_dir).orderBy("batch_id").collect()
     left = [r.backlog for r in rows]
@@ -90,19 +167,18 @@ def test_counters_and_late_rows_of_more_batches_than_a_query_remembers(spark, tm
     scope.counter("rows")
     scope.gauge("big", F.max("big"))
     late = hooks.LateRows()
-    partitions = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    few = {"spark.sql.shuffle.partitions": "1"}
     spark.streams.addListener(late)
     try:
-        hooks.count_batches(stream, scope, str(tmp_path / "n"), str(tmp_path / "c")).awaitTermination()
+        with tables.settings(spark, few):
+            got = hooks.observed_batches(scope.observe(stream), str(tmp_path / "n"), str(tmp_path / "c"), str(tmp_path / "m")).collect()
         counted = stream.groupBy((F.col("seq") % 2).alias("k")).count()
-        query = tables.into_table(counted, str(tmp_path / "r"), str(tmp_path / "d"), mode="update")
+        query = tables.into_table(counted, str(tmp_path / "r"), str(tmp_path / "d"), mode="update", conf=few)
         query.awaitTermination()
         assert late.table(query).select("batch_id").distinct().count() == 105
     finally:
-        spark.conf.set("spark.sql.shuffle.partitions", partitions)
         spark.streams.removeListener(late)
-    got = hooks.stored_counters(spark, str(tmp_path / "n")).collect()
+    assert spark.conf.get("spark.sql.shuffle.partitions") != "1"
     assert sum(r.value for r in got if r.metric == "x_rows") == 105
     assert {r.value for r in got if r.metric == "x_big"} == {1 << 60} and len(got) == 210
 

@@ -11,6 +11,8 @@ from tidewire.functions.latency import PUBLISH_MAX_US, e2e_latency_us
 from tidewire.operators.filters import positive_latency
 
 ACK_TIMEOUT = "60 seconds"
+#: State leaves when the slower of two streams has passed it, so no pair is lost while one is behind.
+SLOWER_STREAM = {"spark.sql.streaming.multipleWatermarkPolicy": "min"}
 
 
 def send_ack(

@@ -6,7 +6,9 @@ attempted again, so a lost executor or a restarted query never doubles a row.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import time
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -21,31 +23,58 @@ COMMITS = "_committed"
 BatchCallback = Callable[[DataFrame, int], None]
 
 
+@contextmanager
+def settings(spark: SparkSession, values: Mapping[str, str]) -> Iterator[None]:
+    """Session settings that hold while a query is started (which copies them), and no longer."""
+    old = {name: spark.conf.get(name, None) for name in values}
+    try:
+        for name, value in values.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in old.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
 def for_each_batch(
-    stream: DataFrame, callback: BatchCallback, checkpoint: str, *, mode: str = "append"
+    stream: DataFrame, callback: BatchCallback, checkpoint: str,
+    *, mode: str = "append", conf: Mapping[str, str] | None = None,
 ) -> StreamingQuery:
     """Hand every micro-batch of what is available to ``callback``."""
-    return (
-        stream.writeStream.outputMode(mode)
-        .foreachBatch(callback)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    writer = stream.writeStream.outputMode(mode).foreachBatch(callback)
+    with settings(stream.sparkSession, conf or {}):
+        return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def into_table(
-    stream: DataFrame, path: str, checkpoint: str, *, mode: str = "append"
+    stream: DataFrame, path: str, checkpoint: str,
+    *, mode: str = "append", conf: Mapping[str, str] | None = None,
 ) -> StreamingQuery:
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
-    return for_each_batch(stream, write, checkpoint, mode=mode)
+    return for_each_batch(stream, write, checkpoint, mode=mode, conf=conf)
+
+
+def some_batches(stream: DataFrame, path: str, checkpoint: str, batches: int, seconds: float = 120.0) -> None:
+    """Store at least ``batches`` micro-batches, and stop; the checkpoint says where to go on."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).start()
+    deadline = time.monotonic() + seconds
+    try:
+        while query.isActive and len(query.recentProgress) < batches and time.monotonic() < deadline:
+            time.sleep(0.05)
+    finally:
+        query.stop()
 
 
-def run_into_table(stream: DataFrame, folder: str, *, mode: str = "append") -> DataFrame:
+def run_into_table(
+    stream: DataFrame, folder: str, *, mode: str = "append", conf: Mapping[str, str] | None = None
+) -> DataFrame:
     """Drain a stream into a new table and return the table, with its batch ids."""
-    into_table(stream, f"{folder}/rows", f"{folder}/checkpoint", mode=mode).awaitTermination()
+    into_table(stream, f"{folder}/rows", f"{folder}/checkpoint", mode=mode, conf=conf).awaitTermination()
     return read_table(stream.sparkSession, f"{folder}/rows", stream.schema)
 
 
