@@ -76,16 +76,34 @@ def test_dense_index_of_sparse_and_crowded_ids(spark):
         got = sorted((r.idx, r.id, r.n) for r in scan.dense_index(df, "id", ties=["n"]).collect())
         want = sorted((i, n) for n, i in enumerate(ids))
         assert got == [(place, i, n) for place, (i, n) in enumerate(want)]
-        blocks = scan.with_ranked_block(df, "id").groupBy("_block").count().agg(F.max("count")).first()[0]
-        assert len(set(ids)) < 2 or blocks <= max(10, len(ids) // 100)
-
-
-def test_dense_index_has_no_global_sort_of_rows(spark):
-    df = spark.range(1000)
-    plan = scan.dense_index(df, "id", span=10)._jdf.queryExecution().optimizedPlan().toString()
-    for line in plan.splitlines():
-        if "Window" in line and "row_number" in line:
-            assert "_block" in line
+        short = sorted((r.idx, r.id) for r in scan.dense_index(df, "id", ties=["n"], span=97).collect())
+        assert short == [(place, i) for place, (i, _) in enumerate(want)]
+
+
+def test_dense_index_of_ten_million_rows(spark):
+    """Ids 10^11 apart, up to 10^18: every block gets its share, also of one value in a third of all rows."""
+    n = 10_000_000
+    far = F.col("id") * 10**11
+    ids = spark.range(n).select("id", far.alias("far"), F.when(F.col("id") % 3 == 0, 0).otherwise(far).alias("hot"))
+    placed = scan.dense_index(ids, "far", total="n")
+    assert placed.where("idx <> id OR n <> 10000000").isEmpty()
+    rows = scan.dense_index(ids, "hot", ties=["id"]).select("idx", "hot", "id")
+    assert rows.agg(F.count_distinct("idx"), F.min("idx"), F.max("idx")).first()[:] == (n, 0, n - 1)
+    zeros = rows.where("hot = 0").agg(F.max("idx").alias("last"), F.sum((F.col("idx") * 3 != F.col("id")).cast("int")).alias("bad")).first()
+    assert (zeros.last, zeros.bad) == (-(-n // 3) - 1, 0)
+
+
+def test_dense_index_blocks_grow_with_the_rows(spark):
+    sizes = {}
+    for n in (1_000, 4_000):
+        same = spark.range(n).select(F.lit(7).alias("id"), F.col("id").alias("n"))
+        plan = scan.dense_index(same, "id", span=100)
+        assert "row_number" not in plan._jdf.queryExecution().optimizedPlan().toString()
+        block = F.shiftrightunsigned("_row", 33)
+        folder = plan.inputFiles()[0].rsplit("/", 1)[0]
+        sizes[n] = [r["count"] for r in spark.read.parquet(folder).groupBy(block).count().collect()]
+    assert len(sizes[1_000]) == 10 and len(sizes[4_000]) == 40
+    assert max(sizes[1_000] + sizes[4_000]) < 250
 
 
 def test_round_robin_with_more_buckets_than_items(spark):

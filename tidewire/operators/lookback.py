@@ -46,8 +46,8 @@ def _placed(samples: DataFrame, range_ms: int, block_ms: int) -> tuple[DataFrame
     return placed, Window.partitionBy("_series", "_block").orderBy("ts_ms")
 
 
-def _grid_times(range_ms: int, step_ms: int, block_ms: int) -> Column:
-    """Grid times of this block at which the row is the latest sample of its series."""
+def _grid(range_ms: int, step_ms: int, block_ms: int) -> Column:
+    """Grid times of this block at which the row is the latest sample of its series, as an array."""
     step = F.lit(step_ms).cast("bigint")
     first_ms = F.greatest(F.col("ts_ms"), F.col("_block") * F.lit(block_ms))
     first = whole_div(first_ms + step - 1, step_ms) * step
@@ -56,7 +56,11 @@ def _grid_times(range_ms: int, step_ms: int, block_ms: int) -> Column:
         F.col("ts_ms") + F.lit(range_ms),
         (F.col("_block") + 1) * F.lit(block_ms) - 1,
     )
-    return F.explode(F.when(first <= last, F.sequence(first, last, step)))
+    return F.when(first <= last, F.sequence(first, last, step)).otherwise(F.array().cast("array<bigint>"))
+
+
+def _grid_times(range_ms: int, step_ms: int, block_ms: int) -> Column:
+    return F.explode(_grid(range_ms, step_ms, block_ms))
 
 
 def irate(
@@ -107,24 +111,33 @@ def increase(
     distance; at the start never to before the point where the counter was zero.
     """
     placed, block = _placed(samples, range_ms, block_ms)
-    upto = block.rowsBetween(Window.unboundedPreceding, 0)
-    recent = block.rangeBetween(-range_ms, 0)
     dropped = F.when(F.col("value") < F.col("_prev"), F.col("_prev")).otherwise(F.lit(0.0))
     seen = (
         placed.withColumn("_next", F.lead("ts_ms").over(block))
         .withColumn("_prev", F.lag("value").over(block))
-        .withColumn("_lift", F.sum(dropped).over(upto))
-        .withColumn("_frame", F.collect_list(F.struct("ts_ms", "value", "_lift")).over(recent))
+        .withColumn("_lift", F.sum(dropped).over(block.rowsBetween(Window.unboundedPreceding, 0)))
+        .withColumn("_rank", F.row_number().over(block))
     )
-    points = seen.select("*", _grid_times(range_ms, step_ms, block_ms).alias("t_ms"))
-    start = F.col("t_ms") - F.lit(range_ms)
-    inside = points.withColumn("_in", F.filter("_frame", lambda s: s["ts_ms"] >= start)).where(
-        F.size("_in") > 1
+    # Every sample, and behind the start of each look-back a mark; backwards in time a mark has just passed
+    # the first sample of its look-back.
+    sample = F.struct("ts_ms", "value", "_lift", "_rank")
+    grid = _grid(range_ms, step_ms, block_ms)
+    marks = F.transform(grid, lambda t: F.struct((t - F.lit(range_ms)).alias("_at"), t.alias("t_ms")))
+    own = F.array(F.struct(F.col("ts_ms").alias("_at"), F.lit(None).cast("bigint").alias("t_ms")))
+    merged = seen.select("_series", "_block", "name", "labels", sample.alias("_last"), F.inline(F.concat(own, marks)))
+    is_mark = F.col("t_ms").isNotNull()
+    backwards = Window.partitionBy("_series", "_block").orderBy(F.desc("_at"), is_mark, F.desc("_last._rank"))
+    first = F.last(F.when(~is_mark, F.col("_last")), ignorenulls=True)
+    passed = backwards.rowsBetween(Window.unboundedPreceding, 0)
+    inside = (
+        merged.withColumn("_first", first.over(passed))
+        .where(is_mark & (F.col("_first._rank") < F.col("_last._rank")))
+        .select("name", "labels", "t_ms", "_first", "_last.*")
     )
-    first = F.element_at("_in", 1)
+    start, first = F.col("t_ms") - F.lit(range_ms), F.col("_first")
     growth = (F.col("value") + F.col("_lift")) - (first["value"] + first["_lift"])
     sampled = (F.col("ts_ms") - first["ts_ms"]) / F.lit(1000.0)
-    distance = sampled / (F.size("_in") - F.lit(1))
+    distance = sampled / (F.col("_rank") - first["_rank"])
     limit = distance * F.lit(1.1)
     to_start = (first["ts_ms"] - start) / F.lit(1000.0)
     to_end = (F.col("t_ms") - F.col("ts_ms")) / F.lit(1000.0)

@@ -20,10 +20,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.functions.latency import whole_div
+from tidewire.operators.lineage import stored
 
 BLOCK = "_block"
 DEFAULT_SPAN = 1 << 16
-RANKED_BLOCKS = 1 << 10
+DENSE_ROWS = 1 << 20
+_ROW_BITS = 33
 
 
 @dataclass(frozen=True)
@@ -54,23 +56,6 @@ def with_block(df: DataFrame, order: str, span: int) -> DataFrame:
     return df.withColumn(BLOCK, whole_div(F.col(order), span))
 
 
-def with_ranked_block(df: DataFrame, order: str) -> DataFrame:
-    """Blocks of about equally many rows, cut at approximate quantiles of the order column.
-
-    Unlike blocks of a fixed span they hold for ids that lie far apart or crowd together.
-    Values that agree in their first 53 bits share a block. The quantiles are one row, computed in the query.
-    """
-    shares = [i / RANKED_BLOCKS for i in range(1, RANKED_BLOCKS)]
-    bounds = df.agg(F.percentile_approx(order, F.lit(shares), F.lit(10_000))).scalar()
-    steps = F.lit([RANKED_BLOCKS >> i for i in range(1, RANKED_BLOCKS.bit_length())])
-
-    def halved(at: Column, step: Column) -> Column:
-        return F.when(F.element_at("_bounds", at + step) <= F.col(order), at + step).otherwise(at)
-
-    placed = df.withColumn("_bounds", bounds)
-    return placed.withColumn(BLOCK, F.aggregate(steps, F.lit(0), halved)).drop("_bounds")
-
-
 def _attach(blocked: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Every block has its totals, so the join keeps all rows. Being an inner join it
     puts the same filters on both sides, which lets them share one shuffle."""
@@ -160,24 +145,29 @@ def dense_index(
     df: DataFrame, order: str, *, ties: Sequence[str] = (), name: str = "idx",
     total: str | None = None, span: int | None = None,
 ) -> DataFrame:
-    """Number all rows 0..N-1 in the order of a whole-number column, then of ``ties``.
+    """Number all rows 0..N-1 in the order of a column, then of ``ties``.
 
-    Blocks are cut at quantiles of the column, or, with ``span``, at its multiples.
+    The rows are cut by range into blocks of about ``span`` (DENSE_ROWS) rows, so there are as many blocks as the
+    rows need, however far apart or close together their values lie, and however many are equal; each block is sorted and numbered in its task, and
+    stored. The blocks' sizes, a few bytes each, give what is to be added. Rows of one block are numbered at once.
 
-    ``total`` names an optional column for N. Only block totals meet in one task.
+    ``total`` names an optional column for N.
     """
-    blocked = with_block(df, order, span) if span else with_ranked_block(df, order)
-    totals = blocked.groupBy(BLOCK).agg(F.count(F.lit(1)).alias("_n"))
-    earlier = Window.orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.orderBy(BLOCK).rowsBetween(
-        Window.unboundedPreceding, Window.unboundedFollowing
-    )
-    carry = totals.select(
-        BLOCK,
-        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"),
-        F.sum("_n").over(everything).alias("_total"),
-    )
-    within = Window.partitionBy(BLOCK).orderBy(order, *ties)
-    position = F.col("_offset") + F.row_number().over(within) - F.lit(1)
-    extra = [F.col("_total").alias(total)] if total else []
-    return _attach(blocked, carry, []).select(*df.columns, position.alias(name), *extra)
+    count = df.count()
+    blocks = -(-count // (span or DENSE_ROWS))
+    by = [order, *ties, "_given"]
+    given = df.withColumn("_given", F.monotonically_increasing_id())  # cuts rows that are equal so far
+    ordered = given.repartitionByRange(blocks, *by) if blocks > 1 else given.repartition(1)
+    row = F.monotonically_increasing_id()  # the block's number, and the row's place in it
+    numbered = ordered.sortWithinPartitions(*by).drop("_given").withColumn("_row", row)
+    offset = F.lit(0)
+    if blocks > 1:
+        numbered = stored(numbered, "numbered")
+        numbered = numbered.withColumn(BLOCK, F.shiftrightunsigned("_row", _ROW_BITS))
+        sizes = numbered.groupBy(BLOCK).agg(F.count(F.lit(1)).alias("_n"))
+        earlier = Window.orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+        offsets = sizes.select(BLOCK, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
+        numbered, offset = _attach(numbered, offsets, []), F.col("_offset")
+    place = offset + F.col("_row").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
+    extra = [F.lit(count).cast("bigint").alias(total)] if total else []
+    return numbered.select(*df.columns, place.cast("bigint").alias(name), *extra)
