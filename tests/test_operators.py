@@ -1,11 +1,12 @@
 """Ordered, joined and aggregated operators against brute force on small fixtures."""
 
+import bisect
 import random
 from fractions import Fraction
 
 from pyspark.sql import functions as F
 
-from tidewire.operators import assign, filters, histograms, joins, lookback, scan, windows
+from tidewire.operators import assign, filters, histograms, joins, lookback, scan, sketches, windows
 
 
 def hot_rows(seed, n=600):
@@ -282,3 +283,32 @@ def test_verdict_needs_a_shortfall(spark):
     df = spark.createDataFrame(rows, "p double, r double")
     got = [r.v for r in df.select(windows.sustain_verdict(F.col("p"), F.col("r"), F.lit(100.0)).alias("v")).collect()]
     assert got == ["producer-bound", "consumer-bound", "ok", "ok"]
+
+
+def test_sketches_merge_in_any_order(spark):
+    rng = random.Random(8)
+    values = [int(rng.lognormvariate(9, 2)) for _ in range(60_000)]
+    rows = spark.createDataFrame([(i % 50, v) for i, v in enumerate(values)], "worker int, latency_us bigint")
+    single = sketches.latency_sketches(rows, ["worker"])
+    ranked = sorted(values)
+    for order in ("worker", F.desc("worker")):
+        merged = sketches.merge_sketches(single.orderBy(order).withColumn("run_id", F.lit(1)), ["run_id"])
+        for r in sketches.sketch_quantiles(merged, ["run_id"], [0.01, 0.5, 0.99, 1.0]).collect():
+            low, high = bisect.bisect_left(ranked, r.latency_us), bisect.bisect_right(ranked, r.latency_us)
+            assert r.messages == 60_000
+            assert low - 120 <= r.quantile * 60_000 <= high + 120
+    assert sketches.latency_sketches(rows.where("worker < 0"), ["worker"]).count() == 0
+
+
+def test_increase_holds_no_lists(spark):
+    samples = spark.createDataFrame([("c", {"a": "b"}, 1000 * i, float(i % 700)) for i in range(2000)], "name string, labels map<string,string>, ts_ms bigint, value double")
+    df = lookback.increase(samples, 300_000)
+    assert "collect_list" not in df._jdf.queryExecution().optimizedPlan().toString()
+    points = {r.t_ms: r.value for r in df.collect()}
+    for t in (15_000, 600_000, 705_000, 900_000):  # one restart at 700 s
+        inside = [(1000 * i, float(i % 700)) for i in range(2000) if t - 300_000 <= 1000 * i <= t]
+        growth = sum(b if b < a else b - a for (_, a), (_, b) in zip(inside, inside[1:], strict=False))
+        sampled = (inside[-1][0] - inside[0][0]) / 1000
+        edge = min((inside[0][0] - t + 300_000) / 1000, sampled * inside[0][1] / growth)
+        stretched = sampled + (edge if edge < 1.1 else 0.5) + (t - inside[-1][0]) / 1000
+        assert abs(points[t] - growth * stretched / sampled) < 1e-6

@@ -185,3 +185,29 @@ def test_driver_lines_that_are_no_settings_are_reported(spark):
     text = "name: a\nservers:\n  - one\n  - two\n# note\nclient:\n  threads: 3\n"
     row = configs.parse_drivers(spark.createDataFrame([("/d.yaml", text)], "path string, text string")).first()
     assert row.unread == ["- one", "- two"] and row.extra == {"client.threads": "3"}
+
+
+def test_drivers_folded_by_lines(spark):
+    """Dotted names, block text with blank and deeper lines, lists, comments, repeated keys, closing blocks."""
+    text = "\n".join([
+        "# head", "name: 'a b'", "driverClass: x.Y", "", "client:", "  io: 4", "  deep:", "    er: \"q\"", "  io: 5", "block: |", "  one=1", "",
+        "    two=2", "after: v # kept", "- item", "odd line", "  nested:", "      x: 1", "   y: 2", "block: |", "  three", "empty:",
+    ])
+    files = spark.createDataFrame([("/d", text), ("/e", ""), ("/f", None)], "path string, text string")
+    rows = {r.path: r for r in configs.parse_drivers(files).collect()}
+    row = rows["/d"]
+    assert (row.name, row.driver_class) == ("a b", "x.Y")
+    assert row.extra == {
+        "client.io": "5", "client.deep.er": "q", "block": "three\n", "after": "v # kept", "nested.x": "1", "nested.y": "2",
+    }
+    assert row.unread == ["- item", "odd line"]
+    assert rows["/e"].extra == {} and rows["/e"].unread == []
+
+
+def test_files_written_and_read(spark, tmp_path):
+    files = spark.createDataFrame([("w-1.v2.yaml", "topics: 3\nname: n"), ("x.yaml", "topics: 4")], "file string, text string")
+    configs.write_texts(files, str(tmp_path / "w"))
+    assert {(r.workload, r.topics) for r in configs.read_workloads(spark, str(tmp_path / "w")).collect()} == {("w-1.v2", 3), ("x", 4)}
+    payloads = configs.read_payloads(spark, str(tmp_path / "w"), pattern="part-*")
+    assert {(r.path.rsplit("/", 1)[1], r.length) for r in payloads.select("path", "length").collect()} == {("w-1.v2.yaml", 18), ("x.yaml", 10)}
+    assert "content" not in payloads.select("path", "length")._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[1]

@@ -170,9 +170,10 @@ def s1_read_results(spark, sf_dir):
 
 
 def _workload_files(spark, sf_dir) -> DataFrame:
-    """Workload configurations of ``part`` as the text of one file each."""
+    """Workload configurations of ``supplier`` as the text of one file each."""
     number = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    rows = recipes.workloads(spark, sf_dir)
+    supplier = table(spark, sf_dir, "supplier")
+    rows = recipes.workload_columns(supplier, F.col("s_suppkey"), F.col("s_name"), F.col("s_nationkey"))
     text = F.concat_ws(
         "\n",
         F.lit("# generated\n"),
@@ -186,26 +187,29 @@ def _workload_files(spark, sf_dir) -> DataFrame:
         F.concat(F.lit("consumerBacklogSizeGB: "), number("backlog_gb")),
         F.lit("someFutureField: 12"),
     )
-    path = F.format_string("/configs/w-%d.v2.yaml", F.col("workload_id"))
-    return rows.select(path.alias("path"), text.alias("text"))
+    name = F.format_string("w-%d.v2.yaml", F.col("workload_id"))
+    return rows.select(name.alias("file"), text.alias("text"))
 
 
 @query(
     "s3_read_workloads",
     """
-    SELECT printf('w-%d.v2', p_partkey) AS workload, printf('%s-%06d', p_name, p_partkey) AS name,
-      p_size % 5 AS topics, [1, 1, 16, 100][p_size % 4 + 1] AS partitions_per_topic,
-      CASE p_partkey % 5 WHEN 0 THEN 'KEY_ROUND_ROBIN' WHEN 2 THEN 'RANDOM_NANO' ELSE 'NO_KEY' END
+    SELECT printf('w-%d.v2', s_suppkey) AS workload, printf('%s-%06d', s_name, s_suppkey) AS name,
+      s_nationkey % 5 AS topics, [1, 1, 16, 100][s_nationkey % 4 + 1] AS partitions_per_topic,
+      CASE s_suppkey % 5 WHEN 0 THEN 'KEY_ROUND_ROBIN' WHEN 2 THEN 'RANDOM_NANO' ELSE 'NO_KEY' END
         AS key_distributor,
-      [100, 1024, 2727][CAST(p_partkey % 3 AS INTEGER) + 1] AS message_size,
-      'payload/p-' || [100, 1024, 2727][CAST(p_partkey % 3 AS INTEGER) + 1] || '.data' AS payload_file,
-      [50000, 0, 10000, -1, 2147483647][CAST(p_partkey % 5 AS INTEGER) + 1] AS producer_rate,
-      CASE WHEN p_partkey % 3 = 1 THEN 100 ELSE 0 END::BIGINT AS backlog_gb,
+      [100, 1024, 2727][CAST(s_suppkey % 3 AS INTEGER) + 1] AS message_size,
+      'payload/p-' || [100, 1024, 2727][CAST(s_suppkey % 3 AS INTEGER) + 1] || '.data' AS payload_file,
+      [50000, 0, 10000, -1, 2147483647][CAST(s_suppkey % 5 AS INTEGER) + 1] AS producer_rate,
+      CASE WHEN s_suppkey % 3 = 1 THEN 100 ELSE 0 END::BIGINT AS backlog_gb,
       0::INTEGER AS test_duration_minutes
-    FROM part""",
+    FROM supplier""",
 )
 def s3_read_workloads(spark, sf_dir):
-    parsed = configs.parse_workloads(_workload_files(spark, sf_dir))
+    """Workload files in the shared folder, as a user has them."""
+    folder = shared_folder(spark, "workloads")
+    configs.write_texts(_workload_files(spark, sf_dir), folder)
+    parsed = configs.read_workloads(spark, folder)
     return parsed.select(
         "workload", "name", "topics", "partitions_per_topic", "key_distributor", "message_size",
         "payload_file", "producer_rate", "backlog_gb", "test_duration_minutes",
@@ -229,12 +233,14 @@ def s4_read_drivers(spark, sf_dir):
         nation, F.lit("\n\nreplicationFactor: 3\n"),
     )
     files = table(spark, sf_dir, "supplier").select(
-        F.col("s_suppkey").cast("string").alias("path"), text.alias("text")
+        F.format_string("%d.yaml", F.col("s_suppkey")).alias("file"), text.alias("text")
     )
-    drivers = configs.parse_drivers(files)
+    folder = shared_folder(spark, "drivers")
+    configs.write_texts(files, folder)
+    drivers = configs.read_drivers(spark, folder)
     extra = F.col("extra")
     return drivers.select(
-        F.col("path").cast("bigint").alias("s_suppkey"),
+        F.regexp_extract("path", r"(\d+)\.yaml$", 1).cast("bigint").alias("s_suppkey"),
         "name",
         "driver_class",
         extra["client.ioThreads"].alias("io_threads"),
@@ -245,33 +251,30 @@ def s4_read_drivers(spark, sf_dir):
 @query(
     "s5_read_payloads",
     """
-    SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'missing payload'
-      WHEN doc_id % 5 = 0 THEN 'payload length mismatch' END AS reason
-    FROM documents WHERE doc_id % 7 = 0 OR doc_id % 5 = 0""",
+    SELECT s_suppkey, CASE WHEN s_suppkey % 7 = 0 THEN 'missing payload'
+      WHEN s_suppkey % 5 = 0 THEN 'payload length mismatch' END AS reason,
+      CASE WHEN s_suppkey % 7 <> 0 THEN (s_suppkey % 50 + 1) * length(s_name) + 1 END AS payload_length
+    FROM supplier WHERE s_suppkey % 7 = 0 OR s_suppkey % 5 = 0""",
 )
 def s5_read_payloads(spark, sf_dir):
-    """Whole documents as payload files: some are absent, some of another length."""
-    documents = table(spark, sf_dir, "documents")
-    stem = F.format_string("payload/doc-%d.data", F.col("doc_id"))
-    content = F.encode("text", "UTF-8")
-    expected = F.octet_length(content) + F.when(F.col("doc_id") % 5 == 0, 1).otherwise(0)
-    workloads = documents.select(
-        "doc_id", F.col("doc_id").cast("string").alias("name"), stem.alias("payload_file"),
-        long(expected).alias("message_size"),
-    )
-    payloads = documents.where(F.col("doc_id") % 7 != 0).select(
-        stem.alias("path"), long(F.octet_length(content)).alias("length")
-    )
-    checked = configs.check_payloads(workloads, payloads)
+    """Payload files of the shared folder against their workloads: some are absent, some of another length."""
+    rows = table(spark, sf_dir, "supplier")
+    stem = F.format_string("payload-%d.data", F.col("s_suppkey"))
+    content = F.repeat("s_name", (F.col("s_suppkey") % 50 + 1).cast("int"))
+    folder = shared_folder(spark, "payloads")
+    present = rows.where(F.col("s_suppkey") % 7 != 0)
+    configs.write_texts(present.select(stem.alias("file"), content.alias("text")), folder)
+    expected = F.octet_length(content) + F.lit(1) + F.when(F.col("s_suppkey") % 5 == 0, 1).otherwise(0)
     none = F.lit(None)
-    rules = checked.withColumns(
-        {
-            "backlog_gb": long(0), "producer_rate": long(1), "n_workers": long(none),
-            "worker_list": none.cast("string"), "workers_file": none.cast("string"),
-        }
+    workloads = rows.select(
+        "s_suppkey", F.col("s_suppkey").cast("string").alias("name"), F.concat(F.lit("payload/"), stem).alias("payload_file"),
+        long(expected).alias("message_size"), long(0).alias("backlog_gb"), long(1).alias("producer_rate"),
+        long(none).alias("n_workers"), none.cast("string").alias("worker_list"), none.cast("string").alias("workers_file"),
     )
-    problems = filters.invalid_configs(rules)
-    return problems.select(F.col("workload").cast("bigint").alias("doc_id"), "reason")
+    checked = configs.check_payloads(workloads, configs.read_payloads(spark, folder, pattern="part-*"))
+    lengths = checked.select(F.col("name").alias("workload"), "s_suppkey", "payload_length")
+    problems = filters.invalid_configs(checked)
+    return problems.join(lengths, "workload").select("s_suppkey", "reason", "payload_length")
 
 
 # --- message logs -----------------------------------------------------------------------

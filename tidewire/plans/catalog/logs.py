@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.functions import keys, latency, text
-from tidewire.operators import aggregates, assign, filters, histograms, joins, ordering, windows
+from tidewire.operators import aggregates, assign, filters, histograms, joins, ordering, sketches, windows
 from tidewire.operators.lineage import stored
 from tidewire.plans import recipes, reports
 from tidewire.plans.catalog.registry import (
@@ -555,6 +555,31 @@ def a8_merge_histograms(spark, sf_dir):
     return histograms.merge_histograms(single, RUN).select(*RUN, "bucket", "n")
 
 
+SKETCHED = (0.5, 0.95, 0.99, 0.999)
+
+
+@query(
+    "a8_merge_sketches",
+    f"""
+    WITH {PUBLISHED}
+    SELECT run_id, quantile, count(latency_us) AS messages, true AS close
+    FROM published CROSS JOIN (SELECT unnest({list(SKETCHED)})::DOUBLE AS quantile) GROUP BY run_id, quantile""",
+)
+def a8_merge_sketches(spark, sf_dir):
+    """Quantiles of runs from the sketches of single workers and periods, held against the messages' true ranks."""
+    sent = filters.drop_warmup(filters.successful_only(recipes.sends(spark, sf_dir)), "send_ms")
+    published = sent.withColumn("period", aggregates.period_of(F.col("send_ms")))
+    single = stored(sketches.latency_sketches(published, [*RUN, "worker", "period"]))
+    merged = sketches.merge_sketches(single, RUN)
+    found = sketches.sketch_quantiles(merged, RUN, SKETCHED).withColumnRenamed("latency_us", "estimate")
+    ranks = published.select(*RUN, "latency_us").join(found, RUN).groupBy(*RUN, "quantile", "messages").agg(
+        F.count_if(F.col("latency_us") < F.col("estimate")).alias("below"),
+        F.count_if(F.col("latency_us") <= F.col("estimate")).alias("upto"),
+    )
+    rank, error = F.col("quantile") * F.col("messages"), F.lit(sketches.RANK_ERROR) * F.col("messages") + 1
+    return ranks.select(*RUN, "quantile", "messages", rank.between(F.col("below") - error, F.col("upto") + error).alias("close"))
+
+
 @query("a9_run_latency", _summary_query(PUBLISHED, "published", "run_id"))
 def a9_run_latency(spark, sf_dir):
     published = reports.publish_latencies(recipes.sends(spark, sf_dir))

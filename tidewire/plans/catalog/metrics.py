@@ -9,6 +9,7 @@ from tidewire.functions.labels import label, label_match, series_id, series_labe
 from tidewire.operators import joins, lookback
 from tidewire.plans import dashboards, recipes
 from tidewire.plans.catalog.registry import SENT, query, rounded
+from tidewire.session import shared_folder
 from tidewire.sources import metrics
 
 GROUPS = ("client", "broker", "bookie")
@@ -98,7 +99,7 @@ def _points(points: DataFrame, *columns: str) -> DataFrame:
     FROM counters""",
 )
 def s9_read_metric_samples(spark, sf_dir):
-    """Samples rendered as exposition text (with its comments) and parsed back."""
+    """Samples as files of exposition text (with its comments) and as a table, read back through the readers."""
     counters = recipes.sampled_counters(spark, sf_dir)
     line = F.format_string(
         'benchmark_producer_messages_sent{instance="w%d",group="client"} %s %d',
@@ -107,8 +108,13 @@ def s9_read_metric_samples(spark, sf_dir):
     )
     comment = F.lit("# TYPE benchmark_producer_messages_sent counter")
     lines = counters.select(F.explode(F.array(comment, line)).alias("line"))
-    parsed = metrics.parse_exposition(lines)
-    return parsed.select(series_id(F.col("name"), F.col("labels")).alias("series"), "ts_ms", "value")
+    folder = shared_folder(spark, "samples")
+    lines.write.text(f"{folder}/text")
+    parsed = metrics.read_exposition(spark, f"{folder}/text")
+    rows = parsed.select("name", "labels", F.col("ts_ms"), "value")
+    rows.write.parquet(f"{folder}/table")
+    samples = metrics.read_metric_samples(spark, f"{folder}/table")
+    return samples.select(series_id(F.col("name"), F.col("labels")).alias("series"), "ts_ms", "value")
 
 
 @query(

@@ -127,15 +127,21 @@ def tag_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def workloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Workload configurations, one per part."""
-    pk, size = F.col("p_partkey"), F.col("p_size").cast("bigint")
+    part = table(spark, sf_dir, "part")
+    return workload_columns(part, F.col("p_partkey"), F.col("p_name"), F.col("p_size"))
+
+
+def workload_columns(rows: DataFrame, pk: Column, name: Column, size: Column) -> DataFrame:
+    """A workload configuration for each row, by its number, name and size."""
+    size = size.cast("bigint")
 
     def pick(column: Column, *values: object) -> Column:
         chosen = F.array(*[F.lit(v) for v in values])
         return F.element_at(chosen, (F.pmod(column, F.lit(len(values))) + 1).cast("int"))
 
     message_size = pick(pk, 100, 1024, 2727)
-    return table(spark, sf_dir, "part").select(
-        F.format_string("%s-%06d", F.col("p_name"), pk).alias("name"),
+    return rows.select(
+        F.format_string("%s-%06d", name, pk).alias("name"),
         pk.alias("workload_id"),
         (size % 5).alias("topics"),
         long(pick(size, 1, 1, 16, 100)).alias("partitions_per_topic"),

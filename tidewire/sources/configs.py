@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,10 +14,20 @@ OPTIONAL_NUMBERS_DEFAULT_TO_ZERO = tuple(
 )
 
 
+def write_texts(files: DataFrame, folder: str) -> None:
+    """Write (file, text) rows as one text each, in a folder that has the file's name; a line end follows the text."""
+    files.select("file", "text").write.partitionBy("file").text(folder)
+
+
+def file_path(path: Column) -> Column:
+    """The path of a file; for what ``write_texts`` has written, the path that its folder stands for."""
+    return F.regexp_replace(path, r"/file=([^/]+)/part-[^/]*$", "/$1")
+
+
 def read_texts(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(path, text) of whole files."""
-    files = spark.read.text(paths, wholetext=True)
-    return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    files = spark.read.schema("value string").option("recursiveFileLookup", "true").text(paths, wholetext=True)
+    return files.select(file_path(F.col("_metadata.file_path")).alias("path"), F.col("value").alias("text"))
 
 
 def _value(text: Column) -> Column:
@@ -91,73 +97,79 @@ def read_workloads(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return parse_workloads(read_texts(spark, paths)).orderBy("workload")
 
 
-def _flatten(text: str) -> tuple[dict[str, str], list[str]]:
-    """Indented ``key: value`` text as dotted names, and the lines that say something else.
-
-    Block text is kept as it stands.
-    """
-    found: dict[str, str] = {}
-    unread: list[str] = []
-    open_keys: list[tuple[int, str]] = []
-    block: tuple[int, str] | None = None
-    for line in text.splitlines():
-        indent = len(line) - len(line.lstrip())
-        if block and (not line.strip() or indent > block[0]):
-            found[block[1]] += line.strip() + "\n" if line.strip() else ""
-            continue
-        block = None
-        match = re.match(r"\s*([\w.\-]+)\s*:\s*(.*?)\s*$", line)
-        if not line.strip() or line.lstrip().startswith("#"):
-            continue
-        if not match:
-            unread.append(line.strip())
-            continue
-        while open_keys and open_keys[-1][0] >= indent:
-            open_keys.pop()
-        key, value = match.groups()
-        dotted = ".".join([name for _, name in open_keys] + [key])
-        if value == "|":
-            block, found[dotted] = (indent, dotted), ""
-        elif value:
-            found[dotted] = value.strip("\"'")
-        else:
-            open_keys.append((indent, key))
-    return found, unread
+#: What is known while a driver file is read line by line: keys that are open (indent and name), block text that is
+#: open (its key's indent and its name), entries found, lines that say something else.
+_READING = (
+    "struct<open: array<struct<indent: int, name: string>>, block: struct<indent: int, name: string>,"
+    " found: array<struct<key: string, value: string>>, unread: array<string>>"
+)
+_KEY = r"^\s*([\w.\-]+)\s*:\s*(.*?)\s*$"
+
+
+def _line_read(known: Column, line: Column) -> Column:
+    """What is known after one more line."""
+    trimmed = F.regexp_replace(line, r"^\s+|\s+$", "")
+    indent = F.length(line) - F.length(F.regexp_replace(line, r"^\s+", ""))
+    key, value = F.regexp_extract(line, _KEY, 1), F.regexp_extract(line, _KEY, 2)
+    above = F.filter(known["open"], lambda x: x["indent"] < indent)
+    dotted = F.concat_ws(".", F.concat(F.transform(above, lambda x: x["name"]), F.array(key)))
+    entry = F.struct(dotted.alias("key"), F.when(value == "|", "").otherwise(F.regexp_replace(value, r"^[\"']+|[\"']+$", "")).alias("value"))
+    more = F.struct(known["block"]["name"].alias("key"), F.concat(trimmed, F.lit("\n")).alias("value"))
+
+    def after(open_=known["open"], block=F.lit(None), found=known["found"], unread=known["unread"]) -> Column:  # noqa: ANN001
+        return F.struct(open_.alias("open"), block.alias("block"), found.alias("found"), unread.alias("unread")).cast(_READING)
+
+    in_block = known["block"].isNotNull() & ((trimmed == "") | (indent > known["block"]["indent"]))
+    blank = (trimmed == "") | trimmed.startswith("#")
+    return (
+        F.when(in_block & (trimmed == ""), known)
+        .when(in_block, after(block=known["block"], found=F.array_append(known["found"], more)))
+        .when(blank, after())
+        .when(~line.rlike(_KEY), after(unread=F.array_append(known["unread"], trimmed)))
+        .when(value == "|", after(above, F.struct(indent.alias("indent"), dotted.alias("name")), F.array_append(known["found"], entry)))
+        .when(value != "", after(above, found=F.array_append(known["found"], entry)))
+        .otherwise(after(F.array_append(above, F.struct(indent.alias("indent"), key.alias("name")))))
+    )
 
 
 def parse_drivers(files: DataFrame) -> DataFrame:
-    """(path, name, driver_class, extra, unread) from driver files, one file per row.
-
-    ``unread`` has the lines, such as list items, that are no ``key: value``.
+    """(path, name, driver_class, extra, unread) from indented ``key: value`` text, one file per row.
 
-    Files are small configuration documents, read one at a time inside tasks.
+    Keys get dotted names, and of equal ones the last counts; block text is kept as it stands, its lines put
+    together. ``unread`` has the lines, such as list items, that are no ``key: value``. Lines are folded
+    into a stack of open keys by ``aggregate``.
     """
-
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            flat, unread = zip(*map(_flatten, batch["text"]), strict=True) if len(batch) else ((), ())
-            yield pd.DataFrame(
-                {
-                    "path": batch["path"],
-                    "name": [f.pop("name", None) for f in flat],
-                    "driver_class": [f.pop("driverClass", None) for f in flat],
-                    "extra": list(flat),
-                    "unread": list(unread),
-                }
-            )
-
-    schema = "path string, name string, driver_class string, extra map<string,string>, unread array<string>"
-    return files.select("path", "text").mapInPandas(parse, schema)
+    lines = F.split(F.regexp_replace("text", r"\r?\n$", ""), r"\r?\n")
+    nothing = F.expr(f"cast(struct(array(), null, array(), array()) AS {_READING})")
+    known = files.select("path", F.aggregate(lines, nothing, _line_read).alias("known")).select("path", "known.*")
+    # A value, and the lines of its block, in order: a later value of the same key replaces what was there.
+    def joined(found: Column, entry: Column) -> Column:
+        same = found[entry["key"]]
+        text = F.when(entry["value"].endswith("\n") & same.isNotNull(), F.concat(same, entry["value"])).otherwise(entry["value"])
+        return F.map_concat(F.map_filter(found, lambda k, _: k != entry["key"]), F.create_map(entry["key"], text))
+
+    found = F.aggregate("found", F.expr("cast(map() AS map<string,string>)"), joined)
+    return known.withColumn("found", found).select(
+        "path",
+        F.col("found")["name"].alias("name"),
+        F.col("found")["driverClass"].alias("driver_class"),
+        F.map_filter("found", lambda k, _: ~k.isin("name", "driverClass")).alias("extra"),
+        "unread",
+    )
 
 
 def read_drivers(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return parse_drivers(read_texts(spark, paths))
 
 
-def read_payloads(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(path, content, length) of payload files."""
-    files = spark.read.format("binaryFile").load(paths)
-    return files.select("path", "content", "length")
+def read_payloads(spark: SparkSession, paths: str | list[str], pattern: str | None = None) -> DataFrame:
+    """(path, content, length) of payload files, of those whose names fit ``pattern`` if one is given.
+
+    The length comes from the file's metadata; the content is read only where it is asked for.
+    """
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    files = (reader.option("pathGlobFilter", pattern) if pattern else reader).load(paths)
+    return files.select(file_path(F.col("path")).alias("path"), "content", "length")
 
 
 def check_payloads(workloads: DataFrame, payloads: DataFrame) -> DataFrame:
