@@ -55,7 +55,7 @@ U64 = np.uint64
 
 def bags(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct shingles of the texts (sorted in each), how often each occurs, and its text."""
-    h, bounds = words.hashes(texts, words.ALNUM)
+    h, bounds = words.hashes(texts, words.ALNUM, by_character=True)
     shingle, _, text = words.runs(h, bounds, SHINGLE)
     count = np.diff(bounds)
     for k in range(1, SHINGLE):

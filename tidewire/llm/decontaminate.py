@@ -1,6 +1,7 @@
 """Benchmark decontamination by greedy string tiling.
 
-Seeds are the Karp-Rabin hashes of LEAST_TILE consecutive words. A bitmap of fixed size over the
+Seeds are the Karp-Rabin hashes of LEAST_TILE consecutive words; in scripts without blanks every character
+is a word. A bitmap of fixed size over the
 benchmark's seeds tells, while texts are read, nearly all words of documents apart from
 it; what passes is joined with the benchmark's seeds by hash. Every match of LEAST_TILE
 or more words between a document and an item is a run of seeds on one diagonal, so greedy string
@@ -59,7 +60,7 @@ def _seeds(rows: DataFrame, keep: list[str], known: Bitmap | None = None) -> Dat
             texts = batch.column(batch.num_columns - 1)
             lengths = np.array([len(t or b"") for t in texts.to_pylist()], np.int64)
             for start, end in words.parts(lengths):
-                h, bounds = words.hashes(texts.slice(start, end - start).to_pylist(), words.ALNUM)
+                h, bounds = words.hashes(texts.slice(start, end - start).to_pylist(), words.ALNUM, by_character=True)
                 seed, first, text = words.runs(h, bounds, LEAST_TILE)
                 if known is not None:
                     passed = np.flatnonzero(known.has(seed))
