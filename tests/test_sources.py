@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tidewire.operators import filters
+from tidewire.operators import filters, joins
 from tidewire.plans import charts
 from tidewire.session import shared_folder
 from tidewire.sources import configs, message_log, metrics, results
@@ -211,3 +211,17 @@ def test_files_written_and_read(spark, tmp_path):
     payloads = configs.read_payloads(spark, str(tmp_path / "w"), pattern="part-*")
     assert {(r.path.rsplit("/", 1)[1], r.length) for r in payloads.select("path", "length").collect()} == {("w-1.v2.yaml", 18), ("x.yaml", 10)}
     assert "content" not in payloads.select("path", "length")._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[1]
+
+
+def test_bucketed_logs_are_joined_where_they_lie(spark):
+    keys = ["topic", "partition", "seq"]
+    rows = spark.createDataFrame([("t", i % 3, i, 10 * i) for i in range(500)], "topic string, partition int, seq bigint, send_ms bigint")
+    received = rows.selectExpr(*keys, "1 AS subscription", "send_ms + 5 AS receive_ms").where("seq % 7 <> 0")
+    sent, got = (message_log.bucketed_log(log, keys, 4) for log in (rows, received))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        paired = joins.join_publish_receive(sent, got)
+        assert "Exchange" not in paired._jdf.queryExecution().executedPlan().toString()
+        assert paired.where("receive_ms = send_ms + 5").count() == received.count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

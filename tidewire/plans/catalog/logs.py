@@ -280,21 +280,31 @@ def k9_transaction_batches(spark, sf_dir):
 # --- joins -----------------------------------------------------------------------
 
 
-@query(
-    "j1_join_send_ack",
-    f"""
-    WITH {SENT}
-    SELECT seq, CASE WHEN seq % 23 = 0 THEN 'pending' WHEN seq % 29 = 0 THEN 'failed'
-      ELSE 'ok' END AS outcome,
-      CASE WHEN seq % 23 <> 0 THEN ack_ms - send_ms END AS latency_ms
-    FROM sent""",
-)
+J1_SQL = f"""
+WITH {SENT}
+SELECT seq, CASE WHEN seq % 23 = 0 THEN 'pending' WHEN seq % 29 = 0 THEN 'failed'
+  ELSE 'ok' END AS outcome,
+  CASE WHEN seq % 23 <> 0 THEN ack_ms - send_ms END AS latency_ms
+FROM sent"""
+
+
+@query("j1_join_send_ack", J1_SQL)
 def j1_join_send_ack(spark, sf_dir):
     sent = recipes.sends(spark, sf_dir).select("producer_id", "producer_seq", "seq", "send_ms")
     paired = joins.join_send_ack(sent, recipes.acks(spark, sf_dir))
     return paired.select("seq", "outcome", (F.col("ack_ms") - F.col("send_ms")).alias("latency_ms"))
 
 
+@query("j1_bucketed_logs", J1_SQL)
+def j1_bucketed_logs(spark, sf_dir):
+    """Sends and answers that were laid out by producer: pairing them moves no rows."""
+    keys = ["producer_id", "producer_seq"]
+    sent = recipes.sends(spark, sf_dir).select(*keys, "seq", "send_ms")
+    logs = [message_log.bucketed_log(log, keys) for log in (sent, recipes.acks(spark, sf_dir))]
+    paired = joins.join_send_ack(*logs)
+    return paired.select("seq", "outcome", (F.col("ack_ms") - F.col("send_ms")).alias("latency_ms"))
+
+
 @query(
     "j2_join_cumulative_ack",
     f"""
@@ -326,13 +336,13 @@ def j2_join_cumulative_ack(spark, sf_dir):
     return joins.join_cumulative_ack(sent, recipes.tag_answers(spark, sf_dir))
 
 
-@query(
-    "j3_join_publish_receive",
-    f"""
-    WITH {RECV}
-    SELECT s.seq, r.subscription, r.receive_ms - s.send_ms AS delay_ms
-    FROM sent s JOIN recv r USING (topic, "partition", seq)""",
-)
+J3_SQL = f"""
+WITH {RECV}
+SELECT s.seq, r.subscription, r.receive_ms - s.send_ms AS delay_ms
+FROM sent s JOIN recv r USING (topic, "partition", seq)"""
+
+
+@query("j3_join_publish_receive", J3_SQL)
 def j3_join_publish_receive(spark, sf_dir):
     sent = recipes.sends(spark, sf_dir).select("topic", "partition", "seq", "send_ms")
     paired = joins.join_publish_receive(sent, recipes.receives(spark, sf_dir))
@@ -340,6 +350,16 @@ def j3_join_publish_receive(spark, sf_dir):
     return paired.select("seq", "subscription", delay)
 
 
+@query("j3_bucketed_logs", J3_SQL)
+def j3_bucketed_logs(spark, sf_dir):
+    """Messages and deliveries that were laid out by topic, partition and number."""
+    keys = ["topic", "partition", "seq"]
+    sent = recipes.sends(spark, sf_dir).select(*keys, "send_ms")
+    received = recipes.receives(spark, sf_dir).select(*keys, "subscription", "receive_ms")
+    paired = joins.join_publish_receive(message_log.bucketed_log(sent, keys), message_log.bucketed_log(received, keys))
+    return paired.select("seq", "subscription", (F.col("receive_ms") - F.col("send_ms")).alias("delay_ms"))
+
+
 @query(
     "j4_fan_out",
     f"""

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import time
+import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidewire.functions.keys import key_for
 from tidewire.functions.latency import publish_latency_us, whole_div
+from tidewire.session import remove_at_exit, shared_folder
 
 EXPAND_BLOCK = 1 << 20
 
@@ -80,6 +83,21 @@ def lay_out(log: DataFrame, folder: str, part: Column, parts: int, order: str) -
     return folder
 
 
+def bucketed_log(messages: DataFrame, keys: Sequence[str], buckets: int | None = None) -> DataFrame:
+    """The messages as a table in the shared folder, bucketed and sorted by ``keys``.
+
+    Logs that are laid out alike are joined on these keys without moving a row, as often as they are read. The number of
+    buckets is the session's number of shuffle partitions if none is given. One task writes each bucket.
+    """
+    spark = messages.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    folder, name = shared_folder(spark, "bucketed"), f"log_{uuid.uuid4().hex}"
+    writer = messages.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys)
+    writer.option("path", folder).saveAsTable(name)
+    remove_at_exit(spark, folder)
+    return spark.table(name)
+
+
 def stream_kafka_log(spark: SparkSession, servers: str, topics: str) -> DataFrame:
     """Records of a broker, from the earliest offset; needs the connector package."""
     return (
