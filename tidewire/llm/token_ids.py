@@ -46,12 +46,11 @@ class WordIds:
     def of(self, texts: Sequence[bytes]) -> list[np.ndarray]:
         """The ids of some whole texts."""
         out: list[list[bytes]] = [[] for _ in texts]
-        held: list[tuple[int, list[bytes], list[bytes | None]]] = []
+        held: list[tuple[int, list[bytes]]] = []
         size = 0
         for n, text in enumerate(texts):
             for part in _slices(text):
-                words = _words(part)
-                held.append((n, words, list(map(self.young.get, words))))
+                held.append((n, _words(part)))
                 size += len(part)
                 if size >= SLICE:
                     self._look_up(held, out)
@@ -59,17 +58,19 @@ class WordIds:
         self._look_up(held, out)
         return [np.frombuffer(b"".join(parts), self.type) for parts in out]
 
-    def _look_up(self, held: list[tuple[int, list[bytes], list[bytes | None]]], out: list[list[bytes]]) -> None:
-        missing = {word for _, words, found in held for word, ids in zip(words, found, strict=True) if ids is None}
+    def _look_up(self, held: list[tuple[int, list[bytes]]], out: list[list[bytes]]) -> None:
+        different = set().union(*[words for _, words in held])
+        missing = different.difference(self.young)
         if len(self.young) + len(missing) > MOST_WORDS:
             self.young, self.old = {}, self.young
+            missing = different
         self._learn(self._kept(missing))
-        young = self.young
-        for n, words, found in held:
-            out[n].append(b"".join([young[word] if ids is None else ids for word, ids in zip(words, found, strict=True)]))
+        find = self.young.__getitem__
+        for n, words in held:
+            out[n].append(b"".join(map(find, words)))
         for word in missing:
             if len(word) > LONG_WORD:
-                del young[word]
+                del self.young[word]
 
     def _kept(self, missing: set[bytes]) -> set[bytes]:
         """Take what the old table has; the rest is new."""
