@@ -2,7 +2,8 @@
 
 Text that repeats itself compresses far better than prose, encoded or random text hardly at
 all; how far depends on the length. A document is rejected when its compressed share lies
-outside the band of its length, or more than half of its full chunks lie outside theirs.
+outside the band of its length, or more than half of its chunks lie outside theirs. From CHUNK bytes on there
+are chunks; what is left after the last full one is judged as the last CHUNK bytes.
 The counts of the base rules come along: code points in words, symbols, repeated lines, and
 words in runs of eight that occur twice or more in the text.
 
@@ -77,15 +78,17 @@ def band(length: int) -> tuple[float, float]:
 
 
 def shares(text: bytes, packer: zstandard.ZstdCompressor) -> tuple[float, float]:
-    """Compressed share of the text, and the part of its full chunks out of their band."""
+    """Compressed share of the text, and the part of its chunks out of their band."""
     if not text:
         return 0.0, 0.0
     whole = len(packer.compress(text)) / len(text)
-    chunks = len(text) // CHUNK
-    if chunks < 2:
+    starts = list(range(0, len(text) - CHUNK + 1, CHUNK))
+    if not starts:
         return whole, 0.0
-    sizes = [len(packer.compress(text[i * CHUNK : (i + 1) * CHUNK])) / CHUNK for i in range(chunks)]
-    return whole, sum(not CHUNK_BAND[0] <= s <= CHUNK_BAND[1] for s in sizes) / chunks
+    if len(text) % CHUNK:
+        starts.append(len(text) - CHUNK)
+    sizes = [len(packer.compress(text[i : i + CHUNK])) / CHUNK for i in starts]
+    return whole, sum(not CHUNK_BAND[0] <= s <= CHUNK_BAND[1] for s in sizes) / len(starts)
 
 
 def judge(texts: list[bytes | None]) -> list[pa.Array]:
