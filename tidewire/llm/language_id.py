@@ -125,6 +125,13 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % F.lit(4) == F.lit(2), F.lit(False))
 
 
+def shortened(text: Column) -> Column:
+    """A text to learn from: of a long one, MOST_PIECES pieces taken evenly over it."""
+    size = F.length(text)
+    part = [F.substr(text, F.floor(size * F.lit(i) / F.lit(MOST_PIECES)).cast("int") + F.lit(1), F.lit(PIECE)) for i in range(MOST_PIECES)]
+    return F.when(size <= LONGEST_SAMPLE, text).otherwise(F.concat(*part))
+
+
 def sample(docs: DataFrame) -> DataFrame:
     """Rows (text, lang) to learn from: about SAMPLE of each language or its share of MOST_SAMPLE, or all it has."""
     known = docs.filter(
@@ -136,8 +143,8 @@ def sample(docs: DataFrame) -> DataFrame:
     taken = taken.withColumn("rows", F.least(F.lit(float(SAMPLE)), F.lit(float(MOST_SAMPLE)) / languages))
     chance = F.pmod(F.xxhash64(F.lit("language"), F.col("doc_id")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     return (
-        known.filter(F.length("text").between(1, LONGEST_SAMPLE) & F.col("text").rlike(r"\p{L}"))
-        .select("doc_id", "text", F.col("lang").cast("string").alias("lang"), chance.alias("chance"))
+        known.filter(F.col("text").rlike(r"\p{L}"))
+        .select("doc_id", shortened(F.col("text")).alias("text"), F.col("lang").cast("string").alias("lang"), chance.alias("chance"))
         .join(F.broadcast(taken), F.col("lang") == F.col("_lang"))
         # A language's rows come at the numbers 0 to n, so what the draws give beyond the bound is cut from the largest ones.
         .withColumn("nth", F.col("chance") * F.col("n"))
