@@ -13,7 +13,7 @@ hash of their ids; scores cover whole texts of all documents.
 
 Defined results: null and empty texts match nothing and get the curve's lowest score; labels of
 null, and documents without a label or an id, are not learned from; a document with several labels
-counts as toxic if one says so; equal texts get equal scores; without any toxic or any clean
+counts as toxic if one says so; of rows of one id the least text is learned from; equal texts get equal scores; without any toxic or any clean
 document to learn from, the curve is DEFAULT_CURVE.
 """
 
@@ -233,14 +233,17 @@ def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rate = F.when(F.col("toxic") == 1, F.lit(min(1.0, MOST_TOXIC / max(1, n_toxic)))).otherwise(
         F.lit(min(1.0, MOST_CLEAN / max(1, n - n_toxic)))
     )
-    chance = F.pmod(F.xxhash64(F.lit("toxicity"), F.col("labelled")), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    drawn = F.xxhash64(F.lit("toxicity"), F.col("labelled"))
+    chance = F.pmod(drawn, F.lit(1 << 20)) / F.lit(float(1 << 20))
+    ids = known.filter(chance < rate).orderBy(drawn, "labelled").limit(2 * (MOST_TOXIC + MOST_CLEAN))
     return (
         docs.filter(F.col("text").isNotNull() & (F.length("text") <= LONGEST_SAMPLE))
         .select(F.col("doc_id").alias("labelled"), "text")
         # The ids that were drawn have a bound, so the texts need not move.
-        .join(F.broadcast(known.filter(chance < rate).limit(2 * (MOST_TOXIC + MOST_CLEAN))), "labelled")
+        .join(F.broadcast(ids), "labelled")
+        .groupBy("labelled", "toxic")
+        .agg(F.min("text").alias("text"))
         .select("text", "toxic")
-        .limit(2 * (MOST_TOXIC + MOST_CLEAN))
     )
 
 
