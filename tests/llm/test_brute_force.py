@@ -407,45 +407,90 @@ def test_codes_follow_the_largest_count():
 # --- op8 ------------------------------------------------------------------------------------
 
 
-def test_perplexities_equal_plain_model(spark, documents):
-    labels = spark.read.parquet(f"{SF}/labels.parquet")
-    good = {r.trusted for r in kneser_ney.trusted_ids(labels).collect()}
-    rows = {r.doc_id: r for r in QUERIES["op8_kneser_ney"](spark, SF).collect()}
-    counts = {4: Counter()}
-
-    def symbols(text):
-        return [0, 0, 0] + [int(kneser_ney._SYMBOL[b]) for b in (text or "").encode()]
-
-    for i in good & documents.keys():
-        s = symbols(documents[i].text)
-        counts[4].update(tuple(s[j - 3 : j + 1]) for j in range(3, len(s)))
-    for k in (3, 2, 1):
-        counts[k] = Counter(g[1:] for g in counts[k + 1])
-    taken, total, left = {}, defaultdict(int), defaultdict(float)
-    for k in range(1, 5):
-        spread = Counter(counts[k].values())
-        taken[k] = kneser_ney.discounts(*(spread[i] for i in range(1, 5)))
-        for g, c in counts[k].items():
-            total[g[:-1]] += c
-            left[g[:-1]] += taken[k][min(c, 3) - 1]
-
-    def p(g):
+class PlainModel:
+    """Interpolated modified Kneser-Ney, word by word."""
+
+    def __init__(self, sequences, order):
+        counts = {order: Counter()}
+        for s in sequences:
+            counts[order].update(tuple(s[j - order + 1 : j + 1]) for j in range(order - 1, len(s)))
+        for k in range(order - 1, 0, -1):
+            counts[k] = Counter(g[1:] for g in counts[k + 1])
+        self.counts, self.taken, self.total, self.left = counts, {}, defaultdict(int), defaultdict(float)
+        self.words = len(counts[1])
+        for k in range(1, order + 1):
+            spread = Counter(counts[k].values())
+            self.taken[k] = kneser_ney.discounts(*(spread[i] for i in range(1, 5)))
+            for g, c in counts[k].items():
+                self.total[g[:-1]] += c
+                self.left[g[:-1]] += self.taken[k][min(c, 3) - 1]
+
+    def p(self, g):
         if not g:
-            return 1 / kneser_ney.SYMBOLS
-        lower, context = p(g[1:]), g[:-1]
-        if context not in total:
+            return 1 / (self.words + 1)
+        lower, context = self.p(g[1:]), g[:-1]
+        if context not in self.total:
             return lower
-        c = counts[len(g)][g]
-        return (c - taken[len(g)][min(c, 3) - 1] if c else 0) / total[context] + left[context] / total[context] * lower
-
-    for i in sorted(documents)[:60]:
-        s = symbols(documents[i].text)
-        want = 10 ** (-sum(math.log10(p(tuple(s[j - 3 : j + 1]))) for j in range(3, len(s))) / (len(s) - 3))
-        assert rows[i].perplexity == pytest.approx(want, rel=2e-3)
-    assert sum(rows[i].kept for i in good) >= 0.99 * len(good)
+        c = self.counts[len(g)][g]
+        own = c - self.taken[len(g)][min(c, 3) - 1] if c else 0
+        return own / self.total[context] + self.left[context] / self.total[context] * lower
+
+
+def test_ngram_names_are_those_of_spark(spark):
+    rng = np.random.default_rng(4)
+    tokens = rng.integers(0, 1 << 63, 50).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+    rows = [tuple(tokens[i : i + 3].view(np.int64).tolist()) for i in range(48)]
+    df = spark.createDataFrame(rows, "a long, b long, c long").selectExpr("xxhash64(a)", "xxhash64(a, b)", "xxhash64(a, b, c)")
+    found = kneser_ney.names(tokens, 3)
+    assert [tuple(r) for r in df.collect()] == [tuple(int(n[i].view(np.int64)) for n in found) for i in range(48)]
+
+
+@pytest.mark.parametrize(("order", "chunk"), [(2, 1 << 21), (3, 3000)])
+def test_perplexities_equal_plain_model(spark, documents, monkeypatch, order, chunk):
+    monkeypatch.setattr(kneser_ney, "CHUNK_WORDS", chunk)
+    monkeypatch.setattr(kneser_ney, "PART_BYTES", chunk)
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    good = {r.trusted for r in kneser_ney.trusted_ids(labels).collect()}
+    rows = {r.doc_id: r for r in kneser_ney.classified(docs, labels, order=order).collect()}
+    assert rows.keys() == documents.keys()
+
+    def sequence(text):
+        return ["<s>"] * (order - 1) + alnum(text) + ["</s>"]
+
+    learned = [i for i in sorted(good & documents.keys()) if rows[i].learned and alnum(documents[i].text)]
+    assert 0.3 * len(good) < len(learned) < 0.7 * len(good)
+    model = PlainModel([sequence(documents[i].text) for i in learned], order)
+    context = ("<s>",) * (order - 1)
+    assert sum(model.p((*context, w)) for w in [*(w for (w,) in model.counts[1]), "never met"]) == pytest.approx(1, rel=1e-9)
+    for i in sorted(documents)[::5]:
+        s = sequence(documents[i].text)
+        assert rows[i].n_words == len(s) - order
+        if len(s) > order:
+            want = 10 ** (-sum(math.log10(model.p(tuple(s[j - order + 1 : j + 1]))) for j in range(order - 1, len(s))) / (len(s) - order + 1))
+            assert rows[i].perplexity == pytest.approx(want, rel=1e-6)
+    assert sum(rows[i].kept for i in good) >= 0.98 * len(good)
     assert sum(not r.kept for r in rows.values()) > 20
 
 
+def test_words_in_another_order_are_less_likely(spark, documents):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    rng = random.Random(6)
+    mixed = []
+    for i in sorted({r.trusted for r in kneser_ney.trusted_ids(labels).collect()} & documents.keys()):
+        own = (documents[i].text or "").split()
+        rng.shuffle(own)
+        if len(own) >= 40:
+            mixed.append((10_000_000 + i, " ".join(own), documents[i].lang))
+    both = docs.unionByName(spark.createDataFrame(mixed, docs.schema))
+    rows = {r.doc_id: r for r in kneser_ney.classified(both, labels).collect()}
+    # Of texts not learned from, and of those learned from.
+    for learned, least in ((False, 1.15), (True, 8)):
+        ratios = [rows[i].perplexity / rows[i - 10_000_000].perplexity for i, *_ in mixed if rows[i - 10_000_000].learned == learned]
+        assert len(ratios) > 100 and np.median(ratios) > least and np.mean(np.array(ratios) > 1) > 0.9
+
+
 # --- op10 -----------------------------------------------------------------------------------
 
 

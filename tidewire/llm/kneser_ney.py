@@ -1,21 +1,25 @@
-"""Quality classifier: perplexity under an interpolated modified Kneser-Ney n-gram model.
-
-The model predicts a text's next symbol from the three before it. Symbols are classes of
-UTF-8 bytes (letters in lower case, digits, kinds of punctuation, parts of letters beyond
-ASCII), SYMBOLS in all, so a model has at most SYMBOLS^ORDER n-grams however much text
-it learns from. All trusted documents are counted: each task reduces its texts to n-gram counts,
-and these are summed by n-gram. Lower orders count in how many ways an n-gram
-continues; counts are joined with the totals of their contexts, sharded by context, which gives
-discounted shares and the weights of the lower order. The table of all interpolated log
-probabilities (2^24 half-precision numbers, 32 MB) goes to the tasks, which read whole
-documents against it.
-
-A document is rated by its perplexity as if CENTRED more bytes of the trusted documents' median belonged to it,
-so that a few words alone decide nothing. It is kept when this is at most the QUANTILE of the
-trusted documents of its language, times SLACK. A language with fewer than LEAST_TRUSTED of them, or none, gets the value of all
-trusted documents.
-
-Defined results: null and empty texts have no perplexity and are not kept; a document with
+"""Quality classifier: perplexity under an interpolated modified Kneser-Ney model of words.
+
+The model predicts a text's next word from the ORDER - 1 before it, over all words it has met. Words are those of
+``words.ALNUM``, characters in scripts without blanks; a text begins after ORDER - 1 starts and is closed by an end,
+which is predicted too. Half of the trusted texts, by their hash, are learned from; the others set the limits, so a
+limit is a value of texts the model has not seen, and copies of a text are all on one side.
+
+Learning is counting: each task reduces its texts to n-gram counts, and these are summed by n-gram. A lower
+order counts in how many ways an n-gram continues; a context knows its total and how many of its
+n-grams were seen once, twice and more often. Discounts come from the counts of counts of all n-grams. An n-gram goes by Spark's ``xxhash64``
+of its words, which tasks compute with array operations; two of them share a name with a chance of 2^-64.
+
+Scoring joins documents with these counts by shard. Tasks put whole texts into chunks of about CHUNK_WORDS words, and ask for each
+chunk's distinct n-grams once; those that a bitmap of the learned ones does not have are not asked for. Questions and
+answers are packed, a row for each chunk and shard; a shard holds about PER_SHARD facts, and its questions are split into
+parts of about PART_BYTES. So a task holds a chunk, or a shard and a part, and the longest text. There are never more rows than questions.
+
+A document is rated by its perplexity as if CENTRED more words of the median of trusted documents belonged to it,
+so that a few words alone decide nothing. It is kept when this is at most the QUANTILE of the trusted documents
+of its language that were not learned from. A language with fewer than LEAST_TRUSTED of them gets the value of all languages.
+
+Defined results: null texts and texts without a word have no perplexity and are not kept; a document with
 several labels is trusted if none denies its quality; null ids are not trusted; null is a language
 of its own; equal texts have equal perplexities; without trusted text every other document is kept.
 """
@@ -28,89 +32,128 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewire.llm import words
+from tidewire.llm.bitmaps import Bitmap, bitmap
 from tidewire.llm.tables import checked_broadcast
 from tidewire.operators.lineage import stored
 
-ORDER = 4
-BITS = 6
-SYMBOLS = 1 << BITS
+ORDER = 2
 QUANTILE = 0.995
-SLACK = 1.1
 LEAST_TRUSTED = 50
-CENTRED = 48
-#: Bytes of text that one table of counts takes up before it is merged with the others.
+CENTRED = 16
+#: Bytes of text that one table of counts takes up before it is merged, and n-grams that a task holds.
 COUNTED_AT_ONCE = 4 << 20
+MOST_HELD = 1 << 20
+CHUNK_WORDS = 1 << 21
+PER_SHARD = 1 << 19
+PART_BYTES = 32 << 20
+BITMAP_BITS = 26
+
+U64 = np.uint64
+START, END = U64(1), U64(2)
+
+# The primes and the seed of Spark's xxhash64.
+_P1, _P2, _P3 = U64(0x9E3779B185EBCA87), U64(0xC2B2AE3D27D4EB4F), U64(0x165667B19E3779F9)
+_P4, _P5 = U64(0x85EBCA77C2B2AE63), U64(0x27D4EB2F165667C5)
+_SEED = U64(42)
+
+Padded = tuple[np.ndarray, np.ndarray, np.ndarray]
 
-# The kinds of punctuation that are symbols of their own.
-PUNCTUATION = (".", ",", "!?", ";:", "\"'`", "-_/", "()[]{}", "#", "$", "%", "&", "*", "|", "<>")
 
+def _turned(x: np.ndarray, by: int) -> np.ndarray:
+    return (x << U64(by)) | (x >> U64(64 - by))
 
-def _symbols() -> np.ndarray:
-    table = np.full(256, 43, np.int64)  # the rest of ASCII
-    table[:32] = 0
-    table[[9, 32]] = 1
-    for i in range(26):
-        table[[65 + i, 97 + i]] = 2 + i
-    table[48:58] = 28
-    for i, kind in enumerate(PUNCTUATION):
-        table[[ord(c) for c in kind]] = 29 + i
-    table[0x80:0xC0] = 44 + (np.arange(0x80, 0xC0) & 15)
-    table[0xC0:0xC4], table[0xC4:0xE0], table[0xE0:0xF0], table[0xF0:] = 60, 61, 62, 63
-    return table.astype(np.int32)
 
+def hashed(value: np.ndarray, seed: np.ndarray | np.uint64 = _SEED) -> np.ndarray:
+    """Spark's ``xxhash64`` of each number, after the columns that gave ``seed``."""
+    h = _turned(value * _P2, 31) * _P1 ^ (seed + (_P5 + U64(8)))
+    h = _turned(h, 27) * _P1 + _P4
+    h = (h ^ (h >> U64(33))) * _P2
+    h = (h ^ (h >> U64(29))) * _P3
+    return h ^ (h >> U64(32))
 
-_SYMBOL = _symbols()
 
+def names(tokens: np.ndarray, order: int) -> list[np.ndarray]:
+    """For k from 1 to ``order``, the names of the k words that begin at each place."""
+    out: list[np.ndarray] = []
+    for k in range(order):
+        out.append(hashed(tokens[k:], out[-1][: len(tokens) - k]) if out else hashed(tokens))
+    return out
 
-def grams(texts: Sequence[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-    """The n-grams that end at each byte of the texts, as numbers, and the texts' lengths.
 
-    Each text begins after ORDER - 1 symbols of class 0.
+def padded(h: np.ndarray, bounds: np.ndarray, order: int) -> Padded:
+    """Words of all texts between starts and ends, the places that are predicted, and how many each text has.
+
+    A text without a word has no places.
     """
-    pad = b"\0" * (ORDER - 1)
-    data = _SYMBOL[np.frombuffer(b"".join([pad + (t or b"") for t in texts]), np.uint8)]
-    value = data.copy()
-    for i in range(1, ORDER):
-        value[i:] |= data[:-i] << (BITS * i) if len(data) > i else 0
-    lengths = np.array([len(t or b"") for t in texts], np.int64)
-    starts = np.concatenate([[0], np.cumsum(lengths + ORDER - 1)[:-1]]).astype(np.int64)
-    real = np.ones(len(data), bool)
-    for i in range(ORDER - 1):
-        real[starts + i] = False
-    return value[real], lengths
-
-
-def counted(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Rows (gram, n): how often each n-gram occurs in all texts."""
-    rows = docs.select(F.col(text).cast("string").cast("binary").alias("text"))
+    counts = np.diff(bounds)
+    some = counts > 0
+    lengths = np.where(some, counts + order, 0)
+    begins = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+    tokens = np.full(int(lengths.sum()), START, U64)
+    predicted = np.where(some, counts + 1, 0)
+    places = np.arange(int(predicted.sum())) + np.repeat(begins + order - 1 - (np.cumsum(predicted) - predicted), predicted)
+    tokens[places] = END
+    inner = np.ones(len(places), bool)
+    inner[np.cumsum(predicted)[some] - 1] = False
+    tokens[places[inner]] = h
+    return tokens, places, predicted
+
+
+def split(texts: Sequence[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all words, and where each text's words begin."""
+    return words.hashes(texts, words.ALNUM, by_character=True)
 
-    def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        keys, place = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-        return keys, np.bincount(place, weights=np.concatenate([n for _, n in parts])).astype(np.int64)
+
+def _columns(order: int) -> list[str]:
+    return [f"w{i}" for i in range(order)]
+
+
+def counted(docs: DataFrame, text: str = "text", order: int = ORDER) -> DataFrame:
+    """Rows (w0, ..., n): how often each n-gram of ``order`` words occurs in all texts."""
+    rows = docs.select(F.col(text).cast("string").cast("binary").alias("text"))
+    columns = _columns(order)
+    found_type = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+    def table(texts: list[bytes | None]) -> found_type:
+        tokens, places, _ = padded(*split(texts), order)
+        keys, at, n = np.unique(names(tokens, order)[-1][places - order + 1], return_index=True, return_counts=True)
+        return keys, np.stack([tokens[places[at] - order + 1 + i] for i in range(order)], axis=1), n
+
+    def merged(parts: list[found_type]) -> found_type:
+        keys, at, place = np.unique(np.concatenate([p[0] for p in parts]), return_index=True, return_inverse=True)
+        n = np.bincount(place, weights=np.concatenate([p[2] for p in parts]), minlength=len(keys)).astype(np.int64)
+        return keys, np.concatenate([p[1] for p in parts])[at], n
+
+    def batches_of(found: found_type) -> Iterator[pa.RecordBatch]:
+        _, grams, n = found
+        for at in range(0, len(n), 1 << 16):
+            some = slice(at, at + (1 << 16))
+            arrays = [pa.array(grams[some, i].view(np.int64)) for i in range(order)]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(n[some])], names=[*columns, "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: list[tuple[np.ndarray, np.ndarray]] = []
+        found: list[found_type] = []
         for batch in batches:
             texts = batch.column(0)
             lengths = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
             for start, end in words.parts(lengths, COUNTED_AT_ONCE):
-                found.append(np.unique(grams(texts.slice(start, end - start).to_pylist())[0], return_counts=True))
-                if len(found) >= 16:
+                found.append(table(texts.slice(start, end - start).to_pylist()))
+                if sum(len(f[0]) for f in found) >= 2 * MOST_HELD:
                     found = [merged(found)]
+                    if len(found[0][0]) >= MOST_HELD:
+                        yield from batches_of(found.pop())
         if found:
-            keys, n = merged(found)
-            for at in range(0, len(keys), 1 << 16):
-                some = slice(at, at + (1 << 16))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys[some].astype(np.int64)), pa.array(n[some])], names=["gram", "n"]
-                )
+            yield from batches_of(merged(found))
 
-    return words.small_batches(rows).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    schema = ", ".join(f"{c} long" for c in [*columns, "n"])
+    return words.small_batches(rows).mapInArrow(run, schema).groupBy(*columns).agg(F.sum("n").alias("n"))
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
@@ -122,40 +165,219 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     return tuple(min(max(d, 0.05), most) for d, most in zip(raw, (0.95, 1.9, 2.85), strict=True))
 
 
-def level(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """From rows (gram, n): (gram, share) after discounts, and (context, weight) of the lower order."""
-    spread = counts.agg(*[F.count(F.when(F.col("n") == i, 1)).alias(f"n{i}") for i in range(1, 5)]).first()
-    one, two, more = discounts(*spread)
-    taken = F.when(F.col("n") == 1, F.lit(one)).when(F.col("n") == 2, F.lit(two)).otherwise(F.lit(more))
-    keyed = counts.select("gram", "n", F.shiftright("gram", BITS).alias("context"), taken.alias("taken"))
-    contexts = keyed.groupBy("context").agg(F.sum("n").alias("total"), F.sum("taken").alias("left"))
-    shares = keyed.join(contexts.select("context", "total"), "context").select(
-        "gram", ((F.col("n") - F.col("taken")) / F.col("total")).alias("share")
-    )
-    return shares, contexts.select("context", (F.col("left") / F.col("total")).alias("weight"))
+#: What is known of an n-gram: its count; as a context its total, and its n-grams seen once, twice, more often.
+FACTS = ("n", "total", "once", "twice", "more")
+
+
+class Model:
+    """Facts by shard, and the numbers that every task needs: discounts by order, words, and their total."""
+
+    def __init__(self, counts: DataFrame, order: int = ORDER) -> None:
+        self.order = order
+        self.taken: list[tuple[float, float, float]] = []
+        zero = F.lit(0).cast("long")
+        seen = [F.count(F.when(c, 1)) for c in (F.col("n") == 1, F.col("n") == 2, F.col("n") > 2)]
+        parts = []
+        for k in range(order, 0, -1):
+            columns = _columns(k)
+            spread = counts.agg(
+                *[F.count(F.when(F.col("n") == i, 1)).alias(f"n{i}") for i in range(1, 5)],
+                F.sum("n").alias("total"), F.count(F.lit(1)).alias("types"), F.count(F.when(F.col("n") > 2, 1)).alias("more"),
+            ).first()
+            self.taken.insert(0, discounts(spread["n1"], spread["n2"], spread["n3"], spread["n4"]))
+            parts.append(counts.select(F.xxhash64(*columns).alias("gram"), F.col("n"), *[zero.alias(f) for f in FACTS[1:]]))
+            if k > 1:
+                context = counts.groupBy(*columns[:-1]).agg(F.sum("n").alias("total"), *[c.alias(f) for c, f in zip(seen, FACTS[2:], strict=True)])
+                parts.append(context.select(F.xxhash64(*columns[:-1]).alias("gram"), zero.alias("n"), *FACTS[1:]))
+                # In how many ways the shorter n-gram continues one before it.
+                shorter = [F.col(c).alias(columns[i]) for i, c in enumerate(columns[1:])]
+                counts = stored(counts.groupBy(*shorter).agg(F.count(F.lit(1)).alias("n")), "continuations")
+        once, twice, more = self.taken[0]
+        self.total = int(spread["total"] or 0)
+        left = once * spread["n1"] + twice * spread["n2"] + more * spread["more"]
+        #: The probability of a word never met, and of every word before its own share.
+        self.floor = (left / self.total if self.total else 1.0) / (spread["types"] + 1)
+        facts = parts[0]
+        for part in parts[1:]:
+            facts = facts.unionByName(part)
+        self.facts = stored(facts, "facts")
+        self.shard_bits = max(3, math.ceil(math.log2(max(self.facts.count() / PER_SHARD, 1))))
+        self.known = bitmap(self.facts.select("gram"), BITMAP_BITS)
+
+
+def _packed(numbers: np.ndarray) -> bytes:
+    """64-bit numbers, byte by byte, so that upper bytes that are zero take nothing."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(numbers.reshape(-1).view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(raw.reshape(8, -1).T).reshape(-1).view(U64)
+
+
+def asked(tokens: np.ndarray, order: int, known: Bitmap) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The distinct names, in order, that may be known; and the names by order and place."""
+    named = names(tokens, order)
+    return np.unique(np.concatenate([n[known.has(n)] for n in named])), named
+
+
+def _batch_bytes(arrays: list[pa.Array], columns: list[str]) -> bytes:
+    batch = pa.RecordBatch.from_arrays(arrays, names=columns)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return zstandard.ZstdCompressor(level=3).compress(sink.getvalue())
+
+
+def _questions(docs: DataFrame, model: Model, keep: Sequence[str], text: str) -> DataFrame:
+    """Rows (chunk, shard, data): a chunk's kept columns and words (shard -1), and its questions by shard."""
+    order, shift = model.order, U64(64 - model.shard_bits)
+    sent = docs.sparkSession.sparkContext.broadcast(model.known)
+    columns = [f"kept {i}" for i in range(len(keep))]
+    rows = docs.select(*[F.col(c).alias(a) for c, a in zip(keep, columns, strict=True)], F.col(text).cast("string").cast("binary").alias("text"))
+
+    def chunk_rows(chunk: int, held: list[tuple[list[pa.Array], np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        h = np.concatenate([x[1] for x in held])
+        counts = np.concatenate([np.diff(x[2]) for x in held])
+        # Words that are not known all count as one that is not.
+        vocabulary, index = np.unique(h, return_inverse=True)
+        there = sent.value.has(hashed(vocabulary))
+        number = np.where(there, np.cumsum(there), 0).astype(np.uint32)[index]
+        vocabulary = np.concatenate([np.zeros(1, U64), vocabulary[there]])
+        tokens, _, _ = padded(vocabulary[number], np.concatenate([[0], np.cumsum(counts)]), order)
+        wanted, _ = asked(tokens, order, sent.value)
+        kept = [pa.concat_arrays([x[0][i] for x in held]) for i in range(len(columns))]
+        parts = [
+            _batch_bytes([*kept, pa.array(counts)], [*columns, "n"]),
+            _batch_bytes([pa.array(vocabulary)], ["vocabulary"]),
+            _batch_bytes([pa.array((number >> np.uint32(8 * i)).astype(np.uint8)) for i in range(4)], [f"byte{i}" for i in range(4)]),
+        ]
+        sizes = np.array([len(p) for p in parts], "<i8").tobytes()
+        shards, data = [-1], [sizes + b"".join(parts)]
+        owner = (wanted >> shift).astype(np.int64)
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(owner)) + 1, [len(wanted)]]) if len(wanted) else np.zeros(1, np.int64)
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            shards.append(int(owner[a]))
+            data.append(_packed(np.diff(wanted[a:b], prepend=U64(0))))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([chunk] * len(shards), pa.int64()), pa.array(shards, pa.int32()), pa.array(data, pa.binary())],
+            names=["chunk", "shard", "data"],
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk = TaskContext.get().partitionId() << 32
+        held: list[tuple[list[pa.Array], np.ndarray, np.ndarray]] = []
+        n = 0
+        for batch in batches:
+            texts = batch.column(batch.num_columns - 1)
+            lengths = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            for start, end in words.parts(lengths):
+                h, bounds = split(texts.slice(start, end - start).to_pylist())
+                held.append(([c.slice(start, end - start) for c in batch.columns[:-1]], h, bounds))
+                n += len(h)
+                if n >= CHUNK_WORDS:
+                    yield from chunk_rows(chunk, held)
+                    held, n, chunk = [], 0, chunk + 1
+        if held:
+            yield from chunk_rows(chunk, held)
+
+    return words.small_batches(rows).mapInArrow(run, "chunk long, shard int, data binary")
+
+
+def _answers(questions: DataFrame, model: Model) -> DataFrame:
+    """Rows (chunk, shard, data): the facts that answer each row of questions."""
+    shards = 1 << model.shard_bits
+    total = questions.agg(F.sum(F.length("data")).alias("bytes")).first()["bytes"] or 0
+    parts = math.ceil(total / shards / PART_BYTES) or 1
+    shard = F.shiftrightunsigned("gram", 64 - model.shard_bits).cast("int")
+    facts = model.facts.select(shard.alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "gram", *FACTS)
+    asked_for = questions.withColumn("part", F.pmod(F.xxhash64("chunk"), F.lit(parts)).cast("int"))
+
+    def answered(left: pa.Table, right: pa.Table) -> pa.Table:
+        grams = left["gram"].to_numpy().view(U64)
+        order = np.argsort(grams, kind="stable")
+        grams = grams[order]
+        first = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]])) if len(grams) else np.zeros(0, np.int64)
+        known = [np.add.reduceat(left[f].to_numpy()[order], first) if len(first) else np.zeros(0, np.int64) for f in FACTS]
+        grams = grams[first]
+        out = []
+        for data in right["data"]:
+            wanted = np.cumsum(_unpacked(data.as_py()), dtype=U64)
+            at = np.minimum(np.searchsorted(grams, wanted), max(len(grams) - 1, 0))
+            hit = grams[at] == wanted if len(grams) else np.zeros(len(wanted), bool)
+            found = np.zeros((len(FACTS), len(wanted)), np.int64)
+            for i, values in enumerate(known):
+                found[i, hit] = values[at[hit]]
+            out.append(_packed(found))
+        return pa.table({"chunk": right["chunk"], "shard": right["shard"], "data": pa.array(out, pa.binary())})
 
+    return (
+        facts.groupBy("shard", "part")
+        .cogroup(asked_for.groupBy("shard", "part"))
+        .applyInArrow(answered, "chunk long, shard int, data binary")
+    )
 
-def probabilities(counts: DataFrame) -> np.ndarray:
-    """log10 of the probability of every n-gram's last symbol after the others.
 
-    ``counts`` has at most SYMBOLS^ORDER rows, and so have the tables that are fetched.
-    """
-    tables = []
-    for order in range(ORDER, 0, -1):
-        tables.append([t.toArrow() for t in level(counts)])
-        # In how many ways the shorter n-gram continues one before it.
-        shorter = F.col("gram").bitwiseAND(F.lit((1 << (BITS * (order - 1))) - 1))
-        counts = counts.groupBy(shorter.alias("gram")).agg(F.count(F.lit(1)).alias("n"))
-    lower = np.full(SYMBOLS, 1.0 / SYMBOLS, np.float32)
-    for order, (shares, contexts) in zip(range(1, ORDER + 1), reversed(tables), strict=True):
-        weight = np.ones(SYMBOLS ** (order - 1), np.float32)
-        weight[contexts["context"].to_numpy()] = contexts["weight"].to_numpy()
-        # An n-gram without its first symbol is the lower order's n-gram.
-        below = lower.reshape(-1, SYMBOLS)
-        table = (weight.reshape(-1, len(below), 1) * below[None]).reshape(-1)
-        table[shares["gram"].to_numpy()] += shares["share"].to_numpy().astype(np.float32)
-        lower = table
-    return np.log10(lower).astype(np.float16)
+def log_probabilities(tokens: np.ndarray, places: np.ndarray, wanted: np.ndarray, named: list[np.ndarray], facts: np.ndarray, model: dict) -> np.ndarray:
+    """log10 of the probability of the word at each place after the words before it."""
+
+    def of(names_there: np.ndarray, fact: int) -> np.ndarray:
+        if not len(wanted):
+            return np.zeros(len(names_there))
+        at = np.minimum(np.searchsorted(wanted, names_there), len(wanted) - 1)
+        return np.where(wanted[at] == names_there, facts[fact][at], 0).astype(np.float64)
+
+    p = np.full(len(places), model["floor"])
+    for k, taken in enumerate(model["taken"], 1):
+        n = of(named[k - 1][places - k + 1], 0)
+        own = n - np.array([0.0, *taken])[np.minimum(n, 3).astype(np.int64)]
+        if k == 1:
+            p = p + own / max(model["total"], 1)
+            continue
+        context = named[k - 2][places - k + 1]
+        total = of(context, 1)
+        left = sum(of(context, 2 + i) * taken[i] for i in range(3))
+        seen = total > 0
+        p[seen] = (own[seen] + left[seen] * p[seen]) / total[seen]
+    return np.log10(p)
+
+
+FIELDS = [T.StructField("n_words", T.LongType()), T.StructField("perplexity", T.DoubleType())]
+
+
+def with_perplexity(docs: DataFrame, model: Model, keep: Sequence[str], text: str = "text") -> DataFrame:
+    """The columns ``keep`` with words and perplexity (for each predicted word) of each whole text."""
+    sent = docs.sparkSession.sparkContext.broadcast(model.known)
+    order, numbers = model.order, {"floor": model.floor, "taken": model.taken, "total": model.total}
+    schema = T.StructType([docs.schema[c] for c in keep] + FIELDS)
+    columns = [f.name for f in schema]
+    rows = stored(_questions(docs, model, keep, text), "questions")
+    answers = _answers(rows.filter(F.col("shard") >= 0), model)
+
+    def scored(left: pa.Table, right: pa.Table) -> pa.Table:
+        data = left["data"][0].as_py()
+        ends = 24 + np.cumsum(np.frombuffer(data[:24], "<i8"))
+        kept, vocabulary, numbered = (
+            pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(data[a:b])).read_all()
+            for a, b in zip([24, *ends[:-1]], ends, strict=True)
+        )
+        counts = kept["n"].to_numpy()
+        number = sum(numbered[f"byte{i}"].to_numpy().astype(np.uint32) << np.uint32(8 * i) for i in range(4))
+        tokens, places, predicted = padded(vocabulary["vocabulary"].to_numpy()[number], np.concatenate([[0], np.cumsum(counts)]), order)
+        wanted, named = asked(tokens, order, sent.value) if len(tokens) else (np.zeros(0, U64), [])
+        by_shard = np.argsort(right["shard"].to_numpy())
+        found = [_unpacked(right["data"][int(i)].as_py()).view(np.int64).reshape(len(FACTS), -1) for i in by_shard]
+        facts = np.concatenate(found, axis=1) if found else np.zeros((len(FACTS), 0), np.int64)
+        sums = np.zeros(1)
+        if len(places):
+            sums = np.concatenate([sums, np.cumsum(log_probabilities(tokens, places, wanted, named, facts, numbers))])
+        stops = np.cumsum(predicted)
+        value = 10.0 ** (-(sums[stops] - sums[stops - predicted]) / np.maximum(predicted, 1))
+        old = [kept[f"kept {i}"] for i in range(len(keep))]
+        return pa.table([*old, kept["n"], pa.array(np.round(value, 6), mask=counts == 0)], names=columns)
+
+    held = rows.filter(F.col("shard") < 0)
+    return held.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(scored, schema)
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -169,42 +391,36 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     )
 
 
-FIELDS = [T.StructField("n_bytes", T.LongType()), T.StructField("perplexity", T.DoubleType())]
+def learned_from(text: str = "text") -> Column:
+    """Whether a trusted text is learned from; the others set the limits."""
+    return F.pmod(F.xxhash64(F.col(text)), F.lit(2)) == 0
 
 
-def with_perplexity(docs: DataFrame, table: np.ndarray, keep: Sequence[str], text: str = "text") -> DataFrame:
-    """The columns ``keep`` with bytes and perplexity (for each byte's symbol) of each whole text."""
-    sent = docs.sparkSession.sparkContext.broadcast(table)
-
-    def judge(texts: list[bytes | None]) -> list[pa.Array]:
-        codes, lengths = grams(texts)
-        sums = np.concatenate([[0.0], np.cumsum(sent.value[codes], dtype=np.float64)])
-        ends = np.cumsum(lengths)
-        total = sums[ends] - sums[ends - lengths]
-        value = 10.0 ** (-total / np.maximum(lengths, 1))
-        return [pa.array(lengths), pa.array(np.round(value, 6), mask=lengths == 0)]
+def _quantile(of: Column) -> Column:
+    return F.percentile_approx(of, F.lit(QUANTILE), F.lit(10_000))
 
-    return words.per_document(docs, keep, judge, FIELDS, text)
 
+def classified(docs: DataFrame, labels: DataFrame, key: str = "doc_id", lang: str = "lang", text: str = "text", order: int = ORDER) -> DataFrame:
+    """Rows (doc_id, lang, learned, n_words, perplexity, rated, threshold, kept), one for each document.
 
-def _quantile(of: Column) -> Column:
-    return F.percentile_approx(of, F.lit(QUANTILE), F.lit(10_000)) * F.lit(SLACK)
+    ``learned`` says whether the model would learn from the text if it were trusted.
+    """
+    rows = docs.select(
+        F.col(key).alias("doc_id"), F.col(lang).alias("lang"), F.coalesce(learned_from(text), F.lit(False)).alias("learned"),
+        F.col(text).alias("text"),
+    )
+    good = checked_broadcast(trusted_ids(labels), "trusted")
+    trusted = rows.filter("learned").join(good, F.col("doc_id") == F.col("trusted"), "left_semi")
+    model = Model(stored(counted(trusted, order=order), "grams"), order)
+    scores = stored(with_perplexity(rows, model, ["doc_id", "lang", "learned"]), "perplexity")
+    judged = scores.filter(~F.col("learned") & F.col("perplexity").isNotNull()).join(good, F.col("doc_id") == F.col("trusted"), "left_semi")
+    centre = judged.agg(F.percentile_approx("perplexity", F.lit(0.5), F.lit(10_000)).alias("centre")).first()["centre"]
 
+    def rated(df: DataFrame) -> DataFrame:
+        known = (F.col("n_words") + 1) * F.log10("perplexity") + F.lit(CENTRED * math.log10(centre or 1.0))
+        return df.withColumn("rated", F.pow(F.lit(10.0), known / (F.col("n_words") + F.lit(1 + CENTRED))))
 
-def classified(docs: DataFrame, labels: DataFrame, key: str = "doc_id", lang: str = "lang", text: str = "text") -> DataFrame:
-    """Rows (doc_id, lang, n_bytes, perplexity, rated, threshold, kept), one for each document."""
-    rows = docs.select(F.col(key).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
-    good = checked_broadcast(trusted_ids(labels), "trusted")
-    counts = stored(counted(rows.join(good, F.col("doc_id") == F.col("trusted"), "left_semi")), "grams")
-    scores = stored(with_perplexity(rows, probabilities(counts), ["doc_id", "lang"]), "perplexity")
-    centre = (
-        scores.join(good, F.col("doc_id") == F.col("trusted"), "left_semi")
-        .agg(F.percentile_approx("perplexity", F.lit(0.5), F.lit(10_000)).alias("centre"))
-        .first()["centre"]
-    )
-    known = F.col("n_bytes") * F.log10("perplexity") + F.lit(CENTRED * math.log10(centre or 1.0))
-    scores = scores.withColumn("rated", F.pow(F.lit(10.0), known / (F.col("n_bytes") + F.lit(CENTRED))))
-    of_trusted = scores.join(good, F.col("doc_id") == F.col("trusted"), "left_semi").filter(F.col("n_bytes") > 0)
+    of_trusted = rated(judged)
     overall = of_trusted.agg(_quantile(F.col("rated")).alias("limit")).first()["limit"]
     limits = (
         of_trusted.groupBy(F.col("lang").alias("of_lang"))
@@ -214,8 +430,9 @@ def classified(docs: DataFrame, labels: DataFrame, key: str = "doc_id", lang: st
     )
     threshold = F.coalesce(F.col("limit"), F.lit(overall), F.lit(float("inf")))
     return (
-        scores.join(checked_broadcast(limits, "limits", 10_000), F.col("lang").eqNullSafe(F.col("of_lang")), "left")
+        rated(scores)
+        .join(checked_broadcast(limits, "limits", 10_000), F.col("lang").eqNullSafe(F.col("of_lang")), "left")
         .withColumn("threshold", threshold)
         .withColumn("kept", F.coalesce(F.col("rated") <= F.col("threshold"), F.lit(False)))
-        .select("doc_id", "lang", "n_bytes", "perplexity", "rated", "threshold", "kept")
+        .select("doc_id", "lang", "learned", "n_words", "perplexity", "rated", "threshold", "kept")
     )
