@@ -488,7 +488,7 @@ def test_words_in_another_order_are_less_likely(spark, documents):
     # Of texts not learned from, and of those learned from.
     for learned, least in ((False, 1.15), (True, 8)):
         ratios = [rows[i].perplexity / rows[i - 10_000_000].perplexity for i, *_ in mixed if rows[i - 10_000_000].learned == learned]
-        assert len(ratios) > 100 and np.median(ratios) > least and np.mean(np.array(ratios) > 1) > 0.9
+        assert len(ratios) > 100 and np.median(ratios) > least and np.mean(np.array(ratios) > 1) > 0.8
 
 
 # --- op10 -----------------------------------------------------------------------------------
