@@ -14,6 +14,8 @@ Scoring joins documents with these counts by shard. Tasks put whole texts into c
 chunk's distinct n-grams once; those that a bitmap of the learned ones does not have are not asked for. Questions and
 answers are packed, a row for each chunk and shard; a shard holds about PER_SHARD facts, and its questions are split into
 parts of about PART_BYTES. So a task holds a chunk, or a shard and a part, and the longest text. There are never more rows than questions.
+Documents are scored in ROUNDS parts, by a hash of id and text, one after the other: chunks and questions of one round are
+on disk at a time, and counts go as soon as the facts are stored.
 
 A document is rated by its perplexity as if CENTRED more words of the median of trusted documents belonged to it,
 so that a few words alone decide nothing. It is kept when this is at most the QUANTILE of the trusted documents
@@ -40,8 +42,7 @@ from pyspark.sql import types as T
 
 from tidewire.llm import words
 from tidewire.llm.bitmaps import Bitmap, bitmap
-from tidewire.llm.tables import checked_broadcast
-from tidewire.operators.lineage import stored
+from tidewire.llm.tables import Passing, checked_broadcast, shuffles_freed
 
 ORDER = 2
 QUANTILE = 0.995
@@ -54,6 +55,7 @@ CHUNK_WORDS = 1 << 21
 PER_SHARD = 1 << 19
 PART_BYTES = 32 << 20
 BITMAP_BITS = 26
+ROUNDS = 4
 
 U64 = np.uint64
 START, END = U64(1), U64(2)
@@ -172,8 +174,10 @@ FACTS = ("n", "total", "once", "twice", "more")
 class Model:
     """Facts by shard, and the numbers that every task needs: discounts by order, words, and their total."""
 
-    def __init__(self, counts: DataFrame, order: int = ORDER) -> None:
+    def __init__(self, docs: DataFrame, text: str = "text", order: int = ORDER) -> None:
         self.order = order
+        passing = [Passing(counted(docs, text, order), "grams")]
+        counts = passing[0].rows
         self.taken: list[tuple[float, float, float]] = []
         zero = F.lit(0).cast("long")
         seen = [F.count(F.when(c, 1)) for c in (F.col("n") == 1, F.col("n") == 2, F.col("n") > 2)]
@@ -191,7 +195,8 @@ class Model:
                 parts.append(context.select(F.xxhash64(*columns[:-1]).alias("gram"), zero.alias("n"), *FACTS[1:]))
                 # In how many ways the shorter n-gram continues one before it.
                 shorter = [F.col(c).alias(columns[i]) for i, c in enumerate(columns[1:])]
-                counts = stored(counts.groupBy(*shorter).agg(F.count(F.lit(1)).alias("n")), "continuations")
+                passing.append(Passing(counts.groupBy(*shorter).agg(F.count(F.lit(1)).alias("n")), "continuations"))
+                counts = passing[-1].rows
         once, twice, more = self.taken[0]
         self.total = int(spread["total"] or 0)
         left = once * spread["n1"] + twice * spread["n2"] + more * spread["more"]
@@ -200,9 +205,12 @@ class Model:
         facts = parts[0]
         for part in parts[1:]:
             facts = facts.unionByName(part)
-        self.facts = stored(facts, "facts")
+        self.facts = Passing(facts, "facts").rows
+        for table in passing:
+            table.remove()
         self.shard_bits = max(3, math.ceil(math.log2(max(self.facts.count() / PER_SHARD, 1))))
-        self.known = bitmap(self.facts.select("gram"), BITMAP_BITS)
+        with shuffles_freed(docs.sparkSession):
+            self.known = bitmap(self.facts.select("gram"), BITMAP_BITS)
 
 
 def _packed(numbers: np.ndarray) -> bytes:
@@ -240,10 +248,14 @@ def _questions(docs: DataFrame, model: Model, keep: Sequence[str], text: str) ->
         h = np.concatenate([x[1] for x in held])
         counts = np.concatenate([np.diff(x[2]) for x in held])
         # Words that are not known all count as one that is not.
-        vocabulary, index = np.unique(h, return_inverse=True)
+        vocabulary, index, uses = np.unique(h, return_inverse=True, return_counts=True)
         there = sent.value.has(hashed(vocabulary))
-        number = np.where(there, np.cumsum(there), 0).astype(np.uint32)[index]
-        vocabulary = np.concatenate([np.zeros(1, U64), vocabulary[there]])
+        # Frequent words have small numbers, which take less room.
+        falling = np.argsort(-uses[there], kind="stable")
+        ranks = np.zeros(len(vocabulary), np.uint32)
+        ranks[np.flatnonzero(there)[falling]] = np.arange(1, len(falling) + 1, dtype=np.uint32)
+        number = ranks[index]
+        vocabulary = np.concatenate([np.zeros(1, U64), vocabulary[there][falling]])
         tokens, _, _ = padded(vocabulary[number], np.concatenate([[0], np.cumsum(counts)]), order)
         wanted, _ = asked(tokens, order, sent.value)
         kept = [pa.concat_arrays([x[0][i] for x in held]) for i in range(len(columns))]
@@ -345,13 +357,24 @@ def log_probabilities(tokens: np.ndarray, places: np.ndarray, wanted: np.ndarray
 FIELDS = [T.StructField("n_words", T.LongType()), T.StructField("perplexity", T.DoubleType())]
 
 
-def with_perplexity(docs: DataFrame, model: Model, keep: Sequence[str], text: str = "text") -> DataFrame:
-    """The columns ``keep`` with words and perplexity (for each predicted word) of each whole text."""
-    sent = docs.sparkSession.sparkContext.broadcast(model.known)
+def with_perplexity(docs: DataFrame, model: Model, keep: Sequence[str], text: str = "text", rounds: int = ROUNDS) -> DataFrame:
+    """The columns ``keep`` with words and perplexity (for each predicted word) of each whole text, stored."""
+    turn = F.pmod(F.xxhash64(*keep, text), F.lit(rounds))
+    out: DataFrame | None = None
+    for i in range(rounds):
+        questions = Passing(_questions(docs.filter(turn == i), model, keep, text), "questions")
+        scores = Passing(_scored(questions.rows, model, [docs.schema[c] for c in keep]), "perplexity").rows
+        questions.remove()
+        out = scores if out is None else out.unionByName(scores)
+    return out
+
+
+def _scored(rows: DataFrame, model: Model, keep: list[T.StructField]) -> DataFrame:
+    """The kept columns of the chunks in ``rows``, with words and perplexity."""
+    sent = rows.sparkSession.sparkContext.broadcast(model.known)
     order, numbers = model.order, {"floor": model.floor, "taken": model.taken, "total": model.total}
-    schema = T.StructType([docs.schema[c] for c in keep] + FIELDS)
+    schema = T.StructType(keep + FIELDS)
     columns = [f.name for f in schema]
-    rows = stored(_questions(docs, model, keep, text), "questions")
     answers = _answers(rows.filter(F.col("shard") >= 0), model)
 
     def scored(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -411,8 +434,8 @@ def classified(docs: DataFrame, labels: DataFrame, key: str = "doc_id", lang: st
     )
     good = checked_broadcast(trusted_ids(labels), "trusted")
     trusted = rows.filter("learned").join(good, F.col("doc_id") == F.col("trusted"), "left_semi")
-    model = Model(stored(counted(trusted, order=order), "grams"), order)
-    scores = stored(with_perplexity(rows, model, ["doc_id", "lang", "learned"]), "perplexity")
+    model = Model(trusted, order=order)
+    scores = with_perplexity(rows, model, ["doc_id", "lang", "learned"])
     judged = scores.filter(~F.col("learned") & F.col("perplexity").isNotNull()).join(good, F.col("doc_id") == F.col("trusted"), "left_semi")
     centre = judged.agg(F.percentile_approx("perplexity", F.lit(0.5), F.lit(10_000)).alias("centre")).first()["centre"]
 
