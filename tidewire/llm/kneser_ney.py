@@ -181,13 +181,14 @@ class Model:
         self.taken: list[tuple[float, float, float]] = []
         zero = F.lit(0).cast("long")
         seen = [F.count(F.when(c, 1)) for c in (F.col("n") == 1, F.col("n") == 2, F.col("n") > 2)]
-        parts = []
+        parts, types = [], 0
         for k in range(order, 0, -1):
             columns = _columns(k)
             spread = counts.agg(
                 *[F.count(F.when(F.col("n") == i, 1)).alias(f"n{i}") for i in range(1, 5)],
                 F.sum("n").alias("total"), F.count(F.lit(1)).alias("types"), F.count(F.when(F.col("n") > 2, 1)).alias("more"),
             ).first()
+            types += spread["types"]
             self.taken.insert(0, discounts(spread["n1"], spread["n2"], spread["n3"], spread["n4"]))
             parts.append(counts.select(F.xxhash64(*columns).alias("gram"), F.col("n"), *[zero.alias(f) for f in FACTS[1:]]))
             if k > 1:
@@ -205,12 +206,45 @@ class Model:
         facts = parts[0]
         for part in parts[1:]:
             facts = facts.unionByName(part)
-        self.facts = Passing(facts, "facts").rows
+        self.shard_bits = max(3, math.ceil(math.log2(max(types / PER_SHARD, 1))))
+        #: One row a shard: its names in order, and what is known of them.
+        self.facts = Passing(_by_shard(facts, self.shard_bits), "facts").rows
         for table in passing:
             table.remove()
-        self.shard_bits = max(3, math.ceil(math.log2(max(self.facts.count() / PER_SHARD, 1))))
         with shuffles_freed(docs.sparkSession):
-            self.known = bitmap(self.facts.select("gram"), BITMAP_BITS)
+            self.known = bitmap(_grams(self.facts), BITMAP_BITS)
+
+
+def _by_shard(facts: DataFrame, shard_bits: int) -> DataFrame:
+    """Rows (shard, grams, facts): all facts of a shard, packed; those of one name are added."""
+
+    def packed(rows: pa.Table) -> pa.Table:
+        grams = rows["gram"].to_numpy().view(U64)
+        order = np.argsort(grams, kind="stable")
+        grams = grams[order]
+        first = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
+        known = np.stack([np.add.reduceat(rows[f].to_numpy()[order], first) for f in FACTS])
+        return pa.table({
+            "shard": pa.array([rows["shard"][0].as_py()], pa.int32()),
+            "grams": pa.array([_packed(np.diff(grams[first], prepend=U64(0)))], pa.binary()),
+            "facts": pa.array([_packed(known)], pa.binary()),
+        })
+
+    shard = F.shiftrightunsigned("gram", 64 - shard_bits).cast("int")
+    return facts.withColumn("shard", shard).groupBy("shard").applyInArrow(packed, "shard int, grams binary, facts binary")
+
+
+def _grams(facts: DataFrame) -> DataFrame:
+    """Rows (gram) from the packed facts."""
+
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column(0):
+                grams = np.cumsum(_unpacked(data.as_py()), dtype=U64).view(np.int64)
+                for at in range(0, len(grams), 1 << 16):
+                    yield pa.RecordBatch.from_arrays([pa.array(grams[at : at + (1 << 16)])], names=["gram"])
+
+    return facts.select("grams").mapInArrow(unpacked, "gram long")
 
 
 def _packed(numbers: np.ndarray) -> bytes:
@@ -301,25 +335,21 @@ def _answers(questions: DataFrame, model: Model) -> DataFrame:
     shards = 1 << model.shard_bits
     total = questions.agg(F.sum(F.length("data")).alias("bytes")).first()["bytes"] or 0
     parts = math.ceil(total / shards / PART_BYTES) or 1
-    shard = F.shiftrightunsigned("gram", 64 - model.shard_bits).cast("int")
-    facts = model.facts.select(shard.alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "gram", *FACTS)
+    facts = model.facts.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     asked_for = questions.withColumn("part", F.pmod(F.xxhash64("chunk"), F.lit(parts)).cast("int"))
 
     def answered(left: pa.Table, right: pa.Table) -> pa.Table:
-        grams = left["gram"].to_numpy().view(U64)
-        order = np.argsort(grams, kind="stable")
-        grams = grams[order]
-        first = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]])) if len(grams) else np.zeros(0, np.int64)
-        known = [np.add.reduceat(left[f].to_numpy()[order], first) if len(first) else np.zeros(0, np.int64) for f in FACTS]
-        grams = grams[first]
+        grams, known = np.zeros(0, U64), np.zeros((len(FACTS), 0), np.int64)
+        if left.num_rows:
+            grams = np.cumsum(_unpacked(left["grams"][0].as_py()), dtype=U64)
+            known = _unpacked(left["facts"][0].as_py()).view(np.int64).reshape(len(FACTS), -1)
         out = []
         for data in right["data"]:
             wanted = np.cumsum(_unpacked(data.as_py()), dtype=U64)
             at = np.minimum(np.searchsorted(grams, wanted), max(len(grams) - 1, 0))
             hit = grams[at] == wanted if len(grams) else np.zeros(len(wanted), bool)
             found = np.zeros((len(FACTS), len(wanted)), np.int64)
-            for i, values in enumerate(known):
-                found[i, hit] = values[at[hit]]
+            found[:, hit] = known[:, at[hit]]
             out.append(_packed(found))
         return pa.table({"chunk": right["chunk"], "shard": right["shard"], "data": pa.array(out, pa.binary())})
 
@@ -333,24 +363,23 @@ def _answers(questions: DataFrame, model: Model) -> DataFrame:
 def log_probabilities(tokens: np.ndarray, places: np.ndarray, wanted: np.ndarray, named: list[np.ndarray], facts: np.ndarray, model: dict) -> np.ndarray:
     """log10 of the probability of the word at each place after the words before it."""
 
-    def of(names_there: np.ndarray, fact: int) -> np.ndarray:
-        if not len(wanted):
-            return np.zeros(len(names_there))
-        at = np.minimum(np.searchsorted(wanted, names_there), len(wanted) - 1)
-        return np.where(wanted[at] == names_there, facts[fact][at], 0).astype(np.float64)
-
+    # After the last fact comes that of names nobody asked for or knows: zeros.
+    facts = np.concatenate([facts, np.zeros((len(FACTS), 1), np.int64)], axis=1)
     p = np.full(len(places), model["floor"])
+    context = np.zeros(0, np.int64)
     for k, taken in enumerate(model["taken"], 1):
-        n = of(named[k - 1][places - k + 1], 0)
-        own = n - np.array([0.0, *taken])[np.minimum(n, 3).astype(np.int64)]
+        at = np.searchsorted(wanted, named[k - 1])
+        at[np.append(wanted, U64(0))[at] != named[k - 1]] = len(wanted)
+        n = facts[0][at[places - k + 1]]
+        own = n - np.array([0.0, *taken])[np.minimum(n, 3)]
         if k == 1:
-            p = p + own / max(model["total"], 1)
-            continue
-        context = named[k - 2][places - k + 1]
-        total = of(context, 1)
-        left = sum(of(context, 2 + i) * taken[i] for i in range(3))
-        seen = total > 0
-        p[seen] = (own[seen] + left[seen] * p[seen]) / total[seen]
+            p += own / max(model["total"], 1)
+        else:
+            total = facts[1][context]
+            weights = np.divide(facts[2:].T @ np.array(taken), facts[1], out=np.ones(facts.shape[1]), where=facts[1] > 0)
+            p = weights[context] * p + own / np.maximum(total, 1)
+        if k < len(model["taken"]):
+            context = at[places - k]
     return np.log10(p)
 
 
