@@ -51,7 +51,7 @@ CENTRED = 16
 #: Bytes of text that one table of counts takes up before it is merged, and n-grams that a task holds.
 COUNTED_AT_ONCE = 4 << 20
 MOST_HELD = 1 << 20
-CHUNK_WORDS = 1 << 21
+CHUNK_WORDS = 1 << 19
 PER_SHARD = 1 << 19
 PART_BYTES = 32 << 20
 BITMAP_BITS = 26
@@ -361,10 +361,10 @@ def _answers(questions: DataFrame, model: Model) -> DataFrame:
 
 
 def log_probabilities(tokens: np.ndarray, places: np.ndarray, wanted: np.ndarray, named: list[np.ndarray], facts: np.ndarray, model: dict) -> np.ndarray:
-    """log10 of the probability of the word at each place after the words before it."""
+    """log10 of the probability of the word at each place after the words before it.
 
-    # After the last fact comes that of names nobody asked for or knows: zeros.
-    facts = np.concatenate([facts, np.zeros((len(FACTS), 1), np.int64)], axis=1)
+    ``facts`` has a column for each wanted name, and a last one of zeros for names nobody asked for.
+    """
     p = np.full(len(places), model["floor"])
     context = np.zeros(0, np.int64)
     for k, taken in enumerate(model["taken"], 1):
@@ -418,12 +418,17 @@ def _scored(rows: DataFrame, model: Model, keep: list[T.StructField]) -> DataFra
         tokens, places, predicted = padded(vocabulary["vocabulary"].to_numpy()[number], np.concatenate([[0], np.cumsum(counts)]), order)
         wanted, named = asked(tokens, order, sent.value) if len(tokens) else (np.zeros(0, U64), [])
         by_shard = np.argsort(right["shard"].to_numpy())
-        found = [_unpacked(right["data"][int(i)].as_py()).view(np.int64).reshape(len(FACTS), -1) for i in by_shard]
-        facts = np.concatenate(found, axis=1) if found else np.zeros((len(FACTS), 0), np.int64)
+        facts, at = np.zeros((len(FACTS), len(wanted) + 1), np.int64), 0
+        for i in by_shard.tolist():
+            found = _unpacked(right["data"][i].as_py()).view(np.int64).reshape(len(FACTS), -1)
+            facts[:, at : at + found.shape[1]] = found
+            at += found.shape[1]
         sums = np.zeros(1)
         if len(places):
             sums = np.concatenate([sums, np.cumsum(log_probabilities(tokens, places, wanted, named, facts, numbers))])
         stops = np.cumsum(predicted)
+        if at != len(wanted):
+            raise RuntimeError(f"{len(wanted)} questions have {at} answers")
         value = 10.0 ** (-(sums[stops] - sums[stops - predicted]) / np.maximum(predicted, 1))
         old = [kept[f"kept {i}"] for i in range(len(keep))]
         return pa.table([*old, kept["n"], pa.array(np.round(value, 6), mask=counts == 0)], names=columns)
