@@ -2,7 +2,9 @@
 
 import random
 import time
+from types import SimpleNamespace
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tidewire.plans.catalog import streams
@@ -204,3 +206,76 @@ def test_a_log_without_files_gives_an_empty_table(spark, tmp_path):
     (tmp_path / "s").mkdir()
     stream = message_log.stream_message_log(spark, str(tmp_path / "s"), EVENTS).select("event_id")
     assert tables.run_into_table(stream, str(tmp_path / "out")).count() == 0
+
+
+class Kept:
+    """A value or a map of state, and how often any is used."""
+
+    calls = 0
+
+    def __init__(self):
+        self.kept = {}
+
+    def __getattr__(self, name):
+        found = {
+            "exists": lambda: bool(self.kept), "get": lambda: self.kept[()], "update": lambda v: self.kept.update({(): v}),
+            "containsKey": lambda k: k in self.kept, "getValue": lambda k: self.kept[k], "removeKey": lambda k: self.kept.pop(k),
+            "updateValue": lambda k, v: self.kept.update({k: v}), "keys": lambda: list(self.kept),
+        }[name]
+
+        def counted(*given):
+            Kept.calls += 1
+            return found(*given)
+
+        return counted
+
+
+class Handle:
+    def __init__(self):
+        self.timers = set()
+
+    def getValueState(self, name, schema):  # noqa: N802
+        return Kept()
+
+    getMapState = lambda self, name, *schemas: Kept()  # noqa: E731, N815
+
+    def registerTimer(self, at):  # noqa: N802
+        Kept.calls += 1
+        self.timers.add(at)
+
+    deleteTimer = registerTimer  # noqa: N815
+
+
+def test_many_periods_of_one_batch_take_few_state_calls(monkeypatch):
+    """Periods of a long micro-batch are read, written and closed by blocks."""
+    rng, periods, n = random.Random(3), 20_000, 60_000
+    at = [rng.randrange(periods * 10_000) for _ in range(n)] + [None]
+    sent = [rng.randrange(2) for _ in at]
+    monkeypatch.setattr(live, "MOST_ROWS", 30_000, raising=False)
+    batches = [pd.DataFrame({"at_ms": at[k : k + 7_000], "sent": sent[k : k + 7_000], "received": [1 - s for s in sent[k : k + 7_000]]}) for k in range(0, n + 1, 7_000)]
+    totals, handle = live._Totals(["run"], 10_000, 30_000), Handle()
+    totals.init(handle)
+    Kept.calls = 0
+
+    def passed(watermark):
+        times, out = SimpleNamespace(getCurrentWatermarkInMs=lambda: watermark), []
+        while due := sorted(t for t in handle.timers if t <= watermark):
+            expired = SimpleNamespace(getExpiryTimeInMs=lambda: due[0])
+            out += list(totals.handleExpiredTimer((7,), times, expired))
+            handle.timers.discard(due[0])
+        return [row for df in out for row in df[df.kind == "closed"][["at_ms", "sent", "received", "total_sent", "total_received"]].itertuples(index=False, name=None)]
+
+    for some in (batches[:5], batches[5:]):
+        list(totals.handleInputRows((7,), iter(some), None))
+    half = periods // 2 * 10_000
+    found = [passed(half), passed(periods * 10_000)]
+    assert Kept.calls < 300
+    want, running = [], [0, 0]
+    counts = {}
+    for ms, s in zip(at[:-1], sent[:-1], strict=True):
+        own = counts.setdefault(ms // 10_000 * 10_000, [0, 0])
+        own[1 - s] += 1
+    for start in sorted(counts):
+        running = [a + b for a, b in zip(running, counts[start], strict=True)]
+        want.append((start, *counts[start], *running))
+    assert found == [[w for w in want if w[0] + 10_000 <= half], [w for w in want if w[0] + 10_000 > half]]

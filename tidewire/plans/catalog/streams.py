@@ -97,7 +97,7 @@ def t2_stream_control_windows(spark, sf_dir):
 def _live(spark, sf_dir) -> DataFrame:
     log = _arrived(spark, sf_dir)
     rows = live.live_totals(successful_only(_sends(spark, log)), _receives(spark, log))
-    return tables.run_into_table(rows, shared_folder(spark, "t3"), conf=live.STATE_STORE)
+    return tables.run_into_table(rows, shared_folder(spark, "t3"), conf=live.state_settings(spark))
 
 
 @query(

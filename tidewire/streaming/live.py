@@ -5,14 +5,18 @@ totals comes out with the micro-batch that brought it. A period comes out once,
 passes its end, and so does a report that nothing has come for a while, be it that the watermark or the first message of a
 later micro-batch shows it. State is a few
 numbers for each (run, worker) and open period; a hot worker is read in Arrow batches, never held.
+
+Open periods lie in blocks of ``BLOCK``, and the timer of the earliest one closes all that the watermark has passed, so
+a micro-batch over many periods reads and writes blocks, not a value and a timer for each period.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -23,17 +27,30 @@ from tidewire.streaming.stats import DEFAULT_DELAY
 STATE_STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 }
+#: Partitions of the state, at most: each has a store to commit in every micro-batch, whether keys lie there or not.
+PARTITIONS = 32
 CHANGED, CLOSED, IDLE = "changed", "closed", "idle"
 PERIOD_MS = 10_000
 IDLE_MS = 30_000
+#: Periods of a block, and rows of (period, sent, received) that wait to be added up.
+BLOCK = 4096
+MOST_ROWS = 1 << 18
 
 _COUNTS = T.StructType([T.StructField("sent", T.LongType()), T.StructField("received", T.LongType())])
-_PERIOD = T.StructType([T.StructField("period_ms", T.LongType())])
+_START = T.StructType([T.StructField("block_ms", T.LongType())])
+_PERIODS = T.StructType([T.StructField("periods", T.BinaryType())])
 _LAST = T.StructType([T.StructField("at_ms", T.LongType())])
 #: ``at_ms``: the latest message of a change, the start of a closed period, or when silence began.
 ROWS = "kind string, at_ms bigint, sent bigint, received bigint, total_sent bigint, total_received bigint"
 
 
+def by_period(rows: np.ndarray) -> np.ndarray:
+    """Rows of (period, sent, received), at least one, added up by period and in order."""
+    rows = rows[np.argsort(rows[:, 0], kind="stable")]
+    first = np.flatnonzero(np.append(True, rows[1:, 0] != rows[:-1, 0]))
+    return np.column_stack([rows[first, 0], np.add.reduceat(rows[:, 1:], first)])
+
+
 class _Totals(StatefulProcessor):
     def __init__(self, keys: Sequence[str], period_ms: int, idle_ms: int) -> None:
         self.keys, self.period_ms, self.idle_ms = list(keys), period_ms, idle_ms
@@ -43,59 +60,74 @@ class _Totals(StatefulProcessor):
         self.totals = handle.getValueState("totals", _COUNTS)
         self.closed = handle.getValueState("closed", _COUNTS)
         self.last = handle.getValueState("last", _LAST)
-        self.open = handle.getMapState("open", _PERIOD, _COUNTS)
+        self.open = handle.getMapState("open", _START, _PERIODS)
 
-    def _row(self, key: tuple, kind: str, at_ms: int, counts: Sequence[int], totals: Sequence[int]) -> pd.DataFrame:
-        columns = [*self.keys, *[c.split()[0] for c in ROWS.split(", ")]]
-        return pd.DataFrame([(*key, kind, at_ms, *counts, *totals)], columns=columns)
+    def _rows(self, key: tuple, kind: str, *numbers: object) -> pd.DataFrame:
+        """Rows of one kind from the numbers of ``ROWS``, each one value or an array."""
+        values = [*key, kind, *map(np.atleast_1d, numbers)]
+        return pd.DataFrame(dict(zip([*self.keys, *[c.split()[0] for c in ROWS.split(", ")]], values, strict=True)))
+
+    def _block(self, start: int) -> np.ndarray:
+        return np.frombuffer(self.open.getValue((start,))[0], "<i8").reshape(-1, 3)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
         last = self.last.get()[0] if self.last.exists() else None
-        new, earliest, latest, periods = [0, 0], None, last, {}
+        earliest, latest, found, held, most = None, last, [], 0, MOST_ROWS
         for batch in rows:
-            low, high = int(batch["at_ms"].min()), int(batch["at_ms"].max())
+            batch = batch.dropna(subset="at_ms")
+            if batch.empty:
+                continue
+            counts = batch[["at_ms", "sent", "received"]].to_numpy("<i8")
+            low, high = int(counts[:, 0].min()), int(counts[:, 0].max())
             earliest = low if earliest is None else min(low, earliest)
             latest = high if latest is None else max(high, latest)
-            starts = batch["at_ms"] // self.period_ms * self.period_ms
-            sums = batch[["sent", "received"]].groupby(starts).sum()
-            for start, sent, received in sums.itertuples():
-                own = periods.setdefault(int(start), [0, 0])
-                own[0] += int(sent)
-                own[1] += int(received)
-        for start, own in periods.items():
+            counts[:, 0] = counts[:, 0] // self.period_ms * self.period_ms
+            found.append(by_period(counts))
+            held += len(found[-1])
+            if held > most:
+                found = [by_period(np.concatenate(found))]
+                held, most = len(found[0]), max(MOST_ROWS, 2 * len(found[0]))
+        if not found:
+            return
+        periods = by_period(np.concatenate(found))
+        span = self.period_ms * BLOCK
+        starts = periods[:, 0] // span * span
+        for own in np.split(periods, np.flatnonzero(starts[1:] != starts[:-1]) + 1):
+            start = int(own[0, 0]) // span * span
             if self.open.containsKey((start,)):
-                before = self.open.getValue((start,))
-                self.open.updateValue((start,), (before[0] + own[0], before[1] + own[1]))
-            else:
-                self.open.updateValue((start,), tuple(own))
-                self.handle.registerTimer(start + self.period_ms)
-            new = [new[0] + own[0], new[1] + own[1]]
+                own = by_period(np.concatenate([self._block(start), own]))
+            self.open.updateValue((start,), (own.tobytes(),))
+        self.handle.registerTimer(int(periods[0, 0]) + self.period_ms)
+        new = periods[:, 1:].sum(axis=0).tolist()
         totals = self.totals.get() if self.totals.exists() else (0, 0)
         if last is not None and earliest > last + self.idle_ms:
-            yield self._row(key, IDLE, last, (0, 0), tuple(totals))
+            yield self._rows(key, IDLE, last, 0, 0, *totals)
         totals = (totals[0] + new[0], totals[1] + new[1])
         self.totals.update(totals)
         if latest != last:
-            if last is not None:
-                self.handle.deleteTimer(last + self.idle_ms)
-                if self.open.containsKey((last + self.idle_ms - self.period_ms,)):
-                    self.handle.registerTimer(last + self.idle_ms)  # the end of an open period, too
             self.handle.registerTimer(latest + self.idle_ms)
             self.last.update((latest,))
-        yield self._row(key, CHANGED, latest, new, totals)
+        yield self._rows(key, CHANGED, latest, *new, *totals)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        start = now - self.period_ms
-        if self.open.containsKey((start,)):
-            counts = tuple(self.open.getValue((start,)))
-            before = self.closed.get() if self.closed.exists() else (0, 0)
-            totals = (before[0] + counts[0], before[1] + counts[1])
-            self.closed.update(totals)
+        """Close all periods that the watermark has passed; the earliest one left gets the next timer."""
+        now, watermark = expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()
+        for start in sorted(start for start, in self.open.keys()):
+            own = self._block(start)
+            over = int(np.searchsorted(own[:, 0], watermark - self.period_ms, side="right"))
+            if over:
+                before = self.closed.get() if self.closed.exists() else (0, 0)
+                totals = np.cumsum(own[:over, 1:], axis=0) + np.array(before)
+                self.closed.update(tuple(totals[-1].tolist()))
+                yield self._rows(key, CLOSED, *own[:over].T, *totals.T)
+            if over < len(own):
+                if over:
+                    self.open.updateValue((start,), (own[over:].tobytes(),))
+                self.handle.registerTimer(int(own[over, 0]) + self.period_ms)
+                break
             self.open.removeKey((start,))
-            yield self._row(key, CLOSED, start, counts, totals)
         if self.last.exists() and self.last.get()[0] + self.idle_ms == now:
-            yield self._row(key, IDLE, now - self.idle_ms, (0, 0), tuple(self.totals.get()))
+            yield self._rows(key, IDLE, now - self.idle_ms, 0, 0, *self.totals.get())
 
     def close(self) -> None:
         pass
@@ -123,6 +155,12 @@ def live_totals(
     )
 
 
+def state_settings(spark: SparkSession) -> dict[str, str]:
+    """What a query of ``live_totals`` is started with."""
+    partitions = min(PARTITIONS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return STATE_STORE | {"spark.sql.shuffle.partitions": str(partitions)}
+
+
 def current_totals(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Totals now, merged over everything but ``keys``: the changes of all (run, worker)s added up."""
     changes = rows.where(F.col("kind") == CHANGED)
