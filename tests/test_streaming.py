@@ -2,6 +2,8 @@
 
 import random
 import time
+from collections import Counter
+from datetime import datetime
 from types import SimpleNamespace
 
 import pandas as pd
@@ -153,6 +155,16 @@ def test_closed_periods_are_written_once(spark, sf_dir, tmp_path):
     assert rows.groupBy("run_id", "period_ms").agg(F.count_distinct("batch_id").alias("n")).where("n > 1").isEmpty()
 
 
+def test_periods_that_are_open_at_the_end_of_a_log_are_reported(spark, tmp_path):
+    """The last period of a log counts, though no watermark has passed it; no period counts twice."""
+    at = datetime(2024, 1, 1)
+    rows = [(i, at, 1, "a", 2.5, "{}") for i in range(400)]
+    spark.createDataFrame(rows, EVENTS).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    found = {(r.run_id, r.period_ms): r.messages for r in streams.t1_stream_period_stats(spark, str(tmp_path)).collect()}
+    want = Counter((i % 3, streams.EPOCH + i * 360 // 10_000 * 10_000) for i in range(400) if i % 97)
+    assert found == want
+
+
 def test_drain_ends_with_nothing_left(spark, sf_dir):
     rows = streams.t10_drain(spark, sf_dir).orderBy("batch_id").collect()
     left = [r.backlog for r in rows]
