@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewire.operators import filters, joins
 from tidewire.plans import charts
+from tidewire.plans.catalog import documents
 from tidewire.session import shared_folder
 from tidewire.sources import configs, message_log, metrics, results
 
@@ -242,3 +243,10 @@ def test_many_texts_lie_in_few_files(spark, tmp_path):
     assert drivers["d-2999.yaml"] == "é2999" and drivers["two"] == "b"
     payloads = {r.path.rsplit("/", 1)[1]: (r.content.decode(), r.length) for r in configs.read_payloads(spark, str(folder)).collect()}
     assert payloads["d-7.yaml"] == ("name: é7\n", 10) and payloads["own.yaml"] == ("name: own", 9)
+
+
+def test_workloads_of_every_part_are_read(spark, tmp_path):
+    part = spark.range(50).selectExpr("id AS p_partkey", "concat('n', id) AS p_name", "cast(id AS int) AS p_size")
+    part.write.parquet(str(tmp_path / "part.parquet"))
+    rows = {r.workload: (r.name, r.topics) for r in documents.s3_read_workloads(spark, str(tmp_path)).collect()}
+    assert rows == {f"w-{i}.v2": (f"n{i}-{i:06d}", i % 5) for i in range(50)}
