@@ -35,6 +35,32 @@ def test_the_table_of_words_is_bounded(monkeypatch):
     assert len(table.young) <= 200 and len(table.old) <= 200
 
 
+def test_words_and_their_punctuation_are_learned_apart_and_looked_up_once_a_slice():
+    class Counted(dict):
+        asked = 0
+
+        def get(self, word):
+            self.asked += 1
+            return super().get(word)
+
+        def __getitem__(self, word):
+            self.asked += 1
+            return super().__getitem__(word)
+
+    table, text = token_ids.WordIds(PATH), "Word word. (word, été! word?! " * 1000
+    table.young = Counted()
+    assert table.of([text.encode()])[0].tolist() == token_ids.plain_ids(PATH, [text])[0]
+    assert set(table.young) == {w.encode() for w in ("word", "été", ".", "(", ",", "!", "?!")}
+    assert table.young.asked <= 2 * len(table.young)
+
+
+def test_cuts_between_letters_and_punctuation_are_those_of_the_tokenizer():
+    texts = ["a≠b", "a.≮", "x's.t'll.'s", "'.s'.RE.'re", "..'VE", "É.é!Ḿ", "÷.a×.b", "<|endoftext|>.a B.C a<|b c.d", "a.́b", "a`̀b", ";;.a", "K.K"]
+    texts += ["\x1fa.b\x1f.c", "ÿ.Ā.ā", "İ.i", "a.ª.º.µ", "a.1.b2.-3", "日本.a。b", "ÀÉ.Ü-ß/ÿ", " ", "\n \t", "", "a", "Ã", ". a"]
+    found = token_ids.WordIds(PATH).of([t.encode() for t in texts])
+    assert [ids.tolist() for ids in found] == token_ids.plain_ids(PATH, texts)
+
+
 def check(rows, docs):
     """Every id in one piece, sequences without gaps and of full or power-of-two length."""
     ids = [i + [2] for i in token_ids.plain_ids(PATH, [t or "" for _, t in docs])]
